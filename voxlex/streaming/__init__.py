@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed workload has no streaming component: no watermark, event-time
+window, state or streaming sink appears anywhere in it.  Time is a fixed-width
+frame index (``voxlex.functions.to_frame``) and "window" means a count-based
+trailing slice of words (``voxlex.operators.context``), both batch operators.
+This package is intentionally empty.
+"""
