@@ -13,6 +13,9 @@ be dense (see ``frames.renumber``).
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +110,6 @@ def apply_text_fn(df: DataFrame, col: str, fn, out: str) -> DataFrame:
     """
     if isinstance(fn, ColumnTextFn):
         return df.withColumn(out, fn.column(F.col(col)))
-    import pandas as pd
-    from typing import Iterator
-
     @F.pandas_udf("string")
     def _run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = fn.load() if hasattr(fn, "load") else fn

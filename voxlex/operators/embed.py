@@ -20,6 +20,7 @@ import re
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +79,6 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
         raise ValueError("pool must be 'mean' or 'last'")
     if isinstance(model, HashEmbedder) and not force_batch:
         return df.withColumn(out, model.pooled_column(F.col(text_col), pool))
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = model.load() if hasattr(model, "load") else model
