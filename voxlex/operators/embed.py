@@ -31,10 +31,18 @@ _JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 class HashEmbedder:
-    """md5 token vectors: ``v[j] = (int(md5(tok#j)[:8], 16) % 2001 - 1000) / 1000``."""
+    """md5 token vectors: ``v[j] = (int(md5(tok#j)[:8], 16) % 2001 - 1000) / 1000``.
 
-    def __init__(self, dim: int):
+    Two equivalent implementations: JVM expressions (``pooled_column``,
+    identical in DuckDB) and a vectorised batch path that hashes each
+    distinct token once per Python worker (``encode_pooled``).  The batch
+    path is the faster one - it skips repeated md5 calls for repeated
+    tokens - and is what ``embed`` uses unless ``jvm=True``.
+    """
+
+    def __init__(self, dim: int, max_vocab: int = 2_000_000):
         self.dim = int(dim)
+        self.max_vocab = int(max_vocab)
 
     # JVM path -------------------------------------------------------------
     def pooled_column(self, text, pool: str = "mean"):
@@ -46,21 +54,58 @@ class HashEmbedder:
             F.sequence(F.lit(0), F.lit(self.dim - 1)),
             lambda j: F.aggregate(toks, F.lit(0.0), lambda acc, t: acc + hash_unit(t, j)) / F.size(toks))
 
-    # Python path (same numbers; used when a batch model is required) ------
+    # Batch path -------------------------------------------------------------
+    def _vocab(self):
+        from voxlex.functions.cache import worker_cache
+        c = worker_cache(f"hash-vocab-{self.dim}")
+        if "ids" not in c or len(c["ids"]) > self.max_vocab:
+            c["ids"] = {}
+            c["rows"] = np.zeros((1024, self.dim))
+        return c
+
+    def _ids(self, toks_iter, c) -> np.ndarray:
+        ids, rows = c["ids"], c["rows"]
+        out = []
+        for t in toks_iter:
+            i = ids.get(t)
+            if i is None:
+                i = len(ids)
+                if i >= rows.shape[0]:
+                    rows = np.vstack([rows, np.zeros_like(rows)])
+                    c["rows"] = rows
+                rows[i] = [(int(hashlib.md5(f"{t}#{j}".encode()).hexdigest()[:8], 16) % 2001 - 1000) / 1000.0
+                           for j in range(self.dim)]
+                ids[t] = i
+            out.append(i)
+        return np.asarray(out, dtype=np.int64)
+
+    def vectors(self, words) -> np.ndarray:
+        """(n, dim) token vectors of single words."""
+        c = self._vocab()
+        ids = self._ids(words, c)
+        return c["rows"][ids]
+
+    def encode_pooled(self, texts, pool: str = "mean") -> np.ndarray:
+        """(n, dim) pooled vectors of whitespace-tokenised texts."""
+        c = self._vocab()
+        split = [_JAVA_SPACE.split(t.strip(" ")) for t in texts]
+        if pool == "last":
+            ids = self._ids((s[-1] for s in split), c)
+            return c["rows"][ids]
+        counts = np.fromiter((len(s) for s in split), dtype=np.int64, count=len(split))
+        ids = self._ids((t for s in split for t in s), c)
+        rows = c["rows"][ids]
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        sums = np.add.reduceat(rows, starts, axis=0) if len(rows) else np.zeros((0, self.dim))
+        return sums / counts[:, None]
+
     def encode(self, texts):
-        cache: dict = {}
+        """Token matrices per text (the generic model protocol)."""
+        c = self._vocab()
         out = []
         for text in texts:
-            toks = _JAVA_SPACE.split(text.strip(" "))
-            rows = []
-            for t in toks:
-                v = cache.get(t)
-                if v is None:
-                    v = np.array([(int(hashlib.md5(f"{t}#{j}".encode()).hexdigest()[:8], 16) % 2001 - 1000) / 1000.0
-                                  for j in range(self.dim)])
-                    cache[t] = v
-                rows.append(v)
-            out.append(np.vstack(rows))
+            ids = self._ids(_JAVA_SPACE.split(text.strip(" ")), c)
+            out.append(c["rows"][ids].copy())
         return out
 
 
@@ -69,26 +114,51 @@ def _pool(mat: np.ndarray, pool: str) -> np.ndarray:
 
 
 def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x",
-          force_batch: bool = False) -> DataFrame:
+          jvm: bool = False) -> DataFrame:
     """One pooled vector per row of ``text_col``.
 
-    ``HashEmbedder`` runs as JVM expressions unless ``force_batch``; other
-    models run through an Arrow-batched iterator pandas UDF.
+    Runs as an Arrow-batched iterator pandas UDF; the model is loaded once
+    per task (``model.load()`` when present).  Models with
+    ``encode_pooled(texts, pool)`` return pooled vectors directly; others
+    return token matrices via ``encode(texts)`` and are pooled here.
+    ``jvm=True`` evaluates a ``HashEmbedder`` as JVM expressions instead.
     """
     if pool not in ("mean", "last"):
         raise ValueError("pool must be 'mean' or 'last'")
-    if isinstance(model, HashEmbedder) and not force_batch:
+    if jvm:
+        if not isinstance(model, HashEmbedder):
+            raise ValueError("only HashEmbedder has a JVM form")
         return df.withColumn(out, model.pooled_column(F.col(text_col), pool))
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = model.load() if hasattr(model, "load") else model
         for s in batches:
-            mats = m.encode(list(s.fillna("")))
-            yield pd.Series([_pool(np.asarray(a, dtype=float), pool) for a in mats], index=s.index)
+            texts = list(s.fillna(""))
+            if hasattr(m, "encode_pooled"):
+                mat = m.encode_pooled(texts, pool)
+                yield pd.Series(list(mat), index=s.index)
+            else:
+                mats = m.encode(texts)
+                yield pd.Series([_pool(np.asarray(a, dtype=float), pool) for a in mats], index=s.index)
 
     return df.withColumn(out, _run(F.col(text_col)))
 
 
+def token_vectors(df: DataFrame, model: HashEmbedder, word: str = "word", prefix: str = "_v") -> DataFrame:
+    """Add ``{prefix}{j}`` columns: the model's vector of each single word.
+
+    Arrow-batched; each distinct word is hashed once per Python worker.
+    """
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _vec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(list(model.vectors(list(s.fillna("")))), index=s.index)
+
+    t = df.withColumn("_tv", _vec(F.col(word)))
+    return t.select(*df.columns, *[F.col("_tv")[j].alias(f"{prefix}{j}") for j in range(model.dim)])
+
+
 def embed_context_windows(tok: DataFrame, ws: int, model: HashEmbedder, pool: str = "mean",
                           seq: str = "seq", pos: str = "pos", word: str = "word", out: str = "x",
                           block: int | None = None) -> DataFrame:
@@ -100,17 +170,59 @@ def embed_context_windows(tok: DataFrame, ws: int, model: HashEmbedder, pool: st
     pooling is the current word's vector and needs no window at all.
     """
     from voxlex.operators.context import _block_size, _with_halo
-    vec = [hash_unit(F.col(word), j).alias(f"_v{j}") for j in range(model.dim)]
     if pool == "last" or ws == 0:
-        return tok.withColumn(out, F.array(*[hash_unit(F.col(word), j) for j in range(model.dim)]))
+        t = token_vectors(tok, model, word)
+        return t.withColumn(out, F.array(*[F.col(f"_v{j}") for j in range(model.dim)])).drop(
+            *[f"_v{j}" for j in range(model.dim)])
     b = _block_size(ws, block)
-    t = _with_halo(tok, ws, pos, b).select("*", *vec)
+    t = token_vectors(_with_halo(tok, ws, pos, b), model, word)
     w = Window.partitionBy(seq, "_blk").orderBy(pos).rowsBetween(-ws, 0)
     n = F.count(F.lit(1)).over(w)
     t = t.withColumn(out, F.array(*[F.sum(f"_v{j}").over(w) / n for j in range(model.dim)]))
     return t.where(F.col("_own")).drop("_blk", "_own", *[f"_v{j}" for j in range(model.dim)])
 
 
+def embed_context_multi(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean",
+                        seq: str = "seq", pos: str = "pos", word: str = "word", prefix: str = "x_",
+                        block: int | None = None) -> DataFrame:
+    """``embed_context_windows`` for several window sizes in one window pass.
+
+    All sizes share one (sequence, block) partitioning with the halo of the
+    largest size, so the token table is shuffled once; each word is hashed
+    once.  Adds one ``{prefix}{ws}`` vector column per size.
+    """
+    from voxlex.operators.context import _block_size, _with_halo
+    sizes = [int(s) for s in sizes]
+    dims = range(model.dim)
+    big = max(sizes)
+    if pool == "last" or big == 0:
+        t = token_vectors(tok, model, word)
+        vec = F.array(*[F.col(f"_v{j}") for j in dims])
+        return t.select(*tok.columns, *[vec.alias(f"{prefix}{ws}") for ws in sizes])
+    b = _block_size(big, block)
+    t = token_vectors(_with_halo(tok, big, pos, b), model, word)
+    base = Window.partitionBy(seq, "_blk").orderBy(pos)
+    for ws in sizes:
+        if ws == 0:
+            t = t.withColumn(f"{prefix}{ws}", F.array(*[F.col(f"_v{j}") for j in dims]))
+            continue
+        w = base.rowsBetween(-ws, 0)
+        n = F.count(F.lit(1)).over(w)
+        t = t.withColumn(f"{prefix}{ws}", F.array(*[F.sum(f"_v{j}").over(w) / n for j in dims]))
+    return t.where(F.col("_own")).drop("_blk", "_own", *[f"_v{j}" for j in dims])
+
+
+def mean_vectors(df: DataFrame, key, vecs) -> DataFrame:
+    """Element-wise mean of several vector columns per key, in one aggregate."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    keys = [key] if isinstance(key, str) else list(key)
+    g = (df.select(*keys, *[array_to_vector(F.transform(v, lambda e: e.cast("double"))).alias(f"_v{i}")
+                            for i, v in enumerate(vecs)])
+           .groupBy(*keys).agg(*[Summarizer.mean(F.col(f"_v{i}")).alias(f"_m{i}") for i in range(len(vecs))]))
+    return g.select(*keys, *[vector_to_array(f"_m{i}").alias(v) for i, v in enumerate(vecs)])
+
+
 def mean_vector(df: DataFrame, key, vec: str = "x", out: str | None = None) -> DataFrame:
     """Element-wise mean of ``vec`` per key (map-side combined vector aggregate)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array

@@ -238,12 +238,25 @@ def build_design(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: st
         hc = holdout_chunks(chunks, p.nboots, nchunks, p.seed)
         for r in holdout_rows(chunks, hc).collect():
             held[r["boot"]].append(int(r["train_idx"]))
-    rows = (x_df.join(F.broadcast(spark.createDataFrame([(int(t),) for t in frames], f"{frame_col} int")),
-                      frame_col)
-                .select(frame_col, x_col).collect())
+    x = collect_x(x_df, frames, frame_col, x_col, p.max_broadcast_bytes)
+    return Design(frames=frames, n_train=n_train, held=[np.array(sorted(h), dtype=int) for h in held], x=x)
+
+
+def collect_x(x_df: DataFrame, frames: list, frame_col: str = "tr", x_col: str = "x",
+              max_bytes: int = MAX_BROADCAST_BYTES) -> np.ndarray:
+    """Stimulus rows at ``frames`` as a dense matrix (rows follow ``frames``).
+
+    The frame list is a tiny broadcast semi-join side; the byte size of the
+    result is checked before anything is shipped.  Every frame must be
+    present exactly once.
+    """
+    spark = x_df.sparkSession
+    small = spark.createDataFrame([(int(t),) for t in frames], f"{frame_col} int")
+    rows = x_df.join(F.broadcast(small), frame_col).select(frame_col, x_col).collect()
     width = max((len(r[1]) for r in rows), default=0)
-    if n * width * 8 > p.max_broadcast_bytes:
-        raise ValueError(f"stimulus {n}x{width} exceeds the broadcast limit of {p.max_broadcast_bytes} bytes")
+    n = len(frames)
+    if n * width * 8 > max_bytes:
+        raise ValueError(f"stimulus {n}x{width} exceeds the broadcast limit of {max_bytes} bytes")
     pos = {t: i for i, t in enumerate(frames)}
     x = np.zeros((n, width))
     seen = np.zeros(n, dtype=bool)
@@ -255,19 +268,14 @@ def build_design(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: st
             raise ValueError("stimulus rows differ in length")
         seen[i] = True
         x[i] = np.asarray(r[1], dtype=float)
-    return Design(frames=frames, n_train=n_train, held=[np.array(sorted(h), dtype=int) for h in held], x=x)
+    if not seen.all():
+        raise ValueError(f"stimulus lacks {int((~seen).sum())} of the design frames")
+    return x
 
 
 def _worker_cache() -> dict:
-    """A dict that lives as long as the Python worker process (reused across tasks)."""
-    import sys
-    import types
-    m = sys.modules.get("_voxlex_worker_cache")
-    if m is None:
-        m = types.ModuleType("_voxlex_worker_cache")
-        m.store = {}
-        sys.modules["_voxlex_worker_cache"] = m
-    return m.store
+    from voxlex.functions.cache import worker_cache
+    return worker_cache("ridge")
 
 
 def _cached(design: Design, p: RidgeParams):
@@ -382,6 +390,22 @@ def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None =
     return best.join(grid, "alpha_idx")
 
 
+def _fit_block(d: Design, p: RidgeParams, boots, final, y: np.ndarray, grid: np.ndarray, va=None):
+    """CV (when ``va`` is None), alpha choice, refit and test score for one block."""
+    ytr, yte = y[: d.n_train], y[d.n_train:]
+    idx = cvm = None
+    if va is None:
+        sc = cv_scores(d.x_train, ytr, d.held, grid, singcutoff=p.singcutoff,
+                       normalpha=p.normalpha, use_corr=p.use_corr, factors=boots)
+        cvm = sc.mean(0)
+        idx = pick_alpha(cvm, p.score_digits)
+        va = grid[idx]
+    corr, wt = final_scores(d.x_train, ytr, d.x_test, yte, va, singcutoff=p.singcutoff,
+                            normalpha=p.normalpha, use_corr=p.use_corr,
+                            return_weights=p.return_weights, factors=final)
+    return idx, va, corr, wt, cvm
+
+
 def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
               alphas: DataFrame | None = None) -> DataFrame:
     """Final fit and test score with one alpha per series.
@@ -417,18 +441,8 @@ def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
             if batch.num_rows == 0:
                 continue
             y = _matrix(batch, "y", n_frames).T
-            ytr, yte = y[: d.n_train], y[d.n_train:]
-            if fused:
-                sc = cv_scores(d.x_train, ytr, d.held, grid, singcutoff=p.singcutoff,
-                               normalpha=p.normalpha, use_corr=p.use_corr, factors=boots)
-                cvm = sc.mean(0)
-                idx = pick_alpha(cvm, p.score_digits)
-                va = grid[idx]
-            else:
-                va = batch.column("alpha").to_numpy(zero_copy_only=False).astype(float)
-            corr, wt = final_scores(d.x_train, ytr, d.x_test, yte, va, singcutoff=p.singcutoff,
-                                    normalpha=p.normalpha, use_corr=p.use_corr,
-                                    return_weights=p.return_weights, factors=final)
+            va = None if fused else batch.column("alpha").to_numpy(zero_copy_only=False).astype(float)
+            idx, va, corr, wt, cvm = _fit_block(d, p, boots, final, y, grid, va)
             cols = [batch.column(k) for k in keys]
             if fused:
                 cols.append(pa.array(idx.astype(np.int32)))
@@ -467,6 +481,59 @@ def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | Non
     return fit_score(packed, keys, design, p, alphas)
 
 
+def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, frame_col: str = "tr",
+             x_col: str = "x", value: str = "value", run_col: str = "run") -> DataFrame:
+    """Per-series bootstrap ridge of one response table against several stimuli, in one pass.
+
+    The stimuli must cover the same frames (one transcript embedded with
+    different window sizes, PCA sizes, poolings or tactics), so the split,
+    the hold-out draw and the packed responses are built once; each block
+    of series is fitted against every stimulus inside the same task.
+    Output: (run STRING, keys..., alpha, corr).
+    """
+    p = p or RidgeParams()
+    if p.single_alpha or p.nboots == 0:
+        raise ValueError("fit_runs selects one alpha per series; use bootstrap_ridge otherwise")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    runs = [str(r) for r in x_dfs]
+    xs_in = list(x_dfs.values())
+    y_df = y_df.persist()
+    base = build_design(xs_in[0].persist(), y_df, p, frame_col, x_col)
+    mats = [base.x] + [collect_x(x, base.frames, frame_col, x_col, p.max_broadcast_bytes) for x in xs_in[1:]]
+    if sum(m.nbytes for m in mats) > p.max_broadcast_bytes:
+        raise ValueError("stimuli together exceed the broadcast limit")
+    packed = pack_responses(y_df, keys, base, frame_col, value)
+    spark = packed.sparkSession
+    payload = base.payload()
+    payload["x"] = None
+    bc = spark.sparkContext.broadcast({"base": payload, "xs": mats, "runs": runs})
+    n_frames = len(base.frames)
+    grid = np.asarray(p.alphas, dtype=float)
+    q = p  # scoring path (weights / weight-free) follows p.return_weights; weights are not emitted
+    schema = T.StructType([T.StructField(run_col, T.StringType())] + [packed.schema[k] for k in keys] +
+                          [T.StructField("alpha", T.DoubleType()), T.StructField("corr", T.DoubleType())])
+
+    def run(batches):
+        v = bc.value
+        designs = []
+        for name, xm in zip(v["runs"], v["xs"]):
+            b = dict(v["base"], x=xm, token=f"{v['base']['token']}:{name}")
+            dd = Design(**b)
+            designs.append((name, dd) + _cached(dd, q))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            y = _matrix(batch, "y", n_frames).T
+            for name, dd, boots, final in designs:
+                _, va, corr, _, _ = _fit_block(dd, q, boots, final, y, grid)
+                cols = [pa.array([name] * batch.num_rows, type=pa.string())]
+                cols += [batch.column(k) for k in keys]
+                cols += [pa.array(va, type=pa.float64()), _nullable(corr)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+    return packed.select(*keys, "y").mapInArrow(run, schema)
+
+
 def boot_scores_long(x_df, y_df, keys, p: RidgeParams | None = None, frame_col="tr",
                      x_col="x", value="value", design: Design | None = None) -> DataFrame:
     """(keys, boot, alpha_idx, corr): every held-out score of the bootstrap."""

@@ -7,7 +7,7 @@ subject x frame x vertex cube is never materialised.  Per-series arrays
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlex.functions.scalar import nan_to_null, masked_value
@@ -54,12 +54,16 @@ def densify(df: DataFrame, keys, frame_col: str = "tr", value: str = "value",
 
 
 def live_series(df: DataFrame, key="voxel", value: str = "value") -> DataFrame:
-    """Keep only series with at least one non-zero value (NULL is not live)."""
+    """Keep only series with at least one non-zero value (NULL is not live).
+
+    One window pass partitioned by series: a series holds one row per
+    frame, so each window group is bounded by the recording length, and the
+    input is consumed once (a filter-by-aggregate self-join would plan the
+    whole upstream twice).
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    live = (df.groupBy(*keys)
-              .agg(F.max(F.when(F.col(value) != 0, F.lit(1)).otherwise(F.lit(0))).alias("_live"))
-              .where(F.col("_live") == 1).drop("_live"))
-    return df.join(live, keys, "left_semi")
+    flag = F.max(F.when(F.col(value) != 0, F.lit(1)).otherwise(F.lit(0))).over(Window.partitionBy(*keys))
+    return df.withColumn("_live", flag).where(F.col("_live") == 1).drop("_live")
 
 
 def dense_index(df: DataFrame, key: str = "voxel", out: str = "dense_idx") -> DataFrame:
@@ -110,16 +114,15 @@ def zscore_within(df: DataFrame, by, value: str = "value", out: str | None = Non
 
     ``by='tr'`` standardises across series within a frame (what the response
     preparation does); ``by='voxel'`` standardises each series over time.
-    Statistics come from a map-side-combined aggregate joined back (a tiny
-    table for frames, broadcast by AQE at runtime), so no group is ever
-    gathered into one task.  A zero std gives NULL instead of raising.
+    Mean and std come from one window pass (one shuffle, input read once).
+    Groups are bounded by design: a frame holds at most one row per series
+    of the grid, a series at most one row per frame.  A zero std gives NULL
+    instead of raising.
     """
     keys = [by] if isinstance(by, str) else list(by)
     out = out or value
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    return (df.join(stats, keys)
-              .withColumn(out, F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd")))
-              .drop("_mu", "_sd"))
+    w = Window.partitionBy(*keys)
+    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
 
 
 def align(x: DataFrame, y: DataFrame, frame_col: str = "tr") -> DataFrame:

@@ -7,6 +7,8 @@ sizes, tactics) share one packed response table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,10 @@ from voxlex.operators import frames as fr
 from voxlex.operators import series as se
 from voxlex.operators import stats as st
 from voxlex.operators.context import context_window, with_continuation, with_summary
-from voxlex.operators.embed import HashEmbedder, embed, embed_context_windows, frame_embedding
+from voxlex.operators.embed import (HashEmbedder, embed, embed_context_multi, embed_context_windows,
+                                   frame_embedding, mean_vectors)
 from voxlex.operators.pca import pca_fit, pca_project
-from voxlex.operators.ridge import RidgeParams, bootstrap_ridge, build_design
+from voxlex.operators.ridge import RidgeParams, bootstrap_ridge, build_design, fit_runs
 
 
 def select_subjects(resp: DataFrame, participants: DataFrame, task: str, exclude_ids=(),
@@ -44,6 +47,29 @@ def prepare_responses(resp: DataFrame, participants: DataFrame, frames_df: DataF
     return se.zscore_within(m, frame_col, "value").select(frame_col, "voxel", "value")
 
 
+@dataclass
+class Cohort:
+    """Raw responses plus the participant selection that prepares them.
+
+    Passing a cohort instead of prepared responses lets an analysis prepare
+    the responses at the frames of its (small, already computed) stimulus,
+    so the token table is not expanded a second time just to list frames.
+    """
+    resp: DataFrame
+    participants: DataFrame
+    task: str
+    exclude_ids: tuple = ()
+    sep: str = "-"
+
+    def prepare(self, frames_df: DataFrame, frame_col: str = "tr") -> DataFrame:
+        return prepare_responses(self.resp, self.participants, frames_df.select(frame_col), self.task,
+                                 self.exclude_ids, self.sep, frame_col)
+
+
+def _responses(y, x: DataFrame, frame_col: str = "tr") -> DataFrame:
+    return y.prepare(x, frame_col) if isinstance(y, Cohort) else y
+
+
 def stimulus(tok: DataFrame, ws: int, model, pool: str = "mean", frame_col: str = "tr",
              text: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """Per-frame stimulus rows (tr, x): context -> embedding -> frame mean.
@@ -60,26 +86,50 @@ def stimulus(tok: DataFrame, ws: int, model, pool: str = "mean", frame_col: str
     return frame_embedding(emb.select(frame_col, "x"), frame_col, "x")
 
 
+def stimuli(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "tr") -> dict:
+    """Per-frame stimuli for several window sizes: {ws: DataFrame(tr, x)}.
+
+    With a ``HashEmbedder`` all sizes come out of one window pass and one
+    frame aggregate; the small per-frame result is persisted and sliced.
+    Other models embed one context column per size (one shuffle for all
+    contexts, then one batch call per size).
+    """
+    sizes = [int(s) for s in sizes]
+    if isinstance(model, HashEmbedder):
+        cols = [f"x_{ws}" for ws in sizes]
+        emb = embed_context_multi(tok, sizes, model, pool).select(frame_col, *cols)
+        frames_x = mean_vectors(emb, frame_col, cols).persist()
+        return {ws: frames_x.select(frame_col, F.col(f"x_{ws}").alias("x")) for ws in sizes}
+    from voxlex.operators.context import context_windows
+    ctx = context_windows(tok, {f"c_{ws}": ws for ws in sizes})
+    out = {}
+    for ws in sizes:
+        e = embed(ctx, f"c_{ws}", model, pool)
+        out[ws] = frame_embedding(e.select(frame_col, "x"), frame_col, "x").persist()
+    return out
+
+
 def encode(tok: DataFrame, y: DataFrame, ws: int = 16, model=None, pool: str = "mean",
            params: RidgeParams | None = None, keys=("voxel",), text: DataFrame | None = None) -> DataFrame:
     """Baseline encoding model: (voxel, alpha, corr[, weights])."""
     model = model or HashEmbedder(8)
-    x = stimulus(tok, ws, model, pool, text=text)
-    return bootstrap_ridge(x, y, list(keys), params or RidgeParams())
+    x = stimulus(tok, ws, model, pool, text=text).persist()
+    return bootstrap_ridge(x, _responses(y, x), list(keys), params or RidgeParams())
 
 
 def compare_windows(tok: DataFrame, y: DataFrame, sizes=(0, 4, 8, 16, 32, 64, 128), model=None,
                     pool: str = "mean", params: RidgeParams | None = None) -> DataFrame:
-    """Scores per window size: (ws, voxel, alpha, corr)."""
+    """Scores per window size: (ws, voxel, alpha, corr).
+
+    All window sizes are embedded in one pass and fitted against the packed
+    responses in one block job (shared split and hold-out draw).
+    """
     model = model or HashEmbedder(8)
     p = params or RidgeParams(return_weights=False)
-    y = y.persist()
-    out = None
-    for ws in sizes:
-        s = bootstrap_ridge(stimulus(tok, ws, model, pool), y, ["voxel"], p)
-        s = s.select(F.lit(int(ws)).alias("ws"), "voxel", "alpha", "corr")
-        out = s if out is None else out.unionByName(s)
-    return out
+    xs = stimuli(tok, sizes, model, pool)
+    y = _responses(y, next(iter(xs.values())))
+    r = fit_runs({str(ws): x for ws, x in xs.items()}, y, ["voxel"], p, run_col="ws")
+    return r.select(F.col("ws").cast("int").alias("ws"), "voxel", "alpha", "corr")
 
 
 def compare_tactic(tok: DataFrame, y: DataFrame, tactic_text: DataFrame, ws: int = 16, model=None,
@@ -87,15 +137,19 @@ def compare_tactic(tok: DataFrame, y: DataFrame, tactic_text: DataFrame, ws: int
                    mask_threshold: float | None = None) -> DataFrame:
     """Tactic scores vs the baseline: (voxel, corr, base_corr, diff).
 
+    Both stimuli are fitted in one block job with a shared hold-out draw (the
+    original draws different random hold-outs for the two models).
     ``mask_threshold`` keeps the difference only where the baseline score is
     stronger than the threshold in absolute value.
     """
     model = model or HashEmbedder(8)
     p = params or RidgeParams()
-    y = y.persist()
-    tac = bootstrap_ridge(stimulus(tok, ws, model, pool, text=tactic_text), y, ["voxel"], p)
-    base = bootstrap_ridge(stimulus(tok, ws, model, baseline_pool), y, ["voxel"], p)
-    d = se.score_diff(tac, base, "voxel", "corr", "diff")
+    tac = stimulus(tok, ws, model, pool, text=tactic_text).persist()
+    base = stimulus(tok, ws, model, baseline_pool).persist()
+    r = fit_runs({"tactic": tac, "base": base}, _responses(y, base), ["voxel"], p)
+    a = r.where(F.col("run") == "tactic").select("voxel", F.col("corr").alias("corr"))
+    b = r.where(F.col("run") == "base").select("voxel", F.col("corr").alias("corr"))
+    d = se.score_diff(a, b, "voxel", "corr", "diff")
     d = d.select("voxel", F.col("_a").alias("corr"), F.col("_b").alias("base_corr"), "diff")
     if mask_threshold is not None:
         d = d.withColumn("diff", F.when(F.abs("base_corr") > F.lit(mask_threshold), F.col("diff"))
@@ -130,12 +184,9 @@ def pca_sweep(x: DataFrame, y: DataFrame, sizes=(16, 32, 64, 128, 256, 512, 768)
         fit_rows = x.where(F.col("tr").isin(d.frames[: d.n_train]))
     model = pca_fit(fit_rows, max(sizes))
     proj = pca_project(x, model).persist()
-    y = y.persist()
-    out = None
-    for k in sizes:
-        xk = proj.select("tr", F.slice("x", 1, k).alias("x"))
-        s = bootstrap_ridge(xk, y, ["voxel"], p).select(F.lit(int(k)).alias("n_components"), "corr")
-        out = s if out is None else out.unionByName(s)
+    runs = {str(k): proj.select("tr", F.slice("x", 1, k).alias("x")) for k in sizes}
+    out = fit_runs(runs, y, ["voxel"], p, run_col="n_components").select(
+        F.col("n_components").cast("int").alias("n_components"), "corr")
     desc = st.describe_scores(out, "n_components", "corr")
     above = st.above_threshold(out, "n_components", "corr", t).select("n_components", "n_above")
     return desc.join(above, "n_components")
@@ -174,13 +225,9 @@ def stat_map(scores: DataFrame, n: int, mask: DataFrame, threshold: float, vmax:
 
 def compare_pooling(tok: DataFrame, y: DataFrame, ws: int = 16, model=None,
                     params: RidgeParams | None = None) -> DataFrame:
-    """describe() of scores for mean vs last-token pooling."""
+    """describe() of scores for mean vs last-token pooling (one block job)."""
     model = model or HashEmbedder(8)
     p = params or RidgeParams()
-    y = y.persist()
-    out = None
-    for pool in ("mean", "last"):
-        s = bootstrap_ridge(stimulus(tok, ws, model, pool), y, ["voxel"], p).select(
-            F.lit(pool).alias("pool"), "corr")
-        out = s if out is None else out.unionByName(s)
+    runs = {pool: stimulus(tok, ws, model, pool).persist() for pool in ("mean", "last")}
+    out = fit_runs(runs, _responses(y, runs["mean"]), ["voxel"], p, run_col="pool").select("pool", "corr")
     return st.describe_scores(out, "pool", "corr")

@@ -474,19 +474,23 @@ def _prepared(spark, d):
                                 fx.EXCLUDED_IDS, sep="#")
 
 
+def _cohort(spark, d) -> an.Cohort:
+    return an.Cohort(fx.resp(spark, d), fx.part(spark, d), fx.TASK, fx.EXCLUDED_IDS, "#")
+
+
 def q_prepare_responses(spark, d):
     return _round(_prepared(spark, d))
 
 
 def q_encode_baseline_k2(spark, d):
     tok = fx.tok(spark, d)
-    r = an.encode(tok, _prepared(spark, d), 16, em.HashEmbedder(2), "mean", _params())
+    r = an.encode(tok, _cohort(spark, d), 16, em.HashEmbedder(2), "mean", _params())
     return _round(r.select("voxel", "alpha", "corr"))
 
 
 def q_compare_windows_k2(spark, d):
     tok = fx.tok(spark, d)
-    r = an.compare_windows(tok, _prepared(spark, d), (0, 4, 16), em.HashEmbedder(2), "mean",
+    r = an.compare_windows(tok, _cohort(spark, d), (0, 4, 16), em.HashEmbedder(2), "mean",
                            _params(return_weights=False))
     return _round(r)
 
@@ -494,14 +498,14 @@ def q_compare_windows_k2(spark, d):
 def q_continuation_vs_baseline(spark, d):
     tok = fx.tok(spark, d)
     text = an.continuation_text(tok, 16, cx.identity_generator, 10)
-    r = an.compare_tactic(tok, _prepared(spark, d), text, 16, em.HashEmbedder(2), "mean", "mean", _params())
+    r = an.compare_tactic(tok, _cohort(spark, d), text, 16, em.HashEmbedder(2), "mean", "mean", _params())
     return _round(r)
 
 
 def q_summary_vs_baseline(spark, d):
     tok = fx.tok(spark, d)
     text = an.summary_text(tok, 16, cx.first_words(20), 20, 30, False)
-    r = an.compare_tactic(tok, _prepared(spark, d), text, 16, em.HashEmbedder(2), "last", "mean", _params(),
+    r = an.compare_tactic(tok, _cohort(spark, d), text, 16, em.HashEmbedder(2), "last", "mean", _params(),
                           mask_threshold=0.2)
     return _round(r)
 
@@ -526,7 +530,7 @@ def q_stat_map(spark, d):
 
 def q_pooling_compare(spark, d):
     tok = fx.tok(spark, d)
-    return _round(an.compare_pooling(tok, _prepared(spark, d), 16, em.HashEmbedder(2), _params()))
+    return _round(an.compare_pooling(tok, _cohort(spark, d), 16, em.HashEmbedder(2), _params()))
 
 
 QUERIES = {
