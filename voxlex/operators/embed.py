@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import hash_unit, tokens
 
 _JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -56,7 +57,6 @@ class HashEmbedder:
 
     # Batch path -------------------------------------------------------------
     def _vocab(self):
-        from voxlex.functions.cache import worker_cache
         c = worker_cache(f"hash-vocab-{self.dim}")
         if "ids" not in c or len(c["ids"]) > self.max_vocab:
             c["ids"] = {}
@@ -130,17 +130,28 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
             raise ValueError("only HashEmbedder has a JVM form")
         return df.withColumn(out, model.pooled_column(F.col(text_col), pool))
 
+    dim = getattr(model, "dim", None)
+    if dim is not None and hasattr(model, "encode_pooled"):
+        # Known width: return columns (a struct), which Arrow converts
+        # column-wise, and assemble the array in the JVM.
+        fields = [f"v{j}" for j in range(dim)]
+
+        @F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in fields]))
+        def _cols(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            m = model.load() if hasattr(model, "load") else model
+            for s in batches:
+                mat = m.encode_pooled(list(s.fillna("")), pool)
+                yield pd.DataFrame(mat, columns=fields, index=s.index)
+
+        t = df.withColumn("_emb", _cols(F.col(text_col)))
+        return t.withColumn(out, F.array(*[F.col("_emb")[f] for f in fields])).drop("_emb")
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = model.load() if hasattr(model, "load") else model
         for s in batches:
-            texts = list(s.fillna(""))
-            if hasattr(m, "encode_pooled"):
-                mat = m.encode_pooled(texts, pool)
-                yield pd.Series(list(mat), index=s.index)
-            else:
-                mats = m.encode(texts)
-                yield pd.Series([_pool(np.asarray(a, dtype=float), pool) for a in mats], index=s.index)
+            mats = m.encode(list(s.fillna("")))
+            yield pd.Series([_pool(np.asarray(a, dtype=float), pool) for a in mats], index=s.index)
 
     return df.withColumn(out, _run(F.col(text_col)))
 
@@ -150,13 +161,15 @@ def token_vectors(df: DataFrame, model: HashEmbedder, word: str = "word", prefix
 
     Arrow-batched; each distinct word is hashed once per Python worker.
     """
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _vec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    fields = [f"v{j}" for j in range(model.dim)]
+
+    @F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in fields]))
+    def _vec(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.Series(list(model.vectors(list(s.fillna("")))), index=s.index)
+            yield pd.DataFrame(model.vectors(list(s.fillna(""))), columns=fields, index=s.index)
 
     t = df.withColumn("_tv", _vec(F.col(word)))
-    return t.select(*df.columns, *[F.col("_tv")[j].alias(f"{prefix}{j}") for j in range(model.dim)])
+    return t.select(*df.columns, *[F.col("_tv")[f].alias(f"{prefix}{j}") for j, f in enumerate(fields)])
 
 
 def embed_context_windows(tok: DataFrame, ws: int, model: HashEmbedder, pool: str = "mean",

@@ -33,6 +33,20 @@ RESPONSE_SCHEMA = T.StructType([
 ])
 
 
+def balance(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread a source that is narrower than the cluster before heavy per-row work.
+
+    A large input already arrives in many splits and is returned unchanged
+    (no shuffle).  A small file with a single row group is one split, which
+    would run text splitting and token expansion in a single task; it is
+    round-robin repartitioned to ``factor`` x the default parallelism.
+    """
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism * factor)
+    return df
+
+
 def read_transcript(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
                     block: int = 1 << 20) -> DataFrame:
     """Headerless 4-column transcript CSV(s) -> (seq, pos, word_orig, word, onset, offset).

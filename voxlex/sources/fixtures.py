@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitespace tokens of every document, timed at a fixed word rate."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    from voxlex.sources.files import balance
+    docs = balance(table(spark, sf_dir, "documents").select("doc_id", "text"))
     t = docs.select(F.col("doc_id").alias("seq"),
                     F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
     onset = F.col("pos").cast("double") * F.lit(WORD_SECONDS)
