@@ -126,3 +126,17 @@ def test_kde_integrates_to_one(spark):
     k = sorted((r["x"], r["density"]) for r in st.kde(df, None, "corr", grid=400).collect())
     xs, ds = np.array([a for a, _ in k]), np.array([b for _, b in k])
     assert math.isclose(np.trapezoid(ds, xs), 1.0, rel_tol=1e-3)
+
+
+def test_exact_quantiles_match_numpy_with_ties_and_skew(spark):
+    rng = np.random.default_rng(5)
+    big = np.round(rng.normal(size=3000), 2)          # one hot group with many ties
+    rows = [("hot", float(v)) for v in big] + [("one", 4.0), ("two", 1.0), ("two", 3.0)]
+    rows += [("nul", None)]
+    df = spark.createDataFrame(rows, "g string, corr double")
+    d = {r["g"]: r for r in st.describe_scores(df, "g", "corr").collect()}
+    for g, vals in (("hot", big), ("one", np.array([4.0])), ("two", np.array([1.0, 3.0]))):
+        q = np.quantile(vals, [0.25, 0.5, 0.75])
+        assert [d[g]["q25"], d[g]["q50"], d[g]["q75"]] == pytest.approx(list(q))
+        assert d[g]["count"] == len(vals)
+    assert d["nul"]["count"] == 0 and d["nul"]["q50"] is None

@@ -27,21 +27,78 @@ def _join_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     return df.withColumn("_g", F.lit(0)).join(stats.withColumn("_g", F.lit(0)), "_g").drop("_g")
 
 
+def ranked(df: DataFrame, by, value: str) -> DataFrame:
+    """Rows with the 0-based rank of ``value`` inside each ``by`` group (NULLs dropped).
+
+    Exact and skew-safe: a range-partitioned sort on (group, value) spreads
+    even a single huge group over many tasks; each task numbers its sorted
+    rows, a tiny per-partition count table turns local numbers into global
+    ranks, and per-group start offsets (one row per group) make them
+    group-relative.  The numbered table is materialised with a reliable
+    checkpoint so the ranks never change under task retries.
+    """
+    from voxlex.session import cut_lineage
+    keys = _keys(by)
+    spark = df.sparkSession
+    n_part = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    srt = (base.repartitionByRange(n_part, *keys, "_v").sortWithinPartitions(*keys, "_v")
+               .select(*keys, "_v", F.spark_partition_id().alias("_pid"),
+                       F.monotonically_increasing_id().alias("_mid")))
+    srt = cut_lineage(srt)
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    part = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
+    part = part.select("_pid", F.coalesce(F.sum("_pn").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff"))
+    grp = srt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.orderBy(*keys) if keys else Window.orderBy(F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
+    grp = grp.select(*keys, "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_gstart"))
+    out = srt.join(F.broadcast(part), "_pid")
+    out = _join_stats(out, grp, keys)
+    return out.select(*keys, "_v", "_n", (F.col("_poff") + local - F.col("_gstart")).alias("_rank"))
+
+
+def exact_quantiles(df: DataFrame, by, value: str, qs) -> DataFrame:
+    """Exact quantiles with linear interpolation (as pandas), one column per q.
+
+    Only the two order statistics around ``(n - 1) * q`` are kept per group
+    and quantile; no group is ever collected.  Columns are named ``q{i}``.
+    """
+    keys = _keys(by)
+    r = ranked(df, keys, value)
+    parts = []
+    for i, q in enumerate(qs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        sel = r.where((F.col("_rank") == lo) | (F.col("_rank") == hi))
+        agg = sel.groupBy(*keys, "_n").agg(
+            F.max(F.when(F.col("_rank") == F.floor((F.col("_n") - 1).cast("double") * F.lit(float(q))), F.col("_v"))).alias("_a"),
+            F.max(F.when(F.col("_rank") == F.ceil((F.col("_n") - 1).cast("double") * F.lit(float(q))), F.col("_v"))).alias("_b"))
+        hh = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        parts.append(agg.select(*keys, (F.col("_a") + (hh - F.floor(hh)) * (F.col("_b") - F.col("_a"))).alias(f"q{i}")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = _join_stats(out, p, keys) if keys else out.withColumn("_g", F.lit(0)).join(
+            p.withColumn("_g", F.lit(0)), "_g").drop("_g")
+    return out
+
+
 def describe_scores(df: DataFrame, by=None, value: str = "corr") -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max.
 
-    ``percentile`` is exact and interpolates like pandas ``describe``.  It
-    buffers each group's values; score tables hold one value per series and
-    run, so a group is bounded by the series grid, not by the data volume.
+    Moments come from one map-side-combined aggregate; quartiles from
+    ``exact_quantiles`` (a distributed sort), so a group of any size is
+    never buffered in one task.
     """
+    keys = _keys(by)
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max")]
-    g = df.groupBy(*_keys(by)).agg(*aggs)
-    return g.select(*_keys(by), "count", "mean", "std", "min",
-                    F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                    F.col("_q")[2].alias("q75"), "max")
+    mom = df.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                F.min(v).alias("min"), F.max(v).alias("max"))
+    qs = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75))
+    j = mom.join(qs, keys, "left") if keys else mom.withColumn("_g", F.lit(0)).join(
+        qs.withColumn("_g", F.lit(0)), "_g", "left").drop("_g")
+    return j.select(*keys, "count", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"),
+                    F.col("q2").alias("q75"), "max")
 
 
 def above_threshold(df: DataFrame, by=None, value: str = "corr", t: float = 0.3) -> DataFrame:
