@@ -1,5 +1,7 @@
 """Ridge block jobs against an independent numpy brute force (normal equations)."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,27 @@ def test_broadcast_limit_is_enforced(spark, problem):
     x_df, y_df = problem
     with pytest.raises(ValueError):
         rg.build_design(x_df, y_df, rg.RidgeParams(chunklen=5, max_broadcast_bytes=100))
+
+
+@pytest.mark.parametrize("kw", [dict(), dict(return_weights=False), dict(use_corr=False), dict(normalpha=True)])
+def test_additive_plan_equals_packed_plan(spark, problem, kw):
+    x_df, y_df = problem
+    p = rg.RidgeParams(chunklen=5, nboots=3, **kw)
+    a = {r["voxel"]: (r["alpha"], r["corr"]) for r in rg.bootstrap_ridge(x_df, y_df, "voxel", p, plan="packed").collect()}
+    b = {r["voxel"]: (r["alpha"], r["corr"]) for r in rg.bootstrap_ridge(x_df, y_df, "voxel", p, plan="additive").collect()}
+    assert set(a) == set(b)
+    for v in a:
+        assert a[v][0] == b[v][0]
+        if a[v][1] is None:
+            assert b[v][1] is None or math.isnan(b[v][1])
+        else:
+            assert a[v][1] == pytest.approx(b[v][1], abs=1e-7)
+
+
+def test_auto_plan_switches_beyond_broadcast_limit(spark, problem):
+    x_df, y_df = problem
+    small = rg.RidgeParams(chunklen=5, nboots=2, max_broadcast_bytes=10_000)
+    big = rg.RidgeParams(chunklen=5, nboots=2)
+    a = {r["voxel"]: r["corr"] for r in rg.bootstrap_ridge(x_df, y_df, "voxel", small).collect()}
+    b = {r["voxel"]: r["corr"] for r in rg.bootstrap_ridge(x_df, y_df, "voxel", big).collect()}
+    assert a.keys() == b.keys() and all(a[v] == pytest.approx(b[v], abs=1e-7) for v in a)

@@ -456,19 +456,39 @@ def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
     return src.mapInArrow(run, schema)
 
 
+def stimulus_bytes(x_df: DataFrame, y_df: DataFrame, frame_col: str = "tr", x_col: str = "x") -> int:
+    """Bytes of the aligned stimulus matrix, from two aggregates (nothing collected)."""
+    fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
+    n = fr.count()
+    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+    return int(n) * int(width) * 8
+
+
 def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | None = None,
                     groups: DataFrame | None = None, frame_col: str = "tr", x_col: str = "x",
-                    value: str = "value", design: Design | None = None) -> DataFrame:
+                    value: str = "value", design: Design | None = None, plan: str = "auto") -> DataFrame:
     """Bootstrap-selected ridge for every series of ``y_df`` against ``x_df``.
 
     ``x_df``: (tr, x ARRAY<DOUBLE>) one row per frame.  ``y_df``: long
     (keys..., tr, value).  Returns keys, alpha, corr[, weights].
+
+    ``plan``: ``packed`` broadcasts the stimulus (size-checked) and fits
+    blocks of packed series; ``additive`` never ships the stimulus and works
+    from additive per-set statistics (``ridge_stats``); ``auto`` takes the
+    packed plan while the stimulus fits the broadcast limit and the additive
+    plan beyond it (per-series selection without weights output).
     """
     p = p or RidgeParams()
     keys = [keys] if isinstance(keys, str) else list(keys)
     if design is None:
         # Both inputs feed the small design jobs and the main pass: compute once.
         x_df, y_df = x_df.persist(), y_df.persist()
+        if plan == "auto" and groups is None and not p.single_alpha and p.nboots > 0:
+            if stimulus_bytes(x_df, y_df, frame_col, x_col) > p.max_broadcast_bytes:
+                plan = "additive"
+        if plan == "additive":
+            from voxlex.operators.ridge_stats import bootstrap_ridge_additive
+            return bootstrap_ridge_additive(x_df, y_df, keys, p, frame_col, x_col, value)
         design = build_design(x_df, y_df, p, frame_col, x_col)
     packed = pack_responses(y_df, keys, design, frame_col, value)
     if groups is None and not p.single_alpha:
