@@ -173,7 +173,10 @@ def with_summary(tok: DataFrame, ws: int, summarizer, start: int = 20, every: in
     inp = inp.withColumn("_src", F.concat(F.lit(HEADER_SUMMARY + SUMMARY_PROMPT_JOIN), F.col("_src")))
     summ = apply_text_fn(inp, "_src", summarizer, "_sum").select(
         seq, F.col(pos).alias("_key"), F.concat(F.lit(HEADER_SUMMARY), F.col("_sum")).alias("_summary"))
-    key = F.col("anchor") if hold else F.when(F.col("is_refresh"), F.col(pos))
+    # Every row carries a non-NULL key (NULL join keys would all hash to one
+    # reducer): its anchor when holding, else its own position (only refresh
+    # rows find a summary); rows before ``start`` use -1, which never matches.
+    key = F.coalesce(F.col("anchor"), F.lit(-1)) if hold else F.col(pos)
     j = ctx.withColumn("_key", key).join(summ, [seq, "_key"], "left")
     prefix = F.coalesce(F.col("_summary"), F.lit(HEADER_SUMMARY))
     text = F.when(F.col(pos) < F.lit(start), F.col("_ctx")).otherwise(

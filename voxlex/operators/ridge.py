@@ -383,9 +383,15 @@ def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None =
         per = (long.join(g, keys).groupBy(group_col, "alpha_idx")
                    .agg(F.avg("mean_corr").alias("mean_corr")))
         best = best_alpha(per, group_col, "mean_corr", p.score_digits, "alpha_idx")
-        out = cv.select(*keys).join(g, keys, "left").join(best, group_col, "left").drop(group_col)
-        return (out.join(grid, "alpha_idx", "left")
-                   .withColumn("alpha", F.coalesce(F.col("alpha"), F.lit(0.0))))
+        # Grouped series take their group's alpha; series in no group get 0.0.
+        # (Split instead of a NULL-keyed outer join, which would send every
+        # ungrouped series to one reducer.)
+        member = cv.select(*keys).join(g, keys, "left")
+        grouped = member.where(F.col(group_col).isNotNull()).join(best, group_col).drop(group_col)
+        grouped = grouped.join(grid, "alpha_idx")
+        alone = member.where(F.col(group_col).isNull()).select(
+            *keys, F.lit(None).cast("int").alias("alpha_idx"), F.lit(0.0).alias("alpha"))
+        return grouped.select(*keys, "alpha_idx", "alpha").unionByName(alone)
     best = best_alpha(long, keys, "mean_corr", p.score_digits, "alpha_idx")
     return best.join(grid, "alpha_idx")
 
