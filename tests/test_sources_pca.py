@@ -63,3 +63,18 @@ def test_pca_matches_numpy(spark):
         assert np.allclose(np.abs(proj[i]), np.abs(ref[i]))
     curve = {r["dims"]: r["explained"] for r in pc.explained_curve(df, 5, 1).collect()}
     assert np.allclose([curve[k] for k in (1, 2, 3, 4)], np.cumsum(ratio)[:4])
+
+
+def test_load_task_composes_the_task_inputs(spark, tmp_path):
+    (tmp_path / "participants.tsv").write_text(
+        "participant_id\ttask\nsub-001\tpieman,tunnel\nsub-002\ttunnel\nsub-003\tlucy\nsub-004\ttunnel\n"
+        "sub-005\ttunnelx\nsub-006\ttunnel\n")
+    for sub in ("001", "002", "004", "005", "006"):
+        (tmp_path / f"sub-{sub}_task-tunnel_events.tsv").write_text(f"onset\tduration\n{int(sub) * 1.0}\t1\n9\t1\n")
+    (tmp_path / "align.csv").write_text("A,a,0.0,0.4\n<unk>,<unk>,0.4,0.8\nB,,0.8,1.0\nC,c,1.0,1.7\n")
+    tok, subs = files.load_task(spark, str(tmp_path / "align.csv"), str(tmp_path / "participants.tsv"),
+                                str(tmp_path / "sub-{sub}_task-{task}_events.tsv"), "tunnel", exclude_ids=["004"])
+    assert sorted(r[0] for r in subs.select("subject").collect()) == ["001", "002", "005", "006"]
+    rows = sorted((r["pos"], r["word"], r["tr"], r["tr_offset"]) for r in tok.collect())
+    # picked subject: third in id order -> 005, first onset 5.0 s; frames floor((5 + t) / 1.5)
+    assert rows == [(0, "a", 3, 3), (1, "<|endoftext|>", 3, 3), (2, "c", 4, 4)]

@@ -120,7 +120,7 @@ def _alphas_values(alphas) -> str:
 
 def ridge_k2(tag: str, x_cte: str, y_cte: str, keys=("voxel",), *, alphas=ALPHAS, nboots=5,
              chunklen=5, seed=42, test_size=0.2, nchunks=None, mode="series", fixed_alpha=None,
-             weights=True, groups_cte=None) -> list[tuple[str, str]]:
+             weights=True, groups_cte=None, normalpha=False) -> list[tuple[str, str]]:
     """CTEs of a two-feature bootstrap ridge; names are prefixed by ``tag``.
 
     ``x_cte``: (tr, x0, x1); ``y_cte``: (keys..., tr, value).  Produces
@@ -130,6 +130,11 @@ def ridge_k2(tag: str, x_cte: str, y_cte: str, keys=("voxel",), *, alphas=ALPHAS
     """
     k = list(keys)
     kc = ", ".join(k)
+    # normalpha: the penalty is alpha * (largest singular value of the rows in use),
+    # i.e. alpha^2 * (largest eigenvalue of their 2x2 Gram matrix)
+    lmax = "((g.a + g.c) / 2 + sqrt(pow((g.a - g.c) / 2, 2) + g.b * g.b))"
+    a2cv = f"(al.alpha * al.alpha * {lmax})" if normalpha else "(al.alpha * al.alpha)"
+    a2f = f"(a.alpha * a.alpha * {lmax})" if normalpha else "(a.alpha * a.alpha)"
     ky = ", ".join(f"y.{c}" for c in k)
     t = tag
     nch = (f"{int(nchunks)}" if nchunks is not None
@@ -170,10 +175,10 @@ def ridge_k2(tag: str, x_cte: str, y_cte: str, keys=("voxel",), *, alphas=ALPHAS
                        FROM {t}_rrow r JOIN {t}_x x ON x.tr = r.tr JOIN {t}_y y ON y.tr = r.tr
                        GROUP BY r.boot, {ky}"""),
         (f"{t}_wb", f"""SELECT xy.boot, {', '.join('xy.' + c for c in k)}, al.alpha_idx,
-                          ((g.c + al.alpha * al.alpha) * xy.d0 - g.b * xy.d1) /
-                          ((g.a + al.alpha * al.alpha) * (g.c + al.alpha * al.alpha) - g.b * g.b) AS w0,
-                          ((g.a + al.alpha * al.alpha) * xy.d1 - g.b * xy.d0) /
-                          ((g.a + al.alpha * al.alpha) * (g.c + al.alpha * al.alpha) - g.b * g.b) AS w1
+                          ((g.c + {a2cv}) * xy.d0 - g.b * xy.d1) /
+                          ((g.a + {a2cv}) * (g.c + {a2cv}) - g.b * g.b) AS w0,
+                          ((g.a + {a2cv}) * xy.d1 - g.b * xy.d0) /
+                          ((g.a + {a2cv}) * (g.c + {a2cv}) - g.b * g.b) AS w1
                        FROM {t}_xy xy JOIN {t}_g g ON g.boot = xy.boot CROSS JOIN {t}_al al"""),
         (f"{t}_cv", f"""SELECT w.boot, {', '.join('w.' + c for c in k)}, w.alpha_idx,
                           coalesce(covar_pop(y.value, x.x0 * w.w0 + x.x1 * w.w1) /
@@ -214,10 +219,10 @@ def ridge_k2(tag: str, x_cte: str, y_cte: str, keys=("voxel",), *, alphas=ALPHAS
         (f"{t}_xyf", f"""SELECT {ky}, sum(x.x0 * y.value) AS d0, sum(x.x1 * y.value) AS d1
                         FROM {t}_trn r JOIN {t}_x x ON x.tr = r.tr JOIN {t}_y y ON y.tr = r.tr GROUP BY {ky}"""),
         (f"{t}_w", f"""SELECT xy.{', xy.'.join(k)}, a.alpha,
-                          ((g.c + a.alpha * a.alpha) * xy.d0 - g.b * xy.d1) /
-                          ((g.a + a.alpha * a.alpha) * (g.c + a.alpha * a.alpha) - g.b * g.b) AS w0,
-                          ((g.a + a.alpha * a.alpha) * xy.d1 - g.b * xy.d0) /
-                          ((g.a + a.alpha * a.alpha) * (g.c + a.alpha * a.alpha) - g.b * g.b) AS w1
+                          ((g.c + {a2f}) * xy.d0 - g.b * xy.d1) /
+                          ((g.a + {a2f}) * (g.c + {a2f}) - g.b * g.b) AS w0,
+                          ((g.a + {a2f}) * xy.d1 - g.b * xy.d0) /
+                          ((g.a + {a2f}) * (g.c + {a2f}) - g.b * g.b) AS w1
                        FROM {t}_xyf xy JOIN {t}_alpha a USING ({kc}) CROSS JOIN {t}_gf g"""),
         (f"{t}_final", f"""SELECT w.{', w.'.join(k)}, w.alpha,
                           {'coalesce(' if weights else ''}covar_pop(y.value, x.x0 * w.w0 + x.x1 * w.w1) /
@@ -527,6 +532,8 @@ def oracles() -> dict[str, str]:
     q["bootstrap_ridge_k2"] = W(["stim_k2", "resp_dense"], _ridge_final("rk"), rk)
     q["alpha_per_group_k2"] = W(["stim_k2", "resp_dense", "groups_t"], _ridge_final("rg"),
                                 ridge_k2("rg", "stim_k2", "resp_dense", mode="group", groups_cte="groups_t"))
+    q["ridge_normalpha_k2"] = W(["stim_k2", "resp_dense"], _ridge_final("rn"),
+                                ridge_k2("rn", "stim_k2", "resp_dense", normalpha=True))
     q["alpha_single_k2"] = W(["stim_k2", "resp_dense"], _ridge_final("rs"),
                              ridge_k2("rs", "stim_k2", "resp_dense", mode="single"))
     q["predict_linear"] = W(["stim_k2", "resp_dense"], f"""

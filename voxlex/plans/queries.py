@@ -412,6 +412,12 @@ def q_alpha_single_k2(spark, d):
     return _round(r.select("voxel", "alpha", "corr"))
 
 
+def q_ridge_normalpha_k2(spark, d):
+    """G9: penalties scaled by the largest singular value of the training rows in use."""
+    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params(normalpha=True))
+    return _round(r.select("voxel", "alpha", "corr"))
+
+
 def q_bootstrap_ridge_k2(spark, d):
     r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params())
     return _round(r.select("voxel", "alpha", "corr"))
@@ -600,6 +606,7 @@ QUERIES = {
     "alpha_per_series_k2": q_alpha_per_series_k2,
     "alpha_per_group_k2": q_alpha_per_group_k2,
     "alpha_single_k2": q_alpha_single_k2,
+    "ridge_normalpha_k2": q_ridge_normalpha_k2,
     "bootstrap_ridge_k2": q_bootstrap_ridge_k2,
     "predict_linear": q_predict_linear,
     "scale_rows": q_scale_rows,

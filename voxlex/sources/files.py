@@ -105,3 +105,38 @@ def save_stage(df: DataFrame, path: str, partition_by=None, mode: str = "overwri
 
 def load_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+PARTICIPANTS_SCHEMA = T.StructType([
+    T.StructField("participant_id", T.StringType()),
+    T.StructField("task", T.StringType()),
+])
+
+EVENTS_SCHEMA = T.StructType([T.StructField("onset", T.DoubleType())])
+
+
+def load_task(spark: SparkSession, transcript_path: str, participants_path: str, events_path_template: str,
+              task: str, exclude_ids=(), pick: int = 2, tr_seconds: float = 1.5, unknown: str = "<unk>",
+              unknown_to: str = "<|endoftext|>"):
+    """Everything a task's analysis starts from, composed once (survey A5).
+
+    Reads the participants (tab-separated, header), keeps those whose task
+    list contains ``task``, drops ``exclude_ids``, takes the ``pick``-th
+    subject in id order for the event onset (first row of its events file,
+    ``events_path_template.format(sub=..., task=...)``), reads the
+    transcript, drops incomplete rows, replaces the unknown-word marker and
+    bins onset/offset into frames.  Returns ``(tokens, subjects)``; both are
+    persisted because every analysis of the task reuses them.
+    """
+    from voxlex.operators import frames as fr
+    parts = read_tsv(spark, participants_path, PARTICIPANTS_SCHEMA)
+    subs = fr.exclude(fr.with_subject(fr.filter_task(parts, task), "-"), exclude_ids, "subject").persist()
+    chosen = fr.nth_row(subs, ["subject"], pick).select("subject").first()
+    if chosen is None:
+        raise ValueError(f"fewer than {pick + 1} participants in task {task!r}")
+    ev = read_tsv(spark, events_path_template.format(sub=chosen[0], task=task), EVENTS_SCHEMA)
+    first = ev.withColumn("_i", F.monotonically_increasing_id()).orderBy("_i").select("onset").first()[0]
+    tok = fr.drop_incomplete(read_transcript(spark, transcript_path), ["word_orig", "word", "onset", "offset"])
+    tok = fr.replace_unknown(tok, "word", unknown, unknown_to)
+    tok = fr.with_frames(tok, float(first), tr_seconds).withColumn("tr", F.col("tr_onset"))
+    return tok.persist(), subs
