@@ -172,27 +172,56 @@ def token_vectors(df: DataFrame, model: HashEmbedder, word: str = "word", prefix
     return t.select(*df.columns, *[F.col("_tv")[f].alias(f"{prefix}{j}") for j, f in enumerate(fields)])
 
 
+def _window_means(tok: DataFrame, sizes, model: HashEmbedder, seq: str, pos: str, word: str,
+                  block: int | None, keep=()) -> DataFrame:
+    """Per-row mean token vector of each trailing window, as scalar columns ``_m{ws}_{j}``.
+
+    Each word's vector is computed once (``token_vectors``).  A window sum is
+    a running total minus the running total ``ws + 1`` rows earlier (one
+    cumulative frame and one ``lag``: constant work per row whatever the
+    window size), evaluated per (sequence, block) with a halo of the
+    largest window so no task holds a whole document.  Positions are dense,
+    so a window holds ``least(ws + 1, pos + 1)`` words.
+    """
+    from voxlex.operators.context import _block_size, _with_halo
+    sizes = [int(s) for s in sizes]
+    dims = range(model.dim)
+    big = max(sizes)
+    cols = [seq, pos, word, *keep]
+    if big == 0:
+        t = token_vectors(tok.select(*cols), model, word)
+        return t.select(seq, pos, *keep, *[F.col(f"_v{j}").alias(f"_m0_{j}") for j in dims])
+    b = _block_size(big, block)
+    t = token_vectors(_with_halo(tok.select(*cols), big, pos, b), model, word)
+    w = Window.partitionBy(seq, "_blk").orderBy(pos)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("*", *[F.sum(f"_v{j}").over(run).alias(f"_c{j}") for j in dims])
+    out = []
+    for ws in sizes:
+        n = F.least(F.lit(ws + 1), F.col(pos) + 1).cast("double")
+        for j in dims:
+            if ws == 0:
+                out.append(F.col(f"_v{j}").alias(f"_m{ws}_{j}"))
+            else:
+                back = F.coalesce(F.lag(f"_c{j}", ws + 1).over(w), F.lit(0.0))
+                out.append(((F.col(f"_c{j}") - back) / n).alias(f"_m{ws}_{j}"))
+    return t.select(seq, pos, *keep, "_own", *out).where(F.col("_own")).drop("_own")
+
+
 def embed_context_windows(tok: DataFrame, ws: int, model: HashEmbedder, pool: str = "mean",
                           seq: str = "seq", pos: str = "pos", word: str = "word", out: str = "x",
                           block: int | None = None) -> DataFrame:
     """``embed(context_window(tok, ws), model, pool)`` for an additive token model.
 
     A bag-of-tokens mean over the context is the windowed mean of per-word
-    vectors, so each word is hashed once and the window sums run in the JVM
-    over (sequence, block) partitions with a halo (exact, skew-safe).  Last
-    pooling is the current word's vector and needs no window at all.
+    vectors (see ``_window_means``).  Last pooling is the current word's
+    vector.  Keeps the other columns of ``tok``.
     """
-    from voxlex.operators.context import _block_size, _with_halo
-    if pool == "last" or ws == 0:
-        t = token_vectors(tok, model, word)
-        return t.withColumn(out, F.array(*[F.col(f"_v{j}") for j in range(model.dim)])).drop(
-            *[f"_v{j}" for j in range(model.dim)])
-    b = _block_size(ws, block)
-    t = token_vectors(_with_halo(tok, ws, pos, b), model, word)
-    w = Window.partitionBy(seq, "_blk").orderBy(pos).rowsBetween(-ws, 0)
-    n = F.count(F.lit(1)).over(w)
-    t = t.withColumn(out, F.array(*[F.sum(f"_v{j}").over(w) / n for j in range(model.dim)]))
-    return t.where(F.col("_own")).drop("_blk", "_own", *[f"_v{j}" for j in range(model.dim)])
+    ws = 0 if pool == "last" else int(ws)
+    keep = [c for c in tok.columns if c not in (seq, pos, word)]
+    m = _window_means(tok, [ws], model, seq, pos, word, block, keep)
+    arr = F.array(*[F.col(f"_m{ws}_{j}") for j in range(model.dim)]).alias(out)
+    return m.select(seq, pos, *keep, arr)
 
 
 def embed_context_multi(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean",
@@ -200,29 +229,32 @@ def embed_context_multi(tok: DataFrame, sizes, model: HashEmbedder, pool: str =
                         block: int | None = None) -> DataFrame:
     """``embed_context_windows`` for several window sizes in one window pass.
 
-    All sizes share one (sequence, block) partitioning with the halo of the
-    largest size, so the token table is shuffled once; each word is hashed
-    once.  Adds one ``{prefix}{ws}`` vector column per size.
+    Adds one ``{prefix}{ws}`` vector column per size; keeps the other
+    columns of ``tok`` except the word.
     """
-    from voxlex.operators.context import _block_size, _with_halo
     sizes = [int(s) for s in sizes]
-    dims = range(model.dim)
-    big = max(sizes)
-    if pool == "last" or big == 0:
-        t = token_vectors(tok, model, word)
-        vec = F.array(*[F.col(f"_v{j}") for j in dims])
-        return t.select(*tok.columns, *[vec.alias(f"{prefix}{ws}") for ws in sizes])
-    b = _block_size(big, block)
-    t = token_vectors(_with_halo(tok, big, pos, b), model, word)
-    base = Window.partitionBy(seq, "_blk").orderBy(pos)
-    for ws in sizes:
-        if ws == 0:
-            t = t.withColumn(f"{prefix}{ws}", F.array(*[F.col(f"_v{j}") for j in dims]))
-            continue
-        w = base.rowsBetween(-ws, 0)
-        n = F.count(F.lit(1)).over(w)
-        t = t.withColumn(f"{prefix}{ws}", F.array(*[F.sum(f"_v{j}").over(w) / n for j in dims]))
-    return t.where(F.col("_own")).drop("_blk", "_own", *[f"_v{j}" for j in dims])
+    keep = [c for c in tok.columns if c not in (seq, pos, word)]
+    eff = [0 if pool == "last" else ws for ws in sizes]
+    m = _window_means(tok, sorted(set(eff)), model, seq, pos, word, block, keep)
+    return m.select(seq, pos, *keep, *[F.array(*[F.col(f"_m{e}_{j}") for j in range(model.dim)]).alias(f"{prefix}{ws}")
+                                       for ws, e in zip(sizes, eff)])
+
+
+def frame_means(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean", frame_col: str = "tr",
+                seq: str = "seq", pos: str = "pos", word: str = "word", block: int | None = None) -> DataFrame:
+    """Per-frame stimulus for several window sizes: (tr, x_{ws} ...), one pass.
+
+    Window means stay scalar columns and are averaged per frame with plain
+    (code-generated, map-side combined) ``avg`` aggregates; arrays are built
+    once per frame, not once per word.
+    """
+    sizes = [int(s) for s in sizes]
+    eff = [0 if pool == "last" else ws for ws in sizes]
+    uniq = sorted(set(eff))
+    m = _window_means(tok, uniq, model, seq, pos, word, block, [frame_col])
+    g = m.groupBy(frame_col).agg(*[F.avg(f"_m{e}_{j}").alias(f"_a{e}_{j}") for e in uniq for j in range(model.dim)])
+    return g.select(frame_col, *[F.array(*[F.col(f"_a{e}_{j}") for j in range(model.dim)]).alias(f"x_{ws}")
+                                 for ws, e in zip(sizes, eff)])
 
 
 def mean_vectors(df: DataFrame, key, vecs) -> DataFrame:
@@ -259,6 +291,13 @@ def pool_tokens(df: DataFrame, key, order: str, vec: str = "x", how: str = "mean
     raise ValueError("how must be 'mean' or 'last'")
 
 
-def frame_embedding(emb: DataFrame, frame_col: str = "tr", vec: str = "x") -> DataFrame:
-    """Stimulus matrix rows: mean vector of all words in each frame."""
+def frame_embedding(emb: DataFrame, frame_col: str = "tr", vec: str = "x", dim: int | None = None) -> DataFrame:
+    """Stimulus matrix rows: mean vector of all words in each frame.
+
+    With a known width the mean is one code-generated ``avg`` per element;
+    otherwise a vector aggregate (``Summarizer``).
+    """
+    if dim:
+        g = emb.groupBy(frame_col).agg(*[F.avg(F.col(vec)[j]).alias(f"_a{j}") for j in range(dim)])
+        return g.select(frame_col, F.array(*[F.col(f"_a{j}") for j in range(dim)]).alias(vec))
     return mean_vector(emb, frame_col, vec)

@@ -16,8 +16,7 @@ from voxlex.operators import frames as fr
 from voxlex.operators import series as se
 from voxlex.operators import stats as st
 from voxlex.operators.context import context_window, with_continuation, with_summary
-from voxlex.operators.embed import (HashEmbedder, embed, embed_context_multi, embed_context_windows,
-                                   frame_embedding, mean_vectors)
+from voxlex.operators.embed import HashEmbedder, embed, frame_embedding, frame_means
 from voxlex.operators.pca import pca_fit, pca_project
 from voxlex.operators.ridge import RidgeParams, bootstrap_ridge, build_design, fit_runs
 
@@ -79,11 +78,10 @@ def stimulus(tok: DataFrame, ws: int, model, pool: str = "mean", frame_col: str
     batches.
     """
     if text is None and isinstance(model, HashEmbedder):
-        emb = embed_context_windows(tok, ws, model, pool)
-    else:
-        t = text if text is not None else context_window(tok, ws, out=text_col)
-        emb = embed(t, text_col, model, pool)
-    return frame_embedding(emb.select(frame_col, "x"), frame_col, "x")
+        return frame_means(tok, [ws], model, pool, frame_col).select(frame_col, F.col(f"x_{ws}").alias("x"))
+    t = text if text is not None else context_window(tok, ws, out=text_col)
+    emb = embed(t, text_col, model, pool)
+    return frame_embedding(emb.select(frame_col, "x"), frame_col, "x", dim=getattr(model, "dim", None))
 
 
 def stimuli(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "tr") -> dict:
@@ -96,9 +94,7 @@ def stimuli(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "
     """
     sizes = [int(s) for s in sizes]
     if isinstance(model, HashEmbedder):
-        cols = [f"x_{ws}" for ws in sizes]
-        emb = embed_context_multi(tok, sizes, model, pool).select(frame_col, *cols)
-        frames_x = mean_vectors(emb, frame_col, cols).persist()
+        frames_x = frame_means(tok, sizes, model, pool, frame_col).persist()
         return {ws: frames_x.select(frame_col, F.col(f"x_{ws}").alias("x")) for ws in sizes}
     from voxlex.operators.context import context_windows
     ctx = context_windows(tok, {f"c_{ws}": ws for ws in sizes})
