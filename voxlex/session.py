@@ -21,8 +21,13 @@ _DEFAULTS = {
 
 
 def get_session(master: str | None = None, app: str = "voxlex",
-                shuffle_partitions: int | None = None) -> SparkSession:
-    """Return the active session or build a local one for tests and benches."""
+                shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """Return the active session or build a local one for tests and benches.
+
+    In local mode the executors live in the driver JVM, so ``driver_memory``
+    is the heap every task shares (the JVM default of 1 GB makes shuffles
+    GC-bound).  It only takes effect when this call starts the JVM.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -33,6 +38,8 @@ def get_session(master: str | None = None, app: str = "voxlex",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
