@@ -184,3 +184,20 @@ def test_auto_plan_switches_beyond_broadcast_limit(spark, problem):
     a = {r["voxel"]: r["corr"] for r in rg.bootstrap_ridge(x_df, y_df, "voxel", small).collect()}
     b = {r["voxel"]: r["corr"] for r in rg.bootstrap_ridge(x_df, y_df, "voxel", big).collect()}
     assert a.keys() == b.keys() and all(a[v] == pytest.approx(b[v], abs=1e-7) for v in a)
+
+
+@pytest.mark.parametrize("n,chunk,boots,seed", [(83, 5, 5, 42), (40, 3, 4, 7), (23, 5, 2, 1)])
+def test_design_indices_equal_spark_split_and_draw(spark, n, chunk, boots, seed):
+    from voxlex.operators import splits as sp
+    frames = list(range(10, 10 + 2 * n, 2))
+    df = spark.createDataFrame([(t,) for t in frames], "tr int")
+    s = sp.ordered_split(df, "tr", 0.2)
+    c = sp.chunk_ids(s, chunk)
+    n_train_spark = c.count()
+    k = sp.default_nchunks(n_train_spark, chunk)
+    held_spark = {}
+    for r in sp.holdout_rows(c, sp.holdout_chunks(c, boots, k, seed)).collect():
+        held_spark.setdefault(r["boot"], []).append(r["train_idx"])
+    n_train, held = sp.design_indices(frames, 0.2, chunk, boots, None, seed)
+    assert n_train == n_train_spark
+    assert [sorted(held_spark.get(b, [])) for b in range(boots)] == held

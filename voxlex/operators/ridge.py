@@ -31,9 +31,8 @@ from pyspark.sql import types as T
 
 from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import nan_to_zero
-from voxlex.operators.series import pack_series, frame_list
-from voxlex.operators.splits import (ordered_split, chunk_ids, holdout_chunks, holdout_rows,
-                                     default_nchunks)
+from voxlex.operators.series import pack_series, frame_list, MAX_FRAMES
+from voxlex.operators.splits import design_indices
 
 # Largest stimulus matrix shipped to executors (bytes of float64).
 MAX_BROADCAST_BYTES = 1 << 30
@@ -214,33 +213,23 @@ class Design:
 
 
 def build_design(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str = "tr",
-                 x_col: str = "x") -> Design:
+                 x_col: str = "x", frames: list | None = None) -> Design:
     """Align frames, split, draw hold-outs and collect the (size-checked) stimulus.
 
-    Only two jobs touch the inputs: the aligned frame list and the stimulus
-    rows, both bounded by the number of frames.  Split and hold-out draw run
-    on a tiny table built from that list, so the upstream plans are not
-    recomputed for them.
+    Two jobs touch the inputs: the aligned frame list and the stimulus rows,
+    both bounded by the number of frames (checked).  The split and the
+    seeded hold-out draw are computed from that list (``design_indices``,
+    identical to the Spark operators), so no stages are spent on metadata.
     """
-    spark = x_df.sparkSession
-    fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
-    frames = frame_list(fr, frame_col)
+    if frames is None:
+        fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
+        frames = frame_list(fr, frame_col)
     n = len(frames)
     if n == 0:
         raise ValueError("stimulus and responses share no frame")
-    n_test = int(np.ceil(p.test_size * n))
-    n_train = n - n_test
-    held = [[] for _ in range(p.nboots)]
-    if p.nboots > 0:
-        small = spark.createDataFrame([(int(t),) for t in frames], f"{frame_col} int")
-        split = ordered_split(small, frame_col, p.test_size)
-        chunks = chunk_ids(split, p.chunklen)
-        nchunks = p.nchunks if p.nchunks is not None else default_nchunks(n_train, p.chunklen)
-        hc = holdout_chunks(chunks, p.nboots, nchunks, p.seed)
-        for r in holdout_rows(chunks, hc).collect():
-            held[r["boot"]].append(int(r["train_idx"]))
+    n_train, held = design_indices(frames, p.test_size, p.chunklen, p.nboots, p.nchunks, p.seed)
     x = collect_x(x_df, frames, frame_col, x_col, p.max_broadcast_bytes)
-    return Design(frames=frames, n_train=n_train, held=[np.array(sorted(h), dtype=int) for h in held], x=x)
+    return Design(frames=frames, n_train=n_train, held=[np.array(h, dtype=int) for h in held], x=x)
 
 
 def collect_x(x_df: DataFrame, frames: list, frame_col: str = "tr", x_col: str = "x",
@@ -462,12 +451,23 @@ def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
     return src.mapInArrow(run, schema)
 
 
-def stimulus_bytes(x_df: DataFrame, y_df: DataFrame, frame_col: str = "tr", x_col: str = "x") -> int:
-    """Bytes of the aligned stimulus matrix, from two aggregates (nothing collected)."""
-    fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
-    n = fr.count()
+def choose_plan(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str = "tr",
+                x_col: str = "x"):
+    """("packed", frames) when the aligned stimulus fits the broadcast limit, else ("additive", None).
+
+    The frame list is collected only up to its checked bound; past it the
+    stimulus cannot be broadcast anyway.
+    """
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    return int(n) * int(width) * 8
+    limit = max(1, p.max_broadcast_bytes // max(8 * width, 1))
+    fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
+    try:
+        frames = frame_list(fr, frame_col, limit=min(limit, MAX_FRAMES))
+    except ValueError:
+        return "additive", None
+    if len(frames) * width * 8 > p.max_broadcast_bytes:
+        return "additive", None
+    return "packed", frames
 
 
 def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | None = None,
@@ -489,13 +489,13 @@ def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | Non
     if design is None:
         # Both inputs feed the small design jobs and the main pass: compute once.
         x_df, y_df = x_df.persist(), y_df.persist()
+        frames = None
         if plan == "auto" and groups is None and not p.single_alpha and p.nboots > 0:
-            if stimulus_bytes(x_df, y_df, frame_col, x_col) > p.max_broadcast_bytes:
-                plan = "additive"
+            plan, frames = choose_plan(x_df, y_df, p, frame_col, x_col)
         if plan == "additive":
             from voxlex.operators.ridge_stats import bootstrap_ridge_additive
             return bootstrap_ridge_additive(x_df, y_df, keys, p, frame_col, x_col, value)
-        design = build_design(x_df, y_df, p, frame_col, x_col)
+        design = build_design(x_df, y_df, p, frame_col, x_col, frames)
     packed = pack_responses(y_df, keys, design, frame_col, value)
     if groups is None and not p.single_alpha:
         if p.nboots == 0:

@@ -71,3 +71,26 @@ def train_rows(chunks: DataFrame, held: DataFrame, nboots: int) -> DataFrame:
 def default_nchunks(n_train: int, chunklen: int, frac: float = 0.2) -> int:
     """Chunks to hold out: ``int(frac * n_train / chunklen)``."""
     return int(frac * n_train / chunklen)
+
+
+def design_indices(frames: list, test_size: float, chunklen: int, nboots: int, nchunks: int | None,
+                   seed: int) -> tuple[int, list]:
+    """The split and hold-out draw of a known (bounded) frame list, without a job.
+
+    Same rules as ``ordered_split`` / ``chunk_ids`` / ``holdout_chunks``
+    (tested equal): returns ``(n_train, held)`` where ``held[b]`` lists the
+    held-out positions inside the training part for bootstrap ``b``.  Used
+    where the frame list is on the driver anyway (it is part of the ridge
+    broadcast), so no extra Spark stages are spent on metadata.
+    """
+    import hashlib
+    import math
+    n = len(frames)
+    n_train = n - int(math.ceil(float(test_size) * n))
+    full = n_train // chunklen
+    k = nchunks if nchunks is not None else default_nchunks(n_train, chunklen)
+    held = []
+    for b in range(nboots):
+        order = sorted(range(full), key=lambda c: (hashlib.md5(f"{seed}|{b}|{c}".encode()).hexdigest(), c))
+        held.append(sorted(i for c in order[:k] for i in range(c * chunklen, (c + 1) * chunklen)))
+    return n_train, held
