@@ -199,6 +199,7 @@ def intersubject(x: DataFrame, resp: DataFrame, avg: DataFrame, params: RidgePar
     alpha, corr).
     """
     p = params or RidgeParams(return_weights=False)
+    avg = avg.persist()  # read for the live list, the frame list and the union
     live = avg.select("voxel").distinct()
     frames_df = avg.select(frame_col).distinct()
     r = resp.join(live, "voxel", "left_semi").join(frames_df, frame_col, "left_semi")
