@@ -140,3 +140,10 @@ def test_exact_quantiles_match_numpy_with_ties_and_skew(spark):
         assert [d[g]["q25"], d[g]["q50"], d[g]["q75"]] == pytest.approx(list(q))
         assert d[g]["count"] == len(vals)
     assert d["nul"]["count"] == 0 and d["nul"]["q50"] is None
+
+
+def test_gather_frames_reports_missing_frames(spark):
+    resp = spark.createDataFrame([(0, 1, 1.0), (1, 1, 2.0), (2, 1, 3.0)], "tr int, voxel int, value double")
+    frames = spark.createDataFrame([(1,), (2,), (9,), (-1,)], "tr int")
+    assert sorted(r["tr"] for r in fr.gather_frames(resp, frames).collect()) == [1, 2]
+    assert sorted(r["tr"] for r in fr.missing_frames(resp, frames).collect()) == [-1, 9]

@@ -224,22 +224,6 @@ def embed_context_windows(tok: DataFrame, ws: int, model: HashEmbedder, pool: st
     return m.select(seq, pos, *keep, arr)
 
 
-def embed_context_multi(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean",
-                        seq: str = "seq", pos: str = "pos", word: str = "word", prefix: str = "x_",
-                        block: int | None = None) -> DataFrame:
-    """``embed_context_windows`` for several window sizes in one window pass.
-
-    Adds one ``{prefix}{ws}`` vector column per size; keeps the other
-    columns of ``tok`` except the word.
-    """
-    sizes = [int(s) for s in sizes]
-    keep = [c for c in tok.columns if c not in (seq, pos, word)]
-    eff = [0 if pool == "last" else ws for ws in sizes]
-    m = _window_means(tok, sorted(set(eff)), model, seq, pos, word, block, keep)
-    return m.select(seq, pos, *keep, *[F.array(*[F.col(f"_m{e}_{j}") for j in range(model.dim)]).alias(f"{prefix}{ws}")
-                                       for ws, e in zip(sizes, eff)])
-
-
 def frame_means(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean", frame_col: str = "tr",
                 seq: str = "seq", pos: str = "pos", word: str = "word", block: int | None = None) -> DataFrame:
     """Per-frame stimulus for several window sizes: (tr, x_{ws} ...), one pass.
@@ -257,17 +241,6 @@ def frame_means(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean",
                                  for ws, e in zip(sizes, eff)])
 
 
-def mean_vectors(df: DataFrame, key, vecs) -> DataFrame:
-    """Element-wise mean of several vector columns per key, in one aggregate."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    keys = [key] if isinstance(key, str) else list(key)
-    g = (df.select(*keys, *[array_to_vector(F.transform(v, lambda e: e.cast("double"))).alias(f"_v{i}")
-                            for i, v in enumerate(vecs)])
-           .groupBy(*keys).agg(*[Summarizer.mean(F.col(f"_v{i}")).alias(f"_m{i}") for i in range(len(vecs))]))
-    return g.select(*keys, *[vector_to_array(f"_m{i}").alias(v) for i, v in enumerate(vecs)])
-
-
 def mean_vector(df: DataFrame, key, vec: str = "x", out: str | None = None) -> DataFrame:
     """Element-wise mean of ``vec`` per key (map-side combined vector aggregate)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
