@@ -302,9 +302,30 @@ def _nullable(v: np.ndarray) -> pa.Array:
 # ---------------------------------------------------------------------------
 
 def pack_responses(y_df: DataFrame, keys, design: Design, frame_col="tr", value="value") -> DataFrame:
-    """One row per series, values in design frame order, NaN/NULL/holes as 0."""
-    clean = y_df.withColumn(value, nan_to_zero(value))
-    return pack_series(clean, keys, frame_col, value, frames=design.frames, fill=0.0)
+    """One row per series: ``yi`` (positions in the design frame order) and ``yv`` (values).
+
+    Sparse packing: frames map to positions through a small broadcast table
+    (one row per design frame), each series collects only the cells it has
+    (bounded by the frame count), and the dense block matrix is scattered
+    inside the Arrow task, where missing cells, NULL and NaN become 0.
+    """
+    spark = y_df.sparkSession
+    keys = list(keys)
+    pos = spark.createDataFrame([(int(t), i) for i, t in enumerate(design.frames)], f"{frame_col} int, _i int")
+    j = y_df.select(*keys, frame_col, value).join(F.broadcast(pos), frame_col)
+    return (j.groupBy(*keys)
+             .agg(F.collect_list("_i").alias("yi"), F.collect_list(nan_to_zero(value)).alias("yv")))
+
+
+def _dense(batch: pa.RecordBatch, n_frames: int) -> np.ndarray:
+    """(frames x series) matrix of a packed batch; absent cells are 0."""
+    idx = batch.column("yi")
+    vals = batch.column("yv")
+    lengths = np.diff(idx.offsets.to_numpy())
+    cols = np.repeat(np.arange(batch.num_rows), lengths)
+    out = np.zeros((n_frames, batch.num_rows))
+    out[idx.flatten().to_numpy(zero_copy_only=False), cols] = vals.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def ridge_cv(packed: DataFrame, keys, design: Design, p: RidgeParams,
@@ -330,7 +351,7 @@ def ridge_cv(packed: DataFrame, keys, design: Design, p: RidgeParams,
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            y = _matrix(batch, "y", n_frames).T
+            y = _dense(batch, n_frames)
             sc = cv_scores(d.x_train, y[: d.n_train], d.held, alphas, singcutoff=p.singcutoff,
                            normalpha=p.normalpha, use_corr=p.use_corr, factors=boots)
             cols = [batch.column(k) for k in keys] + [_list_array(sc.mean(0).T)]
@@ -338,7 +359,7 @@ def ridge_cv(packed: DataFrame, keys, design: Design, p: RidgeParams,
                 cols.append(_list_array(sc.transpose(2, 0, 1).reshape(sc.shape[2], -1)))
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    return packed.select(*keys, "y").mapInArrow(run, schema)
+    return packed.select(*keys, "yi", "yv").mapInArrow(run, schema)
 
 
 def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None = None,
@@ -415,7 +436,7 @@ def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
     keys = list(keys)
     n_frames = len(design.frames)
     fused = alphas is None
-    src = packed.select(*keys, "y")
+    src = packed.select(*keys, "yi", "yv")
     if not fused:
         src = src.join(alphas.select(*keys, "alpha"), keys)
     fields = [packed.schema[k] for k in keys]
@@ -435,7 +456,7 @@ def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            y = _matrix(batch, "y", n_frames).T
+            y = _dense(batch, n_frames)
             va = None if fused else batch.column("alpha").to_numpy(zero_copy_only=False).astype(float)
             idx, va, corr, wt, cvm = _fit_block(d, p, boots, final, y, grid, va)
             cols = [batch.column(k) for k in keys]
@@ -549,7 +570,7 @@ def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, f
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            y = _matrix(batch, "y", n_frames).T
+            y = _dense(batch, n_frames)
             for name, dd, boots, final in designs:
                 _, va, corr, _, _ = _fit_block(dd, q, boots, final, y, grid)
                 cols = [pa.array([name] * batch.num_rows, type=pa.string())]
@@ -557,7 +578,7 @@ def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, f
                 cols += [pa.array(va, type=pa.float64()), _nullable(corr)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    return packed.select(*keys, "y").mapInArrow(run, schema)
+    return packed.select(*keys, "yi", "yv").mapInArrow(run, schema)
 
 
 def boot_scores_long(x_df, y_df, keys, p: RidgeParams | None = None, frame_col="tr",
