@@ -68,23 +68,29 @@ def trailing_text_at(tok: DataFrame, anchors: DataFrame, ws: int, seq: str = "se
                      word: str = "word", out: str = "text", chunk: int = 64) -> DataFrame:
     """Trailing context of size ``ws`` computed only at anchor rows.
 
-    For sparse anchors (a refresh every k words) with a long window this
-    avoids building a ``ws``-word array for every row: words are folded into
-    ``chunk``-word pieces once, each anchor joins the at most
-    ``ws / chunk + 2`` pieces it needs, and the text is cut to the exact
-    range.  Every group is bounded by ``ws + 2 * chunk`` words.
+    For sparse anchors (a refresh every k words) this avoids building a
+    ``ws``-word array for every row: words are folded once into
+    ``chunk``-word pieces (position order inside a piece), each anchor
+    joins the at most ``ws / chunk + 2`` consecutive pieces it needs, and
+    the flattened words are sliced to the exact range (positions are dense,
+    so a word's offset follows from its piece).  Every group is bounded by
+    ``ws + 2 * chunk`` words; no group spans a whole document.
     """
-    pieces = (tok.groupBy(seq, F.floor(F.col(pos) / F.lit(chunk)).cast("long").alias("_ch"))
+    ch = F.floor(F.col(pos) / F.lit(chunk)).cast("long")
+    pieces = (tok.groupBy(seq, ch.alias("_ch"))
                  .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(word).alias("w"))))
-                      .alias("_ws")))
+                      .alias("_s"))
+                 .select(seq, "_ch", F.transform("_s", lambda e: e["w"]).alias("_w")))
     lo = F.greatest(F.col(pos) - F.lit(ws), F.lit(0))
-    a = anchors.select(seq, F.col(pos).alias("_a"),
+    a = anchors.select(seq, F.col(pos).alias("_a"), lo.alias("_lo"),
                        F.explode(F.sequence(F.floor(lo / F.lit(chunk)).cast("long"),
                                             F.floor(F.col(pos) / F.lit(chunk)).cast("long"))).alias("_ch"))
     j = a.join(pieces, [seq, "_ch"])
-    g = j.groupBy(seq, "_a").agg(F.flatten(F.collect_list("_ws")).alias("_all"))
-    kept = F.filter(F.array_sort("_all"), lambda s: (s["p"] >= F.col("_a") - F.lit(ws)) & (s["p"] <= F.col("_a")))
-    return g.select(seq, F.col("_a").alias(pos), F.array_join(F.transform(kept, lambda s: s["w"]), " ").alias(out))
+    g = j.groupBy(seq, "_a", "_lo").agg(F.array_sort(F.collect_list(F.struct("_ch", "_w"))).alias("_p"))
+    words = F.flatten(F.transform("_p", lambda e: e["_w"]))
+    start = F.col("_lo") - F.floor(F.col("_lo") / F.lit(chunk)) * F.lit(chunk) + F.lit(1)
+    text = F.array_join(F.slice(words, start.cast("int"), (F.col("_a") - F.col("_lo") + F.lit(1)).cast("int")), " ")
+    return g.select(seq, F.col("_a").alias(pos), text.alias(out))
 
 
 def refresh(tok: DataFrame, every: int, start: int = 0, pos: str = "pos") -> DataFrame:
@@ -146,11 +152,11 @@ def with_continuation(tok: DataFrame, ws: int, generator, every: int = 10, promp
     row carries the latest anchor's output forward through an equi-join on
     ``(seq, anchor)``.  Text: ``generated + ". This is the continuation of: " + context``.
     """
-    ctx = context_windows(tok, {"_ctx": ws, "_prompt": prompt_ws}, seq, pos, word)
-    ctx = refresh(ctx, every, 0, pos)
-    anchors = ctx.where(F.col("is_refresh")).select(seq, F.col(pos).alias("anchor"), "_prompt")
-    gen = apply_text_fn(anchors, "_prompt", generator, "_gen").drop("_prompt")
-    j = ctx.drop("_prompt").join(gen, [seq, "anchor"], "left")
+    ctx = refresh(context_window(tok, ws, seq, pos, word, "_ctx"), every, 0, pos)
+    anchors = tok.where(F.col(pos) % F.lit(every) == 0).select(seq, pos)
+    prompts = trailing_text_at(tok, anchors, prompt_ws, seq, pos, word, "_prompt")
+    gen = apply_text_fn(prompts, "_prompt", generator, "_gen").select(seq, F.col(pos).alias("anchor"), "_gen")
+    j = ctx.join(gen, [seq, "anchor"], "left")
     return (j.withColumn(out, F.concat(F.col("_gen"), F.lit(CONTINUATION_JOIN), F.col("_ctx")))
              .drop("_gen", "_ctx", "is_refresh", "anchor"))
 
