@@ -27,6 +27,11 @@ def frame_list(df: DataFrame, frame_col: str = "tr", limit: int = MAX_FRAMES) ->
     return sorted(r[0] for r in rows)
 
 
+def frame_positions(spark, frames, frame_col: str = "tr") -> DataFrame:
+    """(tr, _i): position of each frame in a (checked, bounded) frame list; broadcast-sized."""
+    return F.broadcast(spark.createDataFrame([(int(t), i) for i, t in enumerate(frames)], f"{frame_col} int, _i int"))
+
+
 def mean_over_subjects(resp: DataFrame, keys=("tr", "voxel"), value: str = "value") -> DataFrame:
     """NaN-skipping mean over subjects per (frame, series).
 
@@ -41,16 +46,19 @@ def densify(df: DataFrame, keys, frame_col: str = "tr", value: str = "value",
             frames=None, fill: float = 0.0) -> DataFrame:
     """Give every key every frame; missing or NULL cells take ``fill``.
 
-    One shuffle by key: each series is folded into a frame->value map (at
-    most one entry per frame) and expanded against the checked frame list.
+    One shuffle by key: each series folds its cells into a position->value
+    map (at most one entry per frame) and is expanded over the position
+    range; positions map back to frames through a small broadcast table.
     """
     keys = list(keys)
+    spark = df.sparkSession
     frames = frame_list(df, frame_col) if frames is None else list(frames)
-    arr = F.array(*[F.lit(int(t)) for t in frames])
-    g = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(frame_col, value))).alias("_m"))
-    out = g.select(*keys, F.explode(arr).alias(frame_col), "_m")
-    return out.select(frame_col, *keys,
-                      F.coalesce(F.try_element_at("_m", F.col(frame_col)), F.lit(fill)).alias(value))
+    pos = frame_positions(spark, frames, frame_col)
+    g = (df.join(pos, frame_col).groupBy(*keys)
+           .agg(F.map_from_entries(F.collect_list(F.struct("_i", value))).alias("_m")))
+    e = g.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(len(frames) - 1))).alias("_i"))
+    e = e.join(pos, "_i")
+    return e.select(frame_col, *keys, F.coalesce(F.try_element_at("_m", F.col("_i")), F.lit(fill)).alias(value))
 
 
 def live_series(df: DataFrame, key="voxel", value: str = "value") -> DataFrame:
@@ -87,26 +95,29 @@ def pack_series(df: DataFrame, keys, frame_col: str = "tr", value: str = "value"
                 frames=None, fill: float = 0.0, out: str = "y") -> DataFrame:
     """Long (keys, tr, value) -> (keys, y ARRAY<DOUBLE>) ordered by frame.
 
-    With ``frames`` the array follows that list and holes take ``fill``;
-    without, it holds the series' own frames in ascending order.  One
-    shuffle by key; each group holds at most one value per frame.
+    With ``frames`` the array follows that list and holes take ``fill``
+    (positions come from a small broadcast table); without, it holds the
+    series' own frames in ascending order.  One shuffle by key; each group
+    holds at most one value per frame.
     """
     keys = list(keys)
     if frames is None:
         g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(frame_col, value))).alias("_s"))
         return g.select(*keys, F.transform("_s", lambda s: s[value]).alias(out))
-    arr = F.array(*[F.lit(int(t)) for t in frames])
-    g = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(frame_col, value))).alias("_m"))
-    return g.select(*keys, F.transform(arr, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(fill))).alias(out))
+    pos = frame_positions(df.sparkSession, frames, frame_col)
+    g = (df.join(pos, frame_col).groupBy(*keys)
+           .agg(F.map_from_entries(F.collect_list(F.struct("_i", value))).alias("_m")))
+    rng = F.sequence(F.lit(0), F.lit(len(frames) - 1))
+    return g.select(*keys, F.transform(rng, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(fill))).alias(out))
 
 
 def unpack_series(packed: DataFrame, keys, frames, col: str = "y",
                   frame_col: str = "tr", value: str = "value") -> DataFrame:
     """Inverse of ``pack_series`` for a known frame list."""
     keys = list(keys)
-    arr = F.array(*[F.lit(int(t)) for t in frames])
+    pos = frame_positions(packed.sparkSession, frames, frame_col)
     e = packed.select(*keys, F.posexplode(col).alias("_i", value))
-    return e.select(*keys, F.element_at(arr, F.col("_i") + 1).alias(frame_col), value)
+    return e.join(pos, "_i").select(*keys, frame_col, value)
 
 
 def zscore_within(df: DataFrame, by, value: str = "value", out: str | None = None) -> DataFrame:
