@@ -40,8 +40,9 @@ def ranked(df: DataFrame, by, value: str) -> DataFrame:
     from voxlex.session import cut_lineage
     keys = _keys(by)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    # No explicit count: the session's shuffle partitions, which AQE may coalesce.
-    srt = (base.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
+    # One range per core of the cluster: a group of any size is spread over all of them.
+    n_part = df.sparkSession.sparkContext.defaultParallelism
+    srt = (base.repartitionByRange(n_part, *keys, "_v").sortWithinPartitions(*keys, "_v")
                .select(*keys, "_v", F.spark_partition_id().alias("_pid"),
                        F.monotonically_increasing_id().alias("_mid")))
     srt = cut_lineage(srt)

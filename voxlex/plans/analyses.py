@@ -181,8 +181,9 @@ def pca_sweep(x: DataFrame, y: DataFrame, sizes=(16, 32, 64, 128, 256, 512, 768)
     model = pca_fit(fit_rows, max(sizes))
     proj = pca_project(x, model).persist()
     runs = {str(k): proj.select("tr", F.slice("x", 1, k).alias("x")) for k in sizes}
+    # Scores feed three aggregates (moments, sorted quantiles, count above t): fit once.
     out = fit_runs(runs, y, ["voxel"], p, run_col="n_components").select(
-        F.col("n_components").cast("int").alias("n_components"), "corr")
+        F.col("n_components").cast("int").alias("n_components"), "corr").persist()
     desc = st.describe_scores(out, "n_components", "corr")
     above = st.above_threshold(out, "n_components", "corr", t).select("n_components", "n_above")
     return desc.join(above, "n_components")
@@ -226,5 +227,5 @@ def compare_pooling(tok: DataFrame, y: DataFrame, ws: int = 16, model=None,
     model = model or HashEmbedder(8)
     p = params or RidgeParams()
     runs = {pool: stimulus(tok, ws, model, pool).persist() for pool in ("mean", "last")}
-    out = fit_runs(runs, _responses(y, runs["mean"]), ["voxel"], p, run_col="pool").select("pool", "corr")
+    out = fit_runs(runs, _responses(y, runs["mean"]), ["voxel"], p, run_col="pool").select("pool", "corr").persist()
     return st.describe_scores(out, "pool", "corr")
