@@ -201,3 +201,28 @@ def test_design_indices_equal_spark_split_and_draw(spark, n, chunk, boots, seed)
     n_train, held = sp.design_indices(frames, 0.2, chunk, boots, None, seed)
     assert n_train == n_train_spark
     assert [sorted(held_spark.get(b, [])) for b in range(boots)] == held
+
+
+def test_pca_sweep_matches_numpy(spark):
+    from voxlex.operators import splits as sp
+    x_df = fx.stim_frames(spark, SF_SMALL)
+    y_df = fx.resp_dense(spark, SF_SMALL)
+    p = rg.RidgeParams(chunklen=5, nboots=3)
+    got = {r["n_components"]: r for r in an.pca_sweep(x_df, y_df, (4, 8), p).collect()}
+    xs = {r["tr"]: np.asarray(r["x"]) for r in x_df.collect()}
+    ys = {}
+    for r in y_df.collect():
+        ys.setdefault(r["voxel"], {})[r["tr"]] = r["value"]
+    frames = sorted(set(xs) & {t for v in ys.values() for t in v})
+    vox = sorted(ys)
+    x = np.vstack([xs[t] for t in frames])
+    y = np.array([[ys[v].get(t, 0.0) for v in vox] for t in frames])
+    n_train, held = sp.design_indices(frames, 0.2, 5, 3, None, 42)
+    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    for k in (4, 8):
+        _, corr, _ = brute(x @ vt[:k].T, y, p.alphas, n_train, [np.array(h) for h in held])
+        r = got[k]
+        assert r["count"] == len(vox)
+        assert r["mean"] == pytest.approx(corr.mean(), abs=1e-9)
+        assert r["q50"] == pytest.approx(np.quantile(corr, 0.5), abs=1e-9)
+        assert r["n_above"] == int((corr > 0.3).sum())

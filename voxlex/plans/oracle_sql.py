@@ -570,10 +570,11 @@ def oracles() -> dict[str, str]:
     q["encode_baseline_k2"] = W(["prepared", "tok"], _ridge_final("enc"),
                                 _hash_frames("hx", 16) + ridge_k2("enc", "hx_x", "prepared"))
     cw = []
-    for ws in (0, 4, 16):
+    sizes = (0, 4, 8, 16, 32, 64, 128)
+    for ws in sizes:
         cw += _hash_frames(f"h{ws}", ws) + ridge_k2(f"w{ws}", f"h{ws}_x", "prepared", weights=False)
     q["compare_windows_k2"] = W(["prepared", "tok"], " UNION ALL ".join(
-        f"SELECT {ws} AS ws, voxel, {r6('alpha')} AS alpha, {r6('corr')} AS corr FROM w{ws}_final" for ws in (0, 4, 16)), cw)
+        f"SELECT {ws} AS ws, voxel, {r6('alpha')} AS alpha, {r6('corr')} AS corr FROM w{ws}_final" for ws in sizes), cw)
     base = _hash_frames("hb", 16) + ridge_k2("bs", "hb_x", "prepared")
     cont = _cont_text() + _text_frames("tc", "ct_text", "mean") + ridge_k2("tcr", "tc_x", "prepared")
     q["continuation_vs_baseline"] = W(["prepared", "tok"], f"""

@@ -30,6 +30,10 @@ from voxlex.sources import fixtures as fx
 
 K2 = dict(chunklen=5, nboots=5, seed=42, test_size=0.2)
 
+# The window sizes and PCA sizes the analysis compares.
+WINDOW_SIZES = (0, 4, 8, 16, 32, 64, 128)
+PCA_SIZES = (16, 32, 64, 128, 256, 512, 768)   # capped at the stimulus width
+
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
@@ -496,7 +500,7 @@ def q_encode_baseline_k2(spark, d):
 
 def q_compare_windows_k2(spark, d):
     tok = fx.tok(spark, d)
-    r = an.compare_windows(tok, _cohort(spark, d), (0, 4, 16), em.HashEmbedder(2), "mean",
+    r = an.compare_windows(tok, _cohort(spark, d), WINDOW_SIZES, em.HashEmbedder(2), "mean",
                            _params(return_weights=False))
     return _round(r)
 
@@ -518,7 +522,7 @@ def q_summary_vs_baseline(spark, d):
 
 def q_pca_sweep(spark, d):
     x = fx.stim_frames(spark, d)
-    return _round(an.pca_sweep(x, fx.resp_dense(spark, d), (2, 4, 8, 16, 32), _params()))
+    return _round(an.pca_sweep(x, fx.resp_dense(spark, d), PCA_SIZES, _params()))
 
 
 def q_intersubject_k2(spark, d):
