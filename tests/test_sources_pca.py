@@ -23,10 +23,10 @@ def test_read_transcript_drops_pandas_na_words_and_numbers_lines(spark, tmp_path
 
 def test_read_tsv_with_header(spark, tmp_path):
     p = tmp_path / "participants.tsv"
-    p.write_text("participant_id\ttask\nsub-001\tpieman,tunnel\nsub-002\tlucy\n")
+    p.write_text("participant_id\ttask\nsub-001\triver,forest\nsub-002\tcity\n")
     schema = T.StructType([T.StructField("participant_id", T.StringType()), T.StructField("task", T.StringType())])
     df = files.read_tsv(spark, str(p), schema)
-    assert [r[0] for r in df.where(F.col("task").contains("tunnel")).collect()] == ["sub-001"]
+    assert [r[0] for r in df.where(F.col("task").contains("forest")).collect()] == ["sub-001"]
 
 
 def test_partitioned_responses_are_pruned(spark, tmp_path):
@@ -67,13 +67,13 @@ def test_pca_matches_numpy(spark):
 
 def test_load_task_composes_the_task_inputs(spark, tmp_path):
     (tmp_path / "participants.tsv").write_text(
-        "participant_id\ttask\nsub-001\tpieman,tunnel\nsub-002\ttunnel\nsub-003\tlucy\nsub-004\ttunnel\n"
-        "sub-005\ttunnelx\nsub-006\ttunnel\n")
+        "participant_id\ttask\nsub-001\triver,forest\nsub-002\tforest\nsub-003\tcity\nsub-004\tforest\n"
+        "sub-005\tforestx\nsub-006\tforest\n")
     for sub in ("001", "002", "004", "005", "006"):
-        (tmp_path / f"sub-{sub}_task-tunnel_events.tsv").write_text(f"onset\tduration\n{int(sub) * 1.0}\t1\n9\t1\n")
+        (tmp_path / f"sub-{sub}_task-forest_events.tsv").write_text(f"onset\tduration\n{int(sub) * 1.0}\t1\n9\t1\n")
     (tmp_path / "align.csv").write_text("A,a,0.0,0.4\n<unk>,<unk>,0.4,0.8\nB,,0.8,1.0\nC,c,1.0,1.7\n")
     tok, subs = files.load_task(spark, str(tmp_path / "align.csv"), str(tmp_path / "participants.tsv"),
-                                str(tmp_path / "sub-{sub}_task-{task}_events.tsv"), "tunnel", exclude_ids=["004"])
+                                str(tmp_path / "sub-{sub}_task-{task}_events.tsv"), "forest", exclude_ids=["004"])
     assert sorted(r[0] for r in subs.select("subject").collect()) == ["001", "002", "005", "006"]
     rows = sorted((r["pos"], r["word"], r["tr"], r["tr_offset"]) for r in tok.collect())
     # picked subject: third in id order -> 005, first onset 5.0 s; frames floor((5 + t) / 1.5)

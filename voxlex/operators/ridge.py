@@ -69,7 +69,8 @@ class RidgeParams:
 # numpy kernels (run inside executor tasks on one block of series)
 # ---------------------------------------------------------------------------
 
-def _zs(v: np.ndarray) -> np.ndarray:
+def _standardize(v: np.ndarray) -> np.ndarray:
+    """Column-wise z-score with the population std (NaN for constant columns)."""
     with np.errstate(divide="ignore", invalid="ignore"):
         return (v - v.mean(0)) / v.std(0)
 
@@ -78,12 +79,35 @@ def _signed_root(r2: np.ndarray) -> np.ndarray:
     return np.sqrt(np.abs(r2)) * np.sign(r2)
 
 
+def _pearson_cols(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pearson correlation of matching columns (mean of z-score products)."""
+    return (_standardize(a) * _standardize(b)).mean(0)
+
+
 def _svd(x: np.ndarray, cutoff: float | None):
-    u, s, vh = np.linalg.svd(x, full_matrices=False)
+    """Thin SVD, dropping singular values not above ``cutoff`` (None keeps all)."""
+    left, sing, right_t = np.linalg.svd(x, full_matrices=False)
     if cutoff is not None:
-        good = int(np.sum(s > cutoff))
-        u, s, vh = u[:, :good], s[:good], vh[:good]
-    return u, s, vh
+        keep = int(np.sum(sing > cutoff))
+        left, sing, right_t = left[:, :keep], sing[:keep], right_t[:keep]
+    return left, sing, right_t
+
+
+class BootFactor:
+    """One bootstrap's training-row factorisation and its held-out rows in that basis."""
+
+    def __init__(self, x_train: np.ndarray, held: np.ndarray, cutoff: float):
+        self.held_rows = np.asarray(held, dtype=int)
+        self.fit_rows = np.setdiff1d(np.arange(x_train.shape[0]), self.held_rows)
+        self.left, self.sing, right_t = _svd(x_train[self.fit_rows], cutoff)
+        self.held_basis = x_train[self.held_rows] @ right_t.T
+
+
+def _shrinkage(sing: np.ndarray, penalties) -> np.ndarray:
+    """(penalties, components) matrix of s / (s^2 + a^2)."""
+    pen = np.asarray(penalties, dtype=float)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return sing[None, :] / (sing[None, :] ** 2 + pen ** 2)
 
 
 def cv_scores(x_train: np.ndarray, y_train: np.ndarray, held: list, alphas, *,
@@ -91,46 +115,33 @@ def cv_scores(x_train: np.ndarray, y_train: np.ndarray, held: list, alphas, *,
               factors=None) -> np.ndarray:
     """Held-out scores, shape (boots, alphas, series).
 
-    For each bootstrap the training rows not held out are factorised, and
-    every alpha predicts the held-out rows without forming weights.  NaN
-    scores (constant series) count as 0.
+    Each bootstrap's training rows are factorised once; responses are
+    projected on the left singular vectors once, and every alpha only
+    rescales the components before predicting the held-out rows (no weights
+    are formed).  NaN scores (constant series) count as 0.
     """
-    alphas = np.asarray(alphas, dtype=float)
-    n = x_train.shape[0]
     factors = factors or boot_factors(x_train, held, singcutoff)
-    out = np.zeros((len(held), len(alphas), y_train.shape[1]))
-    for b, (rows, h, u, s, pvh) in enumerate(factors):
-        ur = u.T @ y_train[rows]
-        yh = y_train[h]
-        nal = alphas * s[0] if normalpha else alphas
-        if use_corr:
-            zy = _zs(yh)
-        else:
-            denom = (1.0 + yh.var(0)) / 2.0
-        for i, a in enumerate(nal):
-            d = s / (s ** 2 + a ** 2)
-            pred = (pvh * d) @ ur
+    out = np.zeros((len(factors), len(alphas), y_train.shape[1]))
+    for b, f in enumerate(factors):
+        coef = f.left.T @ y_train[f.fit_rows]
+        y_held = y_train[f.held_rows]
+        base = np.asarray(alphas, dtype=float) * (f.sing[0] if normalpha and f.sing.size else 1.0)
+        shrink = _shrinkage(f.sing, base)
+        if not use_corr:
+            blend = (1.0 + y_held.var(0)) / 2.0
+        for i in range(len(base)):
+            pred = (f.held_basis * shrink[i]) @ coef
             if use_corr:
-                r = (zy * _zs(pred)).mean(0)
+                score = _pearson_cols(y_held, pred)
             else:
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    r = _signed_root(1.0 - (yh - pred).var(0) / denom)
-            r[np.isnan(r)] = 0.0
-            out[b, i] = r
-    del n
+                    score = _signed_root(1.0 - (y_held - pred).var(0) / blend)
+            out[b, i] = np.where(np.isnan(score), 0.0, score)
     return out
 
 
 def boot_factors(x_train: np.ndarray, held: list, singcutoff: float):
-    """SVD of each bootstrap's training rows plus the held-out projection."""
-    n = x_train.shape[0]
-    res = []
-    for h in held:
-        h = np.asarray(h, dtype=int)
-        rows = np.setdiff1d(np.arange(n), h)
-        u, s, vh = _svd(x_train[rows], singcutoff)
-        res.append((rows, h, u, s, x_train[h] @ vh.T))
-    return res
+    return [BootFactor(x_train, h, singcutoff) for h in held]
 
 
 def pick_alpha(cv_mean: np.ndarray, digits: int | None) -> np.ndarray:
@@ -145,45 +156,38 @@ def final_scores(x_train, y_train, x_test, y_test, valphas, *, singcutoff=1e-10,
 
     Weights path: plain SVD (no truncation), predict, Pearson correlation
     with NaN -> 0 (R^2 variant: plain variance).  Weight-free path: SVD with
-    the cut-off, blended-variance R^2 variant, NaN kept.
-    Returns (scores, weights or None).
+    the cut-off, blended-variance R^2 variant, NaN kept.  Series sharing a
+    penalty are solved together.  Returns (scores, weights or None).
     """
-    valphas = np.asarray(valphas, dtype=float)
-    m = y_train.shape[1]
+    penalties = np.asarray(valphas, dtype=float)
+    n_series = y_train.shape[1]
+    cut = None if return_weights else singcutoff
+    left, sing, right_t = factors if factors is not None else _svd(x_train, cut)
+    if normalpha and sing.size:
+        penalties = penalties * sing[0]
+    y_fit = np.nan_to_num(y_train) if return_weights else y_train
+    coef = left.T @ y_fit
+    groups = [(a, np.nonzero(penalties == a)[0]) for a in np.unique(penalties)]
     if return_weights:
-        u, s, vh = factors if factors is not None else _svd(x_train, None)
-        ur = u.T @ np.nan_to_num(y_train)
-        nal = valphas * s[0] if normalpha else valphas
-        wt = np.zeros((x_train.shape[1], m))
-        for ua in np.unique(nal):
-            sel = np.nonzero(nal == ua)[0]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = s / (s ** 2 + ua ** 2)
-            wt[:, sel] = vh.T @ (d[:, None] * ur[:, sel])
-        pred = x_test @ wt
+        weights = np.zeros((x_train.shape[1], n_series))
+        for a, cols in groups:
+            weights[:, cols] = right_t.T @ (_shrinkage(sing, [a])[0][:, None] * coef[:, cols])
+        pred = x_test @ weights
         if use_corr:
-            corr = np.nan_to_num((_zs(y_test) * _zs(np.nan_to_num(pred))).mean(0))
-        else:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                corr = _signed_root(1.0 - (y_test - pred).var(0) / y_test.var(0))
-        return corr, wt
-    u, s, vh = factors if factors is not None else _svd(x_train, singcutoff)
-    nal = valphas * s[0] if normalpha else valphas
-    ur = u.T @ y_train
-    pvh = x_test @ vh.T
-    corr = np.zeros(m)
-    zy = _zs(y_test)
-    denom = (1.0 + y_test.var(0)) / 2.0
-    for ua in np.unique(nal):
-        sel = np.nonzero(nal == ua)[0]
-        d = s / (s ** 2 + ua ** 2)
-        pred = (pvh * d) @ ur[:, sel]
+            return np.nan_to_num(_pearson_cols(y_test, np.nan_to_num(pred))), weights
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return _signed_root(1.0 - (y_test - pred).var(0) / y_test.var(0)), weights
+    test_basis = x_test @ right_t.T
+    scores = np.zeros(n_series)
+    blend = (1.0 + y_test.var(0)) / 2.0
+    for a, cols in groups:
+        pred = (test_basis * _shrinkage(sing, [a])[0]) @ coef[:, cols]
         if use_corr:
-            corr[sel] = (zy[:, sel] * _zs(pred)).mean(0)
+            scores[cols] = _pearson_cols(y_test[:, cols], pred)
         else:
             with np.errstate(divide="ignore", invalid="ignore"):
-                corr[sel] = _signed_root(1.0 - (y_test[:, sel] - pred).var(0) / denom[sel])
-    return corr, None
+                scores[cols] = _signed_root(1.0 - (y_test[:, cols] - pred).var(0) / blend[cols])
+    return scores, None
 
 
 # ---------------------------------------------------------------------------
