@@ -226,3 +226,11 @@ def test_pca_sweep_matches_numpy(spark):
         assert r["mean"] == pytest.approx(corr.mean(), abs=1e-9)
         assert r["q50"] == pytest.approx(np.quantile(corr, 0.5), abs=1e-9)
         assert r["n_above"] == int((corr > 0.3).sum())
+
+
+def test_long_recordings_take_the_additive_plan(spark, problem):
+    x_df, y_df = problem
+    plan, frames = rg.choose_plan(x_df, y_df, rg.RidgeParams(chunklen=5, max_packed_frames=10))
+    assert plan == "additive" and frames is None
+    plan, frames = rg.choose_plan(x_df, y_df, rg.RidgeParams(chunklen=5))
+    assert plan == "packed" and len(frames) > 10

@@ -63,6 +63,10 @@ class RidgeParams:
     return_weights: bool = True
     score_digits: int | None = 9        # rounding before the argmax over alphas
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+    # Packed rows hold one value per frame and Arrow batches hold up to
+    # spark.sql.execution.arrow.maxRecordsPerBatch rows; past this many frames
+    # the additive plan is used instead.
+    max_packed_frames: int = 20_000
 
 
 # ---------------------------------------------------------------------------
@@ -478,16 +482,17 @@ def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
 
 def choose_plan(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str = "tr",
                 x_col: str = "x"):
-    """("packed", frames) when the aligned stimulus fits the broadcast limit, else ("additive", None).
+    """("packed", frames) when the aligned stimulus fits the broadcast limit and
+    the frame count fits a packed row, else ("additive", None).
 
     The frame list is collected only up to its checked bound; past it the
-    stimulus cannot be broadcast anyway.
+    packed plan is not used anyway.
     """
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
     limit = max(1, p.max_broadcast_bytes // max(8 * width, 1))
     fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
     try:
-        frames = frame_list(fr, frame_col, limit=min(limit, MAX_FRAMES))
+        frames = frame_list(fr, frame_col, limit=min(limit, MAX_FRAMES, p.max_packed_frames))
     except ValueError:
         return "additive", None
     if len(frames) * width * 8 > p.max_broadcast_bytes:
