@@ -234,3 +234,25 @@ def test_long_recordings_take_the_additive_plan(spark, problem):
     assert plan == "additive" and frames is None
     plan, frames = rg.choose_plan(x_df, y_df, rg.RidgeParams(chunklen=5))
     assert plan == "packed" and len(frames) > 10
+
+
+def test_blocked_series_stats_match_numpy(spark, problem):
+    from voxlex.operators import ridge_stats as rs
+    x_df, y_df = problem
+    p = rg.RidgeParams(chunklen=5, nboots=2)
+    sets = rs.row_sets(x_df, y_df, p)
+    got = {}
+    for r in rs.series_stats(x_df, y_df, sets, ["voxel"], frame_block=7, series_buckets=3).collect():
+        for e in r["stats"]:
+            got[(r["voxel"], e["s"])] = (np.asarray(e["c"]), e["sy"], e["syy"])
+    xs = {r["tr"]: np.asarray(r["x"]) for r in x_df.collect()}
+    members = {}
+    for r in sets.collect():
+        members.setdefault(r["s"], set()).add(r["tr"])
+    ys = {(r["voxel"], r["tr"]): (r["value"] or 0.0) for r in y_df.collect()}
+    for (v, s_id), (c, sy, syy) in got.items():
+        cells = [(t, ys[(v, t)]) for t in members[s_id] if (v, t) in ys]
+        assert np.allclose(c, sum(xs[t] * val for t, val in cells), atol=1e-9)
+        assert sy == pytest.approx(sum(val for _, val in cells))
+        assert syy == pytest.approx(sum(val * val for _, val in cells))
+    assert len(got) == len({(v, s_id) for (v, t) in ys for s_id, fr_ in members.items() if t in fr_})

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import nan_to_zero
-from voxlex.operators.ridge import RidgeParams, _nullable, pick_alpha
+from voxlex.operators.ridge import RidgeParams, _list_array, _nullable, pick_alpha
 from voxlex.operators.splits import (ordered_split, chunk_ids, holdout_chunks, holdout_rows,
                                      default_nchunks)
 
@@ -74,26 +74,83 @@ def set_grams(x_df: DataFrame, sets: DataFrame, frame_col: str = "tr", x_col: st
 
 
 def series_stats(x_df: DataFrame, y_df: DataFrame, sets: DataFrame, keys, frame_col: str = "tr",
-                 x_col: str = "x", value: str = "value") -> DataFrame:
-    """One row per series: per set, ``X_s^T y`` (flattened, set-major), sum y, sum y^2.
+                 x_col: str = "x", value: str = "value", width: int | None = None,
+                 frame_block: int | None = None, series_buckets: int | None = None) -> DataFrame:
+    """One row per series: per set, ``X_s^T y`` (N values), sum y, sum y^2.
 
-    Frames a series lacks count as 0 (they add nothing to any sum); the set
-    sizes come from ``set_grams``.  Aggregation is keyed by (series, set),
-    map-side combined; the per-series fold is bounded by the number of sets.
+    Blocked product: stimulus rows are grouped into frame blocks (at most
+    ``frame_block`` frames, about 32 MB of features each), responses into
+    (frame block, series bucket) blocks, and the two are joined on the
+    frame block - the stimulus block is replicated once per series bucket,
+    never once per series.  Each joined pair is one BLAS product per set
+    inside an Arrow task; partial results are summed across frame blocks by
+    a map-side-combined aggregate.  Frames a series lacks count as 0.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     keys = list(keys)
-    y = y_df.select(*keys, frame_col, nan_to_zero(value).alias("_y"))
-    j = y.join(sets, frame_col).join(x_df.select(frame_col, x_col), frame_col)
-    prod = F.transform(x_col, lambda a: a * F.col("_y"))
-    per = (j.select(*keys, "s", "_y", array_to_vector(prod).alias("_c"))
-            .groupBy(*keys, "s").agg(Summarizer.sum(F.col("_c")).alias("_c"), F.sum("_y").alias("sy"),
-                                     F.sum(F.col("_y") * F.col("_y")).alias("syy")))
+    spark = y_df.sparkSession
+    if width is None:
+        width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+    fblock = frame_block or max(1, (32 << 20) // (8 * max(width, 1)))
+    buckets = series_buckets or spark.sparkContext.defaultParallelism
+    fb = F.floor(F.col(frame_col) / F.lit(fblock)).cast("long").alias("_fb")
+    member = sets.groupBy(frame_col).agg(F.collect_list("s").alias("_sets"))
+    xb = (x_df.select(frame_col, x_col).join(member, frame_col)
+              .groupBy(fb).agg(F.collect_list(F.struct(frame_col, x_col, "_sets")).alias("_xs")))
+    yb = (y_df.select(*keys, frame_col, nan_to_zero(value).alias("_y"))
+              .join(member.select(frame_col), frame_col, "left_semi")
+              .groupBy(fb, F.pmod(F.hash(*keys), F.lit(buckets)).alias("_sb"))
+              .agg(F.collect_list(F.struct(*keys, frame_col, "_y")).alias("_ys")))
+    pairs = yb.join(xb, "_fb").select("_ys", "_xs")
+    key_fields = [y_df.schema[k] for k in keys]
+    schema = T.StructType(key_fields + [T.StructField("s", T.IntegerType()),
+                                        T.StructField("c", T.ArrayType(T.DoubleType())),
+                                        T.StructField("sy", T.DoubleType()), T.StructField("syy", T.DoubleType())])
+
+    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
+
+    def run(batches):
+        import pandas as pd
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xs = batch.column("_xs")[i].values
+                ys = batch.column("_ys")[i].values
+                order = np.argsort(xs.field(frame_col).to_numpy(zero_copy_only=False))
+                tr_x = xs.field(frame_col).to_numpy(zero_copy_only=False)[order]
+                xmat = xs.field(x_col).flatten().to_numpy(zero_copy_only=False).reshape(len(tr_x), width)[order]
+                set_lists = xs.field("_sets")
+                per_frame = [set_lists[k].as_py() for k in range(len(set_lists))]
+                per_frame = [per_frame[k] for k in order]
+                kdf = pd.DataFrame({k: ys.field(k).to_numpy(zero_copy_only=False) for k in keys})
+                sid = kdf.groupby(keys, sort=False).ngroup().to_numpy()
+                uniq = kdf.drop_duplicates(keys).reset_index(drop=True)
+                ymat = np.zeros((len(tr_x), len(uniq)))
+                rows = np.searchsorted(tr_x, ys.field(frame_col).to_numpy(zero_copy_only=False))
+                ymat[rows, sid] = ys.field("_y").to_numpy(zero_copy_only=False)
+                all_sets = sorted({s for lst in per_frame for s in lst})
+                for s_id in all_sets:
+                    m = np.array([s_id in lst for lst in per_frame])
+                    ysub = ymat[m]
+                    c = xmat[m].T @ ysub
+                    cols = [pa.array(uniq[k].to_numpy()) for k in keys]
+                    cols += [pa.array(np.full(len(uniq), s_id, dtype=np.int32)),
+                             _list_array(c.T), pa.array(ysub.sum(0)), pa.array((ysub * ysub).sum(0))]
+                    yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
+
+    part = pairs.mapInArrow(run, schema)
+    per = (part.select(*keys, "s", array_to_vector("c").alias("_c"), "sy", "syy")
+               .groupBy(*keys, "s").agg(Summarizer.sum(F.col("_c")).alias("_c"), F.sum("sy").alias("sy"),
+                                        F.sum("syy").alias("syy")))
     per = per.select(*keys, "s", vector_to_array("_c").alias("c"), "sy", "syy")
     return per.groupBy(*keys).agg(F.collect_list(F.struct("s", "c", "sy", "syy")).alias("stats"))
 
 
+def _arrow_type(dt):
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(dt)
+
+
 def _corr_from_moments(n, my, ey2, mp, ep2, eyp, use_corr=True, blended=True):
     """Pearson (or signed-root R^2) of y vs a prediction p on one set, from moments."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -155,7 +212,8 @@ def bootstrap_ridge_additive(x_df: DataFrame, y_df: DataFrame, keys, p: RidgePar
         raise ValueError("the additive plan implements per-series selection with bootstraps")
     sets = row_sets(x_df, y_df, p, frame_col).persist()
     grams = set_grams(x_df, sets, frame_col, x_col, p.max_broadcast_bytes)
-    stats = series_stats(x_df, y_df, sets, keys, frame_col, x_col, value)
+    width = next(iter(grams.values()))[2].shape[0]
+    stats = series_stats(x_df, y_df, sets, keys, frame_col, x_col, value, width=width)
     spark = stats.sparkSession
     bc = spark.sparkContext.broadcast({"grams": grams, "token": uuid.uuid4().hex})
     grid = np.asarray(p.alphas, dtype=float)
