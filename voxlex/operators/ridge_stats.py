@@ -53,22 +53,65 @@ def row_sets(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str =
     return sets
 
 
+def _frame_blocks(x_df: DataFrame, sets: DataFrame, frame_col: str, x_col: str, fblock: int):
+    """Stimulus rows with their set memberships, grouped into frame blocks (bounded size)."""
+    fb = F.floor(F.col(frame_col) / F.lit(fblock)).cast("long").alias("_fb")
+    member = sets.groupBy(frame_col).agg(F.collect_list("s").alias("_sets"))
+    xb = (x_df.select(frame_col, x_col).join(member, frame_col)
+              .groupBy(fb).agg(F.collect_list(F.struct(frame_col, x_col, "_sets")).alias("_xs")))
+    return xb, member, fb
+
+
+def _block_arrays(xs, frame_col: str, x_col: str, width: int):
+    """(frames, X, memberships) of one frame block, ordered by frame."""
+    tr = xs.field(frame_col).to_numpy(zero_copy_only=False)
+    order = np.argsort(tr)
+    xmat = xs.field(x_col).flatten().to_numpy(zero_copy_only=False).reshape(len(tr), width)[order]
+    lists = xs.field("_sets")
+    member = [lists[int(k)].as_py() for k in order]
+    return tr[order], xmat, member
+
+
+def _block_size(width: int) -> int:
+    return max(1, (32 << 20) // (8 * max(width, 1)))
+
+
 def set_grams(x_df: DataFrame, sets: DataFrame, frame_col: str = "tr", x_col: str = "x",
-              max_bytes: int = 1 << 30) -> dict:
-    """{s: (n, sum_x, X^T X)} for every set; features x features per set."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+              max_bytes: int = 1 << 30, frame_block: int | None = None) -> dict:
+    """{s: (n, sum_x, X^T X)} for every set; features x features per set.
+
+    One BLAS product per (frame block, set) inside an Arrow task, summed by
+    set; only the (sets x features x features) result reaches the driver,
+    after its size is checked.
+    """
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
     n_sets = sets.select("s").distinct().count()
     if n_sets * width * width * 8 > max_bytes:
         raise ValueError(f"{n_sets} Gram matrices of width {width} exceed the broadcast limit")
-    j = x_df.select(frame_col, x_col).join(sets, frame_col)
-    outer = F.flatten(F.transform(x_col, lambda a: F.transform(x_col, lambda b: a * b)))
-    g = (j.select("s", array_to_vector(outer).alias("_g"), array_to_vector(x_col).alias("_x"))
-          .groupBy("s").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_g")).alias("_gs"),
-                            Summarizer.sum(F.col("_x")).alias("_xs")))
+    xb, _, _ = _frame_blocks(x_df, sets, frame_col, x_col, frame_block or _block_size(width))
+    schema = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("n", T.LongType()),
+                           T.StructField("sx", T.ArrayType(T.DoubleType())),
+                           T.StructField("g", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, xmat, member = _block_arrays(batch.column("_xs")[i].values, frame_col, x_col, width)
+                for s_id in sorted({v for lst in member for v in lst}):
+                    xm = xmat[np.array([s_id in lst for lst in member])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s_id], pa.int32()), pa.array([len(xm)], pa.int64()),
+                         _list_array(xm.sum(0)[None, :]), _list_array((xm.T @ xm).reshape(1, -1))],
+                        names=["s", "n", "sx", "g"])
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    part = xb.select("_xs").mapInArrow(run, schema)
+    g = (part.select("s", "n", array_to_vector("sx").alias("_sx"), array_to_vector("g").alias("_g"))
+             .groupBy("s").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("_sx")).alias("_sx"),
+                               Summarizer.sum(F.col("_g")).alias("_g")))
     out = {}
-    for r in g.select("s", "n", vector_to_array("_gs").alias("g"), vector_to_array("_xs").alias("sx")).collect():
+    for r in g.select("s", "n", vector_to_array("_sx").alias("sx"), vector_to_array("_g").alias("g")).collect():
         out[int(r["s"])] = (int(r["n"]), np.asarray(r["sx"]), np.asarray(r["g"]).reshape(width, width))
     return out
 
@@ -92,12 +135,9 @@ def series_stats(x_df: DataFrame, y_df: DataFrame, sets: DataFrame, keys, frame_
     spark = y_df.sparkSession
     if width is None:
         width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    fblock = frame_block or max(1, (32 << 20) // (8 * max(width, 1)))
+    fblock = frame_block or _block_size(width)
     buckets = series_buckets or spark.sparkContext.defaultParallelism
-    fb = F.floor(F.col(frame_col) / F.lit(fblock)).cast("long").alias("_fb")
-    member = sets.groupBy(frame_col).agg(F.collect_list("s").alias("_sets"))
-    xb = (x_df.select(frame_col, x_col).join(member, frame_col)
-              .groupBy(fb).agg(F.collect_list(F.struct(frame_col, x_col, "_sets")).alias("_xs")))
+    xb, member, fb = _frame_blocks(x_df, sets, frame_col, x_col, fblock)
     yb = (y_df.select(*keys, frame_col, nan_to_zero(value).alias("_y"))
               .join(member.select(frame_col), frame_col, "left_semi")
               .groupBy(fb, F.pmod(F.hash(*keys), F.lit(buckets)).alias("_sb"))
@@ -114,14 +154,8 @@ def series_stats(x_df: DataFrame, y_df: DataFrame, sets: DataFrame, keys, frame_
         import pandas as pd
         for batch in batches:
             for i in range(batch.num_rows):
-                xs = batch.column("_xs")[i].values
+                tr_x, xmat, per_frame = _block_arrays(batch.column("_xs")[i].values, frame_col, x_col, width)
                 ys = batch.column("_ys")[i].values
-                order = np.argsort(xs.field(frame_col).to_numpy(zero_copy_only=False))
-                tr_x = xs.field(frame_col).to_numpy(zero_copy_only=False)[order]
-                xmat = xs.field(x_col).flatten().to_numpy(zero_copy_only=False).reshape(len(tr_x), width)[order]
-                set_lists = xs.field("_sets")
-                per_frame = [set_lists[k].as_py() for k in range(len(set_lists))]
-                per_frame = [per_frame[k] for k in order]
                 kdf = pd.DataFrame({k: ys.field(k).to_numpy(zero_copy_only=False) for k in keys})
                 sid = kdf.groupby(keys, sort=False).ngroup().to_numpy()
                 uniq = kdf.drop_duplicates(keys).reset_index(drop=True)
