@@ -29,6 +29,17 @@ from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import hash_unit, tokens
 
 _JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+_NOT_SINGLE_SPACED = re.compile(r"[\t\n\x0b\f\r]|  ")
+
+
+def _tokens(text: str) -> list:
+    """Whitespace tokens exactly as the JVM's ``split(trim(t), '\\s+')``.
+
+    Texts whose only whitespace is single spaces (every generated context)
+    take ``str.split``; anything else the regular expression.
+    """
+    t = text.strip(" ")
+    return _JAVA_SPACE.split(t) if _NOT_SINGLE_SPACED.search(t) else t.split(" ")
 
 
 class HashEmbedder:
@@ -88,7 +99,7 @@ class HashEmbedder:
     def encode_pooled(self, texts, pool: str = "mean") -> np.ndarray:
         """(n, dim) pooled vectors of whitespace-tokenised texts."""
         c = self._vocab()
-        split = [_JAVA_SPACE.split(t.strip(" ")) for t in texts]
+        split = [_tokens(t) for t in texts]
         if pool == "last":
             ids = self._ids((s[-1] for s in split), c)
             return c["rows"][ids]
@@ -104,7 +115,7 @@ class HashEmbedder:
         c = self._vocab()
         out = []
         for text in texts:
-            ids = self._ids(_JAVA_SPACE.split(text.strip(" ")), c)
+            ids = self._ids(_tokens(text), c)
             out.append(c["rows"][ids].copy())
         return out
 
