@@ -147,3 +147,28 @@ def test_gather_frames_reports_missing_frames(spark):
     frames = spark.createDataFrame([(1,), (2,), (9,), (-1,)], "tr int")
     assert sorted(r["tr"] for r in fr.gather_frames(resp, frames).collect()) == [1, 2]
     assert sorted(r["tr"] for r in fr.missing_frames(resp, frames).collect()) == [-1, 9]
+
+
+def test_generic_model_protocol_and_column_text_fn(spark):
+    class _LengthModel:
+        """A tiny custom model: token vector = (len(token), 1.0); loaded once per task.
+
+        Defined locally so it travels to the workers by value (a model in its
+        own module would be shipped with --py-files).
+        """
+
+        def load(self):
+            return self
+
+        def encode(self, texts):
+            return [np.array([[float(len(t)), 1.0] for t in text.split(" ")]) for text in texts]
+
+    df = spark.createDataFrame([(1, "aa bbbb c"), (2, "dddddd")], "id int, text string")
+    got = {r["id"]: r["x"] for r in embed(df, "text", _LengthModel(), "mean").collect()}
+    assert np.allclose(got[1], [7 / 3, 1.0]) and np.allclose(got[2], [6.0, 1.0])
+    last = {r["id"]: r["x"] for r in embed(df, "text", _LengthModel(), "last").collect()}
+    assert np.allclose(last[1], [1.0, 1.0])
+    upper = cx.ColumnTextFn(lambda c: F.upper(c))
+    assert [r["u"] for r in cx.apply_text_fn(df, "text", upper, "u").orderBy("id").collect()] == ["AA BBBB C", "DDDDDD"]
+    words = cx.apply_text_fn(df, "text", cx.first_words(2), "w").orderBy("id").collect()
+    assert [r["w"] for r in words] == ["aa bbbb", "dddddd"]
