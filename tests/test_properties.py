@@ -57,3 +57,17 @@ def test_anchor_text_equals_window_text(spark, n, ws, every, chunk):
     got = {r["pos"]: r["text"] for r in cx.trailing_text_at(tok, anchors, ws, chunk=chunk).collect()}
     words = [f"w{i}" for i in range(n)]
     assert got == {i: " ".join(words[max(0, i - ws): i + 1]) for i in range(0, n, every)}
+
+
+@SETTINGS
+@given(groups=st_.lists(st_.lists(st_.integers(-5, 5), min_size=1, max_size=30), min_size=1, max_size=3))
+def test_exact_quantiles_equal_numpy(spark, groups):
+    import numpy as np
+    from voxlex.operators import stats as stx
+    rows = [(g, float(v) / 4.0) for g, vals in enumerate(groups) for v in vals]
+    df = spark.createDataFrame(rows, "g int, corr double")
+    got = {r["g"]: r for r in stx.describe_scores(df, "g", "corr").collect()}
+    for g, vals in enumerate(groups):
+        ref = np.quantile(np.array(vals, dtype=float) / 4.0, [0.25, 0.5, 0.75])
+        assert [got[g]["q25"], got[g]["q50"], got[g]["q75"]] == [float(x) for x in ref] or \
+            np.allclose([got[g]["q25"], got[g]["q50"], got[g]["q75"]], ref, atol=1e-12)
