@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlex.llm import packing, token_counts, token_files, warc
+from voxlex.llm import minhash, packing, token_counts, token_files, warc
 from voxlex.llm.common import table
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTES)
 
@@ -31,6 +35,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
     "op8_token_files": op8_token_files,
