@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlex.llm import minhash, packing, token_counts, token_files, warc
+from voxlex.llm import minhash, packing, suffix_dedup, token_counts, token_files, warc
 from voxlex.llm.common import table
 
 WORDS = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.round_trip(table(spark, sf_dir, "documents"), WORDS, end_id=2))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
     "op10_packing": op10_packing,
 }
