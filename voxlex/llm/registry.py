@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxlex.llm import minhash, packing, suffix_dedup, token_counts, token_files, warc
+from voxlex.llm import language_id, minhash, packing, suffix_dedup, token_counts, token_files, warc
 from voxlex.llm.common import table
 
 WORDS = "word_bpe_49k.json"
@@ -17,6 +18,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language_id.fold() == 2, F.lit(False))
+    model = language_id.fit(docs.where(~held))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTES)
 
@@ -40,6 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
     "op7_suffix_dedup": op7_suffix_dedup,
