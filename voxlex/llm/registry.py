@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlex.llm import language_id, minhash, packing, suffix_dedup, token_counts, token_files, warc
+from voxlex.llm import language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc
 from voxlex.llm.common import table
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
