@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlex.llm import language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc
+from voxlex.llm import language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc, winnowing
 from voxlex.llm.common import table
 
 WORDS = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(language_id.fold() == 2, F.lit(False))
@@ -54,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
+    "op3_winnowing": op3_winnowing,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
