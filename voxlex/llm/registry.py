@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlex.llm import language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc, winnowing
+from voxlex.llm import decontam, language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc, winnowing
 from voxlex.llm.common import table
 
 WORDS = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.round_trip(table(spark, sf_dir, "documents"), WORDS, end_id=2))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS, end_id=0, capacity=2048)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 
