@@ -1,12 +1,46 @@
-"""Corpus pipeline: stages over ``documents``, each writing what it keeps."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes what its predecessor kept (a DataFrame with the columns of
+``documents``) and its decisions take effect: rejected, duplicate and
+contaminated documents go, personal data is replaced, and the last stage packs
+the rest.  Every stage is written as Parquet in the shared folder and read
+again, so a lost executor never costs an earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxlex.llm import packing, registry
+from voxlex.llm import decontam, language_id, minhash, packing, pii, registry
 from voxlex.llm.common import stage, table, workspace
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents that the nearest-centroid model rejects go."""
+    return language_id.predict(docs, language_id.fit(docs)).where("NOT rejected").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: every span is replaced by its kind; n_chars follows the new text."""
+    found = pii.find(docs).withColumn("n_spans", F.size("spans"))
+    return pii.redact(found).withColumn(
+        "n_chars", F.when(F.col("n_spans") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    ).select(*COLUMNS)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece with its sequence and offset."""
@@ -14,10 +48,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", keep_known_languages),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
     ("best-fit packing", pack),
 ]
 
-#: Tokenizing has no SQL form; tests compare run() with brute force.
+#: The model, the bands and the tokenizer have no SQL form; tests compare run()
+#: with a brute-force version.
 ORACLE_SQL = None
 
 
