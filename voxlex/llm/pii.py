@@ -14,8 +14,9 @@ and false candidates of a kind; it runs on the counts of vote patterns (at most
 81 a kind).  The posteriors of the patterns then train the final span
 classifier, a naive Bayes model over the votes-independent shape of a
 candidate, again from counts.  A candidate is added when the classifier and
-the posterior of its votes are both at least ``accept``; candidates that
-overlap a base span of the row, or an earlier addition, are dropped.
+the posterior of its votes are both at least ``accept``, its form or the words
+before it speak for it, and no labeler against it; candidates that overlap a
+base span of the row, or an earlier addition, are dropped.
 
 The patterns are possessive and anchored at the start of a run, so that texts
 without any match take linear time.  Positions are code points, ends are
@@ -126,8 +127,9 @@ def with_candidates(t: DataFrame) -> DataFrame:
     check = " ".join(f"WHEN '{k}' THEN IF({VALID[k]}, 1, -1)" for k in KINDS if k != "email")
     before = "substring(_t, greatest(1, x.start - 29), least(30, x.start))"
     d = digits("x.hit")
-    votes = f"""array(
-      IF(is_base, 1, IF(x.kind = 'phone' AND NOT x.hit RLIKE '[ ().-]', -1, 0)),
+    votes = rf"""array(
+      IF(is_base OR x.kind = 'email' AND x.hit RLIKE r'[\[({{<] ?(?i:at|dot) ?[\])}}>]', 1,
+         IF(x.kind = 'phone' AND NOT x.hit RLIKE '[ ().-]', -1, 0)),
       IF(IF(x.kind IN ('card', 'phone'), {d}, x.hit) RLIKE {pick(GAZETTEER)}, 1, 0),
       IF({before} RLIKE {pick(CUES)}, 1, IF({before} RLIKE r'{COUNTER}', -1, 0)),
       CASE x.kind {check} ELSE 0 END)"""
@@ -192,7 +194,8 @@ def find(docs: DataFrame, text_col: str = "text", accept: float = 0.9) -> DataFr
     t = with_candidates(with_base(docs, text_col))
     model = train(t)
     key = "concat_ws(':', x.kind, array_join(transform(x.v, e -> cast(e AS string)), ','))"
-    good = f"""filter(_cand, x -> NOT x.is_base AND coalesce(votes[{key}], 0) >= {accept}
+    good = f"""filter(_cand, x -> NOT x.is_base AND (x.v[0] = 1 OR x.v[2] = 1) AND NOT exists(x.v, e -> e < 0)
+      AND coalesce(votes[{key}], 0) >= {accept}
       AND coalesce(shapes[x.shape], 0) >= {accept} AND NOT exists(_base, y -> x.start < y.end AND y.start < x.end))"""
     free = """aggregate(array_sort(_good, (a, b) -> IF(a.start <> b.start, a.start - b.start, b.end - a.end)),
       cast(array() AS array<struct<kind:string,start:int,end:int>>),
