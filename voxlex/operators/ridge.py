@@ -7,15 +7,14 @@ Physical plan ("packed"):
   shipped as a broadcast together with the split and the hold-out indices.
 * Responses are packed to one row per series, ``y ARRAY<DOUBLE>`` in frame
   order (one shuffle by series key).
-* One ``mapInArrow`` pass over blocks of series does every bootstrap x alpha
-  with BLAS, picks each series' alpha, refits on the whole training part
-  and scores the test part.  Nothing but ``(keys, alpha, score[, weights])``
-  leaves the task.  The SVD factors of each bootstrap are computed on the
-  executor and cached per Python worker, so the driver never runs numpy on
-  the model.
-
-The penalty is ``alpha**2`` on a model without intercept and without
-centring of X (standard SVD-form ridge: ``V diag(s/(s^2+a^2)) U^T y``).
+* One ``mapInArrow`` pass over blocks of series turns them into moments
+  (``ridge_moments``), scores every bootstrap x alpha, picks each series'
+  alpha, refits on the whole training part and scores the test part.
+  Nothing but ``(keys, alpha, score[, weights])`` leaves the task.
+
+Beyond the broadcast limit, ``ridge_stats`` gets the same moments from
+aggregates; everything after the moments is shared.  The penalty is
+``alpha**2`` on a model without intercept and without centring of X.
 """
 
 from __future__ import annotations
@@ -25,13 +24,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import nan_to_zero
-from voxlex.operators.series import pack_series, frame_list, MAX_FRAMES
+from voxlex.operators.ridge_moments import (BLOCK_BYTES, RANK_TOL, TEST, TRAIN, RowMoments, SeriesMoments, Solver,
+                                            pick_alpha)
+from voxlex.operators.series import frame_list, MAX_FRAMES
 from voxlex.operators.splits import design_indices
 
 # Largest stimulus matrix shipped to executors (bytes of float64).
@@ -69,131 +70,6 @@ class RidgeParams:
     max_packed_frames: int = 20_000
 
 
-# ---------------------------------------------------------------------------
-# numpy kernels (run inside executor tasks on one block of series)
-# ---------------------------------------------------------------------------
-
-def _standardize(v: np.ndarray) -> np.ndarray:
-    """Column-wise z-score with the population std (NaN for constant columns)."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (v - v.mean(0)) / v.std(0)
-
-
-def _signed_root(r2: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.abs(r2)) * np.sign(r2)
-
-
-def _pearson_cols(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pearson correlation of matching columns (mean of z-score products)."""
-    return (_standardize(a) * _standardize(b)).mean(0)
-
-
-def _svd(x: np.ndarray, cutoff: float | None):
-    """Thin SVD, dropping singular values not above ``cutoff`` (None keeps all)."""
-    left, sing, right_t = np.linalg.svd(x, full_matrices=False)
-    if cutoff is not None:
-        keep = int(np.sum(sing > cutoff))
-        left, sing, right_t = left[:, :keep], sing[:keep], right_t[:keep]
-    return left, sing, right_t
-
-
-class BootFactor:
-    """One bootstrap's training-row factorisation and its held-out rows in that basis."""
-
-    def __init__(self, x_train: np.ndarray, held: np.ndarray, cutoff: float):
-        self.held_rows = np.asarray(held, dtype=int)
-        self.fit_rows = np.setdiff1d(np.arange(x_train.shape[0]), self.held_rows)
-        self.left, self.sing, right_t = _svd(x_train[self.fit_rows], cutoff)
-        self.held_basis = x_train[self.held_rows] @ right_t.T
-
-
-def _shrinkage(sing: np.ndarray, penalties) -> np.ndarray:
-    """(penalties, components) matrix of s / (s^2 + a^2)."""
-    pen = np.asarray(penalties, dtype=float)[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return sing[None, :] / (sing[None, :] ** 2 + pen ** 2)
-
-
-def cv_scores(x_train: np.ndarray, y_train: np.ndarray, held: list, alphas, *,
-              singcutoff: float = 1e-10, normalpha: bool = False, use_corr: bool = True,
-              factors=None) -> np.ndarray:
-    """Held-out scores, shape (boots, alphas, series).
-
-    Each bootstrap's training rows are factorised once; responses are
-    projected on the left singular vectors once, and every alpha only
-    rescales the components before predicting the held-out rows (no weights
-    are formed).  NaN scores (constant series) count as 0.
-    """
-    factors = factors or boot_factors(x_train, held, singcutoff)
-    out = np.zeros((len(factors), len(alphas), y_train.shape[1]))
-    for b, f in enumerate(factors):
-        coef = f.left.T @ y_train[f.fit_rows]
-        y_held = y_train[f.held_rows]
-        base = np.asarray(alphas, dtype=float) * (f.sing[0] if normalpha and f.sing.size else 1.0)
-        shrink = _shrinkage(f.sing, base)
-        if not use_corr:
-            blend = (1.0 + y_held.var(0)) / 2.0
-        for i in range(len(base)):
-            pred = (f.held_basis * shrink[i]) @ coef
-            if use_corr:
-                score = _pearson_cols(y_held, pred)
-            else:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = _signed_root(1.0 - (y_held - pred).var(0) / blend)
-            out[b, i] = np.where(np.isnan(score), 0.0, score)
-    return out
-
-
-def boot_factors(x_train: np.ndarray, held: list, singcutoff: float):
-    return [BootFactor(x_train, h, singcutoff) for h in held]
-
-
-def pick_alpha(cv_mean: np.ndarray, digits: int | None) -> np.ndarray:
-    """First index of the maximum over axis 0 (alphas)."""
-    s = cv_mean if digits is None else np.round(cv_mean, digits)
-    return np.argmax(s, axis=0)
-
-
-def final_scores(x_train, y_train, x_test, y_test, valphas, *, singcutoff=1e-10,
-                 normalpha=False, use_corr=True, return_weights=True, factors=None):
-    """Refit on the whole training part with one alpha per series; score the test part.
-
-    Weights path: plain SVD (no truncation), predict, Pearson correlation
-    with NaN -> 0 (R^2 variant: plain variance).  Weight-free path: SVD with
-    the cut-off, blended-variance R^2 variant, NaN kept.  Series sharing a
-    penalty are solved together.  Returns (scores, weights or None).
-    """
-    penalties = np.asarray(valphas, dtype=float)
-    n_series = y_train.shape[1]
-    cut = None if return_weights else singcutoff
-    left, sing, right_t = factors if factors is not None else _svd(x_train, cut)
-    if normalpha and sing.size:
-        penalties = penalties * sing[0]
-    y_fit = np.nan_to_num(y_train) if return_weights else y_train
-    coef = left.T @ y_fit
-    groups = [(a, np.nonzero(penalties == a)[0]) for a in np.unique(penalties)]
-    if return_weights:
-        weights = np.zeros((x_train.shape[1], n_series))
-        for a, cols in groups:
-            weights[:, cols] = right_t.T @ (_shrinkage(sing, [a])[0][:, None] * coef[:, cols])
-        pred = x_test @ weights
-        if use_corr:
-            return np.nan_to_num(_pearson_cols(y_test, np.nan_to_num(pred))), weights
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return _signed_root(1.0 - (y_test - pred).var(0) / y_test.var(0)), weights
-    test_basis = x_test @ right_t.T
-    scores = np.zeros(n_series)
-    blend = (1.0 + y_test.var(0)) / 2.0
-    for a, cols in groups:
-        pred = (test_basis * _shrinkage(sing, [a])[0]) @ coef[:, cols]
-        if use_corr:
-            scores[cols] = _pearson_cols(y_test[:, cols], pred)
-        else:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores[cols] = _signed_root(1.0 - (y_test[:, cols] - pred).var(0) / blend[cols])
-    return scores, None
-
-
 # ---------------------------------------------------------------------------
 # Design: split, hold-out draw and the broadcast stimulus
 # ---------------------------------------------------------------------------
@@ -250,43 +126,45 @@ def collect_x(x_df: DataFrame, frames: list, frame_col: str = "tr", x_col: str =
     """
     spark = x_df.sparkSession
     small = spark.createDataFrame([(int(t),) for t in frames], f"{frame_col} int")
-    rows = x_df.join(F.broadcast(small), frame_col).select(frame_col, x_col).collect()
-    width = max((len(r[1]) for r in rows), default=0)
-    n = len(frames)
-    if n * width * 8 > max_bytes:
-        raise ValueError(f"stimulus {n}x{width} exceeds the broadcast limit of {max_bytes} bytes")
+    rows = x_df.join(F.broadcast(small), frame_col).select(frame_col, x_col)
+    width = _check_rows(rows, frame_col, x_col, max_bytes, len(frames))
     pos = {t: i for i, t in enumerate(frames)}
-    x = np.zeros((n, width))
-    seen = np.zeros(n, dtype=bool)
-    for r in rows:
-        i = pos[r[0]]
-        if seen[i]:
-            raise ValueError(f"duplicate stimulus row for frame {r[0]}")
-        if len(r[1]) != width:
-            raise ValueError("stimulus rows differ in length")
-        seen[i] = True
-        x[i] = np.asarray(r[1], dtype=float)
-    if not seen.all():
-        raise ValueError(f"stimulus lacks {int((~seen).sum())} of the design frames")
+    x = np.zeros((len(frames), width))
+    for r in rows.collect():
+        x[pos[r[0]]] = np.asarray(r[1], dtype=float)
     return x
 
 
-def _worker_cache() -> dict:
-    return worker_cache("ridge")
+def _check_rows(rows: DataFrame, frame_col: str, x_col: str, max_bytes: int, frames: int | None = None) -> int:
+    """The width of a stimulus that is one row per frame, of equal lengths
+    and within ``max_bytes``; nothing is collected before this holds."""
+    n, distinct, lo, hi = rows.agg(F.count("*"), F.countDistinct(frame_col), F.min(F.size(x_col)),
+                                   F.max(F.size(x_col))).first()
+    if n != distinct:
+        raise ValueError("duplicate stimulus rows for a frame")
+    if n and lo != hi:
+        raise ValueError("stimulus rows differ in length")
+    if frames is not None and n != frames:
+        raise ValueError(f"stimulus lacks {frames - n} of the design frames")
+    width = hi or 0
+    if n * width * 8 > max_bytes:
+        raise ValueError(f"stimulus {n}x{width} exceeds the broadcast limit of {max_bytes} bytes")
+    return width
 
 
-def _cached(design: Design, p: RidgeParams):
-    """Factorisations of one design, computed once per worker process."""
-    cache = _worker_cache()
-    key = (design.token, p.nboots, p.singcutoff, p.return_weights)
-    hit = cache.get(key)
-    if hit is None:
-        if len(cache) > 8:
-            cache.clear()
-        boots = boot_factors(design.x_train, design.held, p.singcutoff) if p.nboots > 0 else []
-        final = _svd(design.x_train, None if p.return_weights else p.singcutoff)
-        hit = cache[key] = (boots, final)
-    return hit
+def solver_of(token: str, build):
+    """The solver of one job and stimulus, built once per worker process.
+    Solvers of the last jobs stay; those of one job are never dropped
+    while it runs, however many stimuli it has."""
+    cache = worker_cache("ridge")
+    job = token.split(":")[0]
+    if job not in cache:
+        for old in list(cache)[:-2]:
+            del cache[old]
+        cache[job] = {}
+    if token not in cache[job]:
+        cache[job][token] = build()
+    return cache[job][token]
 
 
 def _matrix(batch: pa.RecordBatch, col: str, width: int) -> np.ndarray:
@@ -336,41 +214,118 @@ def _dense(batch: pa.RecordBatch, n_frames: int) -> np.ndarray:
     return out
 
 
-def ridge_cv(packed: DataFrame, keys, design: Design, p: RidgeParams,
-             emit_boots: bool = False) -> DataFrame:
+class PackedReader:
+    """Moments of packed series against the broadcast stimuli of a design."""
+
+    columns = ["yi", "yv"]
+
+    def __init__(self, bc, p: RidgeParams):
+        self.bc, self.p = bc, p
+
+    def open(self):
+        v = self.bc.value
+        self.n_train, self.held, self.xs = v["n_train"], v["held"], v["xs"]
+        self.sets = {TRAIN: slice(0, self.n_train), TEST: slice(self.n_train, None), **dict(enumerate(self.held))}
+        self.solvers = [solver_of(f"{v['token']}:{i}", lambda x=x: self._solver(x)) for i, x in enumerate(self.xs)]
+        self.frames = len(self.xs[0])
+        # series a block may hold: dense responses and their copies per row set
+        self.block = max(1, BLOCK_BYTES // (8 * 4 * self.frames))
+        return self
+
+    def _solver(self, x):
+        train = x[:self.n_train]
+        rows = {b: np.delete(train, h, axis=0) for b, h in enumerate(self.held)}
+        rows[TRAIN] = train
+        return Solver({s: RowMoments.of(x[i]) for s, i in self.sets.items()}, len(self.held),
+                      self.p.singcutoff, self.p.return_weights, rows)
+
+    def moments(self, batch):
+        """One SeriesMoments per stimulus."""
+        y = _dense(batch, self.frames)
+        total = {s: y[i].sum(0) for s, i in self.sets.items()}
+        square = {s: np.square(y[i]).sum(0) for s, i in self.sets.items()}
+        return [SeriesMoments({s: x[i].T @ y[i] for s, i in self.sets.items()}, total, square) for x in self.xs]
+
+
+@dataclass
+class Source:
+    """One row per series, and how a task turns a block of rows into moments."""
+    df: DataFrame
+    keys: list
+    reader: object
+    runs: list = field(default_factory=lambda: [""])
+
+    def job(self, fields: list, per_block, extra: DataFrame | None = None, extra_cols=()) -> DataFrame:
+        """``per_block(run name, solver, moments, batch)`` -> arrays of ``fields``."""
+        keys, reader, runs = self.keys, self.reader, self.runs
+        rows = self.df.select(*keys, *reader.columns)
+        if extra is not None:
+            rows = rows.join(extra.select(*keys, *extra_cols), keys)
+        schema = T.StructType([self.df.schema[k] for k in keys] + fields)
+        names = schema.fieldNames()
+
+        def run(batches):
+            reader.open()
+            for batch in batches:
+                for a in range(0, batch.num_rows, reader.block):
+                    part = batch.slice(a, reader.block)
+                    for name, solver, m in zip(runs, reader.solvers, reader.moments(part)):
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(k) for k in keys] + per_block(name, solver, m, part), names=names)
+
+        return rows.mapInArrow(run, schema)
+
+
+def packed_source(y_df: DataFrame, keys, design: Design, p: RidgeParams, frame_col="tr", value="value",
+                  xs: list | None = None, runs: list | None = None) -> Source:
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    bc = y_df.sparkSession.sparkContext.broadcast(
+        {"n_train": design.n_train, "held": [np.asarray(h) for h in design.held] if p.nboots else [],
+         "xs": xs or [design.x], "token": design.token})
+    return Source(pack_responses(y_df, keys, design, frame_col, value), keys, PackedReader(bc, p), runs or [""])
+
+
+def source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, frame_col="tr", x_col="x", value="value",
+           design: Design | None = None, plan: str = "auto") -> Source:
+    """The moments of every series, by either physical plan.
+
+    ``packed`` broadcasts the stimulus (size-checked) and packs series;
+    ``additive`` never ships the stimulus; ``auto`` takes the packed plan
+    while the stimulus fits the limits.  Both give the same columns and, up
+    to rounding, the same values for every option.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    frames = None
+    if design is None and plan == "auto":
+        plan, frames = choose_plan(x_df, y_df, p, frame_col, x_col)
+    if design is None and plan == "additive":
+        from voxlex.operators.ridge_stats import additive_source
+        return additive_source(x_df, y_df, keys, p, frame_col, x_col, value)
+    design = design or build_design(x_df, y_df, p, frame_col, x_col, frames)
+    return packed_source(y_df, keys, design, p, frame_col, value)
+
+
+def ridge_cv(src: Source, p: RidgeParams, emit_boots: bool = False) -> DataFrame:
     """Held-out score of every alpha for every series (mean over bootstraps).
 
     Output: keys, ``cv ARRAY<DOUBLE>`` (one score per alpha), and with
     ``emit_boots`` ``boot_scores ARRAY<DOUBLE>`` (bootstrap-major).
     """
-    spark = packed.sparkSession
-    bc = spark.sparkContext.broadcast(design.payload())
-    keys = list(keys)
-    n_frames = len(design.frames)
-    fields = [packed.schema[k] for k in keys] + [T.StructField("cv", T.ArrayType(T.DoubleType()))]
-    if emit_boots:
-        fields.append(T.StructField("boot_scores", T.ArrayType(T.DoubleType())))
-    schema = T.StructType(fields)
+    array = T.ArrayType(T.DoubleType())
+    fields = [T.StructField("cv", array)] + [T.StructField("boot_scores", array)] * emit_boots
     alphas = list(p.alphas)
 
-    def run(batches):
-        d = Design(**bc.value)
-        boots, _ = _cached(d, p)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            y = _dense(batch, n_frames)
-            sc = cv_scores(d.x_train, y[: d.n_train], d.held, alphas, singcutoff=p.singcutoff,
-                           normalpha=p.normalpha, use_corr=p.use_corr, factors=boots)
-            cols = [batch.column(k) for k in keys] + [_list_array(sc.mean(0).T)]
-            if emit_boots:
-                cols.append(_list_array(sc.transpose(2, 0, 1).reshape(sc.shape[2], -1)))
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+    def block(_, solver, m, part):
+        sc = solver.held_out(m, alphas, p.normalpha, p.use_corr)
+        out = [_list_array(sc.mean(0).T)]
+        if emit_boots:
+            out.append(_list_array(sc.transpose(2, 0, 1).reshape(sc.shape[2], -1)))
+        return out
 
-    return packed.select(*keys, "yi", "yv").mapInArrow(run, schema)
+    return src.job(fields, block)
 
 
-def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None = None,
+def select_alpha(series: DataFrame, cv: DataFrame | None, keys, p: RidgeParams, groups: DataFrame | None = None,
                  group_col: str = "grp") -> DataFrame:
     """Alpha index per series from the cross-validation table.
 
@@ -379,14 +334,17 @@ def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None =
       no group gets alpha 0.0 (``alpha_idx`` NULL); a series listed in
       several groups takes the last (largest) group id;
     * ``single_alpha``: one argmax over all series.
+
+    ``series`` has one row per series; ``cv`` (None without bootstraps) is
+    read once.
     """
     from voxlex.operators.stats import best_alpha
     keys = list(keys)
-    spark = cv.sparkSession
+    spark = series.sparkSession
     if p.single_alpha and p.nboots == 0:
         if len(p.alphas) != 1:
             raise ValueError("at least one bootstrap is needed to choose among several alphas")
-        return cv.select(*keys).withColumn("alpha_idx", F.lit(0)).withColumn("alpha", F.lit(float(p.alphas[0])))
+        return series.select(*keys).withColumn("alpha_idx", F.lit(0)).withColumn("alpha", F.lit(float(p.alphas[0])))
     if not p.single_alpha and p.nboots == 0:
         raise ValueError("at least one bootstrap is needed to assign per-series alphas")
     long = cv.select(*keys, F.posexplode("cv").alias("alpha_idx", "mean_corr"))
@@ -394,7 +352,7 @@ def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None =
     if p.single_alpha:
         per = long.groupBy("alpha_idx").agg(F.avg("mean_corr").alias("mean_corr"))
         best = best_alpha(per, None, "mean_corr", p.score_digits, "alpha_idx").withColumn("_g", F.lit(0))
-        out = cv.select(*keys).withColumn("_g", F.lit(0)).join(F.broadcast(best), "_g").drop("_g")
+        out = series.select(*keys).withColumn("_g", F.lit(0)).join(F.broadcast(best), "_g").drop("_g")
         return out.join(grid, "alpha_idx")
     if groups is not None:
         g = groups.groupBy(*keys).agg(F.max(group_col).alias(group_col))
@@ -404,7 +362,7 @@ def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None =
         # Grouped series take their group's alpha; series in no group get 0.0.
         # (Split instead of a NULL-keyed outer join, which would send every
         # ungrouped series to one reducer.)
-        member = cv.select(*keys).join(g, keys, "left")
+        member = series.select(*keys).join(g, keys, "left")
         grouped = member.where(F.col(group_col).isNotNull()).join(best, group_col).drop(group_col)
         grouped = grouped.join(grid, "alpha_idx")
         alone = member.where(F.col(group_col).isNull()).select(
@@ -414,70 +372,36 @@ def select_alpha(cv: DataFrame, keys, p: RidgeParams, groups: DataFrame | None =
     return best.join(grid, "alpha_idx")
 
 
-def _fit_block(d: Design, p: RidgeParams, boots, final, y: np.ndarray, grid: np.ndarray, va=None):
-    """CV (when ``va`` is None), alpha choice, refit and test score for one block."""
-    ytr, yte = y[: d.n_train], y[d.n_train:]
-    idx = cvm = None
-    if va is None:
-        sc = cv_scores(d.x_train, ytr, d.held, grid, singcutoff=p.singcutoff,
-                       normalpha=p.normalpha, use_corr=p.use_corr, factors=boots)
-        cvm = sc.mean(0)
-        idx = pick_alpha(cvm, p.score_digits)
-        va = grid[idx]
-    corr, wt = final_scores(d.x_train, ytr, d.x_test, yte, va, singcutoff=p.singcutoff,
-                            normalpha=p.normalpha, use_corr=p.use_corr,
-                            return_weights=p.return_weights, factors=final)
-    return idx, va, corr, wt, cvm
-
-
-def fit_score(packed: DataFrame, keys, design: Design, p: RidgeParams,
-              alphas: DataFrame | None = None) -> DataFrame:
+def fit_score(src: Source, p: RidgeParams, alphas: DataFrame | None = None, run_col: str | None = None) -> DataFrame:
     """Final fit and test score with one alpha per series.
 
     ``alphas`` (keys, alpha) comes from ``select_alpha``; without it the
     selection by bootstrap happens inside the same task (per-series mode),
     so cross-validation, selection and refit are one pass over the data.
-    Output: keys, alpha, corr[, weights] (+ ``cv`` in the fused mode).
+    Output: keys, alpha, corr[, weights], with ``run_col`` also the stimulus.
     """
-    spark = packed.sparkSession
-    bc = spark.sparkContext.broadcast(design.payload())
-    keys = list(keys)
-    n_frames = len(design.frames)
-    fused = alphas is None
-    src = packed.select(*keys, "yi", "yv")
-    if not fused:
-        src = src.join(alphas.select(*keys, "alpha"), keys)
-    fields = [packed.schema[k] for k in keys]
-    if fused:
-        fields.append(T.StructField("alpha_idx", T.IntegerType()))
+    grid = np.asarray(p.alphas, dtype=float)
+    fields = [T.StructField(run_col, T.StringType())] if run_col else []
     fields += [T.StructField("alpha", T.DoubleType()), T.StructField("corr", T.DoubleType())]
-    if p.return_weights:
+    if p.return_weights and not run_col:
         fields.append(T.StructField("weights", T.ArrayType(T.DoubleType())))
-    if fused:
-        fields.append(T.StructField("cv", T.ArrayType(T.DoubleType())))
-    schema = T.StructType(fields)
-    grid = np.asarray(p.alphas, dtype=float)
 
-    def run(batches):
-        d = Design(**bc.value)
-        boots, final = _cached(d, p)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            y = _dense(batch, n_frames)
-            va = None if fused else batch.column("alpha").to_numpy(zero_copy_only=False).astype(float)
-            idx, va, corr, wt, cvm = _fit_block(d, p, boots, final, y, grid, va)
-            cols = [batch.column(k) for k in keys]
-            if fused:
-                cols.append(pa.array(idx.astype(np.int32)))
-            cols += [pa.array(va, type=pa.float64()), _nullable(corr)]
-            if p.return_weights:
-                cols.append(_list_array(wt.T))
-            if fused:
-                cols.append(_list_array(cvm.T))
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
-
-    return src.mapInArrow(run, schema)
+    def block(name, solver, m, part):
+        if alphas is None:
+            cv = solver.held_out(m, grid, p.normalpha, p.use_corr).mean(0)
+            a = grid[pick_alpha(cv, p.score_digits)]
+        else:
+            a = part.column("alpha").to_numpy(zero_copy_only=False).astype(float)
+        corr, w = solver.fit(m, a, p.normalpha, p.use_corr, p.return_weights)
+        out = [pa.array([name] * len(a), pa.string())] if run_col else []
+        out += [pa.array(a, pa.float64()), _nullable(corr)]
+        return out + ([_list_array(w)] if p.return_weights and not run_col else [])
+
+    # only a flag crosses into the task, not the DataFrame
+    if alphas is None:
+        return src.job(fields, block)
+    frame, alphas = alphas, True
+    return src.job(fields, block, frame, ["alpha"])
 
 
 def choose_plan(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str = "tr",
@@ -508,33 +432,29 @@ def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | Non
     ``x_df``: (tr, x ARRAY<DOUBLE>) one row per frame.  ``y_df``: long
     (keys..., tr, value).  Returns keys, alpha, corr[, weights].
 
-    ``plan``: ``packed`` broadcasts the stimulus (size-checked) and fits
-    blocks of packed series; ``additive`` never ships the stimulus and works
-    from additive per-set statistics (``ridge_stats``); ``auto`` takes the
-    packed plan while the stimulus fits the broadcast limit and the additive
-    plan beyond it (per-series selection without weights output).
+    ``plan``: see ``source``; every option works the same in either plan.
     """
     p = p or RidgeParams()
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    if design is None:
-        # Both inputs feed the small design jobs and the main pass: compute once.
-        x_df, y_df = x_df.persist(), y_df.persist()
-        frames = None
-        if plan == "auto" and groups is None and not p.single_alpha and p.nboots > 0:
-            plan, frames = choose_plan(x_df, y_df, p, frame_col, x_col)
-        if plan == "additive":
-            from voxlex.operators.ridge_stats import bootstrap_ridge_additive
-            return bootstrap_ridge_additive(x_df, y_df, keys, p, frame_col, x_col, value)
-        design = build_design(x_df, y_df, p, frame_col, x_col, frames)
-    packed = pack_responses(y_df, keys, design, frame_col, value)
+    src = source(x_df, y_df, keys, p, frame_col, x_col, value, design, plan)
     if groups is None and not p.single_alpha:
         if p.nboots == 0:
             raise ValueError("at least one bootstrap is needed to assign per-series alphas")
-        return fit_score(packed, keys, design, p).drop("cv", "alpha_idx")
-    packed = packed.persist()
-    cv = ridge_cv(packed, keys, design, p)
-    alphas = select_alpha(cv, keys, p, groups)
-    return fit_score(packed, keys, design, p, alphas)
+        return fit_score(src, p)
+    cv = ridge_cv(src, p) if p.nboots else None
+    return fit_score(src, p, select_alpha(src.df, cv, src.keys, p, groups))
+
+
+def bootstrap_tables(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | None = None, frame_col: str = "tr",
+                     x_col: str = "x", value: str = "value") -> dict:
+    """Fit, bootstrap scores and held-out rows of the same draw:
+    ``fit`` (keys, alpha, corr[, weights]), ``boot_scores`` (keys, boot,
+    alpha_idx, corr) and ``held`` (boot, frame)."""
+    p = p or RidgeParams()
+    design = build_design(x_df, y_df, p, frame_col, x_col)
+    rows = [(b, int(design.frames[i])) for b, h in enumerate(design.held) for i in h]
+    return {"fit": bootstrap_ridge(x_df, y_df, keys, p, None, frame_col, x_col, value, design),
+            "boot_scores": boot_scores_long(x_df, y_df, keys, p, frame_col, x_col, value, design),
+            "held": x_df.sparkSession.createDataFrame(rows, f"boot int, {frame_col} int")}
 
 
 def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, frame_col: str = "tr",
@@ -544,84 +464,101 @@ def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, f
     The stimuli must cover the same frames (one transcript embedded with
     different window sizes, PCA sizes, poolings or tactics), so the split,
     the hold-out draw and the packed responses are built once; each block
-    of series is fitted against every stimulus inside the same task.
-    Output: (run STRING, keys..., alpha, corr).
+    of series is fitted against every stimulus inside the same task.  Stimuli
+    beyond the broadcast limit are fitted one after the other by the
+    additive plan.  Output: (run STRING, keys..., alpha, corr).
     """
     p = p or RidgeParams()
     if p.single_alpha or p.nboots == 0:
         raise ValueError("fit_runs selects one alpha per series; use bootstrap_ridge otherwise")
     keys = [keys] if isinstance(keys, str) else list(keys)
-    runs = [str(r) for r in x_dfs]
-    xs_in = list(x_dfs.values())
-    y_df = y_df.persist()
-    base = build_design(xs_in[0].persist(), y_df, p, frame_col, x_col)
-    mats = [base.x] + [collect_x(x, base.frames, frame_col, x_col, p.max_broadcast_bytes) for x in xs_in[1:]]
-    if sum(m.nbytes for m in mats) > p.max_broadcast_bytes:
-        raise ValueError("stimuli together exceed the broadcast limit")
-    packed = pack_responses(y_df, keys, base, frame_col, value)
-    spark = packed.sparkSession
-    payload = base.payload()
-    payload["x"] = None
-    bc = spark.sparkContext.broadcast({"base": payload, "xs": mats, "runs": runs})
-    n_frames = len(base.frames)
-    grid = np.asarray(p.alphas, dtype=float)
-    q = p  # scoring path (weights / weight-free) follows p.return_weights; weights are not emitted
-    schema = T.StructType([T.StructField(run_col, T.StringType())] + [packed.schema[k] for k in keys] +
-                          [T.StructField("alpha", T.DoubleType()), T.StructField("corr", T.DoubleType())])
-
-    def run(batches):
-        v = bc.value
-        designs = []
-        for name, xm in zip(v["runs"], v["xs"]):
-            b = dict(v["base"], x=xm, token=f"{v['base']['token']}:{name}")
-            dd = Design(**b)
-            designs.append((name, dd) + _cached(dd, q))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            y = _dense(batch, n_frames)
-            for name, dd, boots, final in designs:
-                _, va, corr, _, _ = _fit_block(dd, q, boots, final, y, grid)
-                cols = [pa.array([name] * batch.num_rows, type=pa.string())]
-                cols += [batch.column(k) for k in keys]
-                cols += [pa.array(va, type=pa.float64()), _nullable(corr)]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
-
-    return packed.select(*keys, "yi", "yv").mapInArrow(run, schema)
-
-
-def boot_scores_long(x_df, y_df, keys, p: RidgeParams | None = None, frame_col="tr",
-                     x_col="x", value="value", design: Design | None = None) -> DataFrame:
+    xs_in = {str(r): x for r, x in x_dfs.items()}
+    first = next(iter(xs_in.values()))
+    plan, frames = choose_plan(first, y_df, p, frame_col, x_col)
+    if plan == "packed":
+        widths = [x.select(F.max(F.size(x_col))).first()[0] or 0 for x in xs_in.values()]
+        if 8 * len(frames) * sum(widths) > p.max_broadcast_bytes:
+            plan = "additive"
+    if plan == "additive":
+        out = None
+        for name, x in xs_in.items():
+            one = fit_score(source(x, y_df, keys, p, frame_col, x_col, value, None, plan), p).select(
+                F.lit(name).alias(run_col), *keys, "alpha", "corr")
+            out = one if out is None else out.unionByName(one)
+        return out
+    base = build_design(first, y_df, p, frame_col, x_col, frames)
+    mats = [base.x] + [collect_x(x, base.frames, frame_col, x_col, p.max_broadcast_bytes)
+                       for x in list(xs_in.values())[1:]]
+    src = packed_source(y_df, keys, base, p, frame_col, value, mats, list(xs_in))
+    return fit_score(src, p, run_col=run_col).select(run_col, *keys, "alpha", "corr")
+
+
+def boot_scores_long(x_df, y_df, keys, p: RidgeParams | None = None, frame_col="tr", x_col="x", value="value",
+                     design: Design | None = None, plan: str = "auto") -> DataFrame:
     """(keys, boot, alpha_idx, corr): every held-out score of the bootstrap."""
     p = p or RidgeParams()
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    design = design or build_design(x_df, y_df, p, frame_col, x_col)
-    packed = pack_responses(y_df, keys, design, frame_col, value)
-    cv = ridge_cv(packed, keys, design, p, emit_boots=True)
+    src = source(x_df, y_df, keys, p, frame_col, x_col, value, design, plan)
     a = len(p.alphas)
-    e = cv.select(*keys, F.posexplode("boot_scores").alias("_k", "corr"))
-    return e.select(*keys, (F.col("_k") / a).cast("int").alias("boot"),
+    e = ridge_cv(src, p, emit_boots=True).select(*src.keys, F.posexplode("boot_scores").alias("_k", "corr"))
+    return e.select(*src.keys, (F.col("_k") / a).cast("int").alias("boot"),
                     (F.col("_k") % a).cast("int").alias("alpha_idx"), "corr")
 
 
-def ridge_grid(x_df, y_df, keys, p: RidgeParams | None = None, frame_col="tr", x_col="x",
-               value="value") -> DataFrame:
-    """Score every alpha x series on the test part without forming weights.
+def ridge_grid(x_df, y_df, keys, p: RidgeParams | None = None, frame_col="tr", x_col="x", value="value",
+               plan: str = "auto") -> DataFrame:
+    """Score every alpha x series on the test part without forming weights,
+    trained on the whole training part.  Output (keys, alpha_idx, corr)."""
+    p = p or RidgeParams()
+    p = RidgeParams(**{**p.__dict__, "nboots": 0})
+    src = source(x_df, y_df, keys, p, frame_col, x_col, value, None, plan)
+    alphas = list(p.alphas)
+
+    def block(_, solver, m, part):
+        return [_list_array(solver.on_test(m, alphas, p.normalpha, p.use_corr).T)]
+
+    grid = src.job([T.StructField("g", T.ArrayType(T.DoubleType()))], block)
+    return grid.select(*src.keys, F.posexplode("g").alias("alpha_idx", "corr"))
 
-    Trains on the whole training part (one "bootstrap" whose held-out rows
-    are the test frames).  Output (keys, alpha_idx, corr).
+
+def ridge_weights(x_df, y_df, keys, alpha, frame_col="tr", x_col="x", value="value", normalpha: bool = False,
+                  plan: str = "auto") -> DataFrame:
+    """Weights on all rows given, without split or bootstrap: (keys, alpha, weights).
+
+    ``alpha``: one number, or a DataFrame (keys, alpha) with one per series.
     """
-    p = p or RidgeParams()
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    base = RidgeParams(**{**p.__dict__, "nboots": 0})
-    d0 = build_design(x_df, y_df, base, frame_col, x_col)
-    # Re-express: training rows = train part, held-out rows = test part.
-    n = len(d0.frames)
-    design = Design(frames=d0.frames, n_train=n, held=[np.arange(d0.n_train, n)], x=d0.x)
-    q = RidgeParams(**{**p.__dict__, "nboots": 1})
-    packed = pack_responses(y_df, keys, design, frame_col, value)
-    cv = ridge_cv(packed, keys, design, q)
-    return cv.select(*keys, F.posexplode("cv").alias("alpha_idx", "corr"))
+    p = RidgeParams(nboots=0, test_size=0.0, normalpha=normalpha)
+    src = source(x_df, y_df, keys, p, frame_col, x_col, value, None, plan)
+    per = alpha if isinstance(alpha, DataFrame) else src.df.select(*src.keys).withColumn("alpha", F.lit(float(alpha)))
+    return fit_score(src, p, per).select(*src.keys, "alpha", "weights")
+
+
+def factorize(x_df: DataFrame, cutoff: float = 1e-10, frame_col: str = "tr", x_col: str = "x"):
+    """Thin SVD of the stimulus: (``factors`` (k, sigma, v), ``left`` (frame, u)).
+
+    Singular values and right vectors come from the blocked cross products
+    (features x features); the left vectors are a distributed projection.
+    Values at most ``cutoff``, or ``RANK_TOL`` of the largest, are dropped.
+    """
+    spark = x_df.sparkSession
+    from voxlex.operators.ridge_stats import cross_products
+    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+    sets = x_df.select(frame_col, F.lit(TRAIN).alias("s"))
+    row = cross_products(x_df, sets, frame_col, x_col, width).first()
+    lam, v = np.linalg.eigh(np.asarray(row["g"]).reshape(width, width))
+    sing, v = np.sqrt(np.clip(lam[::-1], 0.0, None)), v[:, ::-1]
+    keep = sing > max(cutoff, RANK_TOL * sing[0])
+    sing, v = sing[keep], v[:, keep]
+    factors = spark.createDataFrame([(k, float(x), v[:, k].tolist()) for k, x in enumerate(sing)],
+                                    "k int, sigma double, v array<double>")
+    to_u = (v / sing).T
+
+    def project(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _list_array(_matrix(b, x_col, width) @ to_u.T)],
+                                             names=[frame_col, "u"])
+
+    kind = x_df.schema[frame_col].dataType.simpleString()
+    return factors, x_df.select(frame_col, x_col).mapInArrow(project, f"{frame_col} {kind}, u array<double>")
 
 
 def predict(x_df: DataFrame, weights: DataFrame, keys, frame_col: str = "tr", x_col: str = "x",
@@ -633,30 +570,27 @@ def predict(x_df: DataFrame, weights: DataFrame, keys, frame_col: str = "tr", x_
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     spark = x_df.sparkSession
-    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    frames = frame_list(x_df, frame_col)
-    if len(frames) * width * 8 > max_bytes:
-        raise ValueError("stimulus exceeds the broadcast limit")
-    pos = {t: i for i, t in enumerate(frames)}
-    x = np.zeros((len(frames), width))
-    for r in x_df.select(frame_col, x_col).collect():
-        x[pos[r[0]]] = np.asarray(r[1], dtype=float)
+    rows = x_df.select(frame_col, x_col)
+    _check_rows(rows, frame_col, x_col, max_bytes)
+    got = sorted(rows.collect(), key=lambda r: r[0])
+    frames = [r[0] for r in got]
+    x = np.array([r[1] for r in got], dtype=float).reshape(len(got), -1)
     bc = spark.sparkContext.broadcast((np.asarray(frames, dtype=np.int32), x))
     schema = T.StructType([weights.schema[k] for k in keys] +
                           [T.StructField(frame_col, T.IntegerType()), T.StructField("pred", T.DoubleType())])
 
     def run(batches):
         fr, xm = bc.value
+        step = max(1, (BLOCK_BYTES // 32) // max(1, len(fr)))      # result rows a block
         for batch in batches:
-            m = batch.num_rows
-            if m == 0:
-                continue
-            w = _matrix(batch, w_col, xm.shape[1])
-            pred = xm @ w.T                        # frames x series
-            idx = np.repeat(np.arange(m), len(fr))
-            cols = [batch.column(k).take(pa.array(idx)) for k in keys]
-            cols += [pa.array(np.tile(fr, m)), pa.array(pred.T.ravel())]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                m = part.num_rows
+                pred = xm @ _matrix(part, w_col, xm.shape[1]).T    # frames x series
+                idx = np.repeat(np.arange(m), len(fr))
+                cols = [part.column(k).take(pa.array(idx)) for k in keys]
+                cols += [pa.array(np.tile(fr, m)), pa.array(pred.T.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
     return weights.select(*keys, w_col).mapInArrow(run, schema)
 
@@ -665,50 +599,48 @@ def predict(x_df: DataFrame, weights: DataFrame, keys, frame_col: str = "tr", x_
 # Cross-product statistics and diagonal scaling (distributed aggregates)
 # ---------------------------------------------------------------------------
 
-def gram(x_df: DataFrame, x_col: str = "x", by=None) -> DataFrame:
-    """``X^T X`` as a long table (i, j, value), summed map-side per task."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+def gram(x_df: DataFrame, x_col: str = "x", by=None, frame_col: str = "tr") -> DataFrame:
+    """``X^T X`` as a long table (i, j, value), one blocked product per block
+    of rows, summed by Spark; ``by``: one matrix per value of that column."""
+    from voxlex.operators.ridge_stats import cross_products
+    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    outer = F.flatten(F.transform(x_col, lambda a: F.transform(x_col, lambda b: a * b)))
-    s = (x_df.select(*keys, F.size(x_col).alias("_n"), array_to_vector(outer).alias("_v"))
-             .groupBy(*keys).agg(F.max("_n").alias("_n"), Summarizer.sum(F.col("_v")).alias("_s")))
-    e = s.select(*keys, "_n", F.posexplode(vector_to_array("_s")).alias("_k", "value"))
-    return e.select(*keys, (F.col("_k") / F.col("_n")).cast("int").alias("i"),
-                    (F.col("_k") % F.col("_n")).cast("int").alias("j"), "value")
+    if len(keys) > 1:
+        raise ValueError("one grouping column at most")
+    rows = x_df.withColumn("s", F.col(keys[0]) if keys else F.lit(TRAIN))
+    s = cross_products(rows, None, frame_col, x_col, width)
+    e = s.select(*[F.col("s").alias(k) for k in keys], F.posexplode("g").alias("_k", "value"))
+    return e.select(*keys, (F.col("_k") / width).cast("int").alias("i"), (F.col("_k") % width).cast("int").alias("j"),
+                    "value")
 
 
 def xty(x_df: DataFrame, y_df: DataFrame, keys, frame_col: str = "tr", x_col: str = "x",
         value: str = "value") -> DataFrame:
-    """``X^T y`` per series as (keys, j, value); X joins on frames (small side)."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+    """``X^T y`` per series as (keys, j, value), by blocked products."""
+    from voxlex.operators.ridge_stats import series_stats
     keys = [keys] if isinstance(keys, str) else list(keys)
-    j = y_df.join(x_df.select(frame_col, x_col), frame_col)
-    prod = F.transform(x_col, lambda a: a * F.col(value))
-    s = (j.select(*keys, array_to_vector(prod).alias("_v"))
-          .groupBy(*keys).agg(Summarizer.sum(F.col("_v")).alias("_s")))
-    return s.select(*keys, F.posexplode(vector_to_array("_s")).alias("j", value))
+    sets = x_df.select(frame_col, F.lit(TRAIN).alias("s"))
+    stats = series_stats(x_df, y_df, sets, keys, frame_col, x_col, value)
+    return stats.select(*keys, F.posexplode(F.col("stats")[0]["c"]).alias("j", value))
 
 
-def feature_spectrum(x_df: DataFrame, x_col: str = "x") -> DataFrame:
-    """Singular values of X (descending) from the eigenvalues of ``X^T X``.
-
-    The Gram matrix is a distributed aggregate; its eigendecomposition runs
-    in one task on a features x features table (independent of row count).
-    """
-    g = gram(x_df, x_col).withColumn("_g", F.lit(0))
-
-    def eig(pdf):
-        import pandas as pd
-        n = int(pdf["i"].max()) + 1
-        m = np.zeros((n, n))
-        m[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["value"].to_numpy()
-        lam = np.linalg.eigvalsh(m)[::-1]
-        return pd.DataFrame({"k": np.arange(n, dtype=np.int32),
-                             "sigma": np.sqrt(np.clip(lam, 0.0, None))})
-
-    return g.groupBy("_g").applyInPandas(eig, "k int, sigma double")
+def feature_spectrum(x_df: DataFrame, x_col: str = "x", frame_col: str = "tr") -> DataFrame:
+    """Singular values of X (descending) from the eigenvalues of ``X^T X``,
+    a features x features row that one task decomposes."""
+    from voxlex.operators.ridge_stats import cross_products
+    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+    s = cross_products(x_df.withColumn("s", F.lit(TRAIN)), None, frame_col, x_col, width).select("g")
+
+    def eig(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                g = b.column(0)[i].values.to_numpy(zero_copy_only=False).reshape(width, width)
+                lam = np.linalg.eigvalsh(g)[::-1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(width, dtype=np.int32)), pa.array(np.sqrt(np.clip(lam, 0.0, None)))],
+                    names=["k", "sigma"])
+
+    return s.mapInArrow(eig, "k int, sigma double")
 
 
 def scale_rows(df: DataFrame, d: DataFrame, key: str = "tr", x_col: str = "x", d_col: str = "d") -> DataFrame:

@@ -11,11 +11,8 @@ Training statistics of a bootstrap are "training part minus its held-out
 set".  The sets are assigned by Spark (ordered split, chunking, seeded
 hold-out draw - no frame list on the driver); the Gram matrices (features x
 features, independent of the frame count) are the only broadcast.  Per-series
-statistics are grouped into one row per series and one ``mapInArrow`` pass
-solves every bootstrap x alpha, picks the alpha and scores the test part.
-Weights follow ``w = V diag(1 / (lambda + alpha^2)) V^T X^T y`` from the
-eigendecomposition of the training Gram matrix, which equals the SVD form for
-every alpha > 0.
+statistics are grouped into one row per series; from there on the algebra is
+that of the packed plan (``ridge_moments``).
 """
 
 from __future__ import annotations
@@ -28,19 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import nan_to_zero
-from voxlex.operators.ridge import RidgeParams, _list_array, _nullable, pick_alpha
+from voxlex.operators.ridge import RidgeParams, Source, _list_array, solver_of
+from voxlex.operators.ridge_moments import BLOCK_BYTES, TEST, TRAIN, RowMoments, SeriesMoments, Solver
 from voxlex.operators.splits import (ordered_split, chunk_ids, holdout_chunks, holdout_rows,
                                      default_nchunks)
-
-TRAIN, TEST = -1, -2
-
+from voxlex.session import cut_lineage
 
 def row_sets(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str = "tr") -> DataFrame:
     """(tr, s): set membership of every aligned frame; s = boot id, -1 train, -2 test."""
     fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
-    split = ordered_split(fr, frame_col, p.test_size).persist()
+    split = cut_lineage(ordered_split(fr, frame_col, p.test_size))
     train = split.where(~F.col("is_test")).select(frame_col, F.lit(TRAIN).alias("s"))
     test = split.where(F.col("is_test")).select(frame_col, F.lit(TEST).alias("s"))
     sets = train.unionByName(test)
@@ -76,44 +71,69 @@ def _block_size(width: int) -> int:
     return max(1, (32 << 20) // (8 * max(width, 1)))
 
 
-def set_grams(x_df: DataFrame, sets: DataFrame, frame_col: str = "tr", x_col: str = "x",
-              max_bytes: int = 1 << 30, frame_block: int | None = None) -> dict:
-    """{s: (n, sum_x, X^T X)} for every set; features x features per set.
+def cross_products(x_df: DataFrame, sets: DataFrame | None, frame_col: str = "tr", x_col: str = "x",
+                   width: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """(s, n, sx, g): count, sums and ``X^T X`` (row-major) of every row set.
 
-    One BLAS product per (frame block, set) inside an Arrow task, summed by
-    set; only the (sets x features x features) result reaches the driver,
-    after its size is checked.
+    ``sets`` (frame, s) names the sets of each frame; None: ``x_df`` has the
+    column itself.  Inside a task rows are multiplied in blocks and added up
+    per set, so each task sends one matrix per set it met.
     """
-    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    n_sets = sets.select("s").distinct().count()
-    if n_sets * width * width * 8 > max_bytes:
-        raise ValueError(f"{n_sets} Gram matrices of width {width} exceed the broadcast limit")
-    xb, _, _ = _frame_blocks(x_df, sets, frame_col, x_col, frame_block or _block_size(width))
-    schema = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("n", T.LongType()),
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    if width is None:
+        width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+    rows = x_df.select(F.col("s"), x_col) if sets is None else x_df.join(sets, frame_col).select("s", x_col)
+    kind = rows.schema["s"].dataType
+    schema = T.StructType([T.StructField("s", kind), T.StructField("n", T.LongType()),
                            T.StructField("sx", T.ArrayType(T.DoubleType())),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
+    step, most = block_rows or _block_size(width), max(1, (64 << 20) // (8 * max(1, width * width)))
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, xmat, member = _block_arrays(batch.column("_xs")[i].values, frame_col, x_col, width)
-                for s_id in sorted({v for lst in member for v in lst}):
-                    xm = xmat[np.array([s_id in lst for lst in member])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([s_id], pa.int32()), pa.array([len(xm)], pa.int64()),
-                         _list_array(xm.sum(0)[None, :]), _list_array((xm.T @ xm).reshape(1, -1))],
-                        names=["s", "n", "sx", "g"])
+        acc: dict = {}
 
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    part = xb.select("_xs").mapInArrow(run, schema)
+        def flush():
+            ids = list(acc)
+            n, sx, g = (np.array([acc[i][j] for i in ids]) for j in range(3))
+            acc.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, _arrow_type(kind)), pa.array(n, pa.int64()), _list_array(sx),
+                 _list_array(g.reshape(len(ids), -1))], names=["s", "n", "sx", "g"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                ids = part.column(0).to_pylist()
+                code = {v: i for i, v in enumerate(dict.fromkeys(ids))}
+                at = np.array([code[v] for v in ids])
+                for v, i in code.items():
+                    xs = x[at == i]
+                    got = (len(xs), xs.sum(0), xs.T @ xs)
+                    acc[v] = tuple(p + q for p, q in zip(acc[v], got)) if v in acc else got
+                if len(acc) > most:
+                    yield flush()
+        if acc:
+            yield flush()
+
+    part = rows.mapInArrow(run, schema)
     g = (part.select("s", "n", array_to_vector("sx").alias("_sx"), array_to_vector("g").alias("_g"))
              .groupBy("s").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("_sx")).alias("_sx"),
                                Summarizer.sum(F.col("_g")).alias("_g")))
-    out = {}
-    for r in g.select("s", "n", vector_to_array("_sx").alias("sx"), vector_to_array("_g").alias("g")).collect():
-        out[int(r["s"])] = (int(r["n"]), np.asarray(r["sx"]), np.asarray(r["g"]).reshape(width, width))
-    return out
+    return g.select("s", "n", vector_to_array("_sx").alias("sx"), vector_to_array("_g").alias("g"))
+
+
+def set_moments(x_df: DataFrame, sets: DataFrame, frame_col: str = "tr", x_col: str = "x",
+                max_bytes: int = 1 << 30) -> dict:
+    """{s: RowMoments}; only (sets x features x features) numbers reach the
+    driver, after their size is checked."""
+    width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+    n_sets = sets.select("s").distinct().count()
+    if n_sets * width * width * 8 > max_bytes:
+        raise ValueError(f"{n_sets} cross products of width {width} exceed the broadcast limit")
+    return {int(r["s"]): RowMoments(int(r["n"]), np.asarray(r["sx"]), np.asarray(r["g"]).reshape(width, width))
+            for r in cross_products(x_df, sets, frame_col, x_col, width).collect()}
 
 
 def series_stats(x_df: DataFrame, y_df: DataFrame, sets: DataFrame, keys, frame_col: str = "tr",
@@ -136,7 +156,13 @@ def series_stats(x_df: DataFrame, y_df: DataFrame, sets: DataFrame, keys, frame_
     if width is None:
         width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
     fblock = frame_block or _block_size(width)
-    buckets = series_buckets or spark.sparkContext.defaultParallelism
+    if series_buckets is None:
+        # cells of a (frame block, bucket) group stay within BLOCK_BYTES
+        series, frames = y_df.agg(F.countDistinct(F.struct(*keys)), F.countDistinct(frame_col)).first()
+        cell = 8 * (len(keys) + 2)
+        series_buckets = max(spark.sparkContext.defaultParallelism,
+                             -(-series * min(frames, fblock) * cell // BLOCK_BYTES))
+    buckets = series_buckets
     xb, member, fb = _frame_blocks(x_df, sets, frame_col, x_col, fblock)
     yb = (y_df.select(*keys, frame_col, nan_to_zero(value).alias("_y"))
               .join(member.select(frame_col), frame_col, "left_semi")
@@ -185,127 +211,47 @@ def _arrow_type(dt):
     return to_arrow_type(dt)
 
 
-def _corr_from_moments(n, my, ey2, mp, ep2, eyp, use_corr=True, blended=True):
-    """Pearson (or signed-root R^2) of y vs a prediction p on one set, from moments."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        vy = ey2 - my * my
-        vp = ep2 - mp * mp
-        cov = eyp - my * mp
-        tiny_y = vy <= 1e-12 * np.maximum(ey2, 1e-300)
-        tiny_p = vp <= 1e-12 * np.maximum(ep2, 1e-300)
-        if use_corr:
-            r = cov / np.sqrt(vy * vp)
-            r[tiny_y | tiny_p] = np.nan
-            return r
-        resvar = vy - 2 * cov + vp
-        denom = (1.0 + vy) / 2.0 if blended else vy
-        r2 = 1.0 - resvar / denom
-        return np.sqrt(np.abs(r2)) * np.sign(r2)
-
-
-class _Basis:
-    """A training Gram matrix's eigenbasis with one scoring set projected into it."""
-
-    def __init__(self, g_train, n_s, sx_s, g_s):
-        lam, v = np.linalg.eigh(g_train)
-        self.lam = np.clip(lam, 0.0, None)
-        self.v = v
-        self.n = n_s
-        self.sx = v.T @ sx_s
-        self.k = v.T @ g_s @ v
-
-    def inv_diag(self, alphas):
-        a2 = np.asarray(alphas, dtype=float) ** 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 1.0 / (self.lam[:, None] + a2[None, :])
-        if np.any(a2 == 0):
-            tol = self.lam.max() * 1e-12 if self.lam.size else 0.0
-            pinv = np.where(self.lam > tol, 1.0 / np.where(self.lam > tol, self.lam, 1.0), 0.0)
-            d[:, a2 == 0] = pinv[:, None]
-        return d
-
-    def score(self, z, c_s, sy, syy, alphas, use_corr, blended):
-        """z = V^T X_train^T y; c_s = V^T X_s^T y (both features x series)."""
-        u = z * self.inv_diag(alphas)
-        mp = (self.sx @ u) / self.n
-        ep2 = np.einsum("im,im->m", u, self.k @ u) / self.n
-        eyp = np.einsum("im,im->m", c_s, u) / self.n
-        return _corr_from_moments(self.n, sy / self.n, syy / self.n, mp, ep2, eyp, use_corr, blended)
-
-
-def bootstrap_ridge_additive(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | None = None,
-                             frame_col: str = "tr", x_col: str = "x", value: str = "value") -> DataFrame:
-    """Per-series bootstrap ridge from additive statistics: (keys, alpha, corr).
-
-    Same selection rules as ``bootstrap_ridge`` in its per-series mode
-    (normalpha uses the largest eigenvalue of each training Gram matrix).
-    """
-    p = p or RidgeParams()
+class AdditiveReader:
+    """Moments of series that were aggregated per row set."""
+
+    columns = ["stats"]
+
+    def __init__(self, bc, nboots: int, cutoff: float, keep_small: bool):
+        self.bc, self.nboots, self.cutoff, self.keep_small = bc, nboots, cutoff, keep_small
+
+    def open(self):
+        v = self.bc.value
+        sets = v["sets"]
+        self.width = len(sets[TRAIN].total)
+        self.solvers = [solver_of(v["token"], lambda: Solver(sets, self.nboots, self.cutoff, self.keep_small))]
+        self.block = max(1, BLOCK_BYTES // (8 * self.width * (self.nboots + 2)))
+        return self
+
+    def moments(self, batch):
+        m, sets = batch.num_rows, [TRAIN, TEST, *range(self.nboots)]
+        cross = {s: np.zeros((self.width, m)) for s in sets}
+        total, square = ({s: np.zeros(m) for s in sets} for _ in range(2))
+        stats = batch.column("stats")
+        series = np.repeat(np.arange(m), np.diff(stats.offsets.to_numpy()))
+        e = stats.flatten()
+        which = e.field("s").to_numpy(zero_copy_only=False)
+        c = e.field("c").flatten().to_numpy(zero_copy_only=False).reshape(len(which), self.width)
+        sy, syy = (e.field(k).to_numpy(zero_copy_only=False) for k in ("sy", "syy"))
+        for s in sets:
+            at = which == s
+            cross[s][:, series[at]] = c[at].T
+            total[s][series[at]] = sy[at]
+            square[s][series[at]] = syy[at]
+        return [SeriesMoments(cross, total, square)]
+
+
+def additive_source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, frame_col: str = "tr",
+                    x_col: str = "x", value: str = "value") -> Source:
+    """The moments of every series without shipping the stimulus."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if p.nboots == 0 or p.single_alpha:
-        raise ValueError("the additive plan implements per-series selection with bootstraps")
-    sets = row_sets(x_df, y_df, p, frame_col).persist()
-    grams = set_grams(x_df, sets, frame_col, x_col, p.max_broadcast_bytes)
-    width = next(iter(grams.values()))[2].shape[0]
+    sets = cut_lineage(row_sets(x_df, y_df, p, frame_col))
+    moments = set_moments(x_df, sets, frame_col, x_col, p.max_broadcast_bytes)
+    width = len(next(iter(moments.values())).total)
     stats = series_stats(x_df, y_df, sets, keys, frame_col, x_col, value, width=width)
-    spark = stats.sparkSession
-    bc = spark.sparkContext.broadcast({"grams": grams, "token": uuid.uuid4().hex})
-    grid = np.asarray(p.alphas, dtype=float)
-    width = next(iter(grams.values()))[2].shape[0]
-    schema = T.StructType([stats.schema[k] for k in keys] +
-                          [T.StructField("alpha", T.DoubleType()), T.StructField("corr", T.DoubleType())])
-
-    def factors(v):
-        cache = worker_cache("ridge-additive")
-        hit = cache.get(v["token"])
-        if hit is None:
-            gr = v["grams"]
-            ntr, sxtr, gtr = gr[TRAIN]
-            boots = []
-            for b in range(p.nboots):
-                nh, sxh, gh = gr.get(b, (0, np.zeros(width), np.zeros((width, width))))
-                boots.append(_Basis(gtr - gh, nh, sxh, gh) if nh > 0 else None)
-            nt, sxt, gt = gr[TEST]
-            if len(cache) > 8:
-                cache.clear()
-            hit = cache[v["token"]] = (boots, _Basis(gtr, nt, sxt, gt))
-        return hit
-
-    def run(batches):
-        v = bc.value
-        boots, final = factors(v)
-        sets_all = [TRAIN, TEST] + list(range(p.nboots))
-        for batch in batches:
-            m = batch.num_rows
-            if m == 0:
-                continue
-            c = {s: np.zeros((width, m)) for s in sets_all}
-            sy = {s: np.zeros(m) for s in sets_all}
-            syy = {s: np.zeros(m) for s in sets_all}
-            for i, lst in enumerate(batch.column("stats").to_pylist()):
-                for e in lst:
-                    c[e["s"]][:, i] = e["c"]
-                    sy[e["s"]][i] = e["sy"]
-                    syy[e["s"]][i] = e["syy"]
-            cv = np.zeros((p.nboots, len(grid), m))
-            for b, basis in enumerate(boots):
-                if basis is None:
-                    continue
-                z = basis.v.T @ (c[TRAIN] - c[b])
-                cb = basis.v.T @ c[b]
-                scale = np.sqrt(basis.lam.max()) if p.normalpha else 1.0
-                for i, a in enumerate(grid):
-                    r = basis.score(z, cb, sy[b], syy[b], np.full(m, a * scale), p.use_corr, True)
-                    r[np.isnan(r)] = 0.0
-                    cv[b, i] = r
-            idx = pick_alpha(cv.mean(0), p.score_digits)
-            va = grid[idx]
-            scale = np.sqrt(final.lam.max()) if p.normalpha else 1.0
-            corr = final.score(final.v.T @ c[TRAIN], final.v.T @ c[TEST], sy[TEST], syy[TEST],
-                               va * scale, p.use_corr, blended=not p.return_weights)
-            if p.return_weights and p.use_corr:
-                corr = np.nan_to_num(corr)
-            cols = [batch.column(k) for k in keys] + [pa.array(va, type=pa.float64()), _nullable(corr)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
-
-    return stats.mapInArrow(run, schema)
+    bc = stats.sparkSession.sparkContext.broadcast({"sets": moments, "token": uuid.uuid4().hex})
+    return Source(stats, keys, AdditiveReader(bc, p.nboots, p.singcutoff, p.return_weights))

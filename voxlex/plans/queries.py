@@ -380,10 +380,8 @@ def q_feature_spectrum(spark, d):
 def _fixed_alpha_fit(spark, d, alpha, weights):
     x, y = fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d)
     p = _params(nboots=0, return_weights=weights)
-    des = rg.build_design(x, y, p)
-    packed = rg.pack_responses(y, ["voxel"], des)
-    al = y.select("voxel").distinct().withColumn("alpha", F.lit(float(alpha)))
-    return rg.fit_score(packed, ["voxel"], des, p, al)
+    src = rg.source(x, y, ["voxel"], p)
+    return rg.fit_score(src, p, src.df.select("voxel").withColumn("alpha", F.lit(float(alpha))))
 
 
 def q_ridge_weights_k2(spark, d):
