@@ -5,7 +5,7 @@ in the same sequence (``ws + 1`` words, fewer at the start).
 
 Skew: a window partitioned by sequence would put a whole document in one
 task.  Rows are instead cut into position blocks; the last ``ws`` rows of a
-block are copied into the next block as a halo, the window runs per
+block are copied into the next blocks as a halo, the window runs per
 (sequence, block) and only each block's own rows are kept.  The result is
 exact and no task holds more than one block plus its halo.  Positions must
 be dense (see ``frames.renumber``).
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The wording of prompts and enriched texts.
 HEADER_SUMMARY = "This is a summary of the text so far: "
 SUMMARY_PROMPT_JOIN = " The continuation is: "
 SUMMARY_JOIN = " : "
@@ -31,8 +32,8 @@ def _block_size(ws: int, block: int | None) -> int:
 
 def _with_halo(tok: DataFrame, ws: int, pos: str, block: int) -> DataFrame:
     blk = F.floor(F.col(pos) / F.lit(block)).cast("long")
-    in_halo = (F.col(pos) % F.lit(block)) >= F.lit(block - ws)
-    ids = F.when(in_halo, F.array(blk, blk + F.lit(1))).otherwise(F.array(blk))
+    # a row is needed by every block that its next ``ws`` positions reach
+    ids = F.sequence(blk, F.floor((F.col(pos) + F.lit(ws)) / F.lit(block)).cast("long"))
     return tok.withColumn("_blk", F.explode(ids)).withColumn("_own", F.col("_blk") == blk)
 
 
@@ -137,11 +138,10 @@ def identity_generator(s):
     return s
 
 
-def first_words(m: int):
-    """Test summariser: the first ``m`` whitespace tokens of the input."""
-    def f(s):
-        return s.str.strip(" ").str.split(r"[ \t\n\x0b\f\r]+", regex=True).str[:m].str.join(" ")
-    return f
+def digest_text(s):
+    """Test summariser: the md5 of the whole input, so that every word counts."""
+    import hashlib
+    return s.map(lambda t: hashlib.md5(t.encode()).hexdigest())
 
 
 def with_continuation(tok: DataFrame, ws: int, generator, every: int = 10, prompt_ws: int = 29,

@@ -7,7 +7,8 @@ vectors and the tokens are pooled (mean, or last token).  Two model kinds:
   vectors are JVM expressions (md5 based, identical in DuckDB), used for
   tests and benchmarks;
 * any object with ``encode(texts) -> list[ndarray(tokens, dim)]`` - run as an
-  iterator pandas UDF over Arrow batches, model loaded once per task.
+  iterator pandas UDF over Arrow batches, model loaded once per worker;
+  ``TextHashEmbedder`` is a stand-in of this kind.
 
 For additive token models the trailing-window embedding can be computed
 without materialising the context text (``embed_context_windows``).
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from typing import Iterator
 
 import numpy as np
@@ -52,9 +54,13 @@ class HashEmbedder:
     tokens - and is what ``embed`` uses unless ``jvm=True``.
     """
 
-    def __init__(self, dim: int, max_vocab: int = 2_000_000):
+    def __init__(self, dim: int, max_vocab: int = 2_000_000, fused: bool = True):
+        """``max_vocab`` bounds a worker's table of token vectors (a fuller one
+        is started anew, results stay); ``fused=False`` makes analyses embed
+        the context texts instead of summing word vectors."""
         self.dim = int(dim)
         self.max_vocab = int(max_vocab)
+        self.fused = bool(fused)
 
     # JVM path -------------------------------------------------------------
     def pooled_column(self, text, pool: str = "mean"):
@@ -120,6 +126,37 @@ class HashEmbedder:
         return out
 
 
+class TextHashEmbedder:
+    """A stand-in for a contextual model, by the generic ``encode`` protocol.
+
+    Tokens have the vectors of ``HashEmbedder``, except the last one, whose
+    vector is hashed from the whole text; so both poolings depend on every
+    word.
+    """
+
+    def __init__(self, dim: int):
+        self.dim = int(dim)
+
+    def encode(self, texts):
+        words = HashEmbedder(self.dim)
+        out = words.encode(texts)
+        for mat, text in zip(out, texts):
+            for j in range(self.dim):
+                h = int(hashlib.md5(f"{text}#{j}".encode()).hexdigest()[:8], 16)
+                mat[-1, j] = (h % 2001 - 1000) / 1000.0
+        return out
+
+
+def load_once(model, token: str):
+    """The loaded model of this worker process (``model.load()`` if it has
+    one); earlier jobs' models are let go."""
+    cache = worker_cache("models")
+    if token not in cache:
+        cache.clear()
+        cache[token] = model.load() if hasattr(model, "load") else model
+    return cache[token]
+
+
 def _pool(mat: np.ndarray, pool: str) -> np.ndarray:
     return mat[-1] if pool == "last" else mat.mean(axis=0)
 
@@ -129,7 +166,7 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
     """One pooled vector per row of ``text_col``.
 
     Runs as an Arrow-batched iterator pandas UDF; the model is loaded once
-    per task (``model.load()`` when present).  Models with
+    per worker process (``model.load()`` when present).  Models with
     ``encode_pooled(texts, pool)`` return pooled vectors directly; others
     return token matrices via ``encode(texts)`` and are pooled here.
     ``jvm=True`` evaluates a ``HashEmbedder`` as JVM expressions instead.
@@ -142,6 +179,7 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
         return df.withColumn(out, model.pooled_column(F.col(text_col), pool))
 
     dim = getattr(model, "dim", None)
+    token = model.__dict__.setdefault("_token", uuid.uuid4().hex) if hasattr(model, "__dict__") else str(id(model))
     if dim is not None and hasattr(model, "encode_pooled"):
         # Known width: return columns (a struct), which Arrow converts
         # column-wise, and assemble the array in the JVM.
@@ -149,7 +187,7 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
 
         @F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in fields]))
         def _cols(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            m = model.load() if hasattr(model, "load") else model
+            m = load_once(model, token)
             for s in batches:
                 mat = m.encode_pooled(list(s.fillna("")), pool)
                 yield pd.DataFrame(mat, columns=fields, index=s.index)
@@ -159,7 +197,7 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = model.load() if hasattr(model, "load") else model
+        m = load_once(model, token)
         for s in batches:
             mats = m.encode(list(s.fillna("")))
             yield pd.Series([_pool(np.asarray(a, dtype=float), pool) for a in mats], index=s.index)
@@ -285,3 +323,12 @@ def frame_embedding(emb: DataFrame, frame_col: str = "tr", vec: str = "x", dim:
         g = emb.groupBy(frame_col).agg(*[F.avg(F.col(vec)[j]).alias(f"_a{j}") for j in range(dim)])
         return g.select(frame_col, F.array(*[F.col(f"_a{j}") for j in range(dim)]).alias(vec))
     return mean_vector(emb, frame_col, vec)
+
+
+def frame_embeddings(emb: DataFrame, frame_col: str, vecs: list) -> DataFrame:
+    """``frame_embedding`` of several vector columns in one aggregate."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    t = emb.select(frame_col, *[array_to_vector(v).alias(v) for v in vecs])
+    g = t.groupBy(frame_col).agg(*[Summarizer.mean(F.col(v)).alias(v) for v in vecs])
+    return g.select(frame_col, *[vector_to_array(v).alias(v) for v in vecs])

@@ -105,10 +105,14 @@ def pack_series(df: DataFrame, keys, frame_col: str = "tr", value: str = "value"
         g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(frame_col, value))).alias("_s"))
         return g.select(*keys, F.transform("_s", lambda s: s[value]).alias(out))
     pos = frame_positions(df.sparkSession, frames, frame_col)
+    # sorted cells and the gaps between them: linear in the number of frames
     g = (df.join(pos, frame_col).groupBy(*keys)
-           .agg(F.map_from_entries(F.collect_list(F.struct("_i", value))).alias("_m")))
-    rng = F.sequence(F.lit(0), F.lit(len(frames) - 1))
-    return g.select(*keys, F.transform(rng, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(fill))).alias(out))
+           .agg(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("_v")))).alias("_c")))
+    n, f = len(frames), f"cast({fill!r} AS double)"
+    before = f"IF(k = 0, c._i, c._i - _c[greatest(k, 1) - 1]._i - 1)"
+    cells = f"flatten(transform(_c, (c, k) -> concat(array_repeat({f}, {before}), array(coalesce(cast(c._v AS double), {f})))))"
+    tail = f"array_repeat({f}, {n - 1} - _c[size(_c) - 1]._i)"
+    return g.select(*keys, F.expr(f"concat({cells}, {tail})").alias(out))
 
 
 def unpack_series(packed: DataFrame, keys, frames, col: str = "y",
@@ -125,15 +129,15 @@ def zscore_within(df: DataFrame, by, value: str = "value", out: str | None = Non
 
     ``by='tr'`` standardises across series within a frame (what the response
     preparation does); ``by='voxel'`` standardises each series over time.
-    Mean and std come from one window pass (one shuffle, input read once).
-    Groups are bounded by design: a frame holds at most one row per series
-    of the grid, a series at most one row per frame.  A zero std gives NULL
-    instead of raising.
+    Mean and std come from a partial aggregate (one small row per group)
+    that is joined back, so no group is gathered in a task.  A zero std gives
+    NULL instead of raising; rows without a key stay, with NULL.
     """
     keys = [by] if isinstance(by, str) else list(by)
     out = out or value
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return (df.join(stats, keys, "left")
+            .withColumn(out, F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd"))
 
 
 def align(x: DataFrame, y: DataFrame, frame_col: str = "tr") -> DataFrame:
@@ -165,8 +169,9 @@ def scatter_to_grid(scores: DataFrame, n: int, key: str = "voxel", col: str = "c
 
 def apply_mask(stat: DataFrame, mask: DataFrame, key: str = "voxel", col: str = "corr",
                mask_col: str = "mask") -> DataFrame:
-    return (stat.join(mask.select(key, mask_col), key)
-                .select(key, (F.col(col) * F.col(mask_col)).alias(col)))
+    """Scores times mask on the whole grid; a place the mask lacks is outside (0)."""
+    return (stat.join(mask.select(key, mask_col), key, "left")
+                .select(key, (F.col(col) * F.coalesce(F.col(mask_col), F.lit(0.0))).alias(col)))
 
 
 def threshold_map(stat: DataFrame, threshold: float, vmax: float | None = None,

@@ -24,7 +24,7 @@ def _join_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Join per-group statistics back; a global (keyless) one-row table joins on a constant."""
     if keys:
         return df.join(stats, keys)
-    return df.withColumn("_g", F.lit(0)).join(stats.withColumn("_g", F.lit(0)), "_g").drop("_g")
+    return df.withColumn("_g", F.lit(0)).join(F.broadcast(stats.withColumn("_g", F.lit(0))), "_g").drop("_g")
 
 
 def ranked(df: DataFrame, by, value: str) -> DataFrame:
@@ -61,26 +61,18 @@ def ranked(df: DataFrame, by, value: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, by, value: str, qs) -> DataFrame:
     """Exact quantiles with linear interpolation (as pandas), one column per q.
 
-    Only the two order statistics around ``(n - 1) * q`` are kept per group
+    One aggregate keeps the two order statistics around ``(n - 1) * q`` per group
     and quantile; no group is ever collected.  Columns are named ``q{i}``.
     """
     keys = _keys(by)
     r = ranked(df, keys, value)
-    parts = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        sel = r.where((F.col("_rank") == lo) | (F.col("_rank") == hi))
-        agg = sel.groupBy(*keys, "_n").agg(
-            F.max(F.when(F.col("_rank") == F.floor((F.col("_n") - 1).cast("double") * F.lit(float(q))), F.col("_v"))).alias("_a"),
-            F.max(F.when(F.col("_rank") == F.ceil((F.col("_n") - 1).cast("double") * F.lit(float(q))), F.col("_v"))).alias("_b"))
-        hh = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        parts.append(agg.select(*keys, (F.col("_a") + (hh - F.floor(hh)) * (F.col("_b") - F.col("_a"))).alias(f"q{i}")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = _join_stats(out, p, keys) if keys else out.withColumn("_g", F.lit(0)).join(
-            p.withColumn("_g", F.lit(0)), "_g").drop("_g")
-    return out
+    ranks = [(F.col("_n") - 1).cast("double") * F.lit(float(q)) for q in qs]
+    pick = lambda h: F.max(F.when(F.col("_rank") == h, F.col("_v")))
+    aggs = [pick(f(h)).alias(f"_{side}{i}") for i, h in enumerate(ranks) for side, f in (("a", F.floor), ("b", F.ceil))]
+    ends = r.groupBy(*keys, "_n").agg(*aggs)
+    return ends.select(*keys, *[
+        (F.col(f"_a{i}") + (h - F.floor(h)) * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(f"q{i}")
+        for i, h in enumerate(ranks)])
 
 
 def describe_scores(df: DataFrame, by=None, value: str = "corr") -> DataFrame:
@@ -184,16 +176,24 @@ def alpha_usage(df: DataFrame, col: str = "alpha") -> DataFrame:
 
 
 def histogram(df: DataFrame, by=None, value: str = "corr", bins: int = 20,
-              lo: float = -1.0, hi: float = 1.0) -> DataFrame:
+              lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Histogram as within-group probability (each group sums to 1).
 
-    Equal-width bins on ``[lo, hi]``; the top edge belongs to the last bin
-    and values outside the range are dropped.
+    Equal-width bins from the smallest to the largest value of the table, or
+    between the limits given; the top edge belongs to the last bin.  Limits
+    that leave values outside are refused; NULL and NaN have no bin.
     """
     keys = _keys(by)
     v = F.col(value)
+    inside = df.where(v.isNotNull() & ~F.isnan(v))
+    least, most = inside.agg(F.min(value), F.max(value)).first()
+    if least is None:
+        lo, hi = 0.0, 1.0
+    lo, hi = least if lo is None else lo, most if hi is None else hi
+    if least is not None and (least < lo or most > hi):
+        raise ValueError(f"values reach from {least} to {most}, outside [{lo}, {hi}]")
+    hi = hi if hi > lo else lo + 1.0
     b = F.least(F.floor((v - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
-    inside = df.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
     counts = inside.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     out = counts.withColumn("_tot", F.sum("n").over(Window.partitionBy(*keys)))
     width = (hi - lo) / bins

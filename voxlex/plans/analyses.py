@@ -16,9 +16,10 @@ from voxlex.operators import frames as fr
 from voxlex.operators import series as se
 from voxlex.operators import stats as st
 from voxlex.operators.context import context_window, with_continuation, with_summary
-from voxlex.operators.embed import HashEmbedder, embed, frame_embedding, frame_means
+from voxlex.operators.embed import HashEmbedder, embed, frame_embedding, frame_embeddings, frame_means
 from voxlex.operators.pca import pca_fit, pca_project
 from voxlex.operators.ridge import RidgeParams, bootstrap_ridge, build_design, fit_runs
+from voxlex.session import cut_lineage
 
 
 def select_subjects(resp: DataFrame, participants: DataFrame, task: str, exclude_ids=(),
@@ -73,11 +74,11 @@ def stimulus(tok: DataFrame, ws: int, model, pool: str = "mean", frame_col: str
              text: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """Per-frame stimulus rows (tr, x): context -> embedding -> frame mean.
 
-    With an additive ``HashEmbedder`` and no precomputed text the context
-    embedding is fused into window sums; otherwise texts are embedded in
-    batches.
+    Texts are built, embedded in batches and averaged.  Only a model that
+    declares itself additive (``fused``, as ``HashEmbedder`` does) and has no
+    precomputed text takes the fused form, window sums of word vectors.
     """
-    if text is None and isinstance(model, HashEmbedder):
+    if text is None and getattr(model, "fused", False):
         return frame_means(tok, [ws], model, pool, frame_col).select(frame_col, F.col(f"x_{ws}").alias("x"))
     t = text if text is not None else context_window(tok, ws, out=text_col)
     emb = embed(t, text_col, model, pool)
@@ -87,29 +88,29 @@ def stimulus(tok: DataFrame, ws: int, model, pool: str = "mean", frame_col: str
 def stimuli(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "tr") -> dict:
     """Per-frame stimuli for several window sizes: {ws: DataFrame(tr, x)}.
 
-    With a ``HashEmbedder`` all sizes come out of one window pass and one
-    frame aggregate; the small per-frame result is persisted and sliced.
-    Other models embed one context column per size (one shuffle for all
-    contexts, then one batch call per size).
+    Contexts of all sizes are built in one pass, embedded column by column
+    and averaged per frame in one aggregate; the small per-frame table is
+    written to the checkpoint folder and sliced.  ``fused`` models skip the
+    context texts (see ``stimulus``).
     """
     sizes = [int(s) for s in sizes]
-    if isinstance(model, HashEmbedder):
-        frames_x = frame_means(tok, sizes, model, pool, frame_col).persist()
-        return {ws: frames_x.select(frame_col, F.col(f"x_{ws}").alias("x")) for ws in sizes}
-    from voxlex.operators.context import context_windows
-    ctx = context_windows(tok, {f"c_{ws}": ws for ws in sizes})
-    out = {}
-    for ws in sizes:
-        e = embed(ctx, f"c_{ws}", model, pool)
-        out[ws] = frame_embedding(e.select(frame_col, "x"), frame_col, "x").persist()
-    return out
+    if getattr(model, "fused", False):
+        frames_x = frame_means(tok, sizes, model, pool, frame_col)
+    else:
+        from voxlex.operators.context import context_windows
+        e = context_windows(tok, {f"c_{ws}": ws for ws in sizes})
+        for ws in sizes:
+            e = embed(e, f"c_{ws}", model, pool, out=f"x_{ws}").drop(f"c_{ws}")
+        frames_x = frame_embeddings(e, frame_col, [f"x_{ws}" for ws in sizes])
+    frames_x = cut_lineage(frames_x)       # one row per frame
+    return {ws: frames_x.select(frame_col, F.col(f"x_{ws}").alias("x")) for ws in sizes}
 
 
 def encode(tok: DataFrame, y: DataFrame, ws: int = 16, model=None, pool: str = "mean",
            params: RidgeParams | None = None, keys=("voxel",), text: DataFrame | None = None) -> DataFrame:
     """Baseline encoding model: (voxel, alpha, corr[, weights])."""
     model = model or HashEmbedder(8)
-    x = stimulus(tok, ws, model, pool, text=text).persist()
+    x = cut_lineage(stimulus(tok, ws, model, pool, text=text))
     return bootstrap_ridge(x, _responses(y, x), list(keys), params or RidgeParams())
 
 
@@ -140,8 +141,8 @@ def compare_tactic(tok: DataFrame, y: DataFrame, tactic_text: DataFrame, ws: int
     """
     model = model or HashEmbedder(8)
     p = params or RidgeParams()
-    tac = stimulus(tok, ws, model, pool, text=tactic_text).persist()
-    base = stimulus(tok, ws, model, baseline_pool).persist()
+    tac = cut_lineage(stimulus(tok, ws, model, pool, text=tactic_text))
+    base = cut_lineage(stimulus(tok, ws, model, baseline_pool))
     r = fit_runs({"tactic": tac, "base": base}, _responses(y, base), ["voxel"], p)
     a = r.where(F.col("run") == "tactic").select("voxel", F.col("corr").alias("corr"))
     b = r.where(F.col("run") == "base").select("voxel", F.col("corr").alias("corr"))
@@ -159,8 +160,8 @@ def continuation_text(tok, ws=16, generator=None, every=10):
 
 
 def summary_text(tok, ws=16, summarizer=None, start=20, every=30, hold=False):
-    from voxlex.operators.context import first_words
-    return with_summary(tok, ws, summarizer or first_words(20), start, every, hold)
+    from voxlex.operators.context import digest_text
+    return with_summary(tok, ws, summarizer or digest_text, start, every, hold)
 
 
 def pca_sweep(x: DataFrame, y: DataFrame, sizes=(16, 32, 64, 128, 256, 512, 768),
@@ -173,17 +174,20 @@ def pca_sweep(x: DataFrame, y: DataFrame, sizes=(16, 32, 64, 128, 256, 512, 768)
     """
     p = params or RidgeParams()
     width = x.select(F.max(F.size("x"))).first()[0]
-    sizes = [k for k in sizes if k <= width]
+    if max(sizes) > width:
+        raise ValueError(f"{max(sizes)} components asked of a stimulus of width {width}")
     fit_rows = x
     if fit_on == "train":
         d = build_design(x, y, p)
-        fit_rows = x.where(F.col("tr").isin(d.frames[: d.n_train]))
+        train = x.sparkSession.createDataFrame([(int(t),) for t in d.frames[: d.n_train]], "tr int")
+        fit_rows = x.join(F.broadcast(train), "tr", "left_semi")
     model = pca_fit(fit_rows, max(sizes))
-    proj = pca_project(x, model).persist()
+    proj = cut_lineage(pca_project(x, model))
     runs = {str(k): proj.select("tr", F.slice("x", 1, k).alias("x")) for k in sizes}
     # Scores feed three aggregates (moments, sorted quantiles, count above t): fit once.
     out = fit_runs(runs, y, ["voxel"], p, run_col="n_components").select(
-        F.col("n_components").cast("int").alias("n_components"), "corr").persist()
+        F.col("n_components").cast("int").alias("n_components"), "corr")
+    out = cut_lineage(out)
     desc = st.describe_scores(out, "n_components", "corr")
     above = st.above_threshold(out, "n_components", "corr", t).select("n_components", "n_above")
     return desc.join(above, "n_components")
@@ -200,7 +204,7 @@ def intersubject(x: DataFrame, resp: DataFrame, avg: DataFrame, params: RidgePar
     alpha, corr).
     """
     p = params or RidgeParams(return_weights=False)
-    avg = avg.persist()  # read for the live list, the frame list and the union
+    avg = cut_lineage(avg)  # read for the live list, the frame list and the union
     live = avg.select("voxel").distinct()
     frames_df = avg.select(frame_col).distinct()
     r = resp.join(live, "voxel", "left_semi").join(frames_df, frame_col, "left_semi")
@@ -226,6 +230,6 @@ def compare_pooling(tok: DataFrame, y: DataFrame, ws: int = 16, model=None,
     """describe() of scores for mean vs last-token pooling (one block job)."""
     model = model or HashEmbedder(8)
     p = params or RidgeParams()
-    runs = {pool: stimulus(tok, ws, model, pool).persist() for pool in ("mean", "last")}
-    out = fit_runs(runs, _responses(y, runs["mean"]), ["voxel"], p, run_col="pool").select("pool", "corr").persist()
+    runs = {pool: cut_lineage(stimulus(tok, ws, model, pool)) for pool in ("mean", "last")}
+    out = cut_lineage(fit_runs(runs, _responses(y, runs["mean"]), ["voxel"], p, run_col="pool").select("pool", "corr"))
     return st.describe_scores(out, "pool", "corr")

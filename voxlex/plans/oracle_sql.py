@@ -245,6 +245,7 @@ def r6(x: str) -> str:
 
 
 WS_SPACE = r"'[ \t\n\x0b\f\r]+'"
+# Fixed value: the wording of the summary prompt.
 HEADER = "This is a summary of the text so far: "
 
 
@@ -285,26 +286,65 @@ def _text_frames(tag: str, text_cte: str, pool: str) -> list[tuple[str, str]]:
                              JOIN tok k ON k.seq = e.seq AND k.pos = e.pos GROUP BY k.tr""")]
 
 
-def _cont_text() -> list[tuple[str, str]]:
+def _text_hash_frames(tag: str, text_cte: str, pool: str) -> list[tuple[str, str]]:
+    """Per-frame mean of ``TextHashEmbedder`` vectors: token hashes, the last
+    token's replaced by the hash of the whole text."""
+    if pool == "last":
+        ev = ", ".join(f"{hash_expr('t.text', j)} AS e{j}" for j in range(2))
+        body = f"SELECT t.seq, t.pos, k.tr, {ev} FROM {text_cte} t JOIN tok k ON k.seq = t.seq AND k.pos = t.pos"
+        return [(f"{tag}_ev", body), (f"{tag}_x", f"SELECT tr, avg(e0) AS x0, avg(e1) AS x1 FROM {tag}_ev GROUP BY tr")]
+    split = "regexp_split_to_array(trim(text), '\\s+')"
+    sums = ", ".join(f"sum({hash_expr('w', j)}) AS s{j}" for j in range(2))
+    ev = ", ".join(f"(u.s{j} - {hash_expr('t.lw', j)} + {hash_expr('t.text', j)}) / u.n AS e{j}" for j in range(2))
+    return [(f"{tag}_t", f"SELECT seq, pos, text, {split} AS ws, {split}[-1] AS lw FROM {text_cte}"),
+            (f"{tag}_s", f"SELECT seq, pos, count(*) AS n, {sums} FROM (SELECT seq, pos, unnest(ws) AS w FROM {tag}_t) "
+                         "GROUP BY seq, pos"),
+            (f"{tag}_ev", f"SELECT k.tr, {ev} FROM {tag}_t t JOIN {tag}_s u ON u.seq = t.seq AND u.pos = t.pos "
+                          "JOIN tok k ON k.seq = t.seq AND k.pos = t.pos"),
+            (f"{tag}_x", f"SELECT tr, avg(e0) AS x0, avg(e1) AS x1 FROM {tag}_ev GROUP BY tr")]
+
+
+def _window_hash_frames(tag: str, ws: int) -> list[tuple[str, str]]:
+    """The same for trailing contexts, with token sums taken over windows."""
+    w = f"OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN {ws} PRECEDING AND CURRENT ROW)"
+    hs = ", ".join(f"{hash_expr('word', j)} AS h{j}" for j in range(2))
+    sums = ", ".join(f"sum(h{j}) {w} AS s{j}" for j in range(2))
+    ev = ", ".join(f"(s{j} - h{j} + {hash_expr('ctx', j)}) / n AS e{j}" for j in range(2))
+    return [(f"{tag}_w", f"SELECT tr, h0, h1, count(*) {w} AS n, {sums}, {_ctx_expr(ws)} AS ctx "
+                         f"FROM (SELECT *, {hs} FROM tok)"),
+            (f"{tag}_x", f"SELECT tr, avg(e0) AS x0, avg(e1) AS x1 FROM (SELECT tr, {ev} FROM {tag}_w) GROUP BY tr")]
+
+
+def _texts_at(tag: str, where: str, n: int, block: int) -> list[tuple[str, str]]:
+    """The last ``n`` words up to every position that fulfils ``where``, by an
+    equality join on position blocks."""
     return [
-        ("ct_c", f"SELECT seq, pos, {_ctx_expr(16)} AS ctx, {_ctx_expr(29)} AS prompt FROM tok"),
-        ("ct_text", """SELECT c.seq, c.pos, concat(a.prompt, '. This is the continuation of: ', c.ctx) AS text
-                      FROM ct_c c JOIN ct_c a ON a.seq = c.seq AND a.pos = CAST(floor(c.pos / 10) * 10 AS INTEGER)"""),
+        (f"{tag}_a", f"SELECT seq, pos, unnest(range(greatest(0, (pos - {n - 1}) // {block}), pos // {block} + 1)) AS k "
+                     f"FROM tok WHERE {where}"),
+        (tag, f"""SELECT a.seq, a.pos, string_agg(t.word, ' ' ORDER BY t.pos) AS txt
+                  FROM {tag}_a a JOIN (SELECT seq, pos, word, pos // {block} AS k FROM tok) t
+                    ON t.seq = a.seq AND t.k = a.k AND t.pos BETWEEN a.pos - {n - 1} AND a.pos
+                  GROUP BY a.seq, a.pos"""),
     ]
 
 
-def _summary_text(m: int = 20) -> list[tuple[str, str]]:
-    refresh = "(pos >= 20 AND (pos % 30 = 0 OR pos = 20))"
-    return [
-        ("sm_c", f"""SELECT seq, pos, {_ctx_expr(16)} AS ctx, {_ctx_expr(499)} AS last500,
-                            {refresh} AS is_refresh FROM tok"""),
-        ("sm_s", f"""SELECT seq, pos, array_to_string(list_slice(regexp_split_to_array(
-                            trim('{HEADER} The continuation is: ' || last500), {WS_SPACE}), 1, {m}), ' ') AS summ
-                     FROM sm_c WHERE is_refresh"""),
+def _cont_text() -> list[tuple[str, str]]:
+    return _texts_at("ct_p", "pos % 10 = 0", 30, 10) + [
+        ("ct_c", f"SELECT seq, pos, {_ctx_expr(16)} AS ctx FROM tok"),
+        ("ct_text", """SELECT c.seq, c.pos, concat(a.txt, '. This is the continuation of: ', c.ctx) AS text
+                      FROM ct_c c JOIN ct_p a ON a.seq = c.seq AND a.pos = c.pos // 10 * 10"""),
+    ]
+
+
+def _summary_text(hold: bool = False) -> list[tuple[str, str]]:
+    at = "CASE WHEN c.pos < 30 THEN 20 ELSE c.pos // 30 * 30 END" if hold else "c.pos"
+    return _texts_at("sm_p", "pos >= 20 AND (pos % 30 = 0 OR pos = 20)", 500, 50) + [
+        ("sm_c", f"SELECT seq, pos, {_ctx_expr(16)} AS ctx FROM tok"),
+        ("sm_s", f"SELECT seq, pos, md5('{HEADER} The continuation is: ' || txt) AS summ FROM sm_p"),
         ("sm_text", f"""SELECT c.seq, c.pos,
                             CASE WHEN c.pos < 20 THEN c.ctx
                                  ELSE concat('{HEADER}', coalesce(s.summ, ''), ' : ', c.ctx) END AS text
-                        FROM sm_c c LEFT JOIN sm_s s ON s.seq = c.seq AND s.pos = c.pos"""),
+                        FROM sm_c c LEFT JOIN sm_s s ON s.seq = c.seq AND s.pos = {at}"""),
     ]
 
 
@@ -387,7 +427,8 @@ def oracles() -> dict[str, str]:
         SELECT CAST(g.i AS INTEGER) AS voxel, {r6('coalesce(a.corr, 0.0)')} AS corr
         FROM (SELECT unnest(range(2 * n)) AS i FROM nsup) g LEFT JOIN scores_a a ON a.voxel = g.i""")
     q["apply_mask"] = W(["scores_a", "mask_t"], f"""
-        SELECT a.voxel, {r6('a.corr * m.mask')} AS corr FROM scores_a a JOIN mask_t m ON m.voxel = a.voxel""")
+        SELECT a.voxel, {r6('a.corr * coalesce(m.mask, 0.0)')} AS corr
+        FROM scores_a a LEFT JOIN mask_t m ON m.voxel = a.voxel""")
     q["nanmean_subjects"] = W(["resp_nan"], f"""
         SELECT tr, voxel, {r6('avg(CASE WHEN isnan(value) THEN NULL ELSE value END)')} AS value
         FROM resp_nan GROUP BY tr, voxel""")
@@ -436,10 +477,11 @@ def oracles() -> dict[str, str]:
             FROM rk_mean) WHERE r = 1""", rk)
     q["alpha_usage"] = W(["stim_k2", "resp_dense"], f"SELECT {r6('alpha')} AS alpha, count(*) AS n_series FROM rk_final GROUP BY alpha", rk)
     q["score_histogram"] = W(["scores_ab"], f"""
-        SELECT run, bin, {r6('CAST(-1.0 AS DOUBLE) + bin * CAST(0.1 AS DOUBLE)')} AS bin_lo, n,
+        SELECT run, bin, {r6('lo + bin * (hi - lo) / 20')} AS bin_lo, n,
                {r6('n / sum(n) OVER (PARTITION BY run)')} AS prob
-        FROM (SELECT run, CAST(least(floor((corr + 1.0) / CAST(0.1 AS DOUBLE)), 19) AS INTEGER) AS bin, count(*) AS n
-              FROM scores_ab WHERE corr >= -1.0 AND corr <= 1.0 GROUP BY 1, 2)""")
+        FROM (SELECT run, lo, hi, CAST(least(floor((corr - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n
+              FROM scores_ab, (SELECT min(corr) AS lo, max(corr) AS hi FROM scores_ab) WHERE corr IS NOT NULL
+              GROUP BY 1, 2, 3, 4)""")
     kd = [
         ("st", """SELECT run, count(corr) AS n, stddev_samp(corr) AS sd, min(corr) AS mn, max(corr) AS mx
                   FROM scores_ab GROUP BY run"""),
@@ -564,8 +606,25 @@ def oracles() -> dict[str, str]:
     q["embed_hash_last"] = W(["tok"], f"""
         SELECT seq, pos, 0 AS j, {r6(hash_expr('word', 0))} AS value FROM tok
         UNION ALL SELECT seq, pos, 1 AS j, {r6(hash_expr('word', 1))} AS value FROM tok""")
+    na = ", ".join(f"'{t}'" for t in ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                                      "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null"))
+    words = "'\"' || word || ', ' || CAST(pos % 7 AS VARCHAR) || '\"'"
+    q["src_transcript"] = W(["tok_bad"], f"""
+        SELECT seq, pos, {words} AS word_orig, CASE WHEN word IN ({na}) THEN NULL ELSE word END AS word,
+               {r6('onset')} AS onset, {r6('"offset"')} AS "offset"
+        FROM (SELECT seq, pos, coalesce(word, 'NA') AS word, onset, "offset" FROM tok_bad)""")
+    q["src_participants"] = W(["part_t"], "SELECT participant_id, task FROM part_t")
+    q["src_mask"] = W(["mask_t"], "SELECT voxel, mask FROM mask_t")
+    q["load_task"] = W(["tok", "part_t"], f"""
+        SELECT seq, pos, word, {r6('onset')} AS onset, CAST(floor((first + onset) / 1.5) AS INTEGER) AS tr
+        FROM tok, (SELECT CAST(subject AS INTEGER) * 0.25 AS first FROM (
+            SELECT string_split(participant_id, '#')[2] AS subject FROM part_t WHERE contains(task, 'U'))
+          WHERE subject NOT IN ('000000004', '000000013') ORDER BY subject LIMIT 1 OFFSET 2)""")
     q["enrich_continuation"] = W(["tok"], "SELECT seq, pos, text FROM ct_text", _cont_text())
     q["enrich_summary"] = W(["tok"], "SELECT seq, pos, text FROM sm_text", _summary_text())
+    q["enrich_summary_hold"] = W(["tok"], "SELECT seq, pos, text FROM sm_text", _summary_text(True))
+    q["encode_text_k2"] = W(["prepared", "tok"], _ridge_final("ent"),
+                            _window_hash_frames("tx", 16) + ridge_k2("ent", "tx_x", "prepared"))
     q["prepare_responses"] = W(["prepared"], f"SELECT tr, voxel, {r6('value')} AS value FROM prepared")
     q["encode_baseline_k2"] = W(["prepared", "tok"], _ridge_final("enc"),
                                 _hash_frames("hx", 16) + ridge_k2("enc", "hx_x", "prepared"))
@@ -575,16 +634,22 @@ def oracles() -> dict[str, str]:
         cw += _hash_frames(f"h{ws}", ws) + ridge_k2(f"w{ws}", f"h{ws}_x", "prepared", weights=False)
     q["compare_windows_k2"] = W(["prepared", "tok"], " UNION ALL ".join(
         f"SELECT {ws} AS ws, voxel, {r6('alpha')} AS alpha, {r6('corr')} AS corr FROM w{ws}_final" for ws in sizes), cw)
+    ct = []
+    for ws in sizes:
+        ct += _window_hash_frames(f"t{ws}", ws) + ridge_k2(f"v{ws}", f"t{ws}_x", "prepared", weights=False)
+    q["compare_windows_text_k2"] = W(["prepared", "tok"], " UNION ALL ".join(
+        f"SELECT {ws} AS ws, voxel, {r6('alpha')} AS alpha, {r6('corr')} AS corr FROM v{ws}_final" for ws in sizes), ct)
     base = _hash_frames("hb", 16) + ridge_k2("bs", "hb_x", "prepared")
     cont = _cont_text() + _text_frames("tc", "ct_text", "mean") + ridge_k2("tcr", "tc_x", "prepared")
     q["continuation_vs_baseline"] = W(["prepared", "tok"], f"""
         SELECT t.voxel, {r6('t.corr')} AS corr, {r6('b.corr')} AS base_corr, {r6('t.corr - b.corr')} AS diff
         FROM tcr_final t JOIN bs_final b ON b.voxel = t.voxel""", base + cont)
-    summ_t = _summary_text() + _text_frames("ts", "sm_text", "last") + ridge_k2("tsr", "ts_x", "prepared")
+    summ_t = _summary_text() + _text_hash_frames("ts", "sm_text", "last") + ridge_k2("tsr", "ts_x", "prepared")
+    text_base = _window_hash_frames("tb", 16) + ridge_k2("bs", "tb_x", "prepared")
     q["summary_vs_baseline"] = W(["prepared", "tok"], f"""
         SELECT t.voxel, {r6('t.corr')} AS corr, {r6('b.corr')} AS base_corr,
                {r6('CASE WHEN abs(b.corr) > 0.2 THEN t.corr - b.corr ELSE 0.0 END')} AS diff
-        FROM tsr_final t JOIN bs_final b ON b.voxel = t.voxel""", base + summ_t)
+        FROM tsr_final t JOIN bs_final b ON b.voxel = t.voxel""", text_base + summ_t)
     inter = [
         ("sel", "SELECT * FROM resp WHERE subject IN (SELECT CAST(subject AS INTEGER) FROM participants_sel)"),
         ("r1", """SELECT subject, tr, voxel, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM sel
@@ -603,7 +668,10 @@ def oracles() -> dict[str, str]:
               FROM (SELECT CAST(i AS INTEGER) AS voxel, coalesce(a.corr, 0.0) AS corr
                     FROM (SELECT unnest(range(2 * n)) AS i FROM nsup) r LEFT JOIN scores_a a ON a.voxel = r.i) g
               JOIN mask_t m ON m.voxel = g.voxel
-              WHERE abs(g.corr * m.mask) >= 0.1), nsup""")
+              WHERE abs(g.corr * m.mask) >= 0.1), nsup""")  # a place without a mask is 0, below the threshold
+    for name in ("ridge_weights_k2", "ridge_grid_k2", "alpha_per_series_k2", "alpha_per_group_k2", "alpha_single_k2",
+                 "ridge_normalpha_k2"):
+        q[name.replace("_k2", "_additive_k2")] = q[name]
     pool = _hash_frames("pm", 16) + ridge_k2("pmr", "pm_x", "prepared") + \
         _hash_frames("pl", 16, pool="last") + ridge_k2("plr", "pl_x", "prepared")
     q["pooling_compare"] = W(["prepared", "tok"], _describe(

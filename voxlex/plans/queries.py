@@ -8,9 +8,6 @@ digits at the very end so both engines hash identical values.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +21,7 @@ from voxlex.operators import series as se
 from voxlex.operators import splits as sp
 from voxlex.operators import stats as st
 from voxlex.plans import analyses as an
-from voxlex.session import checkpoint_dir
+from voxlex.session import stage_folder
 from voxlex.sources import files
 from voxlex.sources import fixtures as fx
 
@@ -32,7 +29,7 @@ K2 = dict(chunklen=5, nboots=5, seed=42, test_size=0.2)
 
 # The window sizes and PCA sizes the analysis compares.
 WINDOW_SIZES = (0, 4, 8, 16, 32, 64, 128)
-PCA_SIZES = (16, 32, 64, 128, 256, 512, 768)   # capped at the stimulus width
+PCA_SIZES = (16, 32, 64)   # the embeddings table is 64 wide
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -50,7 +47,7 @@ def _params(**kw) -> rg.RidgeParams:
 
 
 def _stage_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
+    return stage_folder(spark, f"stage-{name}") + "/table"
 
 
 # --- sources ---------------------------------------------------------------
@@ -72,6 +69,56 @@ def q_stage_roundtrip(spark, d):
     return files.load_stage(spark, path)
 
 
+def _write_transcripts(spark, tok: DataFrame, name: str) -> str:
+    """One headerless CSV file per sequence, in word order."""
+    path = _stage_path(spark, name)
+    (tok.repartition("seq").sortWithinPartitions("seq", "pos")
+     .select("seq", "word_orig", "word", "onset", "offset")
+     .write.option("quoteAll", "true").option("escape", '"').partitionBy("seq").csv(path))
+    return path
+
+
+def _seq_of(path):
+    return F.regexp_extract(path, "seq=([0-9]+)/", 1).cast("bigint")
+
+
+def q_src_transcript(spark, d):
+    """A1: transcripts with quotes, commas and missing markers, written and read back."""
+    tok = fx.tok_bad(spark, d).withColumn("word", F.coalesce("word", F.lit("NA"))).withColumn(
+        "word_orig", F.concat(F.lit('"'), "word", F.lit(", "), (F.col("pos") % 7).cast("string"), F.lit('"')))
+    r = files.read_transcript(spark, _write_transcripts(spark, tok, "transcripts"))
+    return _round(r.select(_seq_of("seq").alias("seq"), F.col("pos").cast("int").alias("pos"), "word_orig", "word",
+                           "onset", "offset"))
+
+
+def q_src_participants(spark, d):
+    """A2: the participants table as tab-separated text with a header."""
+    path = _stage_path(spark, "participants")
+    fx.part(spark, d).select("participant_id", "task").write.option("header", "true").option("sep", "\t").csv(path)
+    return files.read_tsv(spark, path, files.PARTICIPANTS_SCHEMA)
+
+
+def q_src_mask(spark, d):
+    """A4: the mask as Parquet."""
+    path = _stage_path(spark, "mask")
+    fx.mask(spark, d).write.parquet(path)
+    return files.read_mask(spark, path)
+
+
+def q_load_task(spark, d):
+    """A5: transcripts, participants and event onsets from files to binned tokens."""
+    tok = fx.tok(spark, d).withColumn("word_orig", F.col("word"))
+    text = _write_transcripts(spark, tok, "task-transcripts")
+    people, events = _stage_path(spark, "task-people"), _stage_path(spark, "task-events")
+    part = fx.part(spark, d).select(F.translate("participant_id", "#", "-").alias("participant_id"), "task")
+    part.write.option("header", "true").option("sep", "\t").csv(people)
+    sub = F.split("participant_id", "-")[1]
+    part.select(sub.alias("sub"), (sub.cast("int") * 0.25).alias("onset")).repartition(1, "sub").write.option(
+        "header", "true").option("sep", "\t").partitionBy("sub").csv(events)
+    got, _ = files.load_task(spark, text, people, events + "/sub={sub}", fx.TASK, fx.EXCLUDED_IDS)
+    return _round(got.select(_seq_of("seq").alias("seq"), F.col("pos").cast("int").alias("pos"), "word", "onset", "tr"))
+
+
 # --- projections / filters -------------------------------------------------
 
 def q_drop_incomplete(spark, d):
@@ -226,7 +273,7 @@ def q_over_under(spark, d):
 
 
 def _boot_long(spark, d):
-    return rg.boot_scores_long(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params())
+    return rg.boot_scores_long(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params())
 
 
 def q_alpha_profile(spark, d):
@@ -260,12 +307,12 @@ def q_best_alpha_series(spark, d):
 
 
 def q_alpha_usage(spark, d):
-    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params())
+    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params())
     return _round(st.alpha_usage(r, "alpha"))
 
 
 def q_score_histogram(spark, d):
-    return _round(st.histogram(_scores_ab(spark, d), "run", "corr", 20, -1.0, 1.0))
+    return _round(st.histogram(_scores_ab(spark, d), "run", "corr", 20))
 
 
 def q_score_kde(spark, d):
@@ -292,7 +339,7 @@ def q_gram_matrix(spark, d):
 
 
 def q_xty(spark, d):
-    return _round(rg.xty(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"]))
+    return _round(rg.xty(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"]))
 
 
 # --- windows ---------------------------------------------------------------
@@ -377,10 +424,10 @@ def q_feature_spectrum(spark, d):
     return _round(rg.feature_spectrum(fx.stim_k2_packed(spark, d)))
 
 
-def _fixed_alpha_fit(spark, d, alpha, weights):
-    x, y = fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d)
+def _fixed_alpha_fit(spark, d, alpha, weights, plan="auto"):
+    x, y = fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d)
     p = _params(nboots=0, return_weights=weights)
-    src = rg.source(x, y, ["voxel"], p)
+    src = rg.source(x, y, ["voxel"], p, plan=plan)
     return rg.fit_score(src, p, src.df.select("voxel").withColumn("alpha", F.lit(float(alpha))))
 
 
@@ -394,35 +441,55 @@ def q_ridge_pred_k2(spark, d):
 
 
 def q_ridge_grid_k2(spark, d):
-    return _round(rg.ridge_grid(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params()))
+    return _round(rg.ridge_grid(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params()))
 
 
 def q_alpha_per_series_k2(spark, d):
-    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params())
+    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params())
     return _round(r.select("voxel", "alpha", "corr"))
 
 
 def q_alpha_per_group_k2(spark, d):
-    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params(),
+    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(),
                            groups=fx.groups(spark, d))
     return _round(r.select("voxel", "alpha", "corr"))
 
 
 def q_alpha_single_k2(spark, d):
-    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"],
+    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"],
                            _params(single_alpha=True))
     return _round(r.select("voxel", "alpha", "corr"))
 
 
 def q_ridge_normalpha_k2(spark, d):
     """G9: penalties scaled by the largest singular value of the training rows in use."""
-    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params(normalpha=True))
+    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(normalpha=True))
     return _round(r.select("voxel", "alpha", "corr"))
 
 
 def q_bootstrap_ridge_k2(spark, d):
-    r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_dense(spark, d), ["voxel"], _params())
-    return _round(r.select("voxel", "alpha", "corr"))
+    """The fit of the same draw that also returns boot scores and held-out rows."""
+    t = rg.bootstrap_tables(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params())
+    return _round(t["fit"].select("voxel", "alpha", "corr"))
+
+
+def _additive(groups=False, **kw):
+    """Bootstrap fits by the plan that never ships the stimulus."""
+    def q(spark, d):
+        r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(**kw),
+                               fx.groups(spark, d) if groups else None, plan="additive")
+        return _round(r.select("voxel", "alpha", "corr"))
+    return q
+
+
+def q_ridge_weights_additive_k2(spark, d):
+    r = _fixed_alpha_fit(spark, d, 10.0, True, "additive")
+    return _round(r.select("voxel", F.posexplode("weights").alias("j", "w")))
+
+
+def q_ridge_grid_additive_k2(spark, d):
+    return _round(rg.ridge_grid(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(),
+                                plan="additive"))
 
 
 def q_predict_linear(spark, d):
@@ -471,7 +538,11 @@ def q_enrich_continuation(spark, d):
 
 
 def q_enrich_summary(spark, d):
-    return an.summary_text(fx.tok(spark, d), 16, cx.first_words(20), 20, 30, False).select("seq", "pos", "text")
+    return an.summary_text(fx.tok(spark, d), 16, cx.digest_text, 20, 30, False).select("seq", "pos", "text")
+
+
+def q_enrich_summary_hold(spark, d):
+    return an.summary_text(fx.tok(spark, d), 16, cx.digest_text, 20, 30, True).select("seq", "pos", "text")
 
 
 # --- composed analyses -----------------------------------------------------
@@ -503,6 +574,17 @@ def q_compare_windows_k2(spark, d):
     return _round(r)
 
 
+def q_encode_text_k2(spark, d):
+    """The flagship by the path of a real model: contexts, batch embedding, frame means."""
+    r = an.encode(fx.tok(spark, d), _cohort(spark, d), 16, em.TextHashEmbedder(2), "mean", _params())
+    return _round(r.select("voxel", "alpha", "corr"))
+
+
+def q_compare_windows_text_k2(spark, d):
+    return _round(an.compare_windows(fx.tok(spark, d), _cohort(spark, d), WINDOW_SIZES, em.TextHashEmbedder(2),
+                                     "mean", _params(return_weights=False)))
+
+
 def q_continuation_vs_baseline(spark, d):
     tok = fx.tok(spark, d)
     text = an.continuation_text(tok, 16, cx.identity_generator, 10)
@@ -512,15 +594,15 @@ def q_continuation_vs_baseline(spark, d):
 
 def q_summary_vs_baseline(spark, d):
     tok = fx.tok(spark, d)
-    text = an.summary_text(tok, 16, cx.first_words(20), 20, 30, False)
-    r = an.compare_tactic(tok, _cohort(spark, d), text, 16, em.HashEmbedder(2), "last", "mean", _params(),
+    text = an.summary_text(tok, 16, cx.digest_text, 20, 30, False)
+    r = an.compare_tactic(tok, _cohort(spark, d), text, 16, em.TextHashEmbedder(2), "last", "mean", _params(),
                           mask_threshold=0.2)
     return _round(r)
 
 
 def q_pca_sweep(spark, d):
     x = fx.stim_frames(spark, d)
-    return _round(an.pca_sweep(x, fx.resp_dense(spark, d), PCA_SIZES, _params()))
+    return _round(an.pca_sweep(x, fx.resp_mean(spark, d), PCA_SIZES, _params()))
 
 
 def q_intersubject_k2(spark, d):
@@ -543,6 +625,10 @@ def q_pooling_compare(spark, d):
 
 QUERIES = {
     "src_responses": q_src_responses,
+    "src_transcript": q_src_transcript,
+    "src_participants": q_src_participants,
+    "src_mask": q_src_mask,
+    "load_task": q_load_task,
     "stage_roundtrip": q_stage_roundtrip,
     "drop_incomplete": q_drop_incomplete,
     "participants_in_task": q_participants_in_task,
@@ -619,6 +705,9 @@ QUERIES = {
     "embed_hash_last": _embed_q("last"),
     "enrich_continuation": q_enrich_continuation,
     "enrich_summary": q_enrich_summary,
+    "enrich_summary_hold": q_enrich_summary_hold,
+    "encode_text_k2": q_encode_text_k2,
+    "compare_windows_text_k2": q_compare_windows_text_k2,
     "prepare_responses": q_prepare_responses,
     "encode_baseline_k2": q_encode_baseline_k2,
     "compare_windows_k2": q_compare_windows_k2,
@@ -627,5 +716,11 @@ QUERIES = {
     "pca_sweep": q_pca_sweep,
     "intersubject_k2": q_intersubject_k2,
     "stat_map": q_stat_map,
+    "ridge_weights_additive_k2": q_ridge_weights_additive_k2,
+    "ridge_grid_additive_k2": q_ridge_grid_additive_k2,
+    "alpha_per_series_additive_k2": _additive(),
+    "alpha_per_group_additive_k2": _additive(groups=True),
+    "alpha_single_additive_k2": _additive(single_alpha=True),
+    "ridge_normalpha_additive_k2": _additive(normalpha=True),
     "pooling_compare": q_pooling_compare,
 }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,8 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as given.  Only when the key is unset (local tests) a fresh scratch
-    folder is created and registered.
+    as given.  Only when the key is unset and the session is local (tests)
+    a fresh scratch folder is created and registered; on a cluster executors
+    do not share a local folder, so the key must be set.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -60,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not path:
+        if not re.match(r"local(\[[^-,]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="voxlex-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -70,3 +75,15 @@ def cut_lineage(df):
     """Reliable checkpoint (never a local one): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared checkpoint folder, removed when the
+    session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hpath)
+    fs.deleteOnExit(hpath)
+    return fs.makeQualified(hpath).toString()

@@ -19,10 +19,10 @@ TRANSCRIPT_SCHEMA = T.StructType([
 
 # The strings a pandas CSV reader treats as missing by default.
 # Matching them keeps "drop incomplete rows" identical to the original
-# transcript handling (a spoken word "null" or "NA" is dropped, "none" stays).
+# transcript handling (a spoken word "null" or "NA" is dropped, "None" stays).
 PANDAS_NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
-    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "n/a",
     "nan", "null",
 )
 
@@ -48,18 +48,21 @@ def balance(df: DataFrame, factor: int = 2) -> DataFrame:
 
 
 def read_transcript(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
-                    block: int = 1 << 20) -> DataFrame:
+                    block: int = 1 << 20, multi_line: bool = False) -> DataFrame:
     """Headerless 4-column transcript CSV(s) -> (seq, pos, word_orig, word, onset, offset).
 
     ``seq`` is the source file, ``pos`` the dense 0-based line number inside
     it.  Line order comes from the scan order (monotonic ids grow with the
     file offset) and is made dense with the skew-safe block renumbering, so a
-    single huge file never lands in one task.
+    single huge file never lands in one task.  Quotes inside quoted fields
+    are doubled; ``multi_line`` allows line breaks there, which makes every
+    file one split.
     """
     from voxlex.operators.frames import renumber
 
     df = (spark.read.schema(TRANSCRIPT_SCHEMA)
           .option("header", "false").option("mode", "PERMISSIVE")
+          .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower())
           .option("nullValue", "\u0000")  # keep "" distinct until mapped below
           .csv(path))
     na = list(na_tokens)
@@ -125,12 +128,11 @@ def load_task(spark: SparkSession, transcript_path: str, participants_path: str,
     subject in id order for the event onset (first row of its events file,
     ``events_path_template.format(sub=..., task=...)``), reads the
     transcript, drops incomplete rows, replaces the unknown-word marker and
-    bins onset/offset into frames.  Returns ``(tokens, subjects)``; both are
-    persisted because every analysis of the task reuses them.
+    bins onset/offset into frames.  Returns ``(tokens, subjects)``, both lazy.
     """
     from voxlex.operators import frames as fr
     parts = read_tsv(spark, participants_path, PARTICIPANTS_SCHEMA)
-    subs = fr.exclude(fr.with_subject(fr.filter_task(parts, task), "-"), exclude_ids, "subject").persist()
+    subs = fr.exclude(fr.with_subject(fr.filter_task(parts, task), "-"), exclude_ids, "subject")
     chosen = fr.nth_row(subs, ["subject"], pick).select("subject").first()
     if chosen is None:
         raise ValueError(f"fewer than {pick + 1} participants in task {task!r}")
@@ -139,4 +141,4 @@ def load_task(spark: SparkSession, transcript_path: str, participants_path: str,
     tok = fr.drop_incomplete(read_transcript(spark, transcript_path), ["word_orig", "word", "onset", "offset"])
     tok = fr.replace_unknown(tok, "word", unknown, unknown_to)
     tok = fr.with_frames(tok, float(first), tr_seconds).withColumn("tr", F.col("tr_onset"))
-    return tok.persist(), subs
+    return tok, subs

@@ -77,6 +77,12 @@ def resp_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("value")))
 
 
+def resp_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject mean of RESP; cells without a response are absent (ridge takes them as 0)."""
+    from voxlex.operators.series import mean_over_subjects
+    return mean_over_subjects(resp(spark, sf_dir))
+
+
 def resp_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject mean of RESP on the full frame x series grid, holes 0.0."""
     from voxlex.operators.series import mean_over_subjects, densify
