@@ -669,6 +669,11 @@ def oracles() -> dict[str, str]:
                     FROM (SELECT unnest(range(2 * n)) AS i FROM nsup) r LEFT JOIN scores_a a ON a.voxel = r.i) g
               JOIN mask_t m ON m.voxel = g.voxel
               WHERE abs(g.corr * m.mask) >= 0.1), nsup""")  # a place without a mask is 0, below the threshold
+    q["ridge_wide_64"] = q["ridge_wide_additive_64"] = W(["stim", "resp_mean"], """
+        SELECT m.voxel, CAST(s.j - 1 AS INTEGER) AS j, round(sum(s.v * m.value), 5) + 0.0 AS value
+        FROM resp_mean m JOIN (SELECT tr, j, avg(v) AS v FROM (
+            SELECT tr, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM stim) GROUP BY tr, j) s ON s.tr = m.tr
+        GROUP BY m.voxel, s.j""")
     for name in ("ridge_weights_k2", "ridge_grid_k2", "alpha_per_series_k2", "alpha_per_group_k2", "alpha_single_k2",
                  "ridge_normalpha_k2"):
         q[name.replace("_k2", "_additive_k2")] = q[name]

@@ -21,7 +21,7 @@ from voxlex.operators import series as se
 from voxlex.operators import splits as sp
 from voxlex.operators import stats as st
 from voxlex.plans import analyses as an
-from voxlex.session import stage_folder
+from voxlex.session import cut_lineage, stage_folder
 from voxlex.sources import files
 from voxlex.sources import fixtures as fx
 
@@ -352,8 +352,8 @@ def _ctx(ws):
 
 
 def q_prompt_30(spark, d):
-    t = cx.context_window(fx.tok(spark, d), 29, out="prompt")
-    return t.where(F.col("pos") % 10 == 0).select("seq", "pos", "prompt")
+    tok = fx.tok(spark, d)
+    return cx.trailing_text_at(tok, tok.where(F.col("pos") % 10 == 0).select("seq", "pos"), 29, out="prompt")
 
 
 def q_summary_input(spark, d):
@@ -487,6 +487,19 @@ def q_ridge_weights_additive_k2(spark, d):
     return _round(r.select("voxel", F.posexplode("weights").alias("j", "w")))
 
 
+def _wide(plan):
+    """G2 on all 64 features: ``(X'X + a^2) w`` of the fitted weights, which must
+    equal ``X'y``."""
+    def q(spark, d):
+        x, y = fx.stim_frames(spark, d), fx.resp_mean(spark, d)
+        x = cut_lineage(x.join(y.select("tr").distinct(), "tr", "left_semi"))
+        w = rg.ridge_weights(x, y, ["voxel"], 10.0, plan=plan).select("voxel", F.posexplode("weights").alias("j", "w"))
+        g = rg.gram(x).withColumn("value", F.col("value") + F.when(F.col("i") == F.col("j"), 100.0).otherwise(0.0))
+        lhs = w.join(g, "j").groupBy("voxel", "i").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        return lhs.select("voxel", F.col("i").alias("j"), F.round("value", 5).alias("value"))
+    return q
+
+
 def q_ridge_grid_additive_k2(spark, d):
     return _round(rg.ridge_grid(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(),
                                 plan="additive"))
@@ -716,6 +729,8 @@ QUERIES = {
     "pca_sweep": q_pca_sweep,
     "intersubject_k2": q_intersubject_k2,
     "stat_map": q_stat_map,
+    "ridge_wide_64": _wide("packed"),
+    "ridge_wide_additive_64": _wide("additive"),
     "ridge_weights_additive_k2": q_ridge_weights_additive_k2,
     "ridge_grid_additive_k2": q_ridge_grid_additive_k2,
     "alpha_per_series_additive_k2": _additive(),
