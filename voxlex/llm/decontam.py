@@ -5,7 +5,8 @@ templates: numbers, names (capitalised words inside a sentence) and units
 (after a number) are replaced by typed placeholders.  Every run of eight tokens
 is hashed twice, literally and as a template; a template window needs at least
 four literal tokens.  Windows of documents meet those of benchmark items by a
-join on the hash.
+join on the hash; a bitmap of the items' hashes (a few thousand numbers)
+leaves out most document windows before they become rows.
 
 A re-parameterised question matches as a template; its slots must also be
 filled consistently: along one alignment of document and item, equal item
@@ -37,8 +38,10 @@ UNITS = ("kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches yard
 
 
 def _tokens(text: str) -> str:
-    marked = f"regexp_replace({text}, r'(?<=[\\p{{Ll}},;:] )\\p{{Lu}}\\p{{Ll}}', '{NAME}$0')"
-    return f"regexp_extract_all({marked}, r'[0-9](?:[0-9.,]*[0-9])?|{NAME}?[\\p{{L}}\\p{{M}}]+', 0)"
+    """Case-folded tokens; names keep their mark in front.  Names are marked
+    before folding: the cheap test, for a capital, comes first."""
+    marked = rf"regexp_replace({text}, r'[A-Z\p{{Lu}}](?<=[a-z\p{{Ll}},;:] [A-Z\p{{Lu}}])(?=[a-z\p{{Ll}}])', '{NAME}$0')"
+    return rf"regexp_extract_all(lower({marked}), r'[0-9](?:[0-9.,]*[0-9])?|{NAME}?[a-z\p{{L}}\p{{M}}]+', 0)"
 
 
 def _windows(values: str) -> str:
@@ -50,32 +53,47 @@ def _windows(values: str) -> str:
                f"{let('a', two, let('b', four, eight))})")
 
 
-def windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, i, h, s): every window's place, hash and slots.
+def bitmap(hashes: DataFrame, words: int = 4096) -> str:
+    """SQL: an array of ``words`` 64-bit words with one bit set per hash ``h``."""
+    slot, bit = f"pmod(shiftright(h, 6), {words})", "shiftleft(1L, cast(h & 63 AS int))"
+    got = dict(hashes.groupBy(F.expr(slot).alias("w")).agg(F.expr(f"bit_or({bit})").alias("b")).collect())
+    return "array(" + ", ".join(f"{got.get(w, 0)}L" if got.get(w, 0) != -1 << 63 else "shiftleft(1L, 63)"
+                                for w in range(words)) + ")"
+
+
+def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None, words: int = 4096) -> DataFrame:
+    """(id, i, h, s): every window's place, hash and slots.
 
     ``s`` is null for a literal window; for a template window it lists the
-    eight tokens' slot values (empty where the token is literal).  ``n`` is
-    the number of literal windows of the text.
+    eight tokens' slot values (empty where the token is literal).  ``only``
+    is a ``bitmap``: windows whose hash has no bit there are left out before
+    they become rows.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
     kind = (f"CASE WHEN x >= '0' AND x < ':' THEN 'N' WHEN startswith(x, '{NAME}') THEN 'P' "
             f"WHEN i > 0 AND t[greatest(i, 1) - 1] >= '0' AND t[greatest(i, 1) - 1] < ':' "
-            f"AND lower(x) IN ({units}) THEN 'U' ELSE '' END")
-    plain = f"transform(t, x -> xxhash64(lower(ltrim('{NAME}', x))))"
-    slots = f"transform(t, (x, i) -> {kind})"
+            f"AND x IN ({units}) THEN 'U' ELSE '' END")
+    bare = f"IF(startswith(x, '{NAME}'), substring(x, 2), x)"
+    test = f"(shiftright(m[pmod(shiftright(x, 6), {words})], cast(x & 63 AS int)) & 1) = 1" if only else "true"
+    none = "cast(array() AS array<struct<i:int,h:bigint,s:string>>)"
+    # places of the windows that pass, then rows of those only
+    passing = f"filter(transform(w, (x, i) -> IF({test}, i, -1)), i -> i >= 0)"
+    literal = let("w", _windows(f"transform(t, x -> xxhash64({bare}))"),
+                  f"transform({passing}, i -> struct(i AS i, w[i] AS h, cast(null AS string) AS s))")
     # a template is needed only where the text has a slot at all
-    shape = "transform(t, (x, i) -> IF(k[i] = '', xxhash64(lower(x)), xxhash64(concat('\\u0001', k[i]))))"
-    fill = f"transform(t, (x, i) -> IF(k[i] = '', '', concat(k[i], lower(ltrim('{NAME}', x)))))"
+    shape = "transform(t, (x, i) -> IF(k[i] = '', xxhash64(x), xxhash64(concat('\u0001', k[i]))))"
+    fill = f"transform(t, (x, i) -> IF(k[i] = '', '', concat(k[i], {bare})))"
     part = f"slice(f, i + 1, {K})"
-    typed = let("f", fill, f"""filter(transform({_windows(shape)}, (x, i) -> struct(i AS i, x AS h,
-        array_join({part}, '\\u0002') AS s, size(filter({part}, y -> y <> '')) AS m)), w -> w.m BETWEEN 1 AND {K - 4})""")
-    typed = f"transform({typed}, w -> struct(w.i AS i, w.h AS h, w.s AS s))"
-    none = "cast(array() AS array<struct<i:int,h:bigint,s:string>>)"
-    literal = f"transform({_windows(plain)}, (x, i) -> struct(i AS i, x AS h, cast(null AS string) AS s))"
-    both = let("t", _tokens(f"coalesce(`{text_col}`, '')"), let(
-        "k", slots, f"concat({literal}, IF(exists(k, y -> y <> ''), {typed}, {none}))"))
-    return (df.select(F.col(id_col).alias("id"), F.expr(both).alias("w"))
-            .select("id", F.explode("w").alias("w")).select("id", "w.i", "w.h", "w.s"))
+    typed = let("k", f"transform(t, (x, i) -> {kind})", let("w", _windows(shape), let("f", fill, f"""transform(
+        filter({passing}, i -> size(filter({part}, y -> y <> '')) BETWEEN 1 AND {K - 4}),
+        i -> struct(i AS i, w[i] AS h, array_join({part}, '\u0002') AS s))""")))
+    both = let("t", _tokens("_t"), rf"concat({literal}, IF(_t RLIKE r'[0-9]|[a-z\p{{Ll}},;:] [A-Z\p{{Lu}}]', {typed}, {none}))")
+    if only:
+        both = let("m", only, both)
+    return (df.select(F.col(id_col).alias("id"), F.expr(f"coalesce(`{text_col}`, '')").alias("_t"))
+            .select("id", F.expr(both).alias("w"))
+            # outer: else Spark tests the array's size first and computes it twice
+            .select("id", F.explode_outer("w").alias("w")).where("w IS NOT NULL").select("id", "w.i", "w.h", "w.s"))
 
 
 def matches(docs: DataFrame, bench: DataFrame, coverage: float = 0.3, broadcast_windows: int = 1_000_000,
@@ -84,10 +102,11 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = 0.3, broadcast_
     b = windows(bench, item_id, text_col).distinct()
     b = b.select(F.col("id").alias("item"), F.col("i").alias("item_i"), "h", F.col("s").alias("item_s"),
                  F.col("s").isNull().alias("literal"))
+    only = bitmap(b.select("h").distinct())
     size = b.where("literal").groupBy("item").agg(F.countDistinct("item_i").alias("n"))
     if b.count() <= broadcast_windows:       # beyond that, Spark joins by shuffle
         b, size = F.broadcast(b), F.broadcast(size)
-    d = windows(docs, doc_id, text_col).withColumn("literal", F.col("s").isNull())
+    d = windows(docs, doc_id, text_col, only).withColumn("literal", F.col("s").isNull())
     hit = d.join(b, ["h", "literal"]).where("id IS NOT NULL AND item IS NOT NULL")
     hit = hit.withColumn("at", F.col("i") - F.col("item_i"))
     hit = hit.withColumn("pairs", F.expr(
