@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlex.llm import decontam, language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc, winnowing
 from voxlex.llm.common import table
+from voxlex.llm.oracle_sql import ORACLES
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -74,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express."""
+    return dict(ORACLES)
