@@ -186,7 +186,8 @@ def _units(rows: DataFrame, docs: DataFrame, bands: int, rows_per_band: int, see
 
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return (docs.join(rows, docs["doc_id"] == rows["rep"])
+    # both sides grow with the corpus: a shuffle join at every size
+    return (docs.join(rows.hint("merge"), docs["doc_id"] == rows["rep"])
             .select("comp", "b", "c", "rep", "text", "rest")
             .repartition(n, "comp", "b", "c").sortWithinPartitions("comp", "b", "c")
             .mapInArrow(run, "u bigint, v bigint"))
@@ -203,10 +204,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: i
     full = sk.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), folder, "reps")
     one = (full.select("doc_id", "n_shingles", "bands")
-           .join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+           .join(reps.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     keyed = one.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     low = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top")
-    edges = (keyed.join(low.select("key", "low"), "key").where("rep <> low")
+    edges = (keyed.join(low.select("key", "low").hint("merge"), "key").where("rep <> low")
              .select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
     blocks = connected_components(edges, folder, "blocks")
     sized = one.select(F.col("doc_id").alias("rep"), "n_shingles").distinct().join(
