@@ -75,8 +75,3 @@ def hash_unit(word, j) -> Column:
     h = F.conv(F.substring(F.md5(F.concat(_c(word), F.lit("#"), j.cast("string"))), 1, 8), 16, 10).cast("bigint")
     return (h % F.lit(2001) - F.lit(1000)).cast("double") / F.lit(1000.0)
 
-
-def token_vector(word, dim: int) -> Column:
-    """ARRAY<DOUBLE> of ``hash_unit(word, j)`` for j in 0..dim-1."""
-    w = _c(word)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: hash_unit(w, j))

@@ -145,20 +145,40 @@ def digest_text(s):
 
 
 def with_continuation(tok: DataFrame, ws: int, generator, every: int = 10, prompt_ws: int = 29,
-                      seq: str = "seq", pos: str = "pos", word: str = "word", out: str = "text") -> DataFrame:
+                      seq: str = "seq", pos: str = "pos", word: str = "word", out: str = "text",
+                      anchors_per_block: int = 64) -> DataFrame:
     """Context text prefixed by a generated continuation refreshed every ``every`` words.
 
-    The generator runs only on anchor rows (filtered before the UDF); each
-    row carries the latest anchor's output forward through an equi-join on
-    ``(seq, anchor)``.  Text: ``generated + ". This is the continuation of: " + context``.
+    One shuffle folds the words into (sequence, block) arrays of a bounded
+    length with a halo; an anchor and the rows it serves lie in the same
+    block, so contexts and prompts are slices of that array and nothing is
+    joined.  The generator runs on one row per anchor.
+    Text: ``generated + ". This is the continuation of: " + context``.
     """
-    ctx = refresh(context_window(tok, ws, seq, pos, word, "_ctx"), every, 0, pos)
-    anchors = tok.where(F.col(pos) % F.lit(every) == 0).select(seq, pos)
-    prompts = trailing_text_at(tok, anchors, prompt_ws, seq, pos, word, "_prompt")
-    gen = apply_text_fn(prompts, "_prompt", generator, "_gen").select(seq, F.col(pos).alias("anchor"), "_gen")
-    j = ctx.join(gen, [seq, "anchor"], "left")
-    return (j.withColumn(out, F.concat(F.col("_gen"), F.lit(CONTINUATION_JOIN), F.col("_ctx")))
-             .drop("_gen", "_ctx", "is_refresh", "anchor"))
+    back, block = max(ws, prompt_ws), every * anchors_per_block
+    others = [c for c in tok.columns if c not in (seq, pos, word)]
+    rows = F.struct(F.col(pos).alias("p"), F.col(word).alias("w"), *[F.col(c) for c in others])
+    t = (_with_halo(tok, back, pos, block).groupBy(seq, "_blk")
+         .agg(F.array_sort(F.collect_list(rows)).alias("_r")))
+    first, last = "_r[0].p", "_r[size(_r) - 1].p"
+    start = f"_blk * {block}"
+    # the rows of one anchor with their look-back: positions are dense
+    cut = (f"slice(_r, cast(greatest(a - {back}, {first}) - {first} + 1 AS int), "
+           f"cast(least(a + {every} - 1, {last}) - greatest(a - {back}, {first}) + 1 AS int))")
+    t = t.where(F.expr(f"{last} >= {start}")).select(seq, F.explode_outer(F.expr(
+        f"transform(sequence({start}, cast({last} AS bigint), cast({every} AS bigint)), "
+        f"a -> struct(a AS a, {cut} AS r))")).alias("_e")).select(seq, "_e.a", "_e.r")
+    # words up to a position, as a slice of the anchor's words
+    text = ("array_join(slice(_w, cast(greatest({0} - {1}, r[0].p) - r[0].p + 1 AS int), "
+            "cast({0} - greatest({0} - {1}, r[0].p) + 1 AS int)), ' ')")
+    t = t.withColumn("_w", F.expr("transform(r, x -> x.w)"))
+    t = apply_text_fn(t.withColumn("_prompt", F.expr(text.format("a", prompt_ws))), "_prompt", generator, "_gen")
+    own = (f"transform(slice(r, cast(a - r[0].p + 1 AS int), {every}), "
+           f"y -> struct(y AS y, {text.format('y.p', ws)} AS c))")
+    t = t.select(seq, "_gen", F.explode_outer(F.expr(own)).alias("_o"))
+    return t.select(F.col(seq), F.col("_o.y.p").alias(pos), F.col("_o.y.w").alias(word),
+                    *[F.col("_o.y")[c].alias(c) for c in others],
+                    F.concat(F.col("_gen"), F.lit(CONTINUATION_JOIN), F.col("_o.c")).alias(out))
 
 
 def with_summary(tok: DataFrame, ws: int, summarizer, start: int = 20, every: int = 30,
