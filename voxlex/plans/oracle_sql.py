@@ -471,6 +471,11 @@ def oracles() -> dict[str, str]:
         SELECT voxel, {r6('sqrt(abs(r2)) * sign(r2)')} AS corr FROM (
             SELECT voxel, 1 - var_pop(value - pred) / nullif(var_pop(value), 0) AS r2 FROM ap GROUP BY voxel)""", ap)
     q["mean_boot_scores"] = W(["stim_k2", "resp_dense"], f"SELECT voxel, alpha_idx, {r6('mean_corr')} AS mean_corr FROM rk_mean", rk)
+    q["mean_boot_group"] = W(["stim_k2", "resp_dense", "groups_t"], f"""
+        SELECT g.grp, m.alpha_idx, {r6('avg(m.mean_corr)')} AS mean_corr
+        FROM rk_mean m JOIN groups_t g ON g.voxel = m.voxel GROUP BY g.grp, m.alpha_idx""", rk)
+    q["mean_boot_all"] = W(["stim_k2", "resp_dense"], f"""
+        SELECT alpha_idx, {r6('avg(mean_corr)')} AS mean_corr FROM rk_mean GROUP BY alpha_idx""", rk)
     q["best_alpha_series"] = W(["stim_k2", "resp_dense"], """
         SELECT voxel, alpha_idx AS best_alpha_idx FROM (
             SELECT voxel, alpha_idx, row_number() OVER (PARTITION BY voxel ORDER BY round(mean_corr, 9) DESC, alpha_idx) AS r
@@ -669,6 +674,10 @@ def oracles() -> dict[str, str]:
                     FROM (SELECT unnest(range(2 * n)) AS i FROM nsup) r LEFT JOIN scores_a a ON a.voxel = r.i) g
               JOIN mask_t m ON m.voxel = g.voxel
               WHERE abs(g.corr * m.mask) >= 0.1), nsup""")  # a place without a mask is 0, below the threshold
+    q["factor_reconstruct_64"] = q["frame_embedding"]
+    q["pca_norms_64"] = W(["stim"], f"""
+        SELECT tr, {r6('sum(m * m)')} AS norm2 FROM (SELECT tr, j, avg(v) AS m FROM (
+            SELECT tr, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM stim) GROUP BY tr, j) GROUP BY tr""")
     q["ridge_wide_64"] = q["ridge_wide_additive_64"] = W(["stim", "resp_mean"], """
         SELECT m.voxel, CAST(s.j - 1 AS INTEGER) AS j, round(sum(s.v * m.value), 5) + 0.0 AS value
         FROM resp_mean m JOIN (SELECT tr, j, avg(v) AS v FROM (

@@ -301,6 +301,15 @@ def q_mean_boot_scores(spark, d):
     return _round(st.mean_boot(_boot_long(spark, d), "series", "voxel"))
 
 
+def q_mean_boot_group(spark, d):
+    s = _boot_long(spark, d).join(fx.groups(spark, d), "voxel")
+    return _round(st.mean_boot(s, "group", "voxel", "grp"))
+
+
+def q_mean_boot_all(spark, d):
+    return _round(st.mean_boot(_boot_long(spark, d), "all", "voxel"))
+
+
 def q_best_alpha_series(spark, d):
     m = st.mean_boot(_boot_long(spark, d), "series", "voxel")
     return st.best_alpha(m, "voxel", "mean_corr", 9)
@@ -523,6 +532,22 @@ def q_scale_cols(spark, d):
     return _round(rg.scale_cols(x, F.col("d")).select("tr", F.posexplode("x").alias("j", "value")))
 
 
+def q_factor_reconstruct_64(spark, d):
+    """G1 at full width: left vectors, singular values and right vectors give X back."""
+    factors, left = rg.factorize(fx.stim_frames(spark, d))
+    f = factors.select("k", "sigma", F.posexplode("v").alias("j", "v"))
+    u = left.select("tr", F.posexplode("u").alias("k", "u"))
+    r = u.join(f, "k").groupBy("tr", "j").agg(F.sum(F.col("u") * F.col("sigma") * F.col("v")).alias("value"))
+    return _round(r)
+
+
+def q_pca_norms_64(spark, d):
+    """G13, G14 at full width: the projection on all components keeps every row's norm."""
+    x = fx.stim_frames(spark, d)
+    p = pc.pca_project(x, pc.pca_fit(x, 64))
+    return _round(p.select("tr", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("norm2")))
+
+
 def q_pca_ratio_k2(spark, d):
     m = pc.pca_fit(fx.stim_k2_packed(spark, d), 2)
     return _round(pc.explained_ratio(m, spark))
@@ -676,6 +701,8 @@ QUERIES = {
     "signed_r2_blended": q_signed_r2_blended,
     "signed_r2_plain": q_signed_r2_plain,
     "mean_boot_scores": q_mean_boot_scores,
+    "mean_boot_group": q_mean_boot_group,
+    "mean_boot_all": q_mean_boot_all,
     "best_alpha_series": q_best_alpha_series,
     "alpha_usage": q_alpha_usage,
     "score_histogram": q_score_histogram,
@@ -729,6 +756,8 @@ QUERIES = {
     "pca_sweep": q_pca_sweep,
     "intersubject_k2": q_intersubject_k2,
     "stat_map": q_stat_map,
+    "factor_reconstruct_64": q_factor_reconstruct_64,
+    "pca_norms_64": q_pca_norms_64,
     "ridge_wide_64": _wide("packed"),
     "ridge_wide_additive_64": _wide("additive"),
     "ridge_weights_additive_k2": q_ridge_weights_additive_k2,
