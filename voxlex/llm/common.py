@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlex.session import checkpoint_dir
 
-# Arrow batches sent to Python hold at most this many rows, so that a batch
+# An Arrow batch sent to Python ends at this many rows or bytes, so that a batch
 # of very long documents stays within a worker's memory.
-ARROW_ROWS = 256
+ARROW_ROWS, ARROW_BYTES = 2048, "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Limit the rows of one Arrow batch in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_arrow(spark: SparkSession) -> None:
+    """Limit the rows and bytes of one Arrow batch in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def workspace(spark: SparkSession, label: str) -> str:
@@ -78,6 +78,20 @@ def write_file(folder: str, name: str, parts) -> str:
     return final
 
 
+def join_counted(rows: DataFrame, side: DataFrame, key: str, total: int, share: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row per key and ``n``, how
+    many of the ``total`` rows have it.
+
+    Keys with more than one row in ``share`` are joined from a broadcast:
+    there are fewer than ``share`` of them, whatever the input.  The rest is
+    a shuffle join in which no key is hot.  ``n`` is dropped.
+    """
+    hot = F.broadcast(side.where(F.col("n") * share > total).drop("n"))
+    cold = side.where(F.col("n") * share <= total).drop("n").hint("merge")
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(left)
+
+
 # -- connected components ---------------------------------------------------
 
 def connected_components(edges: DataFrame, folder: str, label: str,
@@ -88,24 +102,22 @@ def connected_components(edges: DataFrame, folder: str, label: str,
     smallest node of its component.  Each round is written to ``folder``;
     rounds end when the edges no longer change (count and checksum).
     Both steps only need the minimum of each neighbourhood, which is taken
-    by a partial aggregate and joined back, so no neighbourhood is gathered.
+    by a partial aggregate and joined back (``join_counted``), so no
+    neighbourhood is gathered and no hot node lands in one task.
     """
     spark = edges.sparkSession
 
-    def attach(e: DataFrame, m: DataFrame) -> DataFrame:
-        return e.join(m, "u")
-
-    def large_star(e: DataFrame) -> DataFrame:
+    def large_star(e: DataFrame, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return (attach(both, m).where(F.col("v") > F.col("u"))
+        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        return (join_counted(both, m, "u", 2 * n).where(F.col("v") > F.col("u"))
                 .select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .where("u <> v").distinct())
 
-    def small_star(e: DataFrame) -> DataFrame:
+    def small_star(e: DataFrame, n: int) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        m = down.groupBy("u").agg(F.min("v").alias("m"))
-        return (attach(down, m)
+        m = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return (join_counted(down, m, "u", n)
                 .select(F.explode(F.array(
                     F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                     F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -123,8 +135,10 @@ def connected_components(edges: DataFrame, folder: str, label: str,
     for i in range(1, max_rounds + 1):
         if seen[0] == 0:
             break
-        nxt = stage(small_star(large_star(cur)), folder, f"{label}-{i}")
+        mid = stage(large_star(cur, seen[0]), folder, f"{label}-{i}-large")
+        nxt = stage(small_star(mid, mid.count()), folder, f"{label}-{i}")
         now = mark(nxt)
+        drop_stage(spark, folder, f"{label}-{i}-large")
         if i > 1:
             drop_stage(spark, folder, f"{label}-{i - 1}")
         cur = nxt

@@ -27,18 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlex.functions.cache import worker_cache
 from voxlex.llm.common import bound_arrow
 
-_TABLE: dict = {}
-
 
 def _letters() -> np.ndarray:
     """Code point -> itself for letters, 0 for all others (once a worker)."""
-    if "t" not in _TABLE:
-        n = 0x30000
-        t = np.fromiter((i if chr(i).isalpha() else 0 for i in range(n)), np.uint32, n)
-        _TABLE["t"] = np.concatenate([t, np.arange(n, 0x110000, dtype=np.uint32)])
-    return _TABLE["t"]
+    cache = worker_cache("letters")
+    if "t" not in cache:
+        n = 0x40000       # no letters beyond
+        t = np.zeros(0x110000, np.uint32)
+        t[:n] = np.fromiter((i if chr(i).isalpha() else 0 for i in range(n)), np.uint32, n)
+        cache["t"] = t
+    return cache["t"]
 
 
 def grams(text: str | None, dims: int) -> np.ndarray | None:
@@ -152,7 +153,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def run(batches):
-        for b in batches:
+        # dense vectors of 256 texts at a time
+        for b in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
             n = b.num_rows
             lang, score, rej = ["und"] * n, [0.0] * n, [True] * n
             x, who, weight = np.zeros((n, dims), np.float32), [], []

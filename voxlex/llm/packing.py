@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlex.llm.common import bound_arrow, stage, workspace
-from voxlex.llm.tokenizing import WordEncoder
+from voxlex.llm.tokenizing import word_encoder
 
 
 def fullest(room: int, left: dict[int, int]) -> dict[int, int]:
@@ -97,9 +97,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
     bound_arrow(docs.sparkSession)
 
     def cut(batches):
-        enc = WordEncoder(tokenizer)
+        enc = word_encoder(tokenizer)
         for b in batches:
-            ids, off = enc.encode([t or "" for t in b.column(1).to_pylist()], end_id)
+            ids, off = enc.encode(b.column(1), end_id)
             raw = ids.astype("<u4").tobytes()
             row, piece, start, size, crc = [], [], [], [], []
             for i in range(len(off) - 1):
@@ -121,7 +121,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
         cut, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def assign(pieces: DataFrame, capacity: int, id_col: str = "doc_id", slices: int = 64) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int, id_col: str = "doc_id", slices: int = 16) -> DataFrame:
     """Sequence and offset of every piece.  ``pieces`` must be a stored table
     (it is read twice and must not change in between).
 

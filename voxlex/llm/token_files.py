@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlex.llm.common import bound_arrow, open_fs, stage, workspace, write_file
-from voxlex.llm.tokenizing import WordEncoder
+from voxlex.llm.tokenizing import word_encoder
 
 MAGIC = b"HUFTOK01"
 HEAD = "<8sIIIIQ"
@@ -131,22 +131,34 @@ def decode_bits(bits: bytes, at: np.ndarray, total: int, block: int,
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(id, ids as little-endian uint16 where they fit, else uint32; wide)."""
+    """(key, ids, wide, tally): ids as little-endian uint16 where they fit, else
+    uint32.  A task's last row is no document: it has ``tally``, how often
+    each id occurred in the task."""
     bound_arrow(docs.sparkSession)
 
     def encode(batches):
-        enc = WordEncoder(tokenizer)
+        enc = word_encoder(tokenizer)
         wide = enc.tok.get_vocab_size() > 1 << 16 or (end_id or 0) >= 1 << 16
-        kind = "<u4" if wide else "<u2"
+        kind, k = ("<u4", 4) if wide else ("<u2", 2)
+        total = np.zeros(1 << 16, np.int64)
+        names, counts = ["key", "ids", "wide", "tally"], pa.list_(pa.int64())
         for b in batches:
-            ids, off = enc.encode([t or "" for t in b.column(1).to_pylist()], end_id)
-            raw, k = ids.astype(kind).tobytes(), 4 if wide else 2
+            ids, off = enc.encode(b.column(1), end_id)
+            c = np.bincount(ids)
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[:len(c)] += c
+            raw, off = ids.astype(kind).tobytes(), off.tolist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([raw[k * a:k * z] for a, z in zip(off, off[1:])], pa.binary()),
-                 pa.array([wide] * b.num_rows, pa.bool_())], names=["key", "ids", "wide"])
+                 pa.array([wide] * b.num_rows, pa.bool_()), pa.nulls(b.num_rows, counts)], names=names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()),
+                 pa.array([total], counts)], names=names)
 
     return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(
-        encode, "key bigint, ids binary, wide boolean")
+        encode, "key bigint, ids binary, wide boolean, tally array<bigint>")
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
@@ -154,22 +166,9 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 
 
 def count_ids(encoded: DataFrame) -> np.ndarray:
-    """Occurrences of every id over the whole table: one row per id and task,
-    summed by Spark; at most vocabulary-many rows reach the driver."""
-
-    def tally(batches):
-        total = np.zeros(1, np.int64)
-        for b in batches:
-            raws, wide = b.column(0).to_pylist(), b.column(1).to_pylist()
-            c = np.bincount(np.concatenate([_ids(r, w) for r, w in zip(raws, wide)])) if raws else total[:1] * 0
-            if len(c) > len(total):
-                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-            total[:len(c)] += c
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())],
-                                         names=["id", "n"])
-
-    rows = (encoded.select("ids", "wide").mapInArrow(tally, "id bigint, n bigint")
+    """Occurrences of every id over the whole table, summed by Spark over the
+    tasks' tallies; at most vocabulary-many rows reach the driver."""
+    rows = (encoded.where("tally IS NOT NULL").select(F.posexplode("tally").alias("id", "n")).where("n > 0")
             .groupBy("id").agg(F.sum("n").alias("n")).collect())
     out = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
     for r in rows:
@@ -219,7 +218,7 @@ def write_token_files(encoded: DataFrame, length: np.ndarray, folder: str, max_b
             yield flush()
 
     order = [F.col("key").asc_nulls_first(), F.crc32("ids").asc()]
-    return (encoded.repartitionByRange(tasks, F.col("key").asc_nulls_first())
+    return (encoded.where("tally IS NULL").repartitionByRange(tasks, F.col("key").asc_nulls_first())
             .sortWithinPartitions(*order).select("key", "ids", "wide")
             .mapInArrow(write, "part int, seq int, uri string, documents bigint, tokens bigint"))
 
