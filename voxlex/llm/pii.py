@@ -169,7 +169,8 @@ def train(cands: DataFrame, rounds: int = 25, smooth: float = 0.5) -> DataFrame:
     """One row: ``votes`` map 'kind:votes' -> posterior, ``shapes`` map shape ->
     chance of a true span.  Both are bounded by the number of vote patterns
     and of shapes, not by the input."""
-    c = cands.select(F.explode("_cand").alias("x")).select("x.kind", "x.v", "x.shape")
+    # outer: else Spark tests the array's size first and computes it twice
+    c = cands.select(F.explode_outer("_cand").alias("x")).where("x IS NOT NULL").select("x.kind", "x.v", "x.shape")
     cells = c.groupBy("kind", "v", "shape").agg(F.count("*").cast("double").alias("n"))
     pattern = cells.groupBy("kind", "v").agg(F.sum("n").alias("n"))
     fitted = pattern.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("p")).withColumn(
@@ -191,7 +192,10 @@ def find(docs: DataFrame, text_col: str = "text", accept: float = 0.9) -> DataFr
     kind, then start, to the columns of ``docs`` (columns of these names are
     replaced).  Two passes over the texts: votes for training, then spans."""
     docs = docs.drop("base", "spans")
-    t = with_candidates(with_base(docs, text_col))
+    # the caller's columns travel as one, so that no name of theirs meets a helper's
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                      F.col(f"`{text_col}`").alias("_text"))
+    t = with_candidates(with_base(row, "_text"))
     model = train(t)
     key = "concat_ws(':', x.kind, array_join(transform(x.v, e -> cast(e AS string)), ','))"
     good = f"""filter(_cand, x -> NOT x.is_base AND (x.v[0] = 1 OR x.v[2] = 1) AND NOT exists(x.v, e -> e < 0)
@@ -208,7 +212,7 @@ def find(docs: DataFrame, text_col: str = "text", accept: float = 0.9) -> DataFr
     return (t.withColumn("one", F.lit(1)).join(F.broadcast(model), "one", "left")
             .withColumn("_good", F.expr(good)).withColumn("_free", F.expr(free))
             .withColumn("spans", F.expr(merged))
-            .select(*docs.columns, F.col("_base").alias("base"), "spans"))
+            .select("_row.*", F.col("_base").alias("base"), "spans"))
 
 
 def span_text(spans: str) -> Column:

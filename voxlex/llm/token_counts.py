@@ -22,6 +22,7 @@ empty table.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from voxlex.llm.common import bound_arrow
@@ -91,7 +92,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
                 if len(t) > chunk_chars:
                     out[i] = len(encode_long(tok, t, chunk_chars, overlap_chars))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
+                [b.column(0), pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64()),
                  pa.array(out, pa.int64()), pa.array([k > limit for k in out], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
