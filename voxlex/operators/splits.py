@@ -22,7 +22,7 @@ def ordered_split(df: DataFrame, frame_col: str = "tr", test_size: float = 0.2)
     fr = df.select(frame_col).distinct()
     idx = renumber(fr, [], frame_col, "idx")
     n = fr.agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
-    j = idx.withColumn("_g", F.lit(0)).join(n, "_g").drop("_g")
+    j = idx.withColumn("_g", F.lit(0)).join(F.broadcast(n), "_g").drop("_g")  # one row
     n_test = F.ceil(F.lit(float(test_size)) * F.col("_n"))
     return (j.withColumn("is_test", F.col("idx") >= F.col("_n") - n_test)
              .withColumn("train_idx", F.when(~F.col("is_test"), F.col("idx")))
@@ -36,7 +36,7 @@ def chunk_ids(split: DataFrame, chunklen: int, idx_col: str = "train_idx") -> Da
     """
     tr = split.where(F.col(idx_col).isNotNull())
     n = tr.agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
-    j = tr.withColumn("_g", F.lit(0)).join(n, "_g").drop("_g")
+    j = tr.withColumn("_g", F.lit(0)).join(F.broadcast(n), "_g").drop("_g")  # one row
     c = F.floor(F.col(idx_col) / F.lit(chunklen)).cast("int")
     full = F.floor(F.col("_n") / F.lit(chunklen))
     return j.withColumn("chunk", F.when(c < full, c)).drop("_n")

@@ -528,7 +528,7 @@ def q_scale_rows(spark, d):
 def q_scale_cols(spark, d):
     k = fx.stim_k2(spark, d)
     dvec = k.agg(F.array(F.lit(1.0) / F.stddev_pop("x0"), F.lit(1.0) / F.stddev_pop("x1")).alias("d"))
-    x = fx.stim_k2_packed(spark, d).withColumn("_g", F.lit(0)).join(dvec.withColumn("_g", F.lit(0)), "_g")
+    x = fx.stim_k2_packed(spark, d).withColumn("_g", F.lit(0)).join(F.broadcast(dvec.withColumn("_g", F.lit(0))), "_g")
     return _round(rg.scale_cols(x, F.col("d")).select("tr", F.posexplode("x").alias("j", "value")))
 
 
