@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlex.llm.common import bound_arrow, connected_components, stage, workspace
+from voxlex.llm.common import bound_arrow, connected_components, join_counted, stage, workspace
 
 K = 5
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -202,19 +202,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: i
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sk = stage(sketch(docs, bands, rows, seed), folder, "sketch")
     full = sk.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), folder, "reps")
+    reps = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), folder, "reps")
+    total = sk.count()
     one = (full.select("doc_id", "n_shingles", "bands")
            .join(reps.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     keyed = one.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    low = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top")
-    edges = (keyed.join(low.select("key", "low").hint("merge"), "key").where("rep <> low")
+    low = (keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count("*").alias("n"))
+           .where("low < top").drop("top"))
+    low = stage(low, folder, "buckets")
+    edges = (join_counted(keyed, low, "key", bands * total).where("rep <> low")
              .select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
     blocks = connected_components(edges, folder, "blocks")
     sized = one.select(F.col("doc_id").alias("rep"), "n_shingles").distinct().join(
         blocks.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep")
-    per = sized.groupBy("comp").agg(F.sum("n_shingles").alias("s"))
+    sized = stage(sized, folder, "sized")
+    per = sized.groupBy("comp").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
     member = stage(
-        sized.join(per, "comp").withColumn("parts", F.ceil(F.col("s") / unit_shingles).cast("int"))
+        join_counted(sized, per, "comp", total).withColumn("parts", F.ceil(F.col("s") / unit_shingles).cast("int"))
         .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), folder, "members")
     pivot = (member.where("parts > 1 AND rep = comp")
              .select("rep", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b")))
@@ -237,9 +241,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: i
         links = links.unionByName(stage(_units(second, docs, *args), folder, "confirmed-2"))
     comps = connected_components(links, folder, "links")
     named = reps.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "set_key", F.coalesce("root", "rep").alias("component_id"))
+        "set_key", "n", F.coalesce("root", "rep").alias("component_id"))
+    named = stage(named, folder, "named")
     # rows that repeat a doc_id with another text take the smallest component
-    got = full.select("doc_id", "n_shingles", "set_key").join(named, "set_key")
+    got = join_counted(full.select("doc_id", "n_shingles", "set_key"), named, "set_key", total)
     bare = sk.where("set_key IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", "n_shingles", "component_id"]
     return (got.select(*cols).unionByName(bare.select(*cols))
