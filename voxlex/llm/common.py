@@ -11,7 +11,7 @@ from voxlex.session import checkpoint_dir
 
 # An Arrow batch sent to Python ends at this many rows or bytes, so that a batch
 # of very long documents stays within a worker's memory.
-ARROW_ROWS, ARROW_BYTES = 2048, "8m"
+ARROW_ROWS, ARROW_BYTES = 2048, "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

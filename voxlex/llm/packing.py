@@ -97,7 +97,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
     bound_arrow(docs.sparkSession)
 
     def cut(batches):
-        enc = word_encoder(tokenizer)
+        enc = word_encoder(tokenizer, 200_000)
         for b in batches:
             ids, off = enc.encode(b.column(1), end_id)
             raw = ids.astype("<u4").tobytes()

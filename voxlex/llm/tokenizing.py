@@ -120,9 +120,15 @@ class WordEncoder:
 
     def _gather(self, entry: np.ndarray):
         """(ids of the entries, concatenated; running ends of each)."""
-        n = self.len[entry]
-        cum = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.repeat(self.start[entry] - cum[:-1], n) + np.arange(cum[-1])], cum
+        cum = np.concatenate([[0], np.cumsum(self.len[entry])])
+        out = np.empty(cum[-1], np.uint32)
+        for a in range(0, len(entry), 1 << 17):        # short scratch arrays
+            e = entry[a:a + (1 << 17)]
+            lo, hi = cum[a], cum[min(a + (1 << 17), len(entry))]
+            shift = np.repeat(self.start[e] - cum[a:a + len(e)], self.len[e])
+            shift += np.arange(lo, hi)
+            out[lo:hi] = self.flat[shift]
+        return out, cum
 
     def _encode_words(self, words: list[str]):
         """(ids of all words, concatenated; ids of each word)."""
@@ -196,9 +202,9 @@ class WordEncoder:
         return ids, off
 
 
-def word_encoder(name: str) -> WordEncoder:
+def word_encoder(name: str, max_words: int = 700_000) -> WordEncoder:
     """One encoder per worker process: what it learned serves later tasks."""
     cache = worker_cache("word-encoders")
-    if name not in cache:
-        cache[name] = WordEncoder(name)
-    return cache[name]
+    if (name, max_words) not in cache:
+        cache[name, max_words] = WordEncoder(name, max_words)
+    return cache[name, max_words]
