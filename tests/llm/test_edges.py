@@ -63,6 +63,20 @@ def test_long_texts_resynchronise(chunk, overlap):
         assert token_counts.encode_long(t, text, chunk, overlap) == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_counts_from_pieces_equal_the_library(name):
+    t = tok(name)
+    r, parts = random.Random(6), ["a", " ", "b ", "\n", "  ", "'s", " 's", "é", "😀", "12", ".", "\u00a0", "\u3000", "\t",
+                                  "<|endoftext|>", "don't", " \n", "\x85", "\x1c", "Word", "中文", "\r\n", " x"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 14))) for _ in range(4000)]
+    texts += [words(200, 5), "", " ", "a", " a", "a ", words(60, 6).replace(" ", "\n")]
+    c = token_counts.PieceCounter(t, max_pieces=60)
+    for i in range(0, len(texts), 500):
+        part = texts[i:i + 500]
+        assert c.count(pa.array(part)).tolist() == [
+            len(e) for e in t.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_token_counts_edges(docs, empty):
     t = tok(BYTES)
     got = token_counts.count_tokens(clash(docs, "n_bytes", "over_limit"), BYTES, chunk_chars=500, overlap_chars=90)

@@ -1,9 +1,14 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-A text of at most ``chunk_chars`` characters is encoded in one call.  A longer
-one is encoded in chunks that overlap; both encodings of an overlap carry
-offsets, and the two are spliced at a *stable common boundary*: a position
-where a pre-token starts in both.
+A text of more than ``chunk_chars`` characters is encoded in chunks that
+overlap; both encodings of an overlap carry offsets, and the two are spliced at
+a *stable common boundary*: a position where a pre-token starts in both.
+
+A shorter text is encoded in one call, or, for byte-level tokenizers, counted
+from its pieces: a blank after a character that is no white space always
+starts a pre-token there, so the text is cut before such blanks and the library
+encodes each distinct piece once per worker.  Texts in which white space comes
+before a blank, and tokenizers of another kind, take the one call.
 
 Why such a boundary is safe: the pre-tokenizer scans left to right and never
 looks back, so from a true pre-token start onwards its output depends only on
@@ -21,12 +26,14 @@ empty table.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from voxlex.functions.cache import worker_cache
 from voxlex.llm.common import bound_arrow
-from voxlex.llm.tokenizing import load_tokenizer
+from voxlex.llm.tokenizing import load_tokenizer, raw_strings
 
 
 def pretoken_starts(enc, base: int) -> dict[int, int]:
@@ -73,6 +80,94 @@ def encode_long(tok, text: str, chunk_chars: int, overlap_chars: int, guard: int
     return ids
 
 
+class PieceCounter:
+    """Token counts of texts of a byte-level tokenizer, from their pieces.
+
+    ``max_pieces`` bounds the memory of what is known; a fuller table is
+    started anew, which changes no result.
+    """
+
+    #: White space that Arrow's regular expressions see, before a blank.
+    BROKEN = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] "
+
+    def __init__(self, tok, max_pieces: int = 700_000):
+        import json
+        self.tok, self.max_pieces = tok, max_pieces
+        conf = json.loads(tok.to_str())
+        pre = conf.get("pre_tokenizer") or {}
+        self.fits = (conf.get("normalizer") is None and pre.get("type") == "ByteLevel"
+                     and pre.get("use_regex") and not pre.get("add_prefix_space"))
+        vocab = tok.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True   # the blank's symbol
+        self.known: tuple[dict, dict] = {}, {}                  # text starts, pieces after a blank
+
+    def _one_by_one(self, pieces: list[str]) -> list[int]:
+        return [len(e) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes], blank: bool) -> None:
+        words = [w.decode() for w in new]
+        if not blank:
+            self.known[0].update(zip(new, self._one_by_one(words)))
+            return
+        # pieces that end in white space would run into the next one
+        loose = [i for i, w in enumerate(words) if not w or w[-1].isspace()]
+        if loose:
+            self.known[1].update(zip([new[i] for i in loose], self._one_by_one([" " + words[i] for i in loose])))
+            drop = set(loose)
+            new, words = ([x for i, x in enumerate(v) if i not in drop] for v in (new, words))
+        for i in range(0, len(words), 20_000):
+            part = words[i:i + 20_000]
+            texts = ["".join(" " + w for w in part[j:j + 200]) for j in range(0, len(part), 200)]
+            ids = np.concatenate([np.asarray(e.ids, np.int64)
+                                  for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            cut = np.flatnonzero(self.starts[ids])
+            n = np.diff(cut, append=len(ids)).tolist() if len(cut) == len(part) and cut[0] == 0 else \
+                self._one_by_one([" " + w for w in part])
+            self.known[1].update(zip(new[i:i + 20_000], n))
+
+    def _counts(self, words: pa.Array, blank: bool) -> np.ndarray:
+        """Tokens of every piece; Python sees each distinct one once."""
+        words = words.dictionary_encode()
+        seen = raw_strings(words.dictionary)
+        known = self.known[blank]
+        new = [w for w in seen if w not in known]
+        if new:
+            self._learn(new, blank)
+        n = np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))
+        return n[words.indices.to_numpy()]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of every text of a string array without nulls."""
+        out = np.zeros(len(texts), np.int64)
+        bad = pc.match_substring_regex(texts, self.BROKEN).to_numpy(zero_copy_only=False) if self.fits else \
+            np.ones(len(texts), bool)
+        out[bad] = self._one_by_one(texts.filter(pa.array(bad)).to_pylist())
+        good = np.flatnonzero(~bad)
+        if len(good):
+            if sum(map(len, self.known)) > self.max_pieces:
+                self.known = {}, {}
+            split = pc.split_pattern(texts.take(pa.array(good)), " ")
+            per = pc.list_value_length(split).to_numpy()
+            words, ends = split.flatten(), np.cumsum(per)
+            first = np.zeros(len(words), bool)
+            first[ends - per] = True
+            n = np.zeros(len(words), np.int64)
+            for blank, mask in ((0, first), (1, ~first)):
+                if mask.any():
+                    n[mask] = self._counts(words.filter(pa.array(mask)), bool(blank))
+            out[good] = np.add.reduceat(n, ends - per)
+        return out
+
+
+def piece_counter(name: str) -> PieceCounter:
+    """One counter per worker process."""
+    cache = worker_cache("piece-counters")
+    if name not in cache:
+        cache[name] = PieceCounter(load_tokenizer(name))
+    return cache[name]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
                  text_col: str = "text", chunk_chars: int = 16_384,
                  overlap_chars: int = 512, limit: int = 1024) -> DataFrame:
@@ -80,20 +175,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     bound_arrow(docs.sparkSession)
 
     def count(batches):
-        tok = load_tokenizer(tokenizer)
+        tok, pieces = load_tokenizer(tokenizer), piece_counter(tokenizer)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            out = [0] * len(texts)
-            short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
-            enc = tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)
-            for i, e in zip(short, enc):
-                out[i] = len(e)
-            for i, t in enumerate(texts):
-                if len(t) > chunk_chars:
-                    out[i] = len(encode_long(tok, t, chunk_chars, overlap_chars))
+            texts = pc.fill_null(b.column(1).cast(pa.string()), "")
+            long = pc.greater(pc.utf8_length(texts), chunk_chars).to_numpy(zero_copy_only=False)
+            out = np.zeros(len(texts), np.int64)
+            out[~long] = pieces.count(texts.filter(pa.array(~long)))
+            for i in np.flatnonzero(long):
+                out[i] = len(encode_long(tok, texts[int(i)].as_py(), chunk_chars, overlap_chars))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64()),
-                 pa.array(out, pa.int64()), pa.array([k > limit for k in out], pa.bool_())],
+                 pa.array(out, pa.int64()), pa.array(out > limit, pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
