@@ -42,15 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlex.functions.cache import worker_cache
 from voxlex.llm.common import bound_arrow, stage, workspace
 from voxlex.llm.minhash import mix
 
-_POWERS: dict = {}
+
+#: Suffixes compared at a time.
+SLICE = 1 << 16
 
 
 def powers(n: int, seed: int = 0):
     """(byte values, base^i, base^-i) modulo 2^64, for i < n at least."""
-    got = _POWERS.get(seed)
+    cache = worker_cache("powers")
+    got = cache.get(seed)
     if got is None or len(got[1]) < n:
         rng = np.random.default_rng(1000 + seed)
         value = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -61,7 +65,7 @@ def powers(n: int, seed: int = 0):
             q = np.full(size, pow(base, -1, 1 << 64), np.uint64)
             p[0] = q[0] = 1
             got = value, np.multiply.accumulate(p), np.multiply.accumulate(q)
-        _POWERS[seed] = got
+        cache[seed] = got
     return got
 
 
@@ -153,26 +157,26 @@ def suffix_sort(group: np.ndarray, at: np.ndarray, text: np.ndarray, sums, inv,
         mine = first + local // run * run
         left = (local // run) % 2 == 0
         other = np.where(left, mine + run, mine - run)
-        act = np.flatnonzero((other >= first) & (other < stop))
-        lo = other[act].copy()
-        hi = np.minimum(lo + run, stop[act])
-        base = lo.copy()
-        s = at[order[act]]
-        before = left[act]
-        for _ in range(int(run).bit_length() + 1):
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            t = at[order[mid]]
-            x = s[open_]
-            # stable: an element of the left run goes before its equals
-            go = np.where(before[open_], _less(t, x, text, sums, inv, length),
-                          ~_less(x, t, text, sums, inv, length))
-            lo[open_] = np.where(go, mid + 1, lo[open_])
-            hi[open_] = np.where(go, hi[open_], mid)
+        every = np.flatnonzero((other >= first) & (other < stop))
         to = place.copy()
-        to[act] = np.minimum(mine[act], base) + (act - mine[act]) + (lo - base)
+        for c in range(0, len(every), SLICE):          # short scratch arrays
+            act = every[c:c + SLICE]
+            lo = other[act]
+            hi = np.minimum(lo + run, stop[act])
+            base, s, before = lo.copy(), at[order[act]], left[act]
+            for _ in range(int(run).bit_length() + 1):
+                open_ = np.flatnonzero(lo < hi)
+                if not len(open_):
+                    break
+                mid = (lo[open_] + hi[open_]) >> 1
+                t = at[order[mid]]
+                x = s[open_]
+                # stable: an element of the left run goes before its equals
+                go = np.where(before[open_], _less(t, x, text, sums, inv, length),
+                              ~_less(x, t, text, sums, inv, length))
+                lo[open_] = np.where(go, mid + 1, lo[open_])
+                hi[open_] = np.where(go, hi[open_], mid)
+            to[act] = np.minimum(mine[act], base) + (act - mine[act]) + (lo - base)
         nxt = np.empty_like(order)
         nxt[to] = order
         order = nxt
@@ -200,7 +204,9 @@ def repeated(contexts: list[bytes], q: np.ndarray, big: np.ndarray, small: np.nd
         sums, inv = prefix_hashes(text, seed)
         order = suffix_sort(group, at, text, sums, inv, length)
         near = np.flatnonzero(group[order[1:]] == group[order[:-1]])
-        near = near[compare(at[order[near]], at[order[near + 1]], sums, inv, length) >= length]
+        near = np.concatenate([near[:0]] + [
+            c[compare(at[order[c]], at[order[c + 1]], sums, inv, length) >= length]
+            for c in (near[i:i + SLICE] for i in range(0, len(near), SLICE))])
         ok = True
         for i in range(0, len(near), 20_000):     # collision verification
             c = near[i:i + 20_000]
@@ -417,7 +423,7 @@ def _sort_units(ctxs: DataFrame, length: int, batch_items: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, folder: str, length: int = 200, k: int = 32, unit: int = 8192,
-            batch_items: int = 400_000):
+            batch_items: int = 150_000):
     """(rows (part, row, first, last): starts of repeated strings; text files)."""
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -439,11 +445,14 @@ def repeats(docs: DataFrame, folder: str, length: int = 200, k: int = 32, unit:
             .withColumn("n_ctx", F.sum("lead").over(by_h)).select(*cols))
     # hot anchors: partial aggregates only, joined back
     heavy = occ.join(hot, "h")
-    agg = heavy.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("part", "row", "at")).alias("m"))
+    agg = stage(heavy.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("part", "row", "at")).alias("m")),
+                folder, "hot")     # read as a table, so that Spark can split a hot context in the join below
     n_ctx = agg.groupBy("h").agg(F.count("*").alias("n_ctx"))
     warm2 = (heavy.join(agg.join(F.broadcast(n_ctx), "h"), ["h", "ctx"])
              .withColumn("lead", (F.struct("part", "row", "at") == F.col("m")).cast("int")).select(*cols))
-    marked = stage(cool.unionByName(warm2).where("c > 1 OR (lead = 1 AND n_ctx > 1)"), folder, "marked")
+    # two tables: in a plan with one join of its own, Spark splits a hot context
+    use = "c > 1 OR (lead = 1 AND n_ctx > 1)"
+    marked = stage(cool.where(use), folder, "marked").unionByName(stage(warm2.where(use), folder, "marked-hot"))
     pos, big, small = "shiftright(at, 16)", "shiftright(at, 8) & 255", "at & 255"
     whole = marked.where("c > 1").select("part", "row", F.expr(f"{pos} - ({big})").alias("first"),
                                          F.expr(f"{pos} - ({small})").alias("last"))
