@@ -351,3 +351,22 @@ def test_decontamination_edges(spark):
     assert left == {2, 4, 5, 6, 7, 8, None}
     assert decontam.matches(docs.limit(0), bench).collect() == []
     assert decontam.matches(docs, bench.limit(0)).collect() == []
+
+
+def test_decontamination_repeated_values(spark):
+    """Independent slots that share a value by chance, in the item or in the copy."""
+    train = ("A train travels {} km in {} hours and a second train travels {} km in {} hours. "
+             "How far apart are they after {} hours?")
+    shop = ("A girl buys {} pens at {} dollars each and {} books at {} dollars each. "
+            "How much does she pay in total at the shop?")
+    ship = ("The ship carries {} boxes from the port of the island to the northern harbour and leaves {} boxes "
+            "there before it turns back to the island with {} boxes for the old market")
+    bench = spark.createDataFrame([(1, train.format(60, 2, 90, 2, 5)), (2, shop.format(2, 3, 2, 8)),
+                                   (3, ship.format(12, 12, 31))], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, train.format(50, 3, 80, 4, 6)), (2, shop.format(4, 5, 3, 9)), (3, train.format(70, 4, 70, 4, 4)),
+         (4, ship.format(45, 99, 45)), (5, words(100, 8))], "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontam.matches(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 1), (4, 3)}
+    assert got[1, 1].windows == got[3, 1].windows == 19 and got[1, 1].coverage == 1.0
+    assert 0.3 <= got[4, 3].coverage < 1.0      # the windows of 12 are dropped, the others stay

@@ -9,9 +9,14 @@ join on the hash; a bitmap of the items' hashes (a few thousand numbers)
 leaves out most document windows before they become rows.
 
 A re-parameterised question matches as a template; its slots must also be
-filled consistently: along one alignment of document and item, equal item
-values stand for equal document values and different ones for different ones.
-Windows with slots of an inconsistent alignment do not count.
+filled consistently, equal item values standing for equal document values.
+Different item values may share a document value: slots that are independent in
+the question do so by chance.  A window that is inconsistent in itself does not
+count.  Along one alignment of document and item, a name or a number of more
+than one significant digit stands for one document value; where it stands for
+several, the windows that hold it do not count and all others do.  Units and
+numbers of one significant digit (2, 20, 500) recur in independent slots, so
+that windows are not held against each other for them.
 
 A document is contaminated by an item if at least ``coverage`` of the item's
 windows match.  An item with fewer than eight tokens has no window and is too
@@ -37,6 +42,11 @@ UNITS = ("kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches yard
          "hz khz mhz w kw v volt volts a j n c f k degrees").split()
 
 
+#: SQL: a slot value ``x.a`` that independent slots of a question often share.
+CHANCE = ("(startswith(x.a, 'U') OR startswith(x.a, 'N') "
+          "AND length(trim(BOTH '0' FROM regexp_replace(substring(x.a, 2), '[.,]', ''))) <= 1)")
+
+
 def _tokens(text: str) -> str:
     """Case-folded tokens; names keep their mark in front.  Names are marked
     before folding: the cheap test, for a capital, comes first."""
@@ -111,14 +121,17 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = 0.3, broadcast_
     hit = hit.withColumn("at", F.col("i") - F.col("item_i"))
     hit = hit.withColumn("pairs", F.expr(
         "filter(transform(split(item_s, '\\u0002'), (x, j) -> struct(x AS a, split(s, '\\u0002')[j] AS b)), p -> p.a <> '')"))
+    hit = hit.where("literal OR size(array_distinct(pairs)) = size(array_distinct(transform(pairs, p -> p.a)))")
+    hit = hit.withColumn("bound", F.expr(f"filter(pairs, x -> NOT {CHANCE})"))
     # one row per alignment: at most as many values as the item has windows and slots
     run = hit.groupBy("id", "item", "at").agg(
         F.collect_set(F.when(F.col("literal"), F.col("item_i"))).alias("plain"),
-        F.collect_set(F.when(~F.col("literal"), F.col("item_i"))).alias("typed"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    fits = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.a))) "
-                  "AND size(pairs) = size(array_distinct(transform(pairs, p -> p.b)))")
-    run = run.withColumn("found", F.when(fits, F.array_union("plain", "typed")).otherwise(F.col("plain")))
+        F.collect_set(F.when(~F.col("literal"), F.struct(F.col("item_i").alias("i"), "bound"))).alias("typed"))
+    run = run.withColumn("filled", F.expr("array_sort(array_distinct(flatten(transform(typed, t -> t.bound))))"))
+    run = run.withColumn("torn", F.expr(
+        "transform(filter(filled, (x, i) -> i > 0 AND filled[greatest(i, 1) - 1].a = x.a), x -> x.a)"))
+    run = run.withColumn("found", F.expr("""array_union(plain, transform(
+        filter(typed, t -> NOT arrays_overlap(transform(t.bound, x -> x.a), torn)), t -> t.i))"""))
     per = run.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("windows"))
     return (per.join(size, "item").withColumn("coverage", F.col("windows") / F.col("n"))
             .where(F.col("coverage") >= coverage)
