@@ -370,3 +370,20 @@ def test_decontamination_repeated_values(spark):
     assert set(got) == {(1, 1), (2, 2), (3, 1), (4, 3)}
     assert got[1, 1].windows == got[3, 1].windows == 19 and got[1, 1].coverage == 1.0
     assert 0.3 <= got[4, 3].coverage < 1.0      # the windows of 12 are dropped, the others stay
+
+
+def test_decontamination_short_and_dense_items(spark):
+    bench = spark.createDataFrame(
+        [(1, "What is 12 percent of 250?"), (2, "Compute the sum of 12, 15, 18, 21, 24 and 27"),
+         (3, "Add 12, 15, 18, 21, 24 and 27 now"), (4, "Who wrote Hamlet?"), (5, "11 22 33 44 55 66 77 88 99"),
+         (6, "two tokens")], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, "What is 12 percent of 250?"), (2, "Easy. What is 15 percent of 80? It is 12."),
+         (3, "Now compute the sum of 2, 5, 8, 11, 14 and 17"), (4, "Please add 1, 2, 3, 4, 5 and 6 now"),
+         (5, words(30, 1) + " who wrote hamlet " + words(30, 2)), (6, "What is 12 percent? Who wrote it?"),
+         (7, "11 22 33 44 55 66 77 88 99"), (8, "12 13 14 15 16 17 18 19 20 21"), (9, "two tokens"), (10, "Hamlet"), (11, "Who wrote Macbeth?")],
+        "doc_id bigint, text string")
+    for limit in (1_000_000, 0):
+        got = {(x.doc_id, x.item_id): x.coverage
+               for x in decontam.matches(docs, bench, broadcast_windows=limit).collect()}
+        assert got == {(k, i): 1.0 for k, i in [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5), (11, 4)]}

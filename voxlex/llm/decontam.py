@@ -3,8 +3,10 @@
 Texts become tokens (letter runs and numbers, case folded) and, from them,
 templates: numbers, names (capitalised words inside a sentence) and units
 (after a number) are replaced by typed placeholders.  Every run of eight tokens
-is hashed twice, literally and as a template; a template window needs at least
-four literal tokens.  Windows of documents meet those of benchmark items by a
+is hashed twice, literally and as a template.  An item of three to seven tokens
+has one window, the whole of it; documents then have windows of that length
+too.  Template windows of an item have as many literal tokens as slots; an item
+with no such window uses its windows with two literal tokens.  Windows of documents meet those of benchmark items by a
 join on the hash; a bitmap of the items' hashes (a few thousand numbers)
 leaves out most document windows before they become rows.
 
@@ -19,8 +21,9 @@ numbers of one significant digit (2, 20, 500) recur in independent slots, so
 that windows are not held against each other for them.
 
 A document is contaminated by an item if at least ``coverage`` of the item's
-windows match.  An item with fewer than eight tokens has no window and is too
-short to tell; it matches nothing.
+windows match, or of those windows that a re-parameterised copy can match (the
+templates in use and the windows without slots).  An item of one or two tokens
+is too short to tell; it matches nothing.
 
 Null texts have no windows; items without tokens match nothing.  Rows that
 repeat an id count as one document or item.  Empty tables give empty results.
@@ -28,12 +31,13 @@ repeat an id count as one document or item.  Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlex.llm.winnowing import let, rotl
 
 K = 8
+SHORTEST = 3        # tokens of an item
 NAME = "\ue000"     # private-use mark put before names
 #: Units that follow a number (fixed values).
 UNITS = ("kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches yard yards l ml litre litres liter "
@@ -54,13 +58,17 @@ def _tokens(text: str) -> str:
     return rf"regexp_extract_all(lower({marked}), r'[0-9](?:[0-9.,]*[0-9])?|{NAME}?[a-z\p{{L}}\p{{M}}]+', 0)"
 
 
-def _windows(values: str) -> str:
-    """Hashes of all runs of eight, by doubling."""
+def _windows(n: int, whole: bool) -> str:
+    """Hashes of all runs of ``n`` of the values ``v``, of eight by doubling;
+    ``whole``: of fewer than eight only if there are no more values."""
+    if n < K:
+        terms = [rotl("x", 7 * (n - 1))] + [rotl(f"v[i + {j}]", 7 * (n - 1 - j)) for j in range(1, n - 1)]
+        runs = f"transform(slice(v, 1, size(v) - {n - 1}), (x, i) -> {' ^ '.join(terms)} ^ v[i + {n - 1}])"
+        return f"IF(size(v) {'<>' if whole else '<'} {n}, cast(array() AS array<bigint>), {runs})"
     two = f"transform(slice(v, 1, size(v) - 1), (x, i) -> {rotl('x', 7)} ^ v[i + 1])"
     four = f"transform(slice(a, 1, size(a) - 2), (x, i) -> {rotl('x', 14)} ^ a[i + 2])"
     eight = f"transform(slice(b, 1, size(b) - 4), (x, i) -> {rotl('x', 28)} ^ b[i + 4])"
-    return let("v", values, f"IF(size(v) < {K}, cast(array() AS array<bigint>), "
-               f"{let('a', two, let('b', four, eight))})")
+    return f"IF(size(v) < {K}, cast(array() AS array<bigint>), {let('a', two, let('b', four, eight))})"
 
 
 def bitmap(hashes: DataFrame, words: int = 4096) -> str:
@@ -71,13 +79,15 @@ def bitmap(hashes: DataFrame, words: int = 4096) -> str:
                                 for w in range(words)) + ")"
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None, words: int = 4096) -> DataFrame:
-    """(id, i, h, s): every window's place, hash and slots.
+def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None, words: int = 4096,
+            lengths: tuple[int, ...] = (K,), item: bool = False) -> DataFrame:
+    """(id, i, n, h, s, slots): every window's place, length, hash and slots.
 
     ``s`` is null for a literal window; for a template window it lists the
-    eight tokens' slot values (empty where the token is literal).  ``only``
-    is a ``bitmap``: windows whose hash has no bit there are left out before
-    they become rows.
+    tokens' slot values (empty where the token is literal).  ``only`` is a
+    ``bitmap``: windows whose hash has no bit there are left out before they
+    become rows.  ``item``: the windows of a benchmark item, with those without
+    slots among the templates (a re-parameterised copy holds them literally).
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
     kind = (f"CASE WHEN x >= '0' AND x < ':' THEN 'N' WHEN startswith(x, '{NAME}') THEN 'P' "
@@ -85,38 +95,50 @@ def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None,
             f"AND x IN ({units}) THEN 'U' ELSE '' END")
     bare = f"IF(startswith(x, '{NAME}'), substring(x, 2), x)"
     test = f"(shiftright(m[pmod(shiftright(x, 6), {words})], cast(x & 63 AS int)) & 1) = 1" if only else "true"
-    none = "cast(array() AS array<struct<i:int,h:bigint,s:string>>)"
+    none = "cast(array() AS array<struct<i:int,n:int,h:bigint,s:string,slots:int>>)"
     # places of the windows that pass, then rows of those only
     passing = f"filter(transform(w, (x, i) -> IF({test}, i, -1)), i -> i >= 0)"
-    literal = let("w", _windows(f"transform(t, x -> xxhash64({bare}))"),
-                  f"transform({passing}, i -> struct(i AS i, w[i] AS h, cast(null AS string) AS s))")
+    every = lambda body: f"concat({', '.join(let('w', _windows(n, item), body(n)) for n in lengths)})"
+    literal = let("v", f"transform(t, x -> xxhash64({bare}))", every(lambda n: f"""transform(
+        {passing}, i -> struct(i AS i, {n} AS n, w[i] AS h, cast(null AS string) AS s, 0 AS slots))"""))
     # a template is needed only where the text has a slot at all
     shape = "transform(t, (x, i) -> IF(k[i] = '', xxhash64(x), xxhash64(concat('\u0001', k[i]))))"
     fill = f"transform(t, (x, i) -> IF(k[i] = '', '', concat(k[i], {bare})))"
-    part = f"slice(f, i + 1, {K})"
-    typed = let("k", f"transform(t, (x, i) -> {kind})", let("w", _windows(shape), let("f", fill, f"""transform(
-        filter({passing}, i -> size(filter({part}, y -> y <> '')) BETWEEN 1 AND {K - 4}),
-        i -> struct(i AS i, w[i] AS h, array_join({part}, '\u0002') AS s))""")))
-    both = let("t", _tokens("_t"), rf"concat({literal}, IF(_t RLIKE r'[0-9]|[a-z\p{{Ll}},;:] [A-Z\p{{Lu}}]', {typed}, {none}))")
+    slots = lambda n: f"size(filter(slice(f, i + 1, {n}), y -> y <> ''))"
+    typed = let("k", f"transform(t, (x, i) -> {kind})", let("v", shape, let("f", fill, every(lambda n: f"""transform(
+        filter({passing}, i -> {slots(n)} BETWEEN {0 if item else 1} AND {n - 2}),
+        i -> struct(i AS i, {n} AS n, w[i] AS h, array_join(slice(f, i + 1, {n}), '\u0002') AS s, {slots(n)} AS slots))"""))))
+    if item:
+        typed = let("y", typed, "IF(exists(y, x -> x.slots > 0 AND 2 * x.slots <= x.n), "
+                                "filter(y, x -> 2 * x.slots <= x.n), y)")
+    else:
+        typed = rf"IF(_t RLIKE r'[0-9]|[a-z\p{{Ll}},;:] [A-Z\p{{Lu}}]', {typed}, {none})"
+    both = let("t", _tokens("_t"), f"concat({literal}, {typed})")
     if only:
         both = let("m", only, both)
     return (df.select(F.col(id_col).alias("id"), F.expr(f"coalesce(`{text_col}`, '')").alias("_t"))
             .select("id", F.expr(both).alias("w"))
             # outer: else Spark tests the array's size first and computes it twice
-            .select("id", F.explode_outer("w").alias("w")).where("w IS NOT NULL").select("id", "w.i", "w.h", "w.s"))
+            .select("id", F.explode_outer("w").alias("w")).where("w IS NOT NULL").select("id", "w.*"))
 
 
 def matches(docs: DataFrame, bench: DataFrame, coverage: float = 0.3, broadcast_windows: int = 1_000_000,
             doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, coverage) of every contaminated pair."""
-    b = windows(bench, item_id, text_col).distinct()
-    b = b.select(F.col("id").alias("item"), F.col("i").alias("item_i"), "h", F.col("s").alias("item_s"),
-                 F.col("s").isNull().alias("literal"))
+    b = windows(bench, item_id, text_col, lengths=tuple(range(SHORTEST, K + 1)), item=True).distinct()
+    b = b.select(F.col("id").alias("item"), F.col("i").alias("item_i"), "n", "h", F.col("s").alias("item_s"),
+                 F.col("s").isNull().alias("literal"), "slots")
+    # fit: a re-parameterised copy can match the window
+    b = b.withColumn("fit", F.max(~F.col("literal")).over(Window.partitionBy("item", "item_i")))
+    size = b.groupBy("item").agg(F.countDistinct("item_i").alias("n"),
+                                 F.countDistinct(F.when(F.col("fit"), F.col("item_i"))).alias("n_fit"))
+    b = b.where("literal OR slots > 0")
+    lengths = tuple(sorted({K} | {x.n for x in b.select("n").distinct().collect()}))     # six at most
     only = bitmap(b.select("h").distinct())
-    size = b.where("literal").groupBy("item").agg(F.countDistinct("item_i").alias("n"))
+    b = b.drop("n", "slots")
     if b.count() <= broadcast_windows:       # beyond that, Spark joins by shuffle
         b, size = F.broadcast(b), F.broadcast(size)
-    d = windows(docs, doc_id, text_col, only).withColumn("literal", F.col("s").isNull())
+    d = windows(docs, doc_id, text_col, only, lengths=lengths).drop("n", "slots").withColumn("literal", F.col("s").isNull())
     hit = d.join(b, ["h", "literal"]).where("id IS NOT NULL AND item IS NOT NULL")
     hit = hit.withColumn("at", F.col("i") - F.col("item_i"))
     hit = hit.withColumn("pairs", F.expr(
@@ -125,15 +147,17 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = 0.3, broadcast_
     hit = hit.withColumn("bound", F.expr(f"filter(pairs, x -> NOT {CHANCE})"))
     # one row per alignment: at most as many values as the item has windows and slots
     run = hit.groupBy("id", "item", "at").agg(
-        F.collect_set(F.when(F.col("literal"), F.col("item_i"))).alias("plain"),
-        F.collect_set(F.when(~F.col("literal"), F.struct(F.col("item_i").alias("i"), "bound"))).alias("typed"))
+        F.collect_set(F.when(F.col("literal"), F.struct(F.col("item_i").alias("i"), "fit"))).alias("plain"),
+        F.collect_set(F.when(~F.col("literal"), F.struct(F.col("item_i").alias("i"), "fit", "bound"))).alias("typed"))
     run = run.withColumn("filled", F.expr("array_sort(array_distinct(flatten(transform(typed, t -> t.bound))))"))
     run = run.withColumn("torn", F.expr(
         "transform(filter(filled, (x, i) -> i > 0 AND filled[greatest(i, 1) - 1].a = x.a), x -> x.a)"))
     run = run.withColumn("found", F.expr("""array_union(plain, transform(
-        filter(typed, t -> NOT arrays_overlap(transform(t.bound, x -> x.a), torn)), t -> t.i))"""))
-    per = run.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("windows"))
-    return (per.join(size, "item").withColumn("coverage", F.col("windows") / F.col("n"))
+        filter(typed, t -> NOT arrays_overlap(transform(t.bound, x -> x.a), torn)), t -> struct(t.i AS i, t.fit AS fit)))"""))
+    per = run.groupBy("id", "item").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    per = per.withColumn("windows", F.size("found"))
+    return (per.join(size, "item")
+            .withColumn("coverage", F.expr("greatest(windows / n, size(filter(found, x -> x.fit)) / nullif(n_fit, 0))"))
             .where(F.col("coverage") >= coverage)
             .select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "windows", "coverage"))
 
