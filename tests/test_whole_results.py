@@ -113,3 +113,13 @@ def test_no_query_leaves_a_cache(spark, name):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     entry.queries()[name](spark, SF_SMALL).collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_full_width_queries_read_every_stimulus_element(spark):
+    from voxlex.plans.queries import QUERIES
+    for name in ("xty_64", "scale_rows_64", "scale_cols_64"):
+        assert {r.j for r in QUERIES[name](spark, SF_SMALL).select("j").distinct().collect()} == set(range(64))
+    runs = {f"f{j:02d}" for j in range(64)}
+    for name in ("series_corr_64", "score_diff_64", "describe_scores_64", "over_under_64"):
+        assert {r.run for r in QUERIES[name](spark, SF_SMALL).select("run").distinct().collect()} == runs
+    assert {f"x{j}" for j in range(64)} < set(QUERIES["align_frames_64"](spark, SF_SMALL).columns)

@@ -674,6 +674,34 @@ def oracles() -> dict[str, str]:
                     FROM (SELECT unnest(range(2 * n)) AS i FROM nsup) r LEFT JOIN scores_a a ON a.voxel = r.i) g
               JOIN mask_t m ON m.voxel = g.voxel
               WHERE abs(g.corr * m.mask) >= 0.1), nsup""")  # a place without a mask is 0, below the threshold
+    # full width: the narrow queries' text over scores of all 64 elements
+    wide = """(SELECT tr, j, avg(v) AS v FROM (
+        SELECT tr, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM stim) GROUP BY tr, j)"""
+    run = "'f' || lpad(CAST(s.j - 1 AS VARCHAR), 2, '0')"
+    corr = "covar_pop(d.value, s.v) / nullif(stddev_pop(d.value) * stddev_pop(s.v), 0)"
+    scores = f"""
+        SELECT {run} AS run, d.voxel, {corr} AS corr FROM resp_dense d JOIN {wide} s ON s.tr = d.tr GROUP BY s.j, d.voxel"""
+    for name in ("describe_scores", "above_threshold", "over_under", "score_histogram", "score_kde"):
+        q[f"{name}_64"] = q[name].replace(FIX["scores_ab"][1], scores)
+    q["series_corr_64"] = W(["resp_dense", "stim"], f"SELECT run, voxel, {r6('corr')} AS corr FROM sw", [("sw", scores)])
+    q["score_diff_64"] = W(["resp_dense", "stim"], f"""
+        SELECT a.run, a.voxel, {r6('a.corr - b.corr')} AS diff FROM sw a JOIN sw b ON b.voxel = a.voxel
+         AND CAST(substr(b.run, 2) AS INTEGER) = (CAST(substr(a.run, 2) AS INTEGER) + 1) % 64""", [("sw", scores)])
+    q["subject_summary_64"] = W(["resp", "stim"], summ.format(src="sw"), subj[:1] + [("sw", f"""
+        SELECT CAST(d.subject AS VARCHAR) AS subject, d.voxel, s.j, {corr} AS corr
+        FROM sd d JOIN {wide} s ON s.tr = d.tr GROUP BY d.subject, d.voxel, s.j""")])
+    q["xty_64"] = W(["stim", "resp_dense"], f"""
+        SELECT d.voxel, CAST(s.j - 1 AS INTEGER) AS j, {r6('sum(s.v * d.value)')} AS value
+        FROM resp_dense d JOIN {wide} s ON s.tr = d.tr GROUP BY d.voxel, s.j""")
+    q["scale_rows_64"] = W(["stim"], f"""
+        SELECT s.tr, CAST(s.j - 1 AS INTEGER) AS j, {r6('s.v * c.d')} AS value
+        FROM {wide} s JOIN (SELECT tr, CAST(count(*) AS DOUBLE) AS d FROM stim GROUP BY tr) c ON c.tr = s.tr""")
+    q["scale_cols_64"] = W(["stim"], f"""
+        SELECT s.tr, CAST(s.j - 1 AS INTEGER) AS j, {r6('s.v * (1.0 / c.sd)')} AS value
+        FROM {wide} s JOIN (SELECT j, stddev_pop(v) AS sd FROM {wide} GROUP BY j) c ON c.j = s.j""")
+    q["align_frames_64"] = W(["resp_dense", "stim"], f"""
+        SELECT d.tr, d.voxel, {r6('d.value')} AS value, {", ".join(f"{r6(f's.x[{j + 1}]')} AS x{j}" for j in range(64))}
+        FROM resp_dense d JOIN (SELECT tr, list(v ORDER BY j) AS x FROM {wide} GROUP BY tr) s ON s.tr = d.tr""")
     q["factor_reconstruct_64"] = q["frame_embedding"]
     q["pca_norms_64"] = W(["stim"], f"""
         SELECT tr, {r6('sum(m * m)')} AS norm2 FROM (SELECT tr, j, avg(v) AS m FROM (

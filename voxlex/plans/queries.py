@@ -532,6 +532,64 @@ def q_scale_cols(spark, d):
     return _round(rg.scale_cols(x, F.col("d")).select("tr", F.posexplode("x").alias("j", "value")))
 
 
+def q_xty_64(spark, d):
+    return _round(rg.xty(fx.stim_frames(spark, d), fx.resp_mean(spark, d), ["voxel"]))
+
+
+def q_scale_rows_64(spark, d):
+    n = fx.stim(spark, d).groupBy("tr").agg(F.count(F.lit(1)).cast("double").alias("d"))
+    return _round(rg.scale_rows(fx.stim_frames(spark, d), n).select("tr", F.posexplode("x").alias("j", "value")))
+
+
+def q_scale_cols_64(spark, d):
+    x = fx.stim_frames(spark, d)
+    dvec = x.agg(F.array(*[F.lit(1.0) / F.stddev_pop(F.col("x")[j]) for j in range(64)]).alias("d"))
+    x = x.withColumn("_g", F.lit(0)).join(F.broadcast(dvec.withColumn("_g", F.lit(0))), "_g")
+    return _round(rg.scale_cols(x, F.col("d")).select("tr", F.posexplode("x").alias("j", "value")))
+
+
+def q_align_frames_64(spark, d):
+    a = se.align(fx.stim_frames(spark, d), fx.resp_dense(spark, d))
+    return _round(a.select("tr", "voxel", "value", *[F.col("x")[j].alias(f"x{j}") for j in range(64)]))
+
+
+def q_series_corr_64(spark, d):
+    return _round(fx.scores_wide(spark, d))
+
+
+def q_score_diff_64(spark, d):
+    """Scores of every stimulus element against those of the next one (the last against the first)."""
+    a = fx.scores_wide(spark, d)
+    after = F.format_string("f%02d", (F.substring("run", 2, 2).cast("int") + 63) % 64)
+    b = a.withColumn("run", after)
+    return _round(se.score_diff(a, b, ["run", "voxel"]).select("run", "voxel", "diff"))
+
+
+def q_describe_scores_64(spark, d):
+    return _round(st.describe_scores(fx.scores_wide(spark, d), "run", "corr"))
+
+
+def q_above_threshold_64(spark, d):
+    return _round(st.above_threshold(fx.scores_wide(spark, d), "run", "corr", 0.3))
+
+
+def q_over_under_64(spark, d):
+    return st.over_under(fx.scores_wide(spark, d), "run", "corr", 0.2)
+
+
+def q_score_histogram_64(spark, d):
+    return _round(st.histogram(fx.scores_wide(spark, d), "run", "corr", 20))
+
+
+def q_score_kde_64(spark, d):
+    return _round(st.kde(fx.scores_wide(spark, d), "run", "corr", grid=50))
+
+
+def q_subject_summary_64(spark, d):
+    s = fx.scores_wide(spark, d, se.densify(fx.resp(spark, d), ["subject", "voxel"]), ("subject", "voxel"))
+    return _round(st.subject_summary(s.withColumn("subject", F.col("subject").cast("string")), "subject", "corr", 0.3))
+
+
 def q_factor_reconstruct_64(spark, d):
     """G1 at full width: left vectors, singular values and right vectors give X back."""
     factors, left = rg.factorize(fx.stim_frames(spark, d))
@@ -756,6 +814,18 @@ QUERIES = {
     "pca_sweep": q_pca_sweep,
     "intersubject_k2": q_intersubject_k2,
     "stat_map": q_stat_map,
+    "xty_64": q_xty_64,
+    "scale_rows_64": q_scale_rows_64,
+    "scale_cols_64": q_scale_cols_64,
+    "align_frames_64": q_align_frames_64,
+    "series_corr_64": q_series_corr_64,
+    "score_diff_64": q_score_diff_64,
+    "describe_scores_64": q_describe_scores_64,
+    "above_threshold_64": q_above_threshold_64,
+    "over_under_64": q_over_under_64,
+    "score_histogram_64": q_score_histogram_64,
+    "score_kde_64": q_score_kde_64,
+    "subject_summary_64": q_subject_summary_64,
     "factor_reconstruct_64": q_factor_reconstruct_64,
     "pca_norms_64": q_pca_norms_64,
     "ridge_wide_64": _wide("packed"),
