@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlex.llm import decontam, language_id, minhash, packing, pii, registry
-from voxlex.llm.common import stage, table, workspace
+from voxlex.llm.common import join_counted, stage, table, workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,14 +24,27 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group the smallest doc_id stays."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """MinHash near-dedup of rows: of each group one row stays, the one with the
+    smallest doc_id (null last).  Repeated, ambiguous and null ids get the
+    decision of their own text, since groups are built on a row key."""
+    rows = stage(docs.withColumn("row", F.monotonically_increasing_id()), workspace(spark, "rows"), "rows")
+    near = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    near = near.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    near = stage(near.join(rows.select("row", "doc_id"), "row"), workspace(spark, "groups"), "groups")
+    first = (near.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("m"),
+                                       F.count("*").alias("n"))
+             .where("n > 1").select("group", "n", F.col("m.row").alias("stays")))
+    first = stage(first, workspace(spark, "first"), "first")
+    gone = join_counted(near.select("row", "group"), first, "group", near.count()).where("row <> stays").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Benchmark decontamination: rows that hold a benchmark item go, whatever
+    their doc_id: a decision belongs to an id and a text."""
+    key = F.concat_ws(":", "doc_id", F.sha2("text", 256))
+    bad = decontam.matches(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.withColumn("key", key).join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

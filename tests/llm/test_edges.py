@@ -387,3 +387,22 @@ def test_decontamination_short_and_dense_items(spark):
         got = {(x.doc_id, x.item_id): x.coverage
                for x in decontam.matches(docs, bench, broadcast_windows=limit).collect()}
         assert got == {(k, i): 1.0 for k, i in [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5), (11, 4)]}
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline
+    from tests.conftest import SF_SMALL
+    from voxlex.llm.common import table
+    item = table(spark, SF_SMALL, "benchmark").where("text IS NOT NULL").first().text
+    a, b, c, d = (words(80, 300 + i) for i in range(4))
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, c), (None, b), (None, d), (None, d), (4, None), (4, ""), (5, item),
+            (5, c + " tail"), (None, item)]
+    docs = spark.createDataFrame([(k, t, "en", "a", i) for i, (k, t) in enumerate(rows)], SCHEMA)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL)
+    assert near.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in near.collect()) == Counter(
+        [(1, a), (2, b), (3, c), (None, d), (4, None), (4, ""), (5, item)])
+    left = corpus_pipeline.drop_contaminated(spark, docs, SF_SMALL)
+    assert left.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in left.collect()) == Counter(r for r in rows if r[1] != item)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF_SMALL).collect() == []
