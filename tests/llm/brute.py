@@ -75,3 +75,100 @@ def repeated_bytes(docs, length):
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         out[k] = (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """rows (id, label, vector) -> ({(id, code, error, label_error)}, books)
+    by plain integer search.  Ids must be distinct."""
+    import math
+    kept = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in rows
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: r[0])
+    step = len(kept[0][2]) // parts
+    cut = lambda v, k: v[k * step:(k + 1) * step]
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    books = [[cut(r[2], k) for r in kept[:entries]] for k in range(parts)]
+    near = lambda v, book: min((dist(v, e), i) for i, e in enumerate(book))
+    for _ in range(rounds):
+        new = []
+        for k, book in enumerate(books):
+            members = defaultdict(list)
+            for r in kept:
+                members[near(cut(r[2], k), book)[1]].append(cut(r[2], k))
+            new.append([[sum(c) // len(members[i]) for c in zip(*members[i])] if i in members else e
+                        for i, e in enumerate(book)])
+        books = new
+    out, per = [], Counter()
+    for i, lab, v in kept:
+        got = [near(cut(v, k), book) for k, book in enumerate(books)]
+        out.append((i, lab, "".join(f"{c:02x}" for _, c in got), sum(d for d, _ in got)))
+        per[lab] += out[-1][3]
+    return {(i, c, e, per[lab]) for i, lab, c, e in out}, books
+
+
+def cheapest_edits(turns):
+    """(cost, audit) over whole turns (initial, must go, cut short): the least of
+    all edits to every length, by plain recursion."""
+    from functools import lru_cache
+    n = len(turns)
+
+    def least(goal):
+        @lru_cache(None)
+        def rest(i, j):
+            if i == n and j == len(goal):
+                return 0, ""
+            found = []
+            if i < n:
+                c, a = rest(i + 1, j)
+                found.append((c + 2, "D" + a))
+            if j < len(goal) and goal[j] != "s":
+                c, a = rest(i, j + 1)
+                found.append((c + 5, "I" + a))
+            if i < n and j < len(goal) and not turns[i][1]:
+                c, a = rest(i + 1, j + 1)
+                c += 5 * turns[i][2]
+                if turns[i][0] == goal[j]:
+                    found.append((c, "K" + a))
+                if goal[j] != "s":
+                    found.append((c + 1, "R" + a))
+            return min(found, default=(1 << 60, ""))
+        return rest(0, 0)
+
+    goals = [""] + [s + "ua" * k for s in ("", "s") for k in range(1, n // 2 + 3)]
+    return min(map(least, goals))
+
+
+def repaired_conversations(rows):
+    """conv_id -> (gaps, blank, duplicate, truncated, illegal, cost, audit,
+    repaired_sha256) of rows (conv_id, turn, role, text)."""
+    import zlib
+    out, groups = {}, defaultdict(list)
+    shown = lambda v: " " if v is None else str(v)
+    for conv, turn, role, text in rows:
+        role, text = shown(role), shown(text)
+        r = zlib.crc32(f"{shown(conv)}:{shown(turn)}".encode()) % 20
+        groups[conv] += [] if r == 0 else [(
+            turn, "user" if r == 4 else role,
+            "" if r == 1 else re.sub("[.!?]", "", text) if r == 2 else text)] * (2 if r == 3 else 1)
+    for conv, turns in groups.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1].encode(), hashlib.sha256(t[2].encode()).digest()))
+        seen, faults = set(), []
+        for _, role, text in turns:
+            last = re.findall(r"[^\x20\x09-\x0D]", text)[-1:]
+            faults.append("blank" if not last else "duplicate" if (role, text) in seen
+                          else "truncated" if last[0] not in ".!?" else None)
+            seen.add((role, text))
+        cost, audit = cheapest_edits(tuple((r[:1], f in ("blank", "duplicate"), f == "truncated")
+                                           for (_, r, _), f in zip(turns, faults)))
+        done, kept = [], iter(turns)
+        odd = sum(c != "D" for c in audit) % 2
+        for c in audit:
+            _, role, text = next(kept) if c != "I" else (None, None, "")
+            if c != "D":
+                done.append(f"{role if c == 'K' else 'user' if (len(done) - odd) % 2 == 0 else 'assistant'}:{text}")
+        known = [t for t, _, _ in turns if t is not None]
+        out[conv] = (max(known) - min(known) + 1 - len(set(known)) if known else 0,
+                     *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+                     sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(turns, turns[1:])),
+                     cost, audit, hashlib.sha256("\n".join(done).encode()).hexdigest())
+    return out

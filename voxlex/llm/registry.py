@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlex.llm import decontam, language_id, minhash, packing, pii, suffix_dedup, token_counts, token_files, warc, winnowing
+from voxlex.llm import (decontam, language_id, minhash, packing, piece_codec, pii, suffix_dedup, token_counts, token_files,
+                        turn_repair, vector_codes, warc, winnowing)
 from voxlex.llm.common import table
 from voxlex.llm.oracle_sql import ORACLES
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS, end_id=0, capacity=2048)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
@@ -71,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 
