@@ -13,7 +13,8 @@ Physical plan ("packed"):
   Nothing but ``(keys, alpha, score[, weights])`` leaves the task.
 
 Beyond the broadcast limit, ``ridge_stats`` gets the same moments from
-aggregates; everything after the moments is shared.  The penalty is
+aggregates, and ``ridge_dual`` runs the packed plan on frames x frames numbers
+where features outnumber frames; everything after the moments is shared.  The penalty is
 ``alpha**2`` on a model without intercept and without centring of X.
 """
 
@@ -30,10 +31,11 @@ from pyspark.sql import types as T
 
 from voxlex.functions.cache import worker_cache
 from voxlex.functions.scalar import nan_to_zero
-from voxlex.operators.ridge_moments import (BLOCK_BYTES, RANK_TOL, TEST, TRAIN, RowMoments, SeriesMoments, Solver,
+from voxlex.operators.ridge_moments import (BLOCK_BYTES, TEST, TRAIN, RowMoments, SeriesMoments, Solver,
                                             pick_alpha)
 from voxlex.operators.series import frame_list, MAX_FRAMES
 from voxlex.operators.splits import design_indices
+from voxlex.session import cut_lineage
 
 # Largest stimulus matrix shipped to executors (bytes of float64).
 MAX_BROADCAST_BYTES = 1 << 30
@@ -254,6 +256,10 @@ class Source:
     keys: list
     reader: object
     runs: list = field(default_factory=lambda: [""])
+    finish: object = None      # fitted table -> the same with weights of the features (dual plan)
+
+    def weights(self, fitted: DataFrame) -> DataFrame:
+        return self.finish(fitted) if self.finish and "weights" in fitted.columns else fitted
 
     def job(self, fields: list, per_block, extra: DataFrame | None = None, extra_cols=()) -> DataFrame:
         """``per_block(run name, solver, moments, batch)`` -> arrays of ``fields``."""
@@ -290,9 +296,11 @@ def source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, frame_col="tr
     """The moments of every series, by either physical plan.
 
     ``packed`` broadcasts the stimulus (size-checked) and packs series;
-    ``additive`` never ships the stimulus; ``auto`` takes the packed plan
-    while the stimulus fits the limits.  Both give the same columns and, up
-    to rounding, the same values for every option.
+    ``additive`` never ships the stimulus but features x features numbers;
+    ``dual`` ships frames x frames numbers.  ``auto`` takes the packed plan
+    while the stimulus fits the limits, then the smaller of the other two.
+    All give the same columns and, up to rounding, the same values for every
+    option.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     frames = None
@@ -301,6 +309,13 @@ def source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, frame_col="tr
     if design is None and plan == "additive":
         from voxlex.operators.ridge_stats import additive_source
         return additive_source(x_df, y_df, keys, p, frame_col, x_col, value)
+    if design is None and plan == "dual":
+        from voxlex.operators.ridge_dual import dual_source
+        frames = frames or aligned_frames(x_df, y_df, frame_col, p.max_packed_frames)
+        if not frames:
+            raise ValueError("stimulus and responses share no frame")
+        width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
+        return dual_source(x_df, y_df, keys, p, frames, width, frame_col, x_col, value)
     design = design or build_design(x_df, y_df, p, frame_col, x_col, frames)
     return packed_source(y_df, keys, design, p, frame_col, value)
 
@@ -404,24 +419,32 @@ def fit_score(src: Source, p: RidgeParams, alphas: DataFrame | None = None, run_
     return src.job(fields, block, frame, ["alpha"])
 
 
+def aligned_frames(x_df: DataFrame, y_df: DataFrame, frame_col: str, limit: int) -> list:
+    """Frames of both tables; ValueError beyond ``limit``."""
+    fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
+    return frame_list(fr, frame_col, limit=min(limit, MAX_FRAMES))
+
+
 def choose_plan(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str = "tr",
                 x_col: str = "x"):
-    """("packed", frames) when the aligned stimulus fits the broadcast limit and
-    the frame count fits a packed row, else ("additive", None).
+    """(plan, frames or None): "packed" when the aligned stimulus fits the
+    broadcast limit and the frame count fits a packed row; else "dual" when
+    features outnumber frames and frames x frames numbers fit; else "additive".
 
-    The frame list is collected only up to its checked bound; past it the
-    packed plan is not used anyway.
+    The frame list is collected only up to its checked bound; past it neither
+    the packed nor the dual plan is used.
     """
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    limit = max(1, p.max_broadcast_bytes // max(8 * width, 1))
-    fr = x_df.select(frame_col).distinct().join(y_df.select(frame_col).distinct(), frame_col)
+    most = p.max_broadcast_bytes // 8
     try:
-        frames = frame_list(fr, frame_col, limit=min(limit, MAX_FRAMES, p.max_packed_frames))
+        frames = aligned_frames(x_df, y_df, frame_col, min(p.max_packed_frames, max(1, most // max(width, 1), int(most ** 0.5))))
     except ValueError:
         return "additive", None
-    if len(frames) * width * 8 > p.max_broadcast_bytes:
-        return "additive", None
-    return "packed", frames
+    if len(frames) * width <= most:
+        return "packed", frames
+    if width > len(frames) and len(frames) ** 2 <= most:
+        return "dual", frames
+    return "additive", None
 
 
 def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | None = None,
@@ -439,9 +462,9 @@ def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | Non
     if groups is None and not p.single_alpha:
         if p.nboots == 0:
             raise ValueError("at least one bootstrap is needed to assign per-series alphas")
-        return fit_score(src, p)
+        return src.weights(fit_score(src, p))
     cv = ridge_cv(src, p) if p.nboots else None
-    return fit_score(src, p, select_alpha(src.df, cv, src.keys, p, groups))
+    return src.weights(fit_score(src, p, select_alpha(src.df, cv, src.keys, p, groups)))
 
 
 def bootstrap_tables(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | None = None, frame_col: str = "tr",
@@ -465,8 +488,8 @@ def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, f
     different window sizes, PCA sizes, poolings or tactics), so the split,
     the hold-out draw and the packed responses are built once; each block
     of series is fitted against every stimulus inside the same task.  Stimuli
-    beyond the broadcast limit are fitted one after the other by the
-    additive plan.  Output: (run STRING, keys..., alpha, corr).
+    that together exceed the broadcast limit are fitted one after the other,
+    each by its own plan.  Output: (run STRING, keys..., alpha, corr).
     """
     p = p or RidgeParams()
     if p.single_alpha or p.nboots == 0:
@@ -478,8 +501,8 @@ def fit_runs(x_dfs: dict, y_df: DataFrame, keys, p: RidgeParams | None = None, f
     if plan == "packed":
         widths = [x.select(F.max(F.size(x_col))).first()[0] or 0 for x in xs_in.values()]
         if 8 * len(frames) * sum(widths) > p.max_broadcast_bytes:
-            plan = "additive"
-    if plan == "additive":
+            plan = "auto"
+    if plan != "packed":
         out = None
         for name, x in xs_in.items():
             one = fit_score(source(x, y_df, keys, p, frame_col, x_col, value, None, plan), p).select(
@@ -529,32 +552,31 @@ def ridge_weights(x_df, y_df, keys, alpha, frame_col="tr", x_col="x", value="val
     p = RidgeParams(nboots=0, test_size=0.0, normalpha=normalpha)
     src = source(x_df, y_df, keys, p, frame_col, x_col, value, None, plan)
     per = alpha if isinstance(alpha, DataFrame) else src.df.select(*src.keys).withColumn("alpha", F.lit(float(alpha)))
-    return fit_score(src, p, per).select(*src.keys, "alpha", "weights")
+    return src.weights(fit_score(src, p, per)).select(*src.keys, "alpha", "weights")
 
 
-def factorize(x_df: DataFrame, cutoff: float = 1e-10, frame_col: str = "tr", x_col: str = "x"):
+def factorize(x_df: DataFrame, cutoff: float = 1e-10, frame_col: str = "tr", x_col: str = "x",
+              max_bytes: int = MAX_BROADCAST_BYTES):
     """Thin SVD of the stimulus: (``factors`` (k, sigma, v), ``left`` (frame, u)).
 
-    Singular values and right vectors come from the blocked cross products
-    (features x features); the left vectors are a distributed projection.
-    Values at most ``cutoff``, or ``RANK_TOL`` of the largest, are dropped.
+    The rows are folded by a tree of block QRs (``factor``) into one triangular
+    factor, which one task decomposes; singular values down to 1e-12 of the
+    largest are resolved, those at most ``cutoff`` are dropped.  The right
+    vectors (features x features at most, size-checked) are then sent to a
+    distributed projection that gives the left ones.
     """
-    spark = x_df.sparkSession
-    from voxlex.operators.ridge_stats import cross_products
+    from voxlex.operators.factor import thin_svd, triangles
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    sets = x_df.select(frame_col, F.lit(TRAIN).alias("s"))
-    row = cross_products(x_df, sets, frame_col, x_col, width).first()
-    lam, v = np.linalg.eigh(np.asarray(row["g"]).reshape(width, width))
-    sing, v = np.sqrt(np.clip(lam[::-1], 0.0, None)), v[:, ::-1]
-    keep = sing > max(cutoff, RANK_TOL * sing[0])
-    sing, v = sing[keep], v[:, keep]
-    factors = spark.createDataFrame([(k, float(x), v[:, k].tolist()) for k, x in enumerate(sing)],
-                                    "k int, sigma double, v array<double>")
-    to_u = (v / sing).T
+    if width * width * 8 > max_bytes:
+        raise ValueError(f"right vectors of width {width} exceed the broadcast limit of {max_bytes} bytes")
+    r = triangles(x_df.select(F.lit(0).alias("s"), F.col(x_col).alias("x")), width)
+    factors = cut_lineage(thin_svd(r, width, cutoff).select("k", "sigma", "v"))
+    got = factors.orderBy("k").collect()
+    to_u = np.array([np.asarray(f["v"]) / f["sigma"] for f in got]).reshape(len(got), width).T
 
     def project(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _list_array(_matrix(b, x_col, width) @ to_u.T)],
+            yield pa.RecordBatch.from_arrays([b.column(0), _list_array(_matrix(b, x_col, width) @ to_u)],
                                              names=[frame_col, "u"])
 
     kind = x_df.schema[frame_col].dataType.simpleString()
@@ -625,22 +647,13 @@ def xty(x_df: DataFrame, y_df: DataFrame, keys, frame_col: str = "tr", x_col: st
 
 
 def feature_spectrum(x_df: DataFrame, x_col: str = "x", frame_col: str = "tr") -> DataFrame:
-    """Singular values of X (descending) from the eigenvalues of ``X^T X``,
-    a features x features row that one task decomposes."""
-    from voxlex.operators.ridge_stats import cross_products
+    """Singular values of X (descending), from the triangular factor of its
+    rows, which one task decomposes; dropped directions count as 0."""
+    from voxlex.operators.factor import thin_svd, triangles
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
-    s = cross_products(x_df.withColumn("s", F.lit(TRAIN)), None, frame_col, x_col, width).select("g")
-
-    def eig(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                g = b.column(0)[i].values.to_numpy(zero_copy_only=False).reshape(width, width)
-                lam = np.linalg.eigvalsh(g)[::-1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(width, dtype=np.int32)), pa.array(np.sqrt(np.clip(lam, 0.0, None)))],
-                    names=["k", "sigma"])
-
-    return s.mapInArrow(eig, "k int, sigma double")
+    got = thin_svd(triangles(x_df.select(F.lit(0).alias("s"), F.col(x_col).alias("x")), width), width)
+    every = x_df.sparkSession.range(width).select(F.col("id").cast("int").alias("k"))
+    return every.join(got.select("k", "sigma"), "k", "left").select("k", F.coalesce("sigma", F.lit(0.0)).alias("sigma"))
 
 
 def scale_rows(df: DataFrame, d: DataFrame, key: str = "tr", x_col: str = "x", d_col: str = "d") -> DataFrame:

@@ -14,9 +14,10 @@ prediction and response is a scalar product with ``u`` and the variance of the
 prediction the form ``u^T C u``; no prediction is formed and no loop over
 penalties is needed.
 
-Directions whose singular value is at most ``cutoff`` or ``RANK_TOL`` times the
+Directions whose singular value is at most ``cutoff`` or ``ROW_TOL`` times the
 largest do not take part.  At penalty 0 the result is therefore that of the
-pseudo-inverse, in either plan.
+pseudo-inverse, in every plan.  The fit set's directions come from its rows or
+from a triangular factor of them (``factor``), not from its cross products.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from dataclasses import dataclass
 import numpy as np
 
 TRAIN, TEST = -1, -2
-#: Relative size below which a singular value counts as zero: cross products
-#: of doubles cannot resolve smaller ones.
-RANK_TOL = 1e-7
+#: Relative size below which a singular value counts as zero, taken from rows or
+#: a triangular factor, and from cross products (doubles resolve no smaller ones).
+ROW_TOL, RANK_TOL = 1e-12, 1e-7
 #: Bytes of scratch arrays a block of series may take.
 BLOCK_BYTES = 64 << 20
 
@@ -64,8 +65,8 @@ class Basis:
     """The eigenbasis of a fit set with one scoring set expressed in it."""
 
     def __init__(self, fit: RowMoments, score: RowMoments, cutoff: float = 0.0, rows: np.ndarray | None = None):
-        """``rows``: the fit set's stimulus, where it is at hand; its singular
-        vectors are more exact than those of the cross products."""
+        """``rows``: the fit set's stimulus, or a triangular factor of it; its
+        singular vectors are more exact than those of the cross products."""
         if rows is not None and len(rows):
             _, sing, vt = np.linalg.svd(rows, full_matrices=False)
             v = vt.T
@@ -73,7 +74,7 @@ class Basis:
             lam, v = np.linalg.eigh(fit.cross)
             sing, v = np.sqrt(np.clip(lam[::-1], 0.0, None)), v[:, ::-1]
         self.top = float(sing[0]) if len(sing) else 0.0
-        keep = sing > max(cutoff, RANK_TOL * self.top)
+        keep = sing > max(cutoff, (RANK_TOL if rows is None else ROW_TOL) * self.top)
         self.v, self.strength = v[:, keep], sing[keep] ** 2
         self.n = score.n
         n = max(score.n, 1)
@@ -135,7 +136,7 @@ class Solver:
     def __init__(self, sets: dict, nboots: int, cutoff: float, keep_small: bool, rows: dict | None = None):
         """``sets``: row set -> RowMoments.  ``keep_small``: the final fit
         ignores the cut-off (it does where weights are asked for).  ``rows``:
-        fit set -> stimulus rows, keyed by bootstrap and TRAIN."""
+        fit set -> stimulus rows or their factor, keyed by bootstrap and TRAIN."""
         rows = rows or {}
         width = len(sets[TRAIN].total)
         none = RowMoments(0, np.zeros(width), np.zeros((width, width)))

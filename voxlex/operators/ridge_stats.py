@@ -5,6 +5,8 @@ everything the bootstrap needs is an additive statistic over frames:
 
 * per row set ``s`` (each bootstrap's held-out rows, the whole training part,
   the test part): ``n_s``, ``sum x``, ``X_s^T X_s``;
+* per fit set (the training part, and without each bootstrap's held-out rows): a
+  triangular factor of its rows (``factor``), which keeps small singular values;
 * per series and set: ``X_s^T y``, ``sum y``, ``sum y^2``.
 
 Training statistics of a bootstrap are "training part minus its held-out
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlex.functions.scalar import nan_to_zero
+from voxlex.operators.factor import triangles
 from voxlex.operators.ridge import RidgeParams, Source, _list_array, solver_of
 from voxlex.operators.ridge_moments import BLOCK_BYTES, TEST, TRAIN, RowMoments, SeriesMoments, Solver
 from voxlex.operators.splits import (ordered_split, chunk_ids, holdout_chunks, holdout_rows,
@@ -130,7 +133,7 @@ def set_moments(x_df: DataFrame, sets: DataFrame, frame_col: str = "tr", x_col:
     driver, after their size is checked."""
     width = x_df.select(F.max(F.size(x_col))).first()[0] or 0
     n_sets = sets.select("s").distinct().count()
-    if n_sets * width * width * 8 > max_bytes:
+    if 2 * n_sets * width * width * 8 > max_bytes:       # with as many factors (fit_factors)
         raise ValueError(f"{n_sets} cross products of width {width} exceed the broadcast limit")
     return {int(r["s"]): RowMoments(int(r["n"]), np.asarray(r["sx"]), np.asarray(r["g"]).reshape(width, width))
             for r in cross_products(x_df, sets, frame_col, x_col, width).collect()}
@@ -223,7 +226,7 @@ class AdditiveReader:
         v = self.bc.value
         sets = v["sets"]
         self.width = len(sets[TRAIN].total)
-        self.solvers = [solver_of(v["token"], lambda: Solver(sets, self.nboots, self.cutoff, self.keep_small))]
+        self.solvers = [solver_of(v["token"], lambda: Solver(sets, self.nboots, self.cutoff, self.keep_small, v["fits"]))]
         self.block = max(1, BLOCK_BYTES // (8 * self.width * (self.nboots + 2)))
         return self
 
@@ -245,6 +248,21 @@ class AdditiveReader:
         return [SeriesMoments(cross, total, square)]
 
 
+def fit_factors(x_df: DataFrame, sets: DataFrame, nboots: int, width: int, frame_col: str = "tr",
+                x_col: str = "x") -> dict:
+    """{bootstrap or TRAIN: triangular factor of its fit set}; ``set_moments`` has
+    checked the size of as many matrices."""
+    train = sets.where(F.col("s") == TRAIN).select(frame_col)
+    fits = train.select(frame_col, F.lit(TRAIN).alias("s"))
+    if nboots:
+        every = train.select(frame_col, F.explode(F.sequence(F.lit(0), F.lit(nboots - 1))).alias("s"))
+        fits = fits.unionByName(every.join(sets.where("s >= 0"), [frame_col, "s"], "left_anti"))
+    rows: dict = {}
+    for r in triangles(x_df.join(fits, frame_col).select("s", F.col(x_col).alias("x")), width).collect():
+        rows.setdefault(int(r["s"]), []).append(r["x"])
+    return {s: np.array(v) for s, v in rows.items()}
+
+
 def additive_source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, frame_col: str = "tr",
                     x_col: str = "x", value: str = "value") -> Source:
     """The moments of every series without shipping the stimulus."""
@@ -253,5 +271,6 @@ def additive_source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, fram
     moments = set_moments(x_df, sets, frame_col, x_col, p.max_broadcast_bytes)
     width = len(next(iter(moments.values())).total)
     stats = series_stats(x_df, y_df, sets, keys, frame_col, x_col, value, width=width)
-    bc = stats.sparkSession.sparkContext.broadcast({"sets": moments, "token": uuid.uuid4().hex})
+    fits = fit_factors(x_df, sets, p.nboots, width, frame_col, x_col)
+    bc = stats.sparkSession.sparkContext.broadcast({"sets": moments, "fits": fits, "token": uuid.uuid4().hex})
     return Source(stats, keys, AdditiveReader(bc, p.nboots, p.singcutoff, p.return_weights))

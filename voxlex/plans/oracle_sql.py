@@ -714,6 +714,15 @@ def oracles() -> dict[str, str]:
     for name in ("ridge_weights_k2", "ridge_grid_k2", "alpha_per_series_k2", "alpha_per_group_k2", "alpha_single_k2",
                  "ridge_normalpha_k2"):
         q[name.replace("_k2", "_additive_k2")] = q[name]
+    q["ridge_wide_dual_64"] = q["ridge_wide_64"]
+    for name in ("alpha_per_series_k2", "ridge_normalpha_k2"):
+        q[name.replace("_k2", "_dual_k2")] = q[name]
+    q["ridge_more_features"] = W(["stim", "resp_mean"], f"""
+        SELECT m.voxel, CAST(s.j AS INTEGER) AS j, round(sum(s.v * m.value), 4) + 0.0 AS value
+        FROM resp_mean m JOIN (
+            SELECT tr, j - 1 AS j, v FROM b UNION ALL SELECT tr, j + 63 AS j, v * v AS v FROM b
+            UNION ALL SELECT p.tr, p.j + 127 AS j, p.v * n.v AS v FROM b p JOIN b n ON n.tr = p.tr AND n.j = p.j % 64 + 1) s
+          ON s.tr = m.tr GROUP BY m.voxel, s.j""", [("b", f"SELECT * FROM {wide}")])
     pool = _hash_frames("pm", 16) + ridge_k2("pmr", "pm_x", "prepared") + \
         _hash_frames("pl", 16, pool="last") + ridge_k2("plr", "pl_x", "prepared")
     q["pooling_compare"] = W(["prepared", "tok"], _describe(

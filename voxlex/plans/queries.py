@@ -482,11 +482,11 @@ def q_bootstrap_ridge_k2(spark, d):
     return _round(t["fit"].select("voxel", "alpha", "corr"))
 
 
-def _additive(groups=False, **kw):
-    """Bootstrap fits by the plan that never ships the stimulus."""
+def _additive(groups=False, plan="additive", **kw):
+    """Bootstrap fits by the plans that do not ship the stimulus."""
     def q(spark, d):
         r = rg.bootstrap_ridge(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(**kw),
-                               fx.groups(spark, d) if groups else None, plan="additive")
+                               fx.groups(spark, d) if groups else None, plan=plan)
         return _round(r.select("voxel", "alpha", "corr"))
     return q
 
@@ -509,6 +509,18 @@ def _wide(plan):
     return q
 
 
+def q_ridge_more_features(spark, d):
+    """G2 with more features than frames (every element, its square and its product with the
+    next): ``X'(X w) + a^2 w`` of the weights from the dual plan, which must equal ``X'y``."""
+    x, y = fx.stim_squares(spark, d), fx.resp_mean(spark, d)
+    x = cut_lineage(x.join(y.select("tr").distinct(), "tr", "left_semi"))
+    w = cut_lineage(rg.ridge_weights(x, y, ["voxel"], 10.0, plan="dual").select("voxel", "weights"))
+    back = rg.xty(x, rg.predict(x, w, ["voxel"]), ["voxel"], value="pred").withColumnRenamed("pred", "value")
+    own = w.select("voxel", F.posexplode("weights").alias("j", "w"))
+    r = back.join(own, ["voxel", "j"])
+    return r.select("voxel", "j", F.round(F.col("value") + 100.0 * F.col("w"), 4).alias("value"))
+
+
 def q_ridge_grid_additive_k2(spark, d):
     return _round(rg.ridge_grid(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params(),
                                 plan="additive"))
@@ -830,6 +842,10 @@ QUERIES = {
     "pca_norms_64": q_pca_norms_64,
     "ridge_wide_64": _wide("packed"),
     "ridge_wide_additive_64": _wide("additive"),
+    "ridge_wide_dual_64": _wide("dual"),
+    "ridge_more_features": q_ridge_more_features,
+    "alpha_per_series_dual_k2": _additive(plan="dual"),
+    "ridge_normalpha_dual_k2": _additive(plan="dual", normalpha=True),
     "ridge_weights_additive_k2": q_ridge_weights_additive_k2,
     "ridge_grid_additive_k2": q_ridge_grid_additive_k2,
     "alpha_per_series_additive_k2": _additive(),

@@ -113,6 +113,14 @@ def stim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean_vector(stim(spark, sf_dir), "tr", "x")
 
 
+def stim_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tr, x): every element of the stimulus, its square and its product with the next
+    (the last with the first): 192 features, more than there are frames."""
+    rows = stim_frames(spark, sf_dir)
+    after = F.transform("x", lambda v, i: v * F.element_at("x", F.when(i + 1 < F.size("x"), i + 2).otherwise(1)))
+    return rows.select("tr", F.concat("x", F.transform("x", lambda v: v * v), after).alias("x"))
+
+
 def scores_wide(spark: SparkSession, sf_dir: str, y: DataFrame | None = None, keys=("voxel",)) -> DataFrame:
     """(run, keys..., corr): correlation of every series of ``y`` (RESP_DENSE) with each of the
     64 stimulus elements, runs f00 to f63."""
