@@ -30,7 +30,9 @@ import hashlib
 import re
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from voxlex.functions.cache import worker_cache
@@ -41,7 +43,37 @@ SPACE = "▁"
 #: Stretches of a text handled (and ids decoded) at a time.
 SLICE = 100_000
 #: Entries after which a worker's tables are dropped and filled anew.
-MAX_STRETCHES, MAX_PAIRS = 300_000, 1_000_000
+MAX_STRETCHES, MAX_WORDS, MAX_PAIRS = 500_000, 600_000, 1_000_000
+#: Bytes above which a text is encoded slice by slice.
+LONG = 1 << 20
+
+
+class _Learned(dict):
+    """Stretch -> ids; one met for the first time is encoded, and kept unless long."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        ids = self.encode(stretch)
+        if len(stretch) <= 64:
+            self[stretch] = ids
+        return ids
+
+
+class _Words(dict):
+    """Word between single spaces -> (ids, their decimal text)."""
+
+    def __init__(self, codec: "PieceCodec"):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+        known = self.codec.memo
+        ids = tuple(chain.from_iterable([known[x] for x in self.codec.stretches.findall(SPACE + word)]))
+        new = self[word] = ids, ",".join(map(str, ids))
+        return new
 
 
 class PieceCodec:
@@ -59,22 +91,27 @@ class PieceCodec:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
         self.piece = {i: sp.id_to_piece(i) for i in range(n) if not special(i)}
-        self.rank = {p: (-sp.get_score(i), i) for i, p in self.piece.items()}
+        #: Merges of a lower rank come first; equal ranks from the left.
+        self.rank = {p: -sp.get_score(i) for i, p in self.piece.items()}
         self.automaton = ahocorasick.Automaton()
         for i, p in self.piece.items():
-            self.automaton.add_word(p, (i, len(p)))
+            if len(self.merged(p)) == 1:       # else it is never a token
+                self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.cut_at_space = not any(b == SPACE != a for p in self.piece.values() for a, b in zip(p, p[1:]))
         self.stretches = self._cuts()
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.own: dict[int, bool] = {}
+        self.memo = _Learned(self.encode_stretch)
+        self.words = _Words(self)
+        #: By right token: left token -> whether the two fit.
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.known_pairs = 0
         #: An id that decodes to one character and stands before a slice.
         self.guard = next(i for i, p in self.piece.items() if len(p) == 1 and p.isascii() and p.isalpha())
 
     def _cuts(self) -> re.Pattern:
         """The pattern of a stretch: only cuts that no piece crosses."""
         joins = {(a, b) for p in self.piece.values() for a, b in zip(p, p[1:])}
-        if any(b == SPACE != a for a, b in joins):
+        if not self.cut_at_space:
             return re.compile(r"[\s\S]+")
         merged = {c for ab in joins for c in ab}
         alone = [chr(i) for i in range(128) if chr(i) not in merged and chr(i) != " "]
@@ -88,32 +125,28 @@ class PieceCodec:
     # -- merging of short texts, only to test tokens and pairs of tokens
 
     def merged(self, text: str) -> list[str]:
-        """Best-scored pair first, the leftmost of equals, until none is left."""
-        part = list(text)
-        while len(part) > 1:
-            best = min(((self.rank[a + b][0], k) for k, (a, b) in enumerate(zip(part, part[1:]))
-                        if a + b in self.rank), default=None)
-            if best is None:
-                break
-            k = best[1]
+        """Best-ranked pair first, the leftmost of equals, until none is left."""
+        rank, part, never = self.rank.get, list(text), float("inf")
+        ranks = [rank(a + b, never) for a, b in zip(part, part[1:])]
+        while ranks and (best := min(ranks)) < never:
+            k = ranks.index(best)
             part[k:k + 2] = [part[k] + part[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(part[k - 1] + part[k], never)
+            if k < len(ranks):
+                ranks[k] = rank(part[k] + part[k + 1], never)
         return part
 
-    def stands(self, token: int) -> bool:
-        """Merging the token's own text gives the token."""
-        if token not in self.own:
-            self.own[token] = len(self.merged(self.piece[token])) == 1
-        return self.own[token]
-
     def fits(self, left: int, right: int) -> bool:
         """Merging the joint text of two tokens gives the two."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            a, b = self.piece[left], self.piece[right]
-            known = self.pairs[key] = self.merged(a + b) == [a, b]
+        if self.known_pairs >= MAX_PAIRS:
+            for row in self.pairs:
+                row.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        a, b = self.piece[left], self.piece[right]
+        known = self.pairs[right][left] = self.merged(a + b) == [a, b]
         return known
 
     # -- the prefix table
@@ -122,12 +155,17 @@ class PieceCodec:
         """The last token of each prefix; None where it ends in a character
         that the vocabulary lacks (such a character never merges)."""
         last: list[int | None] = [None] * (len(text) + 1)
+        pairs = self.pairs
         for end, (token, size) in self.automaton.iter(text):
             i = end + 1
-            if last[i] is None and self.stands(token):
+            if last[i] is None:
                 before = last[i - size] if i > size else None
-                if before is None or self.fits(before, token):
+                if before is None:
                     last[i] = token
+                else:
+                    ok = pairs[token].get(before)
+                    if ok if ok is not None else self.fits(before, token):
+                        last[i] = token
         return last
 
     def encode_stretch(self, text: str) -> tuple[int, ...]:
@@ -142,23 +180,55 @@ class PieceCodec:
                 i -= len(self.piece[token])
         return tuple(reversed(out))
 
-    def _known(self, stretch: str) -> tuple[int, ...]:
-        ids = self.memo.get(stretch)
-        if ids is None:
-            ids = self.encode_stretch(stretch)
-            if len(stretch) <= 64:
-                self.memo[stretch] = ids
-        return ids
-
     # -- whole texts
 
     def slices(self, text: str):
         """The ids of a text, in lists of whole stretches."""
-        found = (m.group() for m in self.stretches.finditer(self.sp.normalize(text)))
-        while part := list(islice(found, SLICE)):
+        for part in self._parts(self.sp.normalize(text)):
             if len(self.memo) > MAX_STRETCHES:
                 self.memo.clear()
-            yield list(chain.from_iterable(map(self._known, part)))
+            yield list(chain.from_iterable(map(self.memo.__getitem__, part)))
+
+    def _parts(self, text: str):
+        if len(text) <= SLICE:
+            if text:
+                yield self.stretches.findall(text)
+            return
+        found = (m.group() for m in self.stretches.finditer(text))
+        while part := list(islice(found, SLICE)):
+            yield part
+
+    def batch(self, texts: pa.Array):
+        """(places of the texts whose words stand between single spaces, their ids
+        concatenated, offsets, the decimal ids of each joined by commas).  Arrow
+        splits such texts and makes their words distinct, so that Python sees
+        each word of a batch once; no merge crosses a space before a word."""
+        if not self.cut_at_space:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), pa.array([], pa.string())
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        if len(self.memo) > MAX_STRETCHES:
+            self.memo.clear()
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |^$|  |{SPACE}"), pc.greater(pc.binary_length(texts), LONG))
+        at = [i for i in np.flatnonzero(~odd.to_numpy(zero_copy_only=False)).tolist()
+              if self.plain(texts[i].as_py())]
+        at = np.array(at, np.int64)
+        split = pc.split_pattern(texts.take(pa.array(at)), " ")
+        words = split.flatten().dictionary_encode()
+        ids, text = zip(*map(self.words.__getitem__, words.dictionary.to_pylist())) if len(at) else ((), ())
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, size.sum())
+        entry = words.indices.to_numpy()
+        n = size[entry]
+        end = np.concatenate([[0], np.cumsum(n)])
+        got = flat[np.repeat((np.cumsum(size) - size)[entry] - end[:-1], n) + np.arange(end[-1])]
+        edges = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        parts = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(text, pa.string()).take(words.indices))
+        return at, got, end[edges], pc.binary_join(parts, ",")
+
+    def plain(self, text: str) -> bool:
+        """Normalisation does no more than mark the spaces."""
+        return self.sp.normalize(text) == SPACE + text.replace(" ", SPACE)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.slices(text)))
@@ -177,8 +247,8 @@ def piece_codec(model: str) -> PieceCodec:
     return cache[model]
 
 
-def _texts(batch: pa.RecordBatch):
-    return (t.as_py() or "" for t in batch.column(1))
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return pc.fill_null(batch.column(1).cast(pa.string()), "")
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +259,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         codec = piece_codec(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([codec.encode(t) for t in _texts(b)], pa.list_(pa.int32()))], names=["id", "ids"])
+                [b.column(0), pa.array([codec.encode(t.as_py()) for t in _texts(b)], pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -212,9 +282,10 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): a text is encoded, hashed and
-    decoded slice by slice, so no list of all its ids is held."""
+    """(id, n_tokens, ids_sha256, decoded_sha256).  A long text is encoded, hashed
+    and decoded slice by slice, so no list of all its ids is held."""
     bound_arrow(docs.sparkSession)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def one(codec: PieceCodec, text: str):
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
@@ -233,7 +304,16 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         codec = piece_codec(model)
         for b in batches:
-            n, ids, text = zip(*(one(codec, t) for t in _texts(b))) if b.num_rows else ((), (), ())
+            texts = _texts(b)
+            out: list = [None] * len(texts)
+            at, ids, off, joined = codec.batch(texts)
+            for k, i in enumerate(at.tolist()):
+                part = ids[off[k]:off[k + 1]].tolist()
+                out[i] = (len(part), sha(joined[k].as_buffer()), sha(codec.sp.decode(part).encode()))
+            for i, done in enumerate(out):
+                if done is None:
+                    out[i] = one(codec, texts[i].as_py())
+            n, ids, text = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
