@@ -62,4 +62,34 @@ SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(r, 0) AS n_removed, coalesc
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_minhash": OP2, "op6_warc": OP6, "op7_suffix_dedup": OP7}
+_NEAR = """SELECT p.vec_id, p.part, p.u, min(struct_pack(d := list_sum(list_transform(
+    list_zip(p.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.e)) AS m
+  FROM p JOIN {0} b ON b.part = p.part GROUP BY p.vec_id, p.part, p.u"""
+_MOVED = """SELECT b.part, b.e, coalesce(n.u, b.u) AS u FROM {0} b LEFT JOIN (
+    SELECT part, e, list((s - (s % n + n) % n) // n ORDER BY i) AS u FROM (
+      SELECT part, m.e AS e, i, CAST(sum(u[i]) AS BIGINT) AS s, count(*) AS n
+      FROM {1}, (SELECT unnest(range(1, (SELECT max(len(u)) FROM p) + 1)) AS i) GROUP BY ALL)
+    GROUP BY part, e) n ON n.part = b.part AND n.e = b.e"""
+
+OP11 = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, list_slice(v, part * (len(v) // 16) + 1, (part + 1) * (len(v) // 16)) AS u
+      FROM k, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, u FROM p
+       WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+a0 AS ({_NEAR.format('b0')}),
+b1 AS ({_MOVED.format('b0', 'a0')}),
+a1 AS ({_NEAR.format('b1')}),
+b2 AS ({_MOVED.format('b1', 'a1')}),
+a2 AS ({_NEAR.format('b2')}),
+c AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error
+      FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256
+      FROM (SELECT part, e, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN k USING (vec_id), h
+"""
+
+ORACLES = {"op2_minhash": OP2, "op6_warc": OP6, "op7_suffix_dedup": OP7, "op11_vector_codes": OP11}
