@@ -78,3 +78,43 @@ def test_load_task_composes_the_task_inputs(spark, tmp_path):
     rows = sorted((r["pos"], r["word"], r["tr"], r["tr_offset"]) for r in tok.collect())
     # picked subject: third in id order -> 005, first onset 5.0 s; frames floor((5 + t) / 1.5)
     assert rows == [(0, "a", 3, 3), (1, "<|endoftext|>", 3, 3), (2, "c", 4, 4)]
+
+
+def stim_of(spark, x, parts=4):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "tr int, x array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("shape", [(300, 60), (25, 90)])
+def test_randomised_pca_equals_svd(spark, shape):
+    rng = np.random.default_rng(7)
+    n, width = shape
+    x = rng.normal(size=(n, width)) * (0.8 ** np.arange(width)) @ np.linalg.qr(rng.normal(size=(width, width)))[0] + 3.0
+    m = pc.pca_fit(stim_of(spark, x), 12, method="randomised")
+    c = x - x.mean(0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    assert m.residual <= 1e-9 and m.components.shape == (12, width)
+    assert np.allclose(m.variances, s[:12] ** 2 / (n - 1), rtol=1e-8)
+    assert m.total == pytest.approx(c.var(0, ddof=1).sum())
+    assert np.allclose(np.abs((m.components * vt[:12]).sum(1)), 1.0, atol=1e-7)
+    got = {r["tr"]: r["x"] for r in pc.pca_project(stim_of(spark, x), m, keep=5).collect()}
+    assert np.allclose([got[i] for i in range(n)], x @ m.components[:5].T)
+    ratios = [r["ratio"] for r in pc.explained_ratio(m, spark).orderBy("component").collect()]
+    assert np.allclose(ratios, m.variances / m.total)
+
+
+def test_randomised_pca_edges(spark):
+    flat = pc.pca_fit(stim_of(spark, np.ones((5, 4))), 2, method="randomised")
+    assert np.allclose(flat.variances, 0.0) and flat.total == pytest.approx(0.0)
+    one = pc.pca_fit(stim_of(spark, np.array([[1.0, 2.0, 3.0]])), 3, method="randomised")
+    assert len(one.components) == 1 and np.allclose(one.variances, 0.0)
+    # flat spectrum: the space grows until it is everything
+    x = np.random.default_rng(8).normal(size=(200, 40))
+    m = pc.pca_fit_randomised(stim_of(spark, x), 3, oversample=2)
+    assert np.allclose(m.variances, np.linalg.eigvalsh(np.cov(x.T))[::-1][:3], rtol=1e-8)
+
+
+def test_wide_fits_are_randomised(spark, monkeypatch):
+    monkeypatch.setattr(pc, "WIDE", 6)
+    x = np.random.default_rng(9).normal(size=(20, 6))
+    assert isinstance(pc.pca_fit(stim_of(spark, x), 2), pc.PcaModel)
+    assert not isinstance(pc.pca_fit(stim_of(spark, x[:, :5]), 2), pc.PcaModel)

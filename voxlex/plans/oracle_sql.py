@@ -703,9 +703,17 @@ def oracles() -> dict[str, str]:
         SELECT d.tr, d.voxel, {r6('d.value')} AS value, {", ".join(f"{r6(f's.x[{j + 1}]')} AS x{j}" for j in range(64))}
         FROM resp_dense d JOIN (SELECT tr, list(v ORDER BY j) AS x FROM {wide} GROUP BY tr) s ON s.tr = d.tr""")
     q["factor_reconstruct_64"] = q["frame_embedding"]
-    q["pca_norms_64"] = W(["stim"], f"""
-        SELECT tr, {r6('sum(m * m)')} AS norm2 FROM (SELECT tr, j, avg(v) AS m FROM (
-            SELECT tr, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM stim) GROUP BY tr, j) GROUP BY tr""")
+    q["pca_rebuild_64"] = q["pca_rebuild_randomised_64"] = W(["stim"], f"""
+        SELECT CAST(a.j - 1 AS INTEGER) AS i, CAST(b.j - 1 AS INTEGER) AS j, {r6('covar_samp(a.v, b.v)')} AS value
+        FROM w a JOIN w b ON b.tr = a.tr GROUP BY a.j, b.j""", [("w", f"SELECT * FROM {wide}")])
+    q["histogram_auto"] = W(["resp_dense", "stim"], f"""
+        SELECT run, bin, {r6('lo + bin * (hi - lo) / m')} AS bin_lo, n, {r6('n / sum(n) OVER (PARTITION BY run)')} AS prob
+        FROM (SELECT run, lo, hi, m, CAST(least(floor((corr - lo) / ((hi - lo) / m)), m - 1) AS INTEGER) AS bin, count(*) AS n
+              FROM sw, (SELECT lo, hi, ceil((hi - lo) / CASE WHEN iqr > 0 THEN least(2 * iqr / pow(k, 1.0 / 3), st) ELSE st END) AS m
+                        FROM (SELECT min(corr) AS lo, max(corr) AS hi, CAST(count(corr) AS DOUBLE) AS k,
+                                     (max(corr) - min(corr)) / (log2(count(corr)) + 1) AS st,
+                                     quantile_cont(corr, 0.75) - quantile_cont(corr, 0.25) AS iqr FROM sw))
+              WHERE corr IS NOT NULL GROUP BY ALL)""", [("sw", scores)])
     q["ridge_wide_64"] = q["ridge_wide_additive_64"] = W(["stim", "resp_mean"], """
         SELECT m.voxel, CAST(s.j - 1 AS INTEGER) AS j, round(sum(s.v * m.value), 5) + 0.0 AS value
         FROM resp_mean m JOIN (SELECT tr, j, avg(v) AS v FROM (

@@ -324,6 +324,11 @@ def q_score_histogram(spark, d):
     return _round(st.histogram(_scores_ab(spark, d), "run", "corr", 20))
 
 
+def q_histogram_auto(spark, d):
+    """D12 with the bins that follow the data, over scores of all 64 elements."""
+    return _round(st.histogram_auto(fx.scores_wide(spark, d), "run", "corr"))
+
+
 def q_score_kde(spark, d):
     return _round(st.kde(_scores_ab(spark, d), "run", "corr", grid=50))
 
@@ -611,11 +616,19 @@ def q_factor_reconstruct_64(spark, d):
     return _round(r)
 
 
-def q_pca_norms_64(spark, d):
-    """G13, G14 at full width: the projection on all components keeps every row's norm."""
-    x = fx.stim_frames(spark, d)
-    p = pc.pca_project(x, pc.pca_fit(x, 64))
-    return _round(p.select("tr", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("norm2")))
+def _rebuild(method):
+    """G13, G14 at full width: the covariance rebuilt from the components and the variances of
+    the projected columns, which is the covariance only if the components diagonalise it."""
+    def q(spark, d):
+        x = cut_lineage(fx.stim_frames(spark, d))
+        model = pc.pca_fit(x, 64, method=method)
+        p = pc.pca_project(x, model).select(F.posexplode("x").alias("c", "v"))
+        var = p.groupBy("c").agg(F.var_samp("v").alias("var"))
+        comp = spark.createDataFrame([(c, [float(v) for v in r]) for c, r in enumerate(pc.components(model))],
+                                     "c int, v array<double>").select("c", F.posexplode("v").alias("i", "v"))
+        pair = comp.join(comp.withColumnsRenamed({"i": "j", "v": "w"}), "c").join(var, "c")
+        return _round(pair.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w") * F.col("var")).alias("value")))
+    return q
 
 
 def q_pca_ratio_k2(spark, d):
@@ -839,7 +852,9 @@ QUERIES = {
     "score_kde_64": q_score_kde_64,
     "subject_summary_64": q_subject_summary_64,
     "factor_reconstruct_64": q_factor_reconstruct_64,
-    "pca_norms_64": q_pca_norms_64,
+    "pca_rebuild_64": _rebuild("covariance"),
+    "pca_rebuild_randomised_64": _rebuild("randomised"),
+    "histogram_auto": q_histogram_auto,
     "ridge_wide_64": _wide("packed"),
     "ridge_wide_additive_64": _wide("additive"),
     "ridge_wide_dual_64": _wide("dual"),
