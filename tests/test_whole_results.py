@@ -78,6 +78,24 @@ def test_text_path_equals_the_fused_path(spark):
     assert all(np.allclose(r["x"], text[r["tr"]]) for r in many[5].collect())
 
 
+def test_streamed_contexts_equal_stored_ones(spark):
+    """Blocks, halos, gaps, missing words, batches that end inside a block, both poolings."""
+    from voxlex.operators.context import context_windows
+    from voxlex.operators.embed import frame_contexts, frame_embeddings
+    tok = words(spark, 75).unionByName(words(spark, 33).withColumn("seq", F.col("seq") + 1))
+    tok = tok.withColumn("word", F.when(F.col("pos") % 11 == 4, F.lit(None)).when(F.col("pos") == 9, "odd\tword").otherwise(F.col("word")))
+    for pool in ("mean", "last"):
+        model, sizes = TextHashEmbedder(3), (0, 2, 7)
+        got = {r["tr"]: r for r in frame_contexts(tok, sizes, model, pool, block=16, batch=5).collect()}
+        t = context_windows(tok, {f"c_{ws}": ws for ws in sizes})
+        for ws in sizes:
+            t = embed(t, f"c_{ws}", model, pool, out=f"x_{ws}")
+        for r in frame_embeddings(t, "tr", [f"x_{ws}" for ws in sizes]).collect():
+            for ws in sizes:
+                assert np.allclose(r[f"x_{ws}"], got[r["tr"]][f"x_{ws}"]), (pool, ws, r["tr"])
+    assert frame_contexts(tok.limit(0), (1,), TextHashEmbedder(2)).collect() == []
+
+
 def test_transcript_quotes_and_missing_markers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('"say ""hi""","say ""hi""",0.1,0.2\n"a, b",None,0.3,0.4\nx,NA,0.5,0.6\n')
     got = files.read_transcript(spark, str(tmp_path)).orderBy("pos").collect()

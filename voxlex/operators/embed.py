@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from itertools import accumulate, chain
 from typing import Iterator
 
 import numpy as np
@@ -35,13 +36,33 @@ _NOT_SINGLE_SPACED = re.compile(r"[\t\n\x0b\f\r]|  ")
 
 
 def _tokens(text: str) -> list:
-    """Whitespace tokens exactly as the JVM's ``split(trim(t), '\\s+')``.
+    """Whitespace tokens exactly as the JVM's ``split(trim(t), '\\s+')``."""
+    return _JAVA_SPACE.split(text.strip(" "))
 
-    Texts whose only whitespace is single spaces (every generated context)
-    take ``str.split``; anything else the regular expression.
-    """
-    t = text.strip(" ")
-    return _JAVA_SPACE.split(t) if _NOT_SINGLE_SPACED.search(t) else t.split(" ")
+
+def _token_lists(texts) -> list:
+    """``_tokens`` of every text; a batch whose only white space is single
+    spaces (every generated context) takes ``str.split``."""
+    if _NOT_SINGLE_SPACED.search("\x01".join(texts)):
+        return [_tokens(t) for t in texts]
+    return [t.strip(" ").split(" ") for t in texts]
+
+
+class _TokenRows(dict):
+    """Token -> row of its md5 vector; a token met for the first time gets the next row."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim, self.rows = dim, np.zeros((1024, dim))
+
+    def __missing__(self, token: str) -> int:
+        i = len(self)
+        if i >= len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[i] = [(int(hashlib.md5(f"{token}#{j}".encode()).hexdigest()[:8], 16) % 2001 - 1000) / 1000.0
+                        for j in range(self.dim)]
+        self[token] = i
+        return i
 
 
 class HashEmbedder:
@@ -76,42 +97,29 @@ class HashEmbedder:
     def _vocab(self):
         c = worker_cache(f"hash-vocab-{self.dim}")
         if "ids" not in c or len(c["ids"]) > self.max_vocab:
-            c["ids"] = {}
-            c["rows"] = np.zeros((1024, self.dim))
-        return c
-
-    def _ids(self, toks_iter, c) -> np.ndarray:
-        ids, rows = c["ids"], c["rows"]
-        out = []
-        for t in toks_iter:
-            i = ids.get(t)
-            if i is None:
-                i = len(ids)
-                if i >= rows.shape[0]:
-                    rows = np.vstack([rows, np.zeros_like(rows)])
-                    c["rows"] = rows
-                rows[i] = [(int(hashlib.md5(f"{t}#{j}".encode()).hexdigest()[:8], 16) % 2001 - 1000) / 1000.0
-                           for j in range(self.dim)]
-                ids[t] = i
-            out.append(i)
-        return np.asarray(out, dtype=np.int64)
+            c["ids"] = _TokenRows(self.dim)
+        return c["ids"]
+
+    @staticmethod
+    def _ids(toks_iter, c) -> np.ndarray:
+        return np.fromiter(map(c.__getitem__, toks_iter), np.int64)
 
     def vectors(self, words) -> np.ndarray:
         """(n, dim) token vectors of single words."""
         c = self._vocab()
         ids = self._ids(words, c)
-        return c["rows"][ids]
+        return c.rows[ids]
 
     def encode_pooled(self, texts, pool: str = "mean") -> np.ndarray:
         """(n, dim) pooled vectors of whitespace-tokenised texts."""
         c = self._vocab()
-        split = [_tokens(t) for t in texts]
+        split = _token_lists(texts)
         if pool == "last":
             ids = self._ids((s[-1] for s in split), c)
-            return c["rows"][ids]
+            return c.rows[ids]
         counts = np.fromiter((len(s) for s in split), dtype=np.int64, count=len(split))
-        ids = self._ids((t for s in split for t in s), c)
-        rows = c["rows"][ids]
+        ids = self._ids(chain.from_iterable(split), c)
+        rows = c.rows[ids]
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         sums = np.add.reduceat(rows, starts, axis=0) if len(rows) else np.zeros((0, self.dim))
         return sums / counts[:, None]
@@ -119,11 +127,11 @@ class HashEmbedder:
     def encode(self, texts):
         """Token matrices per text (the generic model protocol)."""
         c = self._vocab()
-        out = []
-        for text in texts:
-            ids = self._ids(_tokens(text), c)
-            out.append(c["rows"][ids].copy())
-        return out
+        split = _token_lists(texts)
+        ids = self._ids(chain.from_iterable(split), c)
+        rows = c.rows[ids]
+        ends = list(accumulate(map(len, split)))
+        return [rows[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class TextHashEmbedder:
@@ -138,12 +146,10 @@ class TextHashEmbedder:
         self.dim = int(dim)
 
     def encode(self, texts):
-        words = HashEmbedder(self.dim)
-        out = words.encode(texts)
-        for mat, text in zip(out, texts):
-            for j in range(self.dim):
-                h = int(hashlib.md5(f"{text}#{j}".encode()).hexdigest()[:8], 16)
-                mat[-1, j] = (h % 2001 - 1000) / 1000.0
+        out = HashEmbedder(self.dim).encode(texts)
+        ends = np.array([[int(hashlib.md5(f"{t}#{j}".encode()).hexdigest()[:8], 16) for j in range(self.dim)] for t in texts])
+        for mat, end in zip(out, (ends % 2001 - 1000) / 1000.0):
+            mat[-1] = end
         return out
 
 
@@ -157,8 +163,17 @@ def load_once(model, token: str):
     return cache[token]
 
 
-def _pool(mat: np.ndarray, pool: str) -> np.ndarray:
-    return mat[-1] if pool == "last" else mat.mean(axis=0)
+def pooled_batch(model, texts: list, pool: str) -> np.ndarray:
+    """(texts, dim) pooled vectors by either protocol."""
+    if hasattr(model, "encode_pooled"):
+        return np.asarray(model.encode_pooled(texts, pool), dtype=float)
+    mats = [np.asarray(a, dtype=float) for a in model.encode(texts)]
+    if pool == "last":
+        return np.array([a[-1] for a in mats])
+    if not mats:
+        return np.zeros((0, 0))
+    size = np.array([len(a) for a in mats])
+    return np.add.reduceat(np.concatenate(mats), np.cumsum(size) - size, axis=0) / size[:, None]
 
 
 def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x",
@@ -199,8 +214,7 @@ def embed(df: DataFrame, text_col: str, model, pool: str = "mean", out: str = "x
     def _run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = load_once(model, token)
         for s in batches:
-            mats = m.encode(list(s.fillna("")))
-            yield pd.Series([_pool(np.asarray(a, dtype=float), pool) for a in mats], index=s.index)
+            yield pd.Series(list(pooled_batch(m, list(s.fillna("")), pool)), index=s.index)
 
     return df.withColumn(out, _run(F.col(text_col)))
 
@@ -290,6 +304,95 @@ def frame_means(tok: DataFrame, sizes, model: HashEmbedder, pool: str = "mean",
                                  for ws, e in zip(sizes, eff)])
 
 
+def frame_contexts(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "tr", seq: str = "seq",
+                   pos: str = "pos", word: str = "word", block: int | None = None, batch: int = 4096) -> DataFrame:
+    """Per-frame stimulus of any model for several window sizes: (tr, x_{ws} ...).
+
+    Words are folded once into (sequence, block) arrays with a halo of the
+    largest window.  A task slides over an array, joins ``batch`` contexts at
+    a time, calls the model and adds the pooled vectors to its frames' sums,
+    so a context exists only inside one call: none is stored, shuffled or
+    sent between the JVM and Python.  What leaves a task is one sum per
+    frame.  Same values as ``context_windows``, ``embed`` and
+    ``frame_embeddings``: rows without a word add nothing to a context, and
+    a frame's mean counts every row.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    from voxlex.operators.context import _with_halo
+    if pool not in ("mean", "last"):
+        raise ValueError("pool must be 'mean' or 'last'")
+    sizes = [int(s) for s in sizes]
+    big = max(sizes)
+    size = block or max(1 << 12, 16 * (big + 1))
+    rows = F.struct(F.col(pos).cast("bigint").alias("p"), F.col(word).alias("w"), F.col(frame_col).alias("f"))
+    # model calls outweigh the words' bytes: partitions by cores, not coalesced by size
+    spark = tok.sparkSession
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    t = (_with_halo(tok.select(seq, pos, word, frame_col), big, pos, size).repartition(many, seq, "_blk")
+         .groupBy(seq, "_blk").agg(F.collect_list(rows).alias("_r")).select((F.col("_blk") * size).alias("_from"), "_r"))
+    token = model.__dict__.setdefault("_token", uuid.uuid4().hex) if hasattr(model, "__dict__") else str(id(model))
+    kind = tok.schema[frame_col].dataType
+    spec = T.StructType([T.StructField(frame_col, kind), T.StructField("n", T.LongType()),
+                         T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+        m = load_once(model, token)
+        at: dict = {}
+        n, sums = np.zeros(0, np.int64), None
+
+        def flush():
+            part = sums[:len(at)]
+            offsets = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(at), to_arrow_type(kind)), pa.array(n[:len(at)]),
+                 pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], names=spec.fieldNames())
+
+        for b in batches:
+            for first, group in zip(b.column(0).to_pylist(), b.column(1)):
+                r = group.values
+                p = r.field("p").to_numpy()
+                order = np.argsort(p, kind="stable")
+                words = r.field("w").take(pa.array(order)).to_pylist()
+                frames = r.field("f").take(pa.array(order)).to_pylist()
+                own = int(np.searchsorted(p[order], first))
+                gaps = None in words
+                for a in range(own, len(words), batch):
+                    span = range(a, min(a + batch, len(words)))
+                    if gaps:
+                        vec = [pooled_batch(m, [" ".join([w for w in words[max(0, i - ws):i + 1] if w is not None]) for i in span], pool)
+                               for ws in sizes]
+                    else:
+                        vec = [pooled_batch(m, [" ".join(words[max(0, i - ws):i + 1]) for i in span], pool) for ws in sizes]
+                    mat = np.hstack(vec)
+                    for f in frames[span.start:span.stop]:
+                        at.setdefault(f, len(at))
+                    if sums is None or len(at) > len(sums):
+                        more = max(256, 2 * len(at))
+                        old, sums = sums, np.zeros((more, mat.shape[1]))
+                        n = np.concatenate([n, np.zeros(more - len(n), np.int64)])
+                        if old is not None:
+                            sums[:len(old)] = old
+                    idx = np.fromiter((at[f] for f in frames[span.start:span.stop]), np.int64, len(span))
+                    for j in range(mat.shape[1]):
+                        sums[:, j] += np.bincount(idx, mat[:, j], len(sums))
+                    n[:len(sums)] += np.bincount(idx, minlength=len(sums))
+                    if 8 * len(at) * mat.shape[1] > 64 << 20:
+                        yield flush()
+                        at, n, sums = {}, np.zeros(0, np.int64), None
+        if at:
+            yield flush()
+
+    g = (t.mapInArrow(run, spec).select(frame_col, "n", array_to_vector("v").alias("v")).groupBy(frame_col)
+         .agg(F.sum("n").alias("n"), Summarizer.sum(F.col("v")).alias("v"))
+         .select(frame_col, "n", vector_to_array("v").alias("v")))
+    width = (F.size("v") / len(sizes)).cast("int")
+    mean = F.transform("v", lambda v: v / F.col("n"))
+    return g.select(frame_col, *[F.slice(mean, width * i + 1, width).alias(f"x_{ws}") for i, ws in enumerate(sizes)])
+
+
 def mean_vector(df: DataFrame, key, vec: str = "x", out: str | None = None) -> DataFrame:
     """Element-wise mean of ``vec`` per key (map-side combined vector aggregate)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array

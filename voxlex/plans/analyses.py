@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from voxlex.operators import frames as fr
 from voxlex.operators import series as se
 from voxlex.operators import stats as st
-from voxlex.operators.context import context_window, with_continuation, with_summary
-from voxlex.operators.embed import HashEmbedder, embed, frame_embedding, frame_embeddings, frame_means
+from voxlex.operators.context import with_continuation, with_summary
+from voxlex.operators.embed import HashEmbedder, embed, frame_contexts, frame_embedding, frame_means
 from voxlex.operators.pca import pca_fit, pca_project
 from voxlex.operators.ridge import RidgeParams, bootstrap_ridge, build_design, fit_runs
 from voxlex.session import cut_lineage
@@ -74,22 +74,24 @@ def stimulus(tok: DataFrame, ws: int, model, pool: str = "mean", frame_col: str
              text: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """Per-frame stimulus rows (tr, x): context -> embedding -> frame mean.
 
-    Texts are built, embedded in batches and averaged.  Only a model that
-    declares itself additive (``fused``, as ``HashEmbedder`` does) and has no
-    precomputed text takes the fused form, window sums of word vectors.
+    Contexts are built, embedded and averaged inside one pass over the words
+    (``frame_contexts``); precomputed texts are embedded in batches.  Only a
+    model that declares itself additive (``fused``, as ``HashEmbedder`` does)
+    takes the fused form, window sums of word vectors.
     """
     if text is None and getattr(model, "fused", False):
         return frame_means(tok, [ws], model, pool, frame_col).select(frame_col, F.col(f"x_{ws}").alias("x"))
-    t = text if text is not None else context_window(tok, ws, out=text_col)
-    emb = embed(t, text_col, model, pool)
+    if text is None:
+        return frame_contexts(tok, [ws], model, pool, frame_col).select(frame_col, F.col(f"x_{ws}").alias("x"))
+    emb = embed(text, text_col, model, pool)
     return frame_embedding(emb.select(frame_col, "x"), frame_col, "x", dim=getattr(model, "dim", None))
 
 
 def stimuli(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "tr") -> dict:
     """Per-frame stimuli for several window sizes: {ws: DataFrame(tr, x)}.
 
-    Contexts of all sizes are built in one pass, embedded column by column
-    and averaged per frame in one aggregate; the small per-frame table is
+    Contexts of all sizes are built, embedded and averaged per frame in one
+    pass over the words (``frame_contexts``); the small per-frame table is
     written to the checkpoint folder and sliced.  ``fused`` models skip the
     context texts (see ``stimulus``).
     """
@@ -97,11 +99,7 @@ def stimuli(tok: DataFrame, sizes, model, pool: str = "mean", frame_col: str = "
     if getattr(model, "fused", False):
         frames_x = frame_means(tok, sizes, model, pool, frame_col)
     else:
-        from voxlex.operators.context import context_windows
-        e = context_windows(tok, {f"c_{ws}": ws for ws in sizes})
-        for ws in sizes:
-            e = embed(e, f"c_{ws}", model, pool, out=f"x_{ws}").drop(f"c_{ws}")
-        frames_x = frame_embeddings(e, frame_col, [f"x_{ws}" for ws in sizes])
+        frames_x = frame_contexts(tok, sizes, model, pool, frame_col)
     frames_x = cut_lineage(frames_x)       # one row per frame
     return {ws: frames_x.select(frame_col, F.col(f"x_{ws}").alias("x")) for ws in sizes}
 
