@@ -3,12 +3,17 @@
 Texts become tokens (letter runs and numbers, case folded) and, from them,
 templates: numbers, names (capitalised words inside a sentence) and units
 (after a number) are replaced by typed placeholders.  Every run of eight tokens
-is hashed twice, literally and as a template.  An item of three to seven tokens
-has one window, the whole of it; documents then have windows of that length
-too.  Template windows of an item have as many literal tokens as slots; an item
-with no such window uses its windows with two literal tokens.  Windows of documents meet those of benchmark items by a
-join on the hash; a bitmap of the items' hashes (a few thousand numbers)
-leaves out most document windows before they become rows.
+is hashed twice, literally and as a template.  Template windows of an item have
+as many literal tokens as slots; an item with no such window uses its windows
+with two literal tokens.  Windows of documents meet those of benchmark items by
+a join on the hash; a bitmap of the items' hashes, sixteen bits a hash up to a
+megabyte, leaves out most document windows before they become rows.
+
+An item of three to seven tokens has one window, the whole of it; documents
+then have windows of that length too.  Its template alone says little ("who
+wrote <name>" stands in many clean texts), so a document matches it only by a
+sentence of its own: the window begins and ends where a sentence (or line, or
+the text) does.
 
 A re-parameterised question matches as a template; its slots must also be
 filled consistently, equal item values standing for equal document values.
@@ -38,6 +43,8 @@ from voxlex.llm.winnowing import let, rotl
 
 K = 8
 SHORTEST = 3        # tokens of an item
+SOLID = 2           # literal tokens of a template
+ENDERS = r"[.!?\n]+"
 NAME = "\ue000"     # private-use mark put before names
 #: Units that follow a number (fixed values).
 UNITS = ("kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches yard yards l ml litre litres liter "
@@ -51,11 +58,19 @@ CHANCE = ("(startswith(x.a, 'U') OR startswith(x.a, 'N') "
           "AND length(trim(BOTH '0' FROM regexp_replace(substring(x.a, 2), '[.,]', ''))) <= 1)")
 
 
-def _tokens(text: str) -> str:
+def _tokens(text: str, more: str = "") -> str:
     """Case-folded tokens; names keep their mark in front.  Names are marked
-    before folding: the cheap test, for a capital, comes first."""
+    before folding: the cheap test, for a capital, comes first.  ``more``:
+    another pattern whose matches are listed too."""
     marked = rf"regexp_replace({text}, r'[A-Z\p{{Lu}}](?<=[a-z\p{{Ll}},;:] [A-Z\p{{Lu}}])(?=[a-z\p{{Ll}}])', '{NAME}$0')"
-    return rf"regexp_extract_all(lower({marked}), r'[0-9](?:[0-9.,]*[0-9])?|{NAME}?[a-z\p{{L}}\p{{M}}]+', 0)"
+    return rf"regexp_extract_all(lower({marked}), r'[0-9](?:[0-9.,]*[0-9])?|{NAME}?[a-z\p{{L}}\p{{M}}]+{more}', 0)"
+
+
+def _sentences(text: str) -> str:
+    """Tokens as struct(x, f); bit 1 of ``f``: a sentence begins, bit 2: one ends."""
+    end = lambda x: f"coalesce({x}, '.') RLIKE r'^{ENDERS}$'"
+    flags = f"IF({end('get(u, i - 1)')}, 1, 0) + IF({end('get(u, i + 1)')}, 2, 0)"
+    return let("u", _tokens(text, "|" + ENDERS), f"filter(transform(u, (x, i) -> struct(x AS x, {flags} AS f)), y -> NOT {end('y.x')})")
 
 
 def _windows(n: int, whole: bool) -> str:
@@ -71,15 +86,19 @@ def _windows(n: int, whole: bool) -> str:
     return f"IF(size(v) < {K}, cast(array() AS array<bigint>), {let('a', two, let('b', four, eight))})"
 
 
-def bitmap(hashes: DataFrame, words: int = 4096) -> str:
-    """SQL: an array of ``words`` 64-bit words with one bit set per hash ``h``."""
+def bitmap(hashes: DataFrame, most: int = 1 << 17) -> tuple[str, int]:
+    """(SQL of an array of 64-bit words with one bit set per hash ``h``, how many
+    words): sixteen bits a hash, 4096 words at least, ``most`` (a megabyte) at most."""
+    words, n = 4096, hashes.count()
+    while words < most and 4 * words < n:
+        words *= 2
     slot, bit = f"pmod(shiftright(h, 6), {words})", "shiftleft(1L, cast(h & 63 AS int))"
     got = dict(hashes.groupBy(F.expr(slot).alias("w")).agg(F.expr(f"bit_or({bit})").alias("b")).collect())
-    return "array(" + ", ".join(f"{got.get(w, 0)}L" if got.get(w, 0) != -1 << 63 else "shiftleft(1L, 63)"
-                                for w in range(words)) + ")"
+    # one string, which Spark turns into the array once
+    return f"cast(split('{','.join(str(got.get(w, 0)) for w in range(words))}', ',') AS array<bigint>)", words
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None, words: int = 4096,
+def windows(df: DataFrame, id_col: str, text_col: str, only: tuple[str, int] | None = None,
             lengths: tuple[int, ...] = (K,), item: bool = False) -> DataFrame:
     """(id, i, n, h, s, slots): every window's place, length, hash and slots.
 
@@ -89,6 +108,7 @@ def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None,
     become rows.  ``item``: the windows of a benchmark item, with those without
     slots among the templates (a re-parameterised copy holds them literally).
     """
+    words, short = (only[1] if only else 1), not item and min(lengths) < K
     units = ", ".join(f"'{u}'" for u in UNITS)
     kind = (f"CASE WHEN x >= '0' AND x < ':' THEN 'N' WHEN startswith(x, '{NAME}') THEN 'P' "
             f"WHEN i > 0 AND t[greatest(i, 1) - 1] >= '0' AND t[greatest(i, 1) - 1] < ':' "
@@ -105,17 +125,22 @@ def windows(df: DataFrame, id_col: str, text_col: str, only: str | None = None,
     shape = "transform(t, (x, i) -> IF(k[i] = '', xxhash64(x), xxhash64(concat('\u0001', k[i]))))"
     fill = f"transform(t, (x, i) -> IF(k[i] = '', '', concat(k[i], {bare})))"
     slots = lambda n: f"size(filter(slice(f, i + 1, {n}), y -> y <> ''))"
+    alone = lambda n: f"AND e[i] & 1 = 1 AND e[i + {n - 1}] & 2 = 2" if short and n < K else ""
     typed = let("k", f"transform(t, (x, i) -> {kind})", let("v", shape, let("f", fill, every(lambda n: f"""transform(
-        filter({passing}, i -> {slots(n)} BETWEEN {0 if item else 1} AND {n - 2}),
+        filter({passing}, i -> {slots(n)} BETWEEN {0 if item else 1} AND {n - SOLID} {alone(n)}),
         i -> struct(i AS i, {n} AS n, w[i] AS h, array_join(slice(f, i + 1, {n}), '\u0002') AS s, {slots(n)} AS slots))"""))))
     if item:
         typed = let("y", typed, "IF(exists(y, x -> x.slots > 0 AND 2 * x.slots <= x.n), "
                                 "filter(y, x -> 2 * x.slots <= x.n), y)")
     else:
         typed = rf"IF(_t RLIKE r'[0-9]|[a-z\p{{Ll}},;:] [A-Z\p{{Lu}}]', {typed}, {none})"
-    both = let("t", _tokens("_t"), f"concat({literal}, {typed})")
+    both = f"concat({literal}, {typed})"
+    if short:
+        both = let("y", _sentences("_t"), let("t", "transform(y, z -> z.x)", let("e", "transform(y, z -> z.f)", both)))
+    else:
+        both = let("t", _tokens("_t"), both)
     if only:
-        both = let("m", only, both)
+        both = let("m", only[0], both)
     return (df.select(F.col(id_col).alias("id"), F.expr(f"coalesce(`{text_col}`, '')").alias("_t"))
             .select("id", F.expr(both).alias("w"))
             # outer: else Spark tests the array's size first and computes it twice
@@ -154,10 +179,11 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = 0.3, broadcast_
         "transform(filter(filled, (x, i) -> i > 0 AND filled[greatest(i, 1) - 1].a = x.a), x -> x.a)"))
     run = run.withColumn("found", F.expr("""array_union(plain, transform(
         filter(typed, t -> NOT arrays_overlap(transform(t.bound, x -> x.a), torn)), t -> struct(t.i AS i, t.fit AS fit)))"""))
-    per = run.groupBy("id", "item").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    per = per.withColumn("windows", F.size("found"))
+    # distinct windows as rows: a document may repeat an item any number of times
+    per = run.select("id", "item", F.explode("found").alias("w")).distinct().groupBy("id", "item").agg(
+        F.count("*").cast("int").alias("windows"), F.count_if("w.fit").alias("fits"))
     return (per.join(size, "item")
-            .withColumn("coverage", F.expr("greatest(windows / n, size(filter(found, x -> x.fit)) / nullif(n_fit, 0))"))
+            .withColumn("coverage", F.expr("greatest(windows / n, fits / nullif(n_fit, 0))"))
             .where(F.col("coverage") >= coverage)
             .select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "windows", "coverage"))
 
