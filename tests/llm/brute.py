@@ -172,3 +172,69 @@ def repaired_conversations(rows):
                      sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(turns, turns[1:])),
                      cost, audit, hashlib.sha256("\n".join(done).encode()).hexdigest())
     return out
+
+
+def template_matches(docs, bench, coverage=0.3):
+    """{(doc, item): windows} by comparing all windows of all texts."""
+    import regex
+    from voxlex.llm.decontam import UNITS
+    name = "\ue000"
+
+    def tokens(text):
+        text = regex.sub(r"[A-Z\p{Lu}](?<=[a-z\p{Ll},;:] [A-Z\p{Lu}])(?=[a-z\p{Ll}])", lambda m: name + m.group(0), text or "")
+        found = regex.findall(rf"[0-9](?:[0-9.,]*[0-9])?|{name}?[a-z\p{{L}}\p{{M}}]+|[.!?\n]+", text.lower())
+        ender = [bool(regex.fullmatch(r"[.!?\n]+", x)) for x in found]
+        at = [i for i, e in enumerate(ender) if not e]
+        starts = [i == 0 or ender[i - 1] for i in at]
+        ends = [i == len(found) - 1 or ender[i + 1] for i in at]
+        out = []
+        for k, i in enumerate(at):
+            x, before = found[i], found[at[k - 1]] if k else ""
+            kind = ("N" if x[0].isdigit() else "P" if x[0] == name else
+                    "U" if before[:1].isdigit() and x in UNITS else "")
+            out.append((x.lstrip(name), kind, starts[k], ends[k]))
+        return out
+
+    def windows(t, n, short):
+        for i in range(len(t) - n + 1):
+            w = t[i:i + n]
+            shape = tuple(k or x for x, k, *_ in w)
+            fill = tuple(k + x if k else "" for x, k, *_ in w)
+            typed = n - sum(map(bool, fill)) >= 2 and (not short or n == 8 or w[0][2] and w[-1][3])
+            yield i, tuple(x for x, *_ in w), (shape, tuple(map(bool, fill))) if typed else None, fill
+
+    chance = lambda a: a[0] == "U" or a[0] == "N" and len(regex.sub("[.,]", "", a[1:]).strip("0")) <= 1
+    out = {}
+    shown = {k: {n: list(windows(tokens(t), n, True)) for n in range(3, 9)} for k, t in docs.items()}
+    for item, text in bench.items():
+        t = tokens(text)
+        n = min(8, len(t))
+        if n < 3:
+            continue
+        own = list(windows(t, n, False))
+        solid = any(s and any(s[1]) and 2 * sum(s[1]) <= n for *_, s, _ in own)
+        typed = {i: (s, f) for i, _, s, f in own if s and (not solid or 2 * sum(s[1]) <= n)}
+        plain = defaultdict(list)
+        for i, lit, *_ in own:
+            plain[lit].append(i)
+        for doc, by in shown.items():
+            runs = defaultdict(lambda: (set(), []))
+            for j, lit, s, f in by[n]:
+                for i in plain.get(lit, ()):
+                    runs[j - i][0].add(i)
+                for i, (shape, fill) in typed.items():
+                    if s == shape and any(s[1]):
+                        pairs = {(a, b) for a, b in zip(fill, f) if a}
+                        if len(pairs) == len({a for a, _ in pairs}):
+                            runs[j - i][1].append((i, {p for p in pairs if not chance(p[0])}))
+            found = set()
+            for lits, hits in runs.values():
+                values = defaultdict(set)
+                for _, pairs in hits:
+                    for a, b in pairs:
+                        values[a].add(b)
+                found |= lits | {i for i, pairs in hits if all(len(values[a]) == 1 for a, _ in pairs)}
+            fit = len(found & typed.keys()) / len(typed) if typed else 0
+            if found and max(len(found) / len(own), fit) >= coverage:
+                out[doc, item] = len(found)
+    return out

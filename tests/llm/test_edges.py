@@ -389,6 +389,81 @@ def test_decontamination_short_and_dense_items(spark):
         assert got == {(k, i): 1.0 for k, i in [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5), (11, 4)]}
 
 
+def test_near_duplicates_keep_every_text_of_an_id(spark):
+    """Links do not depend on which row of a repeated id comes first."""
+    a, b = words(60, 41).split(), words(60, 42).split()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b[:-1] + ["end"])), (3, " ".join(a[:-1] + ["end"]))]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)
+        for small in ({}, {"unit_documents": 2}):
+            got = Counter((x.doc_id, x.component_id) for x in minhash.near_duplicates(df, **small).collect())
+            assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1)])
+
+
+def test_confirmation_is_not_quadratic():
+    """Many short texts of one unit, linked and not: buckets, not all pairs."""
+    import time
+    minima = minhash.Minima(288, 7)
+    rnd = random.Random(5)
+    near = [minhash.shingles(" ".join(f"w{i}" for i in range(40)) + f" t{k}") for k in range(1500)]
+    far = [minhash.shingles(" ".join(f"{rnd.random()}" for _ in range(14))) for _ in range(2500)]
+    sets = near + far
+    t = time.time()
+    edges = minhash.confirm(list(range(len(sets))), sets, None, minima, 0.64, 85, 48)
+    assert sorted(edges) == [(k, 0) for k in range(1, 1500)]
+    assert time.time() - t < 30
+
+
+def test_short_templates_leave_clean_sentences(spark):
+    """A short template inside a longer sentence is no copy of the question."""
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "What is 12 percent of 250?"), (3, "Where is Paris")],
+                                  "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, "I read that critics who wrote Reviews and letters."), (2, "People who wrote Letters, and where is Rome now?"),
+         (3, "They asked what is 7 percent of 90 people."), (4, "He said so. Who wrote Macbeth? Nobody knew."),
+         (5, "A list\nwhere is Rome\nand more"), (6, "critics who wrote Hamlet and more")], "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.matches(docs, bench).collect()}
+    assert got == {(4, 1), (5, 3), (6, 1)}
+    assert got == set(brute.template_matches({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in bench.collect()}))
+
+
+def test_template_windows_equal_brute_force(spark):
+    rnd = random.Random(11)
+    names, units = ["Maria", "Otto", "Wanda", "Boston", "Peter"], ["km", "hours", "dollars", "kg"]
+
+    def sentence(n):
+        return " ".join(rnd.choice([rnd.choice(names), f"{rnd.randint(1, 40)} {rnd.choice(units)}", str(rnd.choice([2, 7, 15, 1200]))])
+                        if rnd.random() < 0.3 else rnd.choice("buy sell has gives takes runs with from how many the".split())
+                        for _ in range(n)).capitalize()
+
+    def altered(text):
+        out = " ".join(str(rnd.randint(1, 60)) if w.isdigit() and rnd.random() < 0.8 else rnd.choice(names)
+                       if w in names and rnd.random() < 0.5 else w for w in text.split())
+        return out if rnd.random() < 0.8 else " ".join(out.split()[:-2])
+
+    items = {i: sentence(rnd.choice([2, 3, 4, 5, 6, 9, 14, 20])) for i in range(30)}
+    docs = {k: rnd.choice(["", "Intro. ", "intro "]) + altered(rnd.choice(list(items.values()))) + rnd.choice(["", ". End.", " end", "?"])
+            + (" " + altered(rnd.choice(list(items.values()))) if k % 3 == 0 else "") for k in range(150)}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    table = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    want = brute.template_matches(docs, items)
+    assert len(want) > 60
+    for limit in (1_000_000, 0):
+        got = {(x.doc_id, x.item_id): x.windows for x in decontam.matches(table, bench, broadcast_windows=limit).collect()}
+        assert got == want
+
+
+def test_bitmap_grows_with_the_benchmark(spark):
+    hashes = spark.range(100_000).select(F.xxhash64("id").alias("h"))
+    sql, words = decontam.bitmap(hashes)
+    assert words == 32_768                     # under a twentieth of the bits are set
+    seen, other = hashes, spark.range(100_000, 140_000).select(F.xxhash64("id").alias("h"))
+    rate = lambda d: d.select(F.expr(f"(shiftright(({sql})[pmod(shiftright(h, 6), {words})], cast(h & 63 AS int)) & 1)").alias("b")
+                              ).agg(F.avg("b")).first()[0]
+    assert rate(seen) == 1.0 and rate(other) < 0.07
+    assert decontam.bitmap(hashes, most=4096)[1] == 4096
+
+
 def test_pipeline_decides_by_row(spark):
     import corpus_pipeline
     from tests.conftest import SF_SMALL

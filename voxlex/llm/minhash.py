@@ -11,19 +11,21 @@ words; no words, no set and no link.  Two documents are linked when
    and small-star turn these candidate edges into blocks.  Any linked pair
    shares a bucket except with probability ``(1 - 0.85^rows)^bands`` (1.3e-10
    by default), so it lies in one block.
-3. Within a block, pairs whose signatures agree on ``agree`` of the minima
-   (ten standard deviations below the threshold) and that are not connected
-   yet are confirmed on their full sets.  Pairs are never emitted, only one
-   edge to the smallest connected document.
-4. A block with more than ``unit_shingles`` shingles is split into parts, each
-   with a copy of the block's smallest document.  Documents not connected to
+3. Within a block, pairs that share a bucket, whose signatures agree on
+   ``agree`` of the minima (ten standard deviations below the threshold) and
+   that are not connected yet are confirmed on their full sets.  Pairs are
+   never emitted, only one edge to the smallest connected document.
+4. A block with more than ``unit_shingles`` shingles or ``unit_documents``
+   documents is split into parts, each with a copy of the block's smallest
+   document.  Documents not connected to
    it inside their part (the rest) are then compared with all other parts;
    pairs of documents that are both connected to it need no comparison.
    This is exact for any block size; no task holds a whole hot block.
 5. Large-star and small-star over the confirmed edges give the components.
 
 Null or blank text: n_shingles 0, own component.  Rows that repeat a doc_id
-count as one document, each row gets that document's component.  A null
+count as one document with all their sets, whatever the order of the rows;
+each row gets that document's component.  A null
 doc_id has a null component and is kept.  Extra columns are ignored; an empty
 table gives an empty table.
 """
@@ -110,35 +112,36 @@ def sketch(docs: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
 
 
 def confirm(ids: list, sets: list, rest: np.ndarray | None, minima: Minima, agree: float,
-            percent: int) -> list[tuple[int, int]]:
-    """Edges (document, smallest connected document) of one unit.
+            percent: int, bands: int) -> list[tuple[int, int]]:
+    """Edges (document, smallest connected document) of one unit; an id may come
+    with several sets.
 
     ``rest`` None: all pairs of the unit count; else only pairs between a
     document that is in the rest and one that is not, or two of the rest.
+    Pairs are looked for in the unit's buckets; a bucket whose members are all
+    connected costs one look.
     """
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     ids = [ids[i] for i in order]
     sets = [sets[i] for i in order]
-    if rest is not None:
-        rest = rest[order]
     m = len(ids)
+    rest = np.ones(m, bool) if rest is None else rest[order]
     sig = np.stack([minima.of(s) for s in sets])
     size = np.array([len(s) for s in sets], np.int64)
     root = np.arange(m)
     need = agree * sig.shape[1]
-    for i in range(m):
-        todo = root != root[i]
-        if rest is None or rest[i]:
-            if rest is None:
-                todo[:i] = False
-        else:
-            todo &= rest
+    done = np.zeros((m, m), bool)       # pairs looked at: units are bounded in documents
+
+    def compare(i: int, members: np.ndarray) -> None:
+        j = members[(root[members] != root[i]) & ~done[i, members]]
+        if not rest[i]:
+            j = j[rest[j]]
+        done[i, j] = done[j, i] = True
         # |A n B| <= min(|A|, |B|), so very different sizes cannot be linked
-        todo &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-        j = np.flatnonzero(todo)
+        j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
         j = j[(sig[j] == sig[i]).sum(1) >= need]
         if not len(j):
-            continue
+            return
         flat = np.concatenate([sets[k] for k in j])
         at = np.searchsorted(sets[i], flat)
         at[at == len(sets[i])] = 0
@@ -149,6 +152,17 @@ def confirm(ids: list, sets: list, rest: np.ndarray | None, minima: Minima, agre
             a, z = sorted((root[i], root[k]))
             if a != z:
                 root[root == z] = a
+
+    keys = np.stack([band_keys(s, bands, sig.shape[1] // bands) for s in sig])
+    for column in keys.T:
+        by = np.argsort(column, kind="stable")
+        edge = np.flatnonzero(np.diff(column[by], prepend=column[by[0]] - 1))
+        for a, z in zip(edge, np.append(edge[1:], m)):
+            members = by[a:z]
+            for i in members:
+                if (root[members] == root[members[0]]).all():
+                    break
+                compare(i, members)
     return [(ids[i], ids[root[i]]) for i in range(m) if root[i] != i]
 
 
@@ -156,6 +170,7 @@ def _units(rows: DataFrame, docs: DataFrame, bands: int, rows_per_band: int, see
            agree: float, percent: int) -> DataFrame:
     """Confirmed edges of all units of ``rows(rep, comp, b, c, rest)``."""
     def run(batches):
+        import xxhash
         minima = Minima(bands * rows_per_band, seed)
         unit, ids, sets, rest, seen = None, [], [], [], set()
         out = []
@@ -163,17 +178,19 @@ def _units(rows: DataFrame, docs: DataFrame, bands: int, rows_per_band: int, see
         def end():
             if len(ids) > 1:
                 r = np.array(rest, bool)
-                out.extend(confirm(ids, sets, r if unit[2] >= 0 else None, minima, agree, percent))
+                out.extend(confirm(ids, sets, r if unit[2] >= 0 else None, minima, agree, percent, bands))
 
         for b in batches:
             for comp, p, c, rep, text, rst in zip(*(x.to_pylist() for x in b.columns)):
                 if (comp, p, c) != unit:
                     end()
                     unit, ids, sets, rest, seen = (comp, p, c), [], [], [], set()
-                if rep not in seen:      # repeated rows of one document
-                    seen.add(rep)
+                s = shingles(text)
+                key = rep, xxhash.xxh3_128_digest(s.tobytes())
+                if len(s) and key not in seen:      # else a repeated row of one document
+                    seen.add(key)
                     ids.append(rep)
-                    sets.append(shingles(text))
+                    sets.append(s)
                     rest.append(rst)
             if out:
                 u, v = zip(*out)
@@ -194,7 +211,8 @@ def _units(rows: DataFrame, docs: DataFrame, bands: int, rows_per_band: int, see
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: int = 6,
-                    agree: float = 0.64, unit_shingles: int = 2_000_000, seed: int = 7) -> DataFrame:
+                    agree: float = 0.64, unit_shingles: int = 2_000_000, unit_documents: int = 500,
+                    seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -216,9 +234,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: i
     sized = one.select(F.col("doc_id").alias("rep"), "n_shingles").distinct().join(
         blocks.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep")
     sized = stage(sized, folder, "sized")
-    per = sized.groupBy("comp").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
+    units = lambda s, m: F.ceil(F.greatest(F.col(s) / unit_shingles, F.col(m) / unit_documents)).cast("int")
+    per = sized.groupBy("comp").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"), F.count("*").alias("m"))
     member = stage(
-        join_counted(sized, per, "comp", total).withColumn("parts", F.ceil(F.col("s") / unit_shingles).cast("int"))
+        join_counted(sized, per, "comp", total).withColumn("parts", units("s", "m"))
         .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), folder, "members")
     pivot = (member.where("parts > 1 AND rep = comp")
              .select("rep", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b")))
@@ -230,8 +249,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: i
     if split.limit(1).count():
         tied = links.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
         rest = split.where("rep <> comp").join(tied, ["rep", "comp"], "left_anti")
-        cut = rest.groupBy("comp").agg(F.sum("n_shingles").alias("rs")).withColumn(
-            "cuts", F.ceil(F.col("rs") / unit_shingles).cast("int"))
+        cut = rest.groupBy("comp").agg(F.sum("n_shingles").alias("rs"), F.count("*").alias("rm")).withColumn(
+            "cuts", units("rs", "rm"))
         rest = rest.join(cut, "comp").withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cuts")).cast("int"))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         second = (rest.select("rep", "comp", each("parts").alias("b"), "c", F.lit(True).alias("rest"))
