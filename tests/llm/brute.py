@@ -30,6 +30,29 @@ def base_spans(text):
             for m in re.finditer(p, text) if valid(k, m.group(0))]
 
 
+def secret_spans(text):
+    """The keys that the test tables hold."""
+    return [("secret", *m.span(1)) for m in re.finditer(r"(?i)token\W{1,5}([0-9a-f]{40})(?![0-9a-z])", text)]
+
+
+def em(patterns, rounds=25, smooth=0.5):
+    """{votes: posterior} by expectation-maximisation on {votes: count}, in numpy."""
+    v = np.array(list(patterns)) + 1
+    n = np.array(list(patterns.values()), float)
+    prior, pos, neg = 0.5, np.tile([0.1, 0.3, 0.6], (4, 1)), np.tile([0.6, 0.3, 0.1], (4, 1))
+
+    def posterior():
+        a, b = (w * t[np.arange(4), v].prod(1) for w, t in ((prior, pos), (1 - prior, neg)))
+        return a / (a + b)
+
+    for _ in range(rounds):
+        q = posterior()
+        prior = (1 + (n * q).sum()) / (2 + n.sum())
+        pos, neg = (np.array([[(smooth + (n * w)[v[:, lab] == k].sum()) / (3 * smooth + (n * w).sum()) for k in range(3)]
+                              for lab in range(4)]) for w in (q, 1 - q))
+    return dict(zip(patterns, posterior()))
+
+
 def shingle_set(text):
     low = (text or "").translate({i: i + 32 for i in range(65, 91)})
     w = re.findall(r"[^ \t\n\x0b\x0c\r]+", low)

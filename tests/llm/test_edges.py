@@ -332,6 +332,48 @@ def test_pii_method_adds_and_redacts(spark):
     assert red[200] == rows[60][1]
 
 
+def test_pii_estimates_equal_numpy(spark):
+    """Posteriors of the vote patterns and odds of the features, from plain counts."""
+    import math
+    rnd = random.Random(4)
+    texts = [f"Call {rnd.choice(['', 'phone ', 'order '])}{rnd.choice(['+1 ', '(', ''])}{rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}, "
+             f"card {rnd.randint(10**15, 10**16)} or 10.{rnd.randint(0, 300)}.3.4 {rnd.choice(['api_key=', ''])}a{rnd.randint(10**20, 10**21)}b"
+             for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    t = pii.with_candidates(pii.with_base(df.withColumn("_text", F.col("text")), "_text"))
+    cands = [x for r in t.select("_cand").collect() for x in r["_cand"]]
+    model = pii.train(t).first()
+    for kind in {x.kind for x in cands}:
+        own = [x for x in cands if x.kind == kind]
+        want = brute.em(Counter(tuple(x.v) for x in own))
+        for v, q in want.items():
+            assert abs(model["votes"][f"{kind}:{','.join(map(str, v))}"] - q) < 1e-9
+        a, b = sum(want[tuple(x.v)] for x in own), sum(1 - want[tuple(x.v)] for x in own)
+        assert abs(model["odds"][kind] - math.log((a + 0.5) / (b + 0.5))) < 1e-6
+        for j in range(len(pii.FEATURES)):
+            for value in {x.f[j] for x in own}:
+                y = sum(want[tuple(x.v)] for x in own if x.f[j] == value)
+                z = sum(1 - want[tuple(x.v)] for x in own if x.f[j] == value)
+                odds = math.log((y + 0.5) / (a + 1) / ((z + 0.5) / (b + 1)))
+                assert abs(model["odds"][f"{kind}:{j}:{value}"] - odds) < 1e-6
+
+
+def test_pii_takes_many_matches_in_one_text(spark):
+    import time
+    n = 25_000
+    df = spark.createDataFrame([(1, "10.1.2.3 a@b.co " * n), (2, "write to me at home dot com, phone (555) 123-4567 " * 2000)],
+                               "doc_id bigint, text string")
+    t = time.time()
+    found = pii.find(df)
+    got = {x.doc_id: x for x in found.collect()}
+    assert len(got[1].base) == 2 * n and [x.start for x in got[1].base[:2]] == [9, 25] and got[1].base[-1].start == 16 * (n - 1)
+    red = {x.doc_id: x.text for x in pii.redact(found).collect()}
+    assert red[1] == "[IP] [EMAIL] " * n
+    spans = sorted((x.start, x.end) for x in got[2].spans)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert time.time() - t < 120
+
+
 def test_decontamination_edges(spark):
     q = "A farmer sells 12 kg of apples to Maria and 30 kg to Peter, then Maria gives 12 kg to a friend every week."
     same = q.replace("12", "45").replace("30", "7").replace("Maria", "Wanda").replace("Peter", "Otto")
