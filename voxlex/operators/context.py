@@ -208,3 +208,94 @@ def with_summary(tok: DataFrame, ws: int, summarizer, start: int = 20, every: in
     text = F.when(F.col(pos) < F.lit(start), F.col("_ctx")).otherwise(
         F.concat(prefix, F.lit(SUMMARY_JOIN), F.col("_ctx")))
     return j.withColumn(out, text).drop("_ctx", "_key", "_summary", "is_refresh", "anchor")
+
+
+def summary_pieces(tok: DataFrame, start: int = 20, every: int = 30, seq: str = "seq", pos: str = "pos",
+                   word: str = "word") -> DataFrame:
+    """(seq, anchor, words): the words after the previous refresh row up to each
+    refresh row (the first takes all before it).  Words after the last refresh
+    row belong to none."""
+    p = F.col(pos)
+    anchor = F.when(p <= start, F.lit(start)).otherwise(F.greatest(F.ceil(p / F.lit(every)) * every, F.lit(start))).cast("int")
+    rows = F.array_sort(F.collect_list(F.struct(p.alias("p"), F.col(word).alias("w"))))
+    g = tok.groupBy(seq, anchor.alias("anchor")).agg(rows.alias("_r"))
+    return (g.where("element_at(_r, -1).p = anchor")
+            .select(seq, "anchor", F.array_join(F.transform("_r", lambda e: e["w"]), " ").alias("words")))
+
+
+def cumulative_summaries(tok: DataFrame, summarizer, start: int = 20, every: int = 30, seq: str = "seq",
+                         pos: str = "pos", word: str = "word", segment: int = 1024, together: int = 64) -> DataFrame:
+    """(seq, anchor, summary): each summary is made from the one before it and the
+    words since, ``header + summary + " The continuation is: " + words``.
+
+    A fold in anchor order per sequence.  Sequences advance side by side: a
+    task holds ``together`` of them and calls the summariser once per step
+    for all.  A sequence advances by ``segment`` anchors a round; the state
+    between rounds (one summary per sequence that goes on) is written, so
+    a lost executor costs one segment, and a task never holds more than
+    ``together * segment`` pieces.  Rounds end with the longest sequence.
+    """
+    from voxlex.session import cut_lineage
+    spark = tok.sparkSession
+    pieces = cut_lineage(summary_pieces(tok, start, every, seq, pos, word)
+                         .withColumn("_part", F.floor(F.col("anchor") / F.lit(every * segment)).cast("int")))
+    last = pieces.agg(F.max("_part")).first()[0]
+    kind = pieces.schema[seq].dataType.simpleString()
+    spec = f"`{seq}` {kind}, anchor int, summary string"
+
+    def run(batches):
+        import pyarrow as pa
+        f = summarizer.load() if hasattr(summarizer, "load") else summarizer
+
+        def fold(group):
+            """``group``: [sequence, state, [(anchor, words)]]; all advance step by step."""
+            out = []
+            for i in range(max((len(g[2]) for g in group), default=0)):
+                live = [g for g in group if i < len(g[2])]
+                texts = [HEADER_SUMMARY + g[1] + SUMMARY_PROMPT_JOIN + g[2][i][1] for g in live]
+                for g, new in zip(live, f(pd.Series(texts))):
+                    g[1] = new
+                    out.append((g[0], g[2][i][0], new))
+            cols = list(zip(*out)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]).cast(key), pa.array(cols[1], pa.int32()),
+                                               pa.array(cols[2], pa.string())], names=[seq, "anchor", "summary"])
+
+        group, key = [], None
+        for b in batches:
+            key = b.schema.field(0).type
+            for s, a, words, state in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if not group or group[-1][0] != s:
+                    if len(group) >= together:
+                        yield fold(group)
+                        group = []
+                    group.append([s, "", []])
+                if a < 0:
+                    group[-1][1] = state
+                else:
+                    group[-1][2].append((a, words))
+        if group:
+            yield fold(group)
+
+    out = state = None
+    for r in range((last if last is not None else -1) + 1):
+        rows = pieces.where(F.col("_part") == r).select(seq, "anchor", "words", F.lit(None).cast("string").alias("state"))
+        if state is not None:
+            more = state.join(rows.select(seq).distinct(), seq, "left_semi")
+            rows = rows.unionByName(more.select(seq, F.lit(-1).alias("anchor"), F.lit("").alias("words"), "state"))
+        done = cut_lineage(rows.repartition(seq).sortWithinPartitions(seq, "anchor").mapInArrow(run, spec))
+        state = done.groupBy(seq).agg(F.max_by("summary", "anchor").alias("state"))
+        out = done if out is None else out.unionByName(done)
+    return out if out is not None else spark.createDataFrame([], spec)
+
+
+def with_cumulative_summary(tok: DataFrame, ws: int, summarizer, start: int = 20, every: int = 30, seq: str = "seq",
+                            pos: str = "pos", word: str = "word", out: str = "text", segment: int = 1024) -> DataFrame:
+    """``with_summary`` whose summaries accumulate: rows from ``start`` on carry the
+    latest of ``cumulative_summaries`` in front of their context."""
+    ctx = refresh(context_window(tok, ws, seq, pos, word, "_ctx"), every, start, pos)
+    summ = cumulative_summaries(tok, summarizer, start, every, seq, pos, word, segment).select(
+        seq, F.col("anchor").alias("_key"), F.concat(F.lit(HEADER_SUMMARY), F.col("summary")).alias("_summary"))
+    j = ctx.withColumn("_key", F.coalesce(F.col("anchor"), F.lit(-1))).join(summ, [seq, "_key"], "left")
+    text = F.when(F.col(pos) < F.lit(start), F.col("_ctx")).otherwise(
+        F.concat(F.coalesce(F.col("_summary"), F.lit(HEADER_SUMMARY)), F.lit(SUMMARY_JOIN), F.col("_ctx")))
+    return j.withColumn(out, text).drop("_ctx", "_key", "_summary", "is_refresh", "anchor")

@@ -58,6 +58,7 @@ class RidgeParams:
     chunklen: int = 10
     nchunks: int | None = None          # default int(0.2 * n_train / chunklen)
     seed: int = 42
+    draw: str = "md5"                   # of the held-out chunks, or "shuffle" (splits)
     test_size: float = 0.2
     singcutoff: float = 1e-10
     normalpha: bool = False
@@ -113,7 +114,7 @@ def build_design(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: st
     n = len(frames)
     if n == 0:
         raise ValueError("stimulus and responses share no frame")
-    n_train, held = design_indices(frames, p.test_size, p.chunklen, p.nboots, p.nchunks, p.seed)
+    n_train, held = design_indices(frames, p.test_size, p.chunklen, p.nboots, p.nchunks, p.seed, p.draw)
     x = collect_x(x_df, frames, frame_col, x_col, p.max_broadcast_bytes)
     return Design(frames=frames, n_train=n_train, held=[np.array(h, dtype=int) for h in held], x=x)
 

@@ -151,7 +151,7 @@ def dual_source(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams, frames:
     if n * min(n, width) * 8 > p.max_broadcast_bytes:
         raise ValueError(f"{n} frames in the dual exceed the broadcast limit of {p.max_broadcast_bytes} bytes")
     z = collect_x(cut_lineage(rotate(x_df, frames, width, frame_col, x_col)), frames, frame_col, "x", p.max_broadcast_bytes)
-    n_train, held = design_indices(frames, p.test_size, p.chunklen, p.nboots, p.nchunks, p.seed)
+    n_train, held = design_indices(frames, p.test_size, p.chunklen, p.nboots, p.nchunks, p.seed, p.draw)
     design = Design(frames=frames, n_train=n_train, held=[np.array(h, dtype=int) for h in held], x=z)
     src = packed_source(y_df, keys, design, p, frame_col, value)
     token = y_df.sparkSession.sparkContext.broadcast(np.linalg.pinv(z, rcond=1e-12))

@@ -46,7 +46,7 @@ def row_sets(x_df: DataFrame, y_df: DataFrame, p: RidgeParams, frame_col: str =
         chunks = chunk_ids(split, p.chunklen)
         n_train = split.where(~F.col("is_test")).count()
         nchunks = p.nchunks if p.nchunks is not None else default_nchunks(n_train, p.chunklen)
-        held = holdout_rows(chunks, holdout_chunks(chunks, p.nboots, nchunks, p.seed))
+        held = holdout_rows(chunks, holdout_chunks(chunks, p.nboots, nchunks, p.seed, p.draw))
         sets = sets.unionByName(held.select(frame_col, F.col("boot").alias("s")))
     return sets
 

@@ -160,18 +160,25 @@ def masked_diff(a: DataFrame, b: DataFrame, threshold: float = 0.2, key="voxel",
                     masked_value(F.col("_d"), F.col("_b"), threshold).alias(out))
 
 
-def scatter_to_grid(scores: DataFrame, n: int, key: str = "voxel", col: str = "corr") -> DataFrame:
-    """Scores on the full grid ``0..n-1``; series without a score get 0.0."""
+def scatter_to_grid(scores: DataFrame, n: int, key: str = "voxel", col: str = "corr", runs=None,
+                    run_col: str = "run") -> DataFrame:
+    """Scores on the full grid ``0..n-1``; series without a score get 0.0.  With
+    ``runs`` (the values of ``run_col``), one grid per run."""
     grid = scores.sparkSession.range(n).select(F.col("id").cast("int").alias(key))
-    return (grid.join(scores.select(key, col), key, "left")
-                .select(key, F.coalesce(F.col(col), F.lit(0.0)).alias(col)))
+    keys = [key]
+    if runs is not None:
+        keys = [run_col, key]
+        grid = grid.select(F.explode(F.array(*[F.lit(str(r)) for r in runs])).alias(run_col), key)
+    return (grid.join(scores.select(*keys, col), keys, "left")
+                .select(*keys, F.coalesce(F.col(col), F.lit(0.0)).alias(col)))
 
 
 def apply_mask(stat: DataFrame, mask: DataFrame, key: str = "voxel", col: str = "corr",
                mask_col: str = "mask") -> DataFrame:
     """Scores times mask on the whole grid; a place the mask lacks is outside (0)."""
+    others = [c for c in stat.columns if c != col]
     return (stat.join(mask.select(key, mask_col), key, "left")
-                .select(key, (F.col(col) * F.coalesce(F.col(mask_col), F.lit(0.0))).alias(col)))
+                .select(*others, (F.col(col) * F.coalesce(F.col(mask_col), F.lit(0.0))).alias(col)))
 
 
 def threshold_map(stat: DataFrame, threshold: float, vmax: float | None = None,

@@ -42,13 +42,35 @@ def chunk_ids(split: DataFrame, chunklen: int, idx_col: str = "train_idx") -> Da
     return j.withColumn("chunk", F.when(c < full, c)).drop("_n")
 
 
-def holdout_chunks(chunks: DataFrame, nboots: int, nchunks: int, seed: int = 42) -> DataFrame:
+def shuffled_chunks(full: int, nboots: int, nchunks: int, seed: int = 42) -> list:
+    """Per bootstrap the chunks a shuffle of ``0 .. full - 1`` puts first, by one
+    Mersenne Twister for all bootstraps (as the analysed code draws them when
+    its generator is seeded)."""
+    import random
+    rng, out = random.Random(seed), []
+    for _ in range(nboots):
+        order = list(range(full))
+        rng.shuffle(order)
+        out.append(order[:nchunks])
+    return out
+
+
+def holdout_chunks(chunks: DataFrame, nboots: int, nchunks: int, seed: int = 42, draw: str = "md5") -> DataFrame:
     """(boot, chunk): ``nchunks`` distinct full chunks per bootstrap.
 
+    ``draw='shuffle'`` takes them from ``shuffled_chunks``, which needs only the
+    number of chunks; ``draw='md5'`` (the default):
+
     Per bootstrap the chunks are ordered by ``md5(seed|boot|chunk)`` (ties
     by chunk) and the first ``nchunks`` are held out: sampling without
     replacement inside a draw, independent draws across bootstraps.
     """
+    if draw == "shuffle":
+        full = (chunks.agg(F.max("chunk")).first()[0] or 0) + 1 if chunks.where("chunk IS NOT NULL").limit(1).count() else 0
+        rows = [(b, c) for b, held in enumerate(shuffled_chunks(full, nboots, nchunks, seed)) for c in held]
+        return chunks.sparkSession.createDataFrame(rows, "boot int, chunk int")
+    if draw != "md5":
+        raise ValueError("draw must be 'md5' or 'shuffle'")
     c = chunks.where(F.col("chunk").isNotNull()).select("chunk").distinct()
     boots = c.select(F.explode(F.sequence(F.lit(0), F.lit(nboots - 1))).alias("boot"), "chunk")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("boot").cast("string"), F.col("chunk").cast("string")))
@@ -74,7 +96,7 @@ def default_nchunks(n_train: int, chunklen: int, frac: float = 0.2) -> int:
 
 
 def design_indices(frames: list, test_size: float, chunklen: int, nboots: int, nchunks: int | None,
-                   seed: int) -> tuple[int, list]:
+                   seed: int, draw: str = "md5") -> tuple[int, list]:
     """The split and hold-out draw of a known (bounded) frame list, without a job.
 
     Same rules as ``ordered_split`` / ``chunk_ids`` / ``holdout_chunks``
@@ -89,6 +111,9 @@ def design_indices(frames: list, test_size: float, chunklen: int, nboots: int, n
     n_train = n - int(math.ceil(float(test_size) * n))
     full = n_train // chunklen
     k = nchunks if nchunks is not None else default_nchunks(n_train, chunklen)
+    if draw == "shuffle":
+        return n_train, [sorted(i for c in h for i in range(c * chunklen, (c + 1) * chunklen))
+                         for h in shuffled_chunks(full, nboots, k, seed)]
     held = []
     for b in range(nboots):
         order = sorted(range(full), key=lambda c: (hashlib.md5(f"{seed}|{b}|{c}".encode()).hexdigest(), c))

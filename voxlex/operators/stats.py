@@ -251,6 +251,87 @@ def best_alpha(scores: DataFrame, by=None, value: str = "mean_corr", digits: int
     return scores.groupBy(*_keys(by)).agg(F.max_by("alpha_idx", key).alias(out))
 
 
+# -- is a difference of scores significant? -----------------------------------
+
+def score_parts(df: DataFrame, by, chunk: str, actual: str, pred: str, out: str = "part") -> DataFrame:
+    """(by, chunk, part): what every chunk of frames adds to the Pearson correlation
+    of its group, so that the parts of a group sum to the correlation.  A
+    constant group has no parts."""
+    keys = _keys(by)
+    stats = df.groupBy(*keys).agg(F.avg(actual).alias("_ma"), F.avg(pred).alias("_mp"), F.count(F.col(actual) * F.col(pred)).alias("_n"),
+                                  (F.stddev_pop(actual) * F.stddev_pop(pred)).alias("_s"))
+    j = _join_stats(df, stats, keys)
+    z = F.try_divide((F.col(actual) - F.col("_ma")) * (F.col(pred) - F.col("_mp")), F.col("_s") * F.col("_n"))
+    return j.groupBy(*keys, chunk).agg(F.sum(z).alias(out)).where(F.col(out).isNotNull())
+
+
+def flips(seed: int, perm: int, chunk) -> int:
+    """The sign of a chunk in a permutation, the same in every engine."""
+    import hashlib
+    return 1 - 2 * (int(hashlib.md5(f"{seed}|{perm}|{chunk}".encode()).hexdigest()[:8], 16) % 2)
+
+
+def sign_flip_test(a: DataFrame, b: DataFrame, by, chunk: str, part: str = "part", nperm: int = 999, seed: int = 42) -> DataFrame:
+    """(by, diff, hits, p) of two models' ``score_parts``: is the difference of
+    their scores more than chance?
+
+    Under the null a chunk's difference is as likely negative; every
+    permutation flips the same chunks of all groups, so their dependence
+    stays.  ``hits`` counts the permutations whose difference is at least as
+    large in size (to 1e-9), ``p = (hits + 1) / (nperm + 1)``.  A group's
+    row holds one number per chunk (bounded by the frames); one matrix
+    product per block of groups tests all permutations.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    keys = _keys(by)
+    both = (a.select(*keys, chunk, F.col(part).alias("_d"))
+            .unionByName(b.select(*keys, chunk, (-F.col(part)).alias("_d"))).groupBy(*keys, chunk).agg(F.sum("_d").alias("_d")))
+    packed = both.groupBy(*keys).agg(F.collect_list(F.struct(F.col(chunk).cast("bigint").alias("c"), F.col("_d").alias("d"))).alias("_v"))
+    spec = T.StructType([packed.schema[k] for k in keys] + [T.StructField("diff", T.DoubleType()), T.StructField("hits", T.LongType())])
+
+    def run(batches):
+        known: dict = {}                       # chunk -> its signs, one per permutation
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1024):
+                rows = batch.slice(s, 1024)
+                v = rows.column("_v")
+                e = v.flatten()
+                c, d = e.field("c").to_numpy(), e.field("d").to_numpy()
+                chunks, at = np.unique(c, return_inverse=True)
+                for x in chunks.tolist():
+                    if x not in known:
+                        known[x] = np.array([flips(seed, p, x) for p in range(nperm)], np.int8)
+                dense = np.zeros((rows.num_rows, len(chunks)))
+                np.add.at(dense, (np.repeat(np.arange(rows.num_rows), np.diff(v.offsets.to_numpy())), at), d)
+                signs = np.array([known[x] for x in chunks.tolist()], float).reshape(len(chunks), nperm)
+                diff = dense.sum(1)
+                hits = (np.abs(dense @ signs) >= np.abs(diff)[:, None] - 1e-9).sum(1)
+                yield pa.RecordBatch.from_arrays([rows.column(k) for k in keys] + [pa.array(diff), pa.array(hits, pa.int64())],
+                                                 names=keys + ["diff", "hits"])
+
+    out = packed.mapInArrow(run, spec)
+    return out.withColumn("p", (F.col("hits") + 1) / F.lit(float(nperm + 1)))
+
+
+def false_discovery(tests: DataFrame, family=None, hits: str = "hits", p: str = "p", out: str = "q") -> DataFrame:
+    """Adds Benjamini and Hochberg's q per ``family``: the least
+    ``p_j m / rank_j`` over all tests with ``p_j >= p``.
+
+    Permutation p-values take at most nperm + 1 values, so ranks come from a
+    table of counts per value, which is joined back; no test is sorted.
+    """
+    keys = _keys(family)
+    counts = tests.groupBy(*keys, hits).agg(F.count("*").alias("_c"), F.max(p).alias("_p"))
+    base = Window.partitionBy(*keys).orderBy(hits)
+    counts = counts.withColumn("_rank", F.sum("_c").over(base.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts.withColumn("_m", F.sum("_c").over(Window.partitionBy(*keys)))
+    least = F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(base.rowsBetween(0, Window.unboundedFollowing))
+    counts = counts.withColumn(out, F.least(least, F.lit(1.0))).select(*keys, hits, out)
+    return tests.join(counts, [*keys, hits])
+
+
 def alpha_usage(df: DataFrame, col: str = "alpha") -> DataFrame:
     """Distinct penalties in use and how many series use each."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_series"))

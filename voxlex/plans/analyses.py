@@ -162,6 +162,24 @@ def summary_text(tok, ws=16, summarizer=None, start=20, every=30, hold=False):
     return with_summary(tok, ws, summarizer or digest_text, start, every, hold)
 
 
+def cumulative_text(tok, ws=16, summarizer=None, start=20, every=30):
+    from voxlex.operators.context import digest_text, with_cumulative_summary
+    return with_cumulative_summary(tok, ws, summarizer or digest_text, start, every)
+
+
+def compare_significance(y: DataFrame, x_a: DataFrame, x_b: DataFrame, by, chunk: str, actual: str = "value", pred: str = "x",
+                         nperm: int = 999, seed: int = 42, family=None) -> DataFrame:
+    """(by, diff, hits, p, q): do two models' predictions score differently?
+
+    ``y`` (keys, chunk, frame, actual); ``x_a`` and ``x_b`` hold the predictions
+    and join ``y`` on the columns they share with it.  Block sign flips over the chunks,
+    false discovery rate over all groups of a ``family``.
+    """
+    parts = [st.score_parts(y.join(x, [c for c in x.columns if c != pred and c in y.columns]), by, chunk, actual, pred)
+             for x in (x_a, x_b)]
+    return st.false_discovery(st.sign_flip_test(*parts, by, chunk, nperm=nperm, seed=seed), family)
+
+
 def pca_sweep(x: DataFrame, y: DataFrame, sizes=(16, 32, 64, 128, 256, 512, 768),
               params: RidgeParams | None = None, t: float = 0.3, fit_on: str = "all") -> DataFrame:
     """Score summary per PCA size: describe() columns plus the count above ``t``.
@@ -215,9 +233,10 @@ def intersubject(x: DataFrame, resp: DataFrame, avg: DataFrame, params: RidgePar
 
 
 def stat_map(scores: DataFrame, n: int, mask: DataFrame, threshold: float, vmax: float | None = None,
-             hemi_size: int | None = None) -> DataFrame:
-    """Display table of a score map: grid -> mask -> threshold -> hemisphere split."""
-    g = se.scatter_to_grid(scores, n)
+             hemi_size: int | None = None, runs=None) -> DataFrame:
+    """Display table of a score map: grid -> mask -> threshold -> hemisphere split;
+    with ``runs``, one map per run."""
+    g = se.scatter_to_grid(scores, n, runs=runs)
     g = se.apply_mask(g, mask)
     g = se.threshold_map(g, threshold, vmax)
     return se.split_hemi(g, hemi_size or n // 2)

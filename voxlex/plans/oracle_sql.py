@@ -690,6 +690,7 @@ def oracles() -> dict[str, str]:
     q["subject_summary_64"] = W(["resp", "stim"], summ.format(src="sw"), subj[:1] + [("sw", f"""
         SELECT CAST(d.subject AS VARCHAR) AS subject, d.voxel, s.j, {corr} AS corr
         FROM sd d JOIN {wide} s ON s.tr = d.tr GROUP BY d.subject, d.voxel, s.j""")])
+    q["subject_summary_no_avg_64"] = q["subject_summary_64"]
     q["xty_64"] = W(["stim", "resp_dense"], f"""
         SELECT d.voxel, CAST(s.j - 1 AS INTEGER) AS j, {r6('sum(s.v * d.value)')} AS value
         FROM resp_dense d JOIN {wide} s ON s.tr = d.tr GROUP BY d.voxel, s.j""")
@@ -706,6 +707,77 @@ def oracles() -> dict[str, str]:
     q["pca_rebuild_64"] = q["pca_rebuild_randomised_64"] = W(["stim"], f"""
         SELECT CAST(a.j - 1 AS INTEGER) AS i, CAST(b.j - 1 AS INTEGER) AS j, {r6('covar_samp(a.v, b.v)')} AS value
         FROM w a JOIN w b ON b.tr = a.tr GROUP BY a.j, b.j""", [("w", f"SELECT * FROM {wide}")])
+    q["pca_norms_64"] = W(["stim"], f"SELECT tr, {r6('sum(v * v)')} AS norm2 FROM {wide} GROUP BY tr")
+    sw = [("sw", scores)]
+    after = "CAST(substr(b.run, 2) AS INTEGER) = (CAST(substr(a.run, 2) AS INTEGER) + 1) % 64"
+    q["masked_diff_64"] = W(["resp_dense", "stim"], f"""
+        SELECT a.run, a.voxel, {r6('CASE WHEN abs(b.corr) > 0.2 THEN a.corr - b.corr ELSE 0.0 END')} AS diff
+        FROM sw a JOIN sw b ON b.voxel = a.voxel AND {after}""", sw)
+    clipped = r6("greatest(CAST(-0.6 AS DOUBLE), least(CAST(0.6 AS DOUBLE), corr))")
+    q["threshold_map_64"] = W(["resp_dense", "stim"], f"SELECT run, voxel, {clipped} AS corr FROM sw WHERE abs(corr) >= 0.1", sw)
+    grid = """SELECT r.run, CAST(g.i AS INTEGER) AS voxel, coalesce(a.corr, 0.0) AS corr
+              FROM (SELECT unnest(range(2 * n)) AS i FROM nsup) g CROSS JOIN (SELECT DISTINCT run FROM sw) r
+              LEFT JOIN sw a ON a.voxel = g.i AND a.run = r.run"""
+    q["scatter_grid_64"] = W(["resp_dense", "stim", "nsup"], f"SELECT run, voxel, {r6('corr')} AS corr FROM ({grid})", sw)
+    q["apply_mask_64"] = W(["resp_dense", "stim", "mask_t"], f"""
+        SELECT a.run, a.voxel, {r6('a.corr * coalesce(m.mask, 0.0)')} AS corr FROM sw a LEFT JOIN mask_t m ON m.voxel = a.voxel""", sw)
+    q["stat_map_64"] = W(["resp_dense", "stim", "mask_t", "nsup"], f"""
+        SELECT run, voxel, {clipped} AS corr, CASE WHEN voxel < n THEN 'L' ELSE 'R' END AS hemi,
+               CAST(CASE WHEN voxel < n THEN voxel ELSE voxel - n END AS INTEGER) AS vertex
+        FROM (SELECT g.run, g.voxel, g.corr * m.mask AS corr FROM ({grid}) g JOIN mask_t m ON m.voxel = g.voxel), nsup
+        WHERE abs(corr) >= 0.1""", sw)
+    columns = (r6(f"max(corr) FILTER (WHERE run = 'f{j:02d}')") + f" AS f{j:02d}" for j in range(64))
+    q["pivot_runs_64"] = W(["resp_dense", "stim"], f"SELECT voxel, {', '.join(columns)} FROM sw GROUP BY voxel", sw)
+    whole = [("ap", f"""SELECT d.voxel, d.value, s.pred FROM resp_dense d
+                        JOIN (SELECT tr, sum(v) AS pred FROM {wide} GROUP BY tr) s ON s.tr = d.tr""")]
+    for name, v in (("blended", "((1 + var_pop(value)) / 2)"), ("plain", "nullif(var_pop(value), 0)")):
+        q[f"signed_r2_{name}_64"] = W(["resp_dense", "stim"], f"""
+            SELECT voxel, {r6('sqrt(abs(r2)) * sign(r2)')} AS corr FROM (
+                SELECT voxel, 1 - var_pop(value - pred) / {v} AS r2 FROM ap GROUP BY voxel)""", whole)
+    least = "least(min(p * m / rk) OVER (PARTITION BY run ORDER BY hits ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0)"
+    q["score_significance_64"] = W(["resp_dense", "stim"], f"""
+        SELECT run, voxel, {r6('diff')} AS diff, hits, {r6('p')} AS p, {r6(least)} AS q
+        FROM (SELECT *, (hits + 1) / 100.0 AS p, count(*) OVER (PARTITION BY run) AS m,
+                     count(*) OVER (PARTITION BY run ORDER BY hits) AS rk FROM ht)""", [
+        ("xw", f"SELECT * FROM {wide} WHERE tr IN (SELECT tr FROM resp_dense)"),
+        ("xz", "SELECT tr, j, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z FROM xw WINDOW w AS (PARTITION BY j)"),
+        ("yz", """SELECT tr, voxel, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z,
+                         count(*) OVER w AS n FROM resp_dense WHERE tr IN (SELECT tr FROM xw) WINDOW w AS (PARTITION BY voxel)"""),
+        ("dc", """SELECT 'f' || lpad(CAST(a.j - 1 AS VARCHAR), 2, '0') AS run, y.voxel, CAST(floor(y.tr / 5.0) AS INTEGER) AS c,
+                         sum(y.z * (a.z - b.z) / y.n) AS d
+                  FROM yz y JOIN xz a ON a.tr = y.tr JOIN xz b ON b.tr = y.tr AND b.j = a.j % 64 + 1
+                  WHERE y.z IS NOT NULL GROUP BY ALL"""),
+        ("sg", """SELECT c, p, 1 - 2 * (CAST(concat('0x', substr(md5(concat_ws('|', '42', CAST(p AS VARCHAR),
+                         CAST(c AS VARCHAR))), 1, 8)) AS BIGINT) % 2) AS s
+                  FROM (SELECT DISTINCT c FROM dc), (SELECT unnest(range(99)) AS p)"""),
+        ("ob", "SELECT run, voxel, sum(d) AS diff FROM dc GROUP BY run, voxel"),
+        ("pm", "SELECT run, voxel, p, sum(d * s) AS t FROM dc JOIN sg USING (c) GROUP BY run, voxel, p"),
+        ("ht", """SELECT o.run, o.voxel, any_value(o.diff) AS diff, count(*) FILTER (WHERE abs(m.t) >= abs(o.diff) - 1e-9) AS hits
+                  FROM ob o JOIN pm m USING (run, voxel) GROUP BY o.run, o.voxel"""),
+    ])
+    q["alpha_grid"] = W(["stim_k2"], f"""
+        SELECT alpha_idx, {r6('alpha')} AS alpha,
+               {r6('alpha * sqrt((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b))')} AS scaled
+        FROM (SELECT * FROM (VALUES {_alphas_values(ALPHAS)}) v(alpha_idx, alpha)),
+             (SELECT sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x1 * x1) AS c FROM stim_k2)""")
+    q["bootstrap_tables_k2"] = W(["stim_k2", "resp_dense"], f"""
+        SELECT 'fit' AS kind, voxel, CAST(NULL AS INTEGER) AS boot, CAST(NULL AS INTEGER) AS idx, {r6('alpha')} AS alpha, {r6('corr')} AS corr
+        FROM rk_final
+        UNION ALL SELECT 'boot', voxel, boot, alpha_idx, NULL, {r6('corr')} FROM rk_cv
+        UNION ALL SELECT 'held', NULL, boot, tr, NULL, NULL FROM rk_held""", rk)
+    q["enrich_summary_cumulative"] = W(["tok"], f"""
+        SELECT c.seq, c.pos, CASE WHEN c.pos < 20 THEN c.ctx
+               ELSE concat('{HEADER}', coalesce(s.summ, ''), ' : ', c.ctx) END AS text
+        FROM (SELECT seq, pos, {_ctx_expr(16)} AS ctx FROM tok) c LEFT JOIN cs s
+          ON s.seq = c.seq AND s.a = CASE WHEN c.pos < 30 THEN 20 ELSE c.pos // 30 * 30 END""", [
+        ("pc", """SELECT seq, a, string_agg(word, ' ' ORDER BY pos) AS txt FROM (
+                    SELECT seq, pos, word, CASE WHEN pos <= 20 THEN 20 ELSE (pos + 29) // 30 * 30 END AS a FROM tok)
+                  GROUP BY seq, a HAVING max(pos) = a"""),
+        ("pk", "SELECT *, row_number() OVER (PARTITION BY seq ORDER BY a) AS k FROM pc"),
+        ("cs", f"""SELECT seq, a, k, md5('{HEADER} The continuation is: ' || txt) AS summ FROM pk WHERE k = 1
+                   UNION ALL SELECT p.seq, p.a, p.k, md5('{HEADER}' || c.summ || ' The continuation is: ' || p.txt)
+                   FROM cs c JOIN pk p ON p.seq = c.seq AND p.k = c.k + 1"""),
+    ]).replace("WITH ", "WITH RECURSIVE ", 1)
     q["histogram_auto"] = W(["resp_dense", "stim"], f"""
         SELECT run, bin, {r6('lo + bin * (hi - lo) / m')} AS bin_lo, n, {r6('n / sum(n) OVER (PARTITION BY run)')} AS prob
         FROM (SELECT run, lo, hi, m, CAST(least(floor((corr - lo) / ((hi - lo) / m)), m - 1) AS INTEGER) AS bin, count(*) AS n

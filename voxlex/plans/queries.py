@@ -607,6 +607,101 @@ def q_subject_summary_64(spark, d):
     return _round(st.subject_summary(s.withColumn("subject", F.col("subject").cast("string")), "subject", "corr", 0.3))
 
 
+RUNS_64 = [f"f{j:02d}" for j in range(64)]
+
+
+def _next_element(scores: DataFrame) -> DataFrame:
+    """Scores of every element under the name of the one before it (the first under the last)."""
+    return scores.withColumn("run", F.format_string("f%02d", (F.substring("run", 2, 2).cast("int") + 63) % 64))
+
+
+def q_masked_diff_64(spark, d):
+    a = fx.scores_wide(spark, d)
+    return _round(se.masked_diff(a, _next_element(a), 0.2, ["run", "voxel"]))
+
+
+def q_threshold_map_64(spark, d):
+    return _round(se.threshold_map(fx.scores_wide(spark, d), 0.1, 0.6).select("run", "voxel", "corr"))
+
+
+def q_scatter_grid_64(spark, d):
+    return _round(se.scatter_to_grid(fx.scores_wide(spark, d), 2 * fx.n_series(spark, d), runs=RUNS_64))
+
+
+def q_apply_mask_64(spark, d):
+    return _round(se.apply_mask(fx.scores_wide(spark, d), fx.mask(spark, d)).select("run", "voxel", "corr"))
+
+
+def q_stat_map_64(spark, d):
+    n = 2 * fx.n_series(spark, d)
+    m = an.stat_map(fx.scores_wide(spark, d), n, fx.mask(spark, d), 0.1, 0.6, n // 2, runs=RUNS_64)
+    return _round(m.select("run", "voxel", "corr", "hemi", "vertex"))
+
+
+def q_pivot_runs_64(spark, d):
+    return _round(se.pivot_runs(fx.scores_wide(spark, d), RUNS_64))
+
+
+def _signed_r2_64(blended):
+    def q(spark, d):
+        x = fx.stim_frames(spark, d).select("tr", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("pred"))
+        return _round(st.signed_r2(fx.resp_dense(spark, d).join(x, "tr"), "voxel", "value", "pred", blended=blended))
+    return q
+
+
+def q_subject_summary_no_avg_64(spark, d):
+    s = fx.scores_wide(spark, d, se.densify(fx.resp(spark, d), ["subject", "voxel"]), ("subject", "voxel"))
+    s = s.select(F.col("subject").cast("string").alias("subject"), "voxel", "corr")
+    s = s.unionByName(fx.scores_wide(spark, d).select(F.lit("Avg").alias("subject"), "voxel", "corr"))
+    return _round(st.subject_summary(s, "subject", "corr", 0.3).where(F.col("subject") != "Avg"))
+
+
+def q_score_significance_64(spark, d):
+    """C3: is a series better predicted by an element than by the next one?  Block sign flips
+    over chunks of five frames, false discovery rate per element."""
+    y = fx.resp_dense(spark, d).withColumn("chunk", F.floor(F.col("tr") / 5).cast("int"))
+    x = cut_lineage(fx.stim_frames(spark, d).select("tr", F.posexplode("x").alias("j", "x"))
+                    .select("tr", F.format_string("f%02d", "j").alias("run"), "x"))
+    return _round(an.compare_significance(y, x, _next_element(x), ["run", "voxel"], "chunk", nperm=99, family="run"))
+
+
+def q_alpha_grid(spark, d):
+    """G12, G9: the penalty grid, plain and scaled by the stimulus' largest singular value."""
+    top = rg.feature_spectrum(fx.stim_k2_packed(spark, d)).agg(F.max("sigma").alias("sigma"))
+    grid = rg.alpha_grid_df(spark, rg.alpha_grid())
+    return _round(grid.withColumn("_g", F.lit(0)).join(F.broadcast(top.withColumn("_g", F.lit(0))), "_g")
+                  .select("alpha_idx", "alpha", (F.col("alpha") * F.col("sigma")).alias("scaled")))
+
+
+def q_bootstrap_tables_k2(spark, d):
+    """G8 whole: the fit, every bootstrap score and the held-out frames of one draw."""
+    t = rg.bootstrap_tables(fx.stim_k2_packed(spark, d), fx.resp_mean(spark, d), ["voxel"], _params())
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    fit = t["fit"].select(F.lit("fit").alias("kind"), "voxel", none("int", "boot"), none("int", "idx"), "alpha", "corr")
+    boot = t["boot_scores"].select(F.lit("boot").alias("kind"), "voxel", "boot", F.col("alpha_idx").cast("int").alias("idx"),
+                                   none("double", "alpha"), "corr")
+    held = t["held"].select(F.lit("held").alias("kind"), none("int", "voxel"), "boot", F.col("tr").cast("int").alias("idx"),
+                            none("double", "alpha"), none("double", "corr"))
+    return _round(fit.unionByName(boot).unionByName(held))
+
+
+def q_holdout_chunks_shuffle(spark, d):
+    """F1 by the shuffle of a seeded Mersenne Twister."""
+    c = _chunks(spark, d)
+    return sp.holdout_chunks(c, 5, sp.default_nchunks(c.count(), 5), 42, draw="shuffle")
+
+
+def q_enrich_summary_cumulative(spark, d):
+    return an.cumulative_text(fx.tok(spark, d), 16, cx.digest_text, 20, 30).select("seq", "pos", "text")
+
+
+def q_pca_norms_64(spark, d):
+    """G14 at full width: the projection on all components keeps every row's norm."""
+    x = fx.stim_frames(spark, d)
+    p = pc.pca_project(x, pc.pca_fit(x, 64))
+    return _round(p.select("tr", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("norm2")))
+
+
 def q_factor_reconstruct_64(spark, d):
     """G1 at full width: left vectors, singular values and right vectors give X back."""
     factors, left = rg.factorize(fx.stim_frames(spark, d))
@@ -855,6 +950,21 @@ QUERIES = {
     "pca_rebuild_64": _rebuild("covariance"),
     "pca_rebuild_randomised_64": _rebuild("randomised"),
     "histogram_auto": q_histogram_auto,
+    "pca_norms_64": q_pca_norms_64,
+    "masked_diff_64": q_masked_diff_64,
+    "threshold_map_64": q_threshold_map_64,
+    "scatter_grid_64": q_scatter_grid_64,
+    "apply_mask_64": q_apply_mask_64,
+    "stat_map_64": q_stat_map_64,
+    "pivot_runs_64": q_pivot_runs_64,
+    "signed_r2_blended_64": _signed_r2_64(True),
+    "signed_r2_plain_64": _signed_r2_64(False),
+    "subject_summary_no_avg_64": q_subject_summary_no_avg_64,
+    "score_significance_64": q_score_significance_64,
+    "alpha_grid": q_alpha_grid,
+    "bootstrap_tables_k2": q_bootstrap_tables_k2,
+    "holdout_chunks_shuffle": q_holdout_chunks_shuffle,
+    "enrich_summary_cumulative": q_enrich_summary_cumulative,
     "ridge_wide_64": _wide("packed"),
     "ridge_wide_additive_64": _wide("additive"),
     "ridge_wide_dual_64": _wide("dual"),
