@@ -211,7 +211,7 @@ def _units(rows: DataFrame, docs: DataFrame, bands: int, rows_per_band: int, see
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 48, rows: int = 6,
-                    agree: float = 0.64, unit_shingles: int = 2_000_000, unit_documents: int = 500,
+                    agree: float = 0.64, unit_shingles: int = 2_000_000, unit_documents: int = 1000,
                     seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     spark = docs.sparkSession
