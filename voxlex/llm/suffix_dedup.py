@@ -435,7 +435,8 @@ def repeats(docs: DataFrame, folder: str, length: int = 200, k: int = 32, unit:
     total = counts.agg(F.sum("n")).first()[0] or 0
     # an anchor with over a thousandth of the rows is hot: at most 1000 of them
     hot = F.broadcast(counts.where(F.col("n") * 1000 > total).select("h"))
-    warm = occ.join(counts.where(F.col("n") * 1000 <= total).select("h"), "h")
+    # their rows leave before the shuffle of the others
+    warm = occ.join(hot, "h", "left_anti").join(counts.where(F.col("n") * 1000 <= total).select("h"), "h")
     from pyspark.sql import Window
     same = Window.partitionBy("h", "ctx")
     by_h = Window.partitionBy("h")
