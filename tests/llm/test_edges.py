@@ -506,6 +506,26 @@ def test_bitmap_grows_with_the_benchmark(spark):
     assert decontam.bitmap(hashes, most=4096)[1] == 4096
 
 
+def test_pipeline_stages_take_any_rows(spark, empty):
+    """Nulls everywhere, empty and very long texts, repeated rows, clashing extra columns, empty tables."""
+    import corpus_pipeline
+    from tests.conftest import SF_SMALL
+    rows = edge_rows() + edge_rows()[:3] + [(None, None, None, None, None), (77, "w " * 60_000 + "end", "en", "a", None),
+                                            (78, "q" * 100_000, None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    odd = clash(docs, "row", "group", "key", "spans", "base", "rejected", "score", "length", "bands", "item", "_text")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, odd, SF_SMALL)
+        assert out.columns == corpus_pipeline.COLUMNS
+        assert out.count() <= docs.count()
+        assert step(spark, empty, SF_SMALL).collect() == []
+    _, last = corpus_pipeline.STAGES[-1]
+    t = tok(WORDS)
+    want = sum(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert sum(r["length"] for r in last(spark, odd, SF_SMALL).collect()) == want
+    assert last(spark, empty, SF_SMALL).collect() == []
+
+
 def test_pipeline_decides_by_row(spark):
     import corpus_pipeline
     from tests.conftest import SF_SMALL

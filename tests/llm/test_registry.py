@@ -87,6 +87,52 @@ def test_op4(spark):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held)
 
 
+def plain_grams(text, dims):
+    """Counts of hashed letter n-grams by loops over the text."""
+    m, out = 0xFFFFFFFF, Counter()
+    c, was = [0], True                       # 0 stands for anything but a letter, once between words
+    for x in (text or "").lower():
+        if x.isalpha() or not was:
+            c.append(ord(x) if x.isalpha() else 0)
+        was = not x.isalpha()
+    if c[-1] != 0:
+        c.append(0)
+    two = [(a * 0x85EBCA6B + b * 0xC2B2AE35) & m for a, b in zip(c, c[1:])]
+    three = [(t * 0x27D4EB2F + b * 0x165667B1 + 77) & m for t, b in zip(two, c[2:])]
+    for x in [a * 0x9E3779B1 & m for a in c if a] + two + three:
+        x = (x ^ x >> 15) * 0x2C1B3C6D & m
+        out[(x ^ x >> 13) & dims - 1] += 1
+    return out if any(c) else None
+
+
+def test_op4_is_the_nearest_centroid(spark):
+    """Document frequencies, vectors and nearest centroids in plain Python."""
+    import math
+    from pyspark.sql import functions as F
+    from voxlex.llm import language_id
+    from voxlex.llm.common import table
+    docs = {d["doc_id"]: d for d in rows("documents")}
+    grams = {k: plain_grams(d["text"], 8192) for k, d in docs.items()}
+    train = [k for k, d in docs.items() if d["lang"] is not None and grams[k] and zlib.crc32(str(k).encode()) % 4 != 2]
+    df = Counter(x for k in train for x in grams[k])
+    idf = {x: math.log((1 + len(train)) / (1 + df[x])) + 1 for x in range(8192)}
+    held = F.coalesce(language_id.fold() == 2, F.lit(False))
+    model = language_id.fit(table(spark, SF_SMALL, "documents").where(~held))
+    assert np.allclose(model["idf"], [idf[x] for x in range(8192)], rtol=1e-5)
+    assert np.allclose(np.linalg.norm(model["centroids"], axis=1), 1.0, atol=1e-4)
+    for r in run(spark, "op4_language_id"):
+        g = grams[r["doc_id"]]
+        if g is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = {x: (1 + math.log(n)) * idf[x] for x, n in g.items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        cos = [sum(w * float(c[x]) for x, w in v.items()) / norm for c in model["centroids"]]
+        assert abs(r["score"] - max(cos)) < 1e-4
+        assert cos[model["langs"].index(r["lang_pred"])] > -1 and max(
+            q for q, lang in zip(cos, model["langs"]) if lang == r["lang_pred"]) > max(cos) - 1e-4
+
+
 def test_op5(spark):
     t = tok(registry.BYTES)
     want = {d["doc_id"]: (len((d["text"] or "").encode()), len(t.encode(d["text"] or "", add_special_tokens=False).ids))
