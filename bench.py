@@ -3,8 +3,8 @@
 Runs on ``local[$BENCH_CPUS]`` (default 8) against ``$BENCH_SF_DIR``
 (default /root/testdata/sf0.1).  Each query is fully executed into Spark's
 ``noop`` sink (no driver collect) after one untimed warm-up query, three times
-with an empty cache, and counts with its median.  ``*_packed`` and
-``*_additive`` are the same 64-feature fit by the two ridge plans;
+with an empty cache, and counts with its median.  ``*_packed``, ``*_additive``
+and ``*_dual`` are the same 64-feature fit by the three ridge plans;
 ``prediction_64`` is the prediction step alone (frames x 64 times 64 x series).
 Prints ONE JSON line on stdout:
 {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
@@ -39,6 +39,7 @@ HEADLINE = [
     # wide fit: 64-feature stimulus, every series
     "ridge_wide_packed",
     "ridge_wide_additive",
+    "ridge_wide_dual",
     "prediction_64",
 ]
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
@@ -73,7 +74,7 @@ def main() -> None:
     from voxlex.sources import fixtures as fx
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                         driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
-    qs = dict(QUERIES, ridge_wide_packed=_wide("packed"), ridge_wide_additive=_wide("additive"),
+    qs = dict(QUERIES, ridge_wide_packed=_wide("packed"), ridge_wide_additive=_wide("additive"), ridge_wide_dual=_wide("dual"),
               prediction_64=_prediction)
     # Untimed warm-up: JVM start, JIT and Python worker launch are paid here,
     # so the timed numbers are steady-state query times.

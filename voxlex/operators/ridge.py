@@ -464,6 +464,7 @@ def bootstrap_ridge(x_df: DataFrame, y_df: DataFrame, keys, p: RidgeParams | Non
         if p.nboots == 0:
             raise ValueError("at least one bootstrap is needed to assign per-series alphas")
         return src.weights(fit_score(src, p))
+    src.df = cut_lineage(src.df)        # one row per series, read by the scores, the choice and the fit
     cv = ridge_cv(src, p) if p.nboots else None
     return src.weights(fit_score(src, p, select_alpha(src.df, cv, src.keys, p, groups)))
 

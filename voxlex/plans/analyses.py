@@ -142,10 +142,10 @@ def compare_tactic(tok: DataFrame, y: DataFrame, tactic_text: DataFrame, ws: int
     tac = cut_lineage(stimulus(tok, ws, model, pool, text=tactic_text))
     base = cut_lineage(stimulus(tok, ws, model, baseline_pool))
     r = fit_runs({"tactic": tac, "base": base}, _responses(y, base), ["voxel"], p)
-    a = r.where(F.col("run") == "tactic").select("voxel", F.col("corr").alias("corr"))
-    b = r.where(F.col("run") == "base").select("voxel", F.col("corr").alias("corr"))
-    d = se.score_diff(a, b, "voxel", "corr", "diff")
-    d = d.select("voxel", F.col("_a").alias("corr"), F.col("_b").alias("base_corr"), "diff")
+    # both runs of a series side by side by one aggregate: the fit is planned once
+    of = lambda run: F.max(F.when(F.col("run") == run, F.col("corr")))
+    d = r.groupBy("voxel").agg(of("tactic").alias("corr"), of("base").alias("base_corr"))
+    d = d.withColumn("diff", F.col("corr") - F.col("base_corr"))
     if mask_threshold is not None:
         d = d.withColumn("diff", F.when(F.abs("base_corr") > F.lit(mask_threshold), F.col("diff"))
                          .otherwise(F.lit(0.0)))

@@ -376,6 +376,7 @@ def oracles() -> dict[str, str]:
         SELECT subject, CASE WHEN voxel < h THEN 'L' ELSE 'R' END AS hemi, tr,
                CAST(CASE WHEN voxel < h THEN voxel ELSE voxel - h END AS INTEGER) AS voxel, {r6('value')} AS value
         FROM resp, (SELECT CAST(n // 2 AS INTEGER) AS h FROM nsup)""")
+    q["src_surfaces"] = q["src_responses"]
     q["stage_roundtrip"] = W(["tok"], "SELECT seq, pos, word, tr FROM tok")
     q["drop_incomplete"] = W(["tok_bad"], f"""
         SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS INTEGER) AS pos, word,

@@ -62,6 +62,18 @@ def q_src_responses(spark, d):
     return _round(r.select(F.col("subject").cast("int").alias("subject"), "hemi", "tr", "voxel", "value"))
 
 
+def q_src_surfaces(spark, d):
+    """A3: responses as surface files, written by tasks and read back through the data source."""
+    from voxlex.sources.surface import read_surfaces, write_surfaces
+    left, right, half = fx.hemis(spark, d)
+    both = left.withColumn("hemi", F.lit("L")).unionByName(right.withColumn("hemi", F.lit("R")))
+    path = _stage_path(spark, "surfaces")
+    size = both.agg(F.max("voxel")).first()[0]
+    write_surfaces(both.withColumn("task", F.lit("story")), path, (size or 0) + 1)
+    r = read_surfaces(spark, path, task="story").where(~F.isnan("value"))
+    return _round(r.select(F.col("subject").cast("int").alias("subject"), "hemi", "tr", "voxel", "value"))
+
+
 def q_stage_roundtrip(spark, d):
     """A6: the token table written as a stage and loaded again."""
     path = _stage_path(spark, "tokens")
@@ -841,6 +853,7 @@ def q_pooling_compare(spark, d):
 
 QUERIES = {
     "src_responses": q_src_responses,
+    "src_surfaces": q_src_surfaces,
     "src_transcript": q_src_transcript,
     "src_participants": q_src_participants,
     "src_mask": q_src_mask,
