@@ -52,3 +52,33 @@ def test_words_leave_a_task_folded(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
         assert "MapInArrow" in plan.split("Exchange hashpartitioning")[1]
+
+
+def test_contexts_embedded_in_one_pass(spark):
+    from voxlex.operators import embed as em
+    tok = _tok(spark, {k: v for k, v in DOCS.items() if None not in v} | {3: ["é", "ß x", "", " "] * 5})
+    for model, pool in ((em.HashEmbedder(2), "mean"), (em.HashEmbedder(2), "last"), (em.TextHashEmbedder(2), "last")):
+        two = em.embed(cx.context_window(tok, 4, out="text"), "text", model, pool)
+        got = {(r.seq, r.pos): r.x for r in em.embed_contexts(tok, 4, model, pool).collect()}
+        assert got == {(r.seq, r.pos): r.x for r in two.collect()}
+
+
+def test_table_of_words_is_bounded():
+    from voxlex.operators.embed import HashEmbedder
+    m, free = HashEmbedder(2, max_vocab=100), HashEmbedder(2)
+    words = [f"v{i}" for i in range(1000)]
+    for i in range(0, 1000, 50):
+        part = words[i:i + 50]
+        assert (m.vectors(part) == free.vectors(part)).all()
+    assert HashEmbedder(2).max_vocab <= 100_000
+
+
+def test_pooling_by_element_is_hashed(spark):
+    from voxlex.operators.embed import pool_tokens
+    rows = [(s, i // 4, i, [float(s * i), float(i % 3)]) for s in range(3) for i in range(10)]
+    df = spark.createDataFrame(rows, "seq long, tr int, pos int, x array<double>")
+    for how in ("mean", "last"):
+        got = pool_tokens(df, ["seq", "tr"], "pos", "x", how, dim=2)
+        assert sorted(got.collect()) == sorted(pool_tokens(df, ["seq", "tr"], "pos", "x", how).collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
