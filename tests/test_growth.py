@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from voxlex.operators import stats as st
 from voxlex.operators.crossed import series_corr_wide, sign_flips
-from voxlex.operators.embed import HashEmbedder, TextHashEmbedder, frame_contexts
+from voxlex.operators.embed import HashEmbedder, TextHashEmbedder, frame_contexts, frame_means
 
 
 def test_windows_that_reach_the_start_are_embedded_once(spark, tmp_path):
@@ -92,3 +92,45 @@ def test_no_row_per_frame_and_element(spark, name, monkeypatch):
     monkeypatch.setattr(st, "series_corr", refuse)
     monkeypatch.setattr(st, "score_parts", refuse)
     entry.queries()[name](spark, SF_SMALL)
+
+
+def test_scratch_of_a_block_of_series_is_bounded_with_its_moments():
+    from types import SimpleNamespace
+
+    from voxlex.operators.ridge import PackedReader, RidgeParams
+    from voxlex.operators.ridge_moments import SCRATCH_BYTES
+    p, rng = RidgeParams(alphas=[1.0] * 10, nboots=5), np.random.default_rng(0)
+    xs = [rng.normal(size=(48, k)) for k in (16, 32, 64)]
+    reader = PackedReader(SimpleNamespace(value={"n_train": 40, "held": [np.arange(5)] * 5, "xs": xs, "token": "scratch"}), p).open()
+    moments = 8 * reader.block * sum(x.shape[1] for x in xs) * len(reader.sets)
+    assert 1 <= reader.block and moments <= SCRATCH_BYTES
+
+
+def test_buckets_of_series_grow_with_their_products(spark, monkeypatch):
+    """Cells alone would fit one bucket; their products with a wide stimulus do not."""
+    from voxlex.operators import ridge_stats as rs
+    monkeypatch.setattr(rs, "SCRATCH_BYTES", 4 << 10)
+    monkeypatch.setattr(rs, "BLOCK_BYTES", 1 << 20)
+    made = []
+    hashed = F.pmod
+    monkeypatch.setattr(rs.F, "pmod", lambda a, b: made.append(b) or hashed(a, b))
+    x = spark.createDataFrame([(t, [float(t + j) for j in range(40)]) for t in range(2)], "tr int, x array<double>")
+    y = spark.range(200).select(F.col("id").cast("int").alias("voxel"), F.lit(1).alias("tr"), F.lit(1.0).alias("value"))
+    sets = x.select("tr", F.lit(-1).alias("s"))
+    got = {r["voxel"]: r["stats"][0]["c"] for r in rs.series_stats(x, y, sets, ["voxel"]).collect()}
+    assert len(got) == 200 and got[7] == [float(1 + j) for j in range(40)]
+    assert "200" not in str(made[0]) and int(re.findall(r"\d+", str(made[0]))[0]) > 8
+
+
+def test_frame_means_read_the_words_once(spark):
+    rows = [(s, i, w, i // 3) for s in range(3) for i, w in enumerate(["a", "b", None, "c d", "", "e"] * 4)]
+    tok = spark.createDataFrame(rows, "seq long, pos int, word string, tr int")
+    model = HashEmbedder(2)
+    got = {r["tr"]: r for r in frame_means(tok, [4, 0, 7], model, block=8).collect()}
+    v = model.vectors([r[2] or "" for r in rows[:24]])
+    for ws in (4, 0, 7):
+        mean = np.array([v[max(0, i - ws):i + 1].sum(0) / (min(ws, i) + 1) for i in range(24)])
+        for t in range(8):
+            assert got[t][f"x_{ws}"] == pytest.approx(mean[3 * t:3 * t + 3].mean(0).tolist(), abs=1e-12)
+    plan = frame_means(tok, [4], model)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "ArrowEvalPython" not in plan
