@@ -516,8 +516,7 @@ def oracles() -> dict[str, str]:
         SELECT d.voxel, 1 AS j, {r6('sum(k.x1 * d.value)')} AS value FROM resp_dense d JOIN stim_k2 k ON k.tr = d.tr GROUP BY d.voxel""")
     for ws in (0, 4, 16):
         q[f"context_ws_{ws}"] = W(["tok"], f"SELECT seq, pos, {_ctx_expr(ws)} AS context FROM tok")
-    q["prompt_30"] = W(["tok"], f"""
-        SELECT seq, pos, prompt FROM (SELECT seq, pos, {_ctx_expr(29)} AS prompt FROM tok) WHERE pos % 10 = 0""")
+    q["prompt_30"] = W(["tok"], f"SELECT seq, pos, {_ctx_expr(29)} AS prompt FROM tok")
     q["summary_input"] = W(["tok"], f"""
         SELECT seq, pos, text FROM (SELECT seq, pos, {_ctx_expr(499)} AS text FROM tok)
         WHERE pos >= 20 AND (pos % 30 = 0 OR pos = 20)""")
